@@ -1,0 +1,145 @@
+"""Reference-shaped tables derived from the given ones: words of conversations, measured events of users."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from momentloom.operators.series import bucket_variance, filler_spans, interval_complement, segments_from_cuts
+from momentloom.operators.stored import settle
+from momentloom.operators.timeline import Edge, lookup, running
+from momentloom.schemas import Signals
+
+SPAN_S = 43200.0
+FILL_ONE = r"(?i)^(de|that|en)[,.]?$"
+FILL_PAIR = (r"(?i)^la$", r"(?i)^(?!(?:de|that|en|la)[,.]?$)[a-z]+[,.]$")
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# --- words of conversations -----------------------------------------------------------------------------
+
+
+def words(spark: SparkSession, d: str) -> DataFrame:
+    """``video_id, turn, pos, text, t0, t1``: positions continue over the turns of a conversation.
+
+    Only turns are numbered (a running count of their words); words get their place from their turn.
+    """
+    turns = read(spark, d, "conversations").select(
+        F.col("conv_id").cast("string").alias("video_id"), "turn",
+        F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("ws")).withColumn("n", F.size("ws"))
+    turns = running(turns, "upto", "turn", "n", width=4096.0)
+    w = turns.select("video_id", "turn", (F.col("upto") - F.col("n")).alias("off"), F.posexplode("ws").alias("k", "text"))
+    pos = F.col("off") + F.col("k")
+    t0 = pos * 0.5 + F.col("turn") * 2.0
+    w = w.select("video_id", "turn", pos.cast("bigint").alias("pos"), "text", t0.alias("t0"), (t0 + 0.375).alias("t1"))
+    return settle(w, "words")
+
+
+def speech(w: DataFrame) -> DataFrame:
+    return w.groupBy("video_id", "turn").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"))
+
+
+def silence(sp: DataFrame) -> DataFrame:
+    out = lookup(sp, [Edge("nxt", sp, "t0", "t0", "after", strict=True)], t="t0")
+    return out.where(F.col("nxt") > F.col("t1")).select("video_id", F.col("turn").alias("pos"), F.col("t1").alias("t0"), F.col("nxt").alias("t1"))
+
+
+def media(w: DataFrame, language: str = "en") -> DataFrame:
+    return w.groupBy("video_id").agg((F.max("t1") + 1).alias("duration_s")).withColumn("language", F.lit(language))
+
+
+def cuts(sp: DataFrame) -> DataFrame:
+    """One test cut per turn, off the word grid by eighths of a second."""
+    a = F.col("t0") + 0.125 * (F.col("turn") % 4)
+    return sp.select("video_id", F.concat(F.lit("c"), F.col("turn").cast("string")).alias("cand_id"), "turn", a.alias("t0"),
+                     F.least(a + 30 + F.col("turn") * 5, F.col("t1") + 45.25).alias("t1"))
+
+
+def talk_signals(spark: SparkSession, d: str) -> Signals:
+    """Words, speech, silence, fillers and media of all conversations."""
+    w = words(spark, d)
+    sp = speech(w)
+    err = (F.col("pos") * 37 % 500).cast("double")
+    spans = [
+        sp.select("video_id", F.lit("speech").alias("kind"), F.col("turn").alias("pos"), "t0", "t1"),
+        silence(sp).select("video_id", F.lit("silence").alias("kind"), "pos", "t0", "t1"),
+        filler_spans(w, FILL_ONE, FILL_PAIR).select("video_id", F.lit("filler").alias("kind"), "pos", "t0", "t1"),
+    ]
+    return Signals(media=media(w), words=w.withColumn("align_err_ms", err), spans=settle(spans[0].unionByName(spans[1]).unionByName(spans[2]), "spans"))
+
+
+# --- measured events of users -----------------------------------------------------------------------------
+
+
+def ticks(spark: SparkSession, d: str) -> DataFrame:
+    """Events on a clock that counts minutes since 2024-01-01 as seconds."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return read(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("video_id"), "event_id", "event_type", "value", F.floor(micros / 60000000).cast("double").alias("t"))
+
+
+def is_type(*types: str) -> Column:
+    return F.col("event_type").isin(*types)
+
+
+def media_t(tk: DataFrame) -> DataFrame:
+    return tk.select("video_id").distinct().select("video_id", F.lit(SPAN_S).alias("duration_s"), F.lit("en").alias("language"))
+
+
+def peaks(tk: DataFrame) -> DataFrame:
+    return tk.where(is_type("error", "purchase")).select("video_id", F.col("event_id").alias("pos"), "t", (F.col("value") / 50).alias("sigma"))
+
+
+def sevents(tk: DataFrame) -> DataFrame:
+    return tk.where(is_type("click", "view")).select(
+        "video_id", F.col("event_id").alias("pos"), F.when(F.col("event_type") == "click", "laughter").otherwise("applause").alias("label"),
+        F.col("t").alias("t0"), (F.col("t") + 30).alias("t1"), (F.col("value") / 400).alias("conf"))
+
+
+def surges(tk: DataFrame, length: float = 60.0) -> DataFrame:
+    return tk.where(is_type("signup")).select("video_id", F.col("event_id").alias("pos"), F.col("t").alias("t0"), (F.col("t") + length).alias("t1"))
+
+
+def quiet(tk: DataFrame) -> DataFrame:
+    return interval_complement(surges(tk, 3600.0), media_t(tk))
+
+
+def scenes(tk: DataFrame) -> DataFrame:
+    return segments_from_cuts(tk.where(is_type("error")).select("video_id", "t"), media_t(tk))
+
+
+def pitch(tk: DataFrame) -> DataFrame:
+    f0 = tk.select("video_id", F.col("t").cast("bigint").alias("i"), F.col("value").alias("f"))
+    return bucket_variance(f0, media_t(tk), 1.0, 3600.0)
+
+
+def tick_signals(spark: SparkSession, d: str) -> Signals:
+    """Peaks, labelled events, surges, speech, pauses, scenes and a variance curve of all users."""
+    tk = settle(ticks(spark, d), "ticks")
+    kinds = {"surge": surges(tk), "speech": surges(tk, 3600.0), "scene": scenes(tk).select("video_id", F.col("pos").cast("bigint").alias("pos"), "t0", "t1"),
+             "silence": quiet(tk).select("video_id", F.floor("t0").alias("pos"), "t0", "t1")}
+    spans = None
+    for k, df in kinds.items():
+        part = df.select("video_id", F.lit(k).alias("kind"), "pos", "t0", "t1")
+        spans = part if spans is None else spans.unionByName(part)
+    curve = pitch(tk).select("video_id", F.lit("pitch").alias("name"), "i", "t", "v")
+    return Signals(media=media_t(tk), peaks=peaks(tk), events=sevents(tk), spans=settle(spans, "spans"), curves=settle(curve, "curves"))
+
+
+def ranked(df: DataFrame, order: str, at: Column, width: float) -> DataFrame:
+    """Adds the 0-based rank ``n`` of each row within its ``video_id`` by ``order``.
+
+    ``at`` is a number that grows with ``order``; equal numbers are ranked inside their bucket, and
+    a bucket starts where the counted rows before it end.
+    """
+    from pyspark.sql import Window as W
+
+    b = F.floor(at / width)
+    rows = df.withColumn("_rb", b)
+    sizes = rows.groupBy("video_id", "_rb").agg(F.count("*").alias("_size"))
+    sizes = running(sizes, "_upto", "_rb", "_size", width=4096.0).select("video_id", "_rb", (F.col("_upto") - F.col("_size")).alias("_off"))
+    local = F.row_number().over(W.partitionBy("video_id", "_rb").orderBy(order)) - 1
+    return rows.withColumn("_local", local).join(sizes, ["video_id", "_rb"]).withColumn("n", F.col("_off") + F.col("_local")).drop("_rb", "_local", "_off")
