@@ -116,17 +116,19 @@ def pitch(tk: DataFrame) -> DataFrame:
     return bucket_variance(f0, media_t(tk), 1.0, 3600.0)
 
 
-def tick_signals(spark: SparkSession, d: str) -> Signals:
-    """Peaks, labelled events, surges, speech, pauses, scenes and a variance curve of all users."""
+def tick_signals(spark: SparkSession, d: str, kinds=("surge", "speech", "scene", "silence"), curve: bool = True) -> Signals:
+    """Peaks, labelled events, spans of the given kinds and a variance curve of all users."""
     tk = settle(ticks(spark, d), "ticks")
-    kinds = {"surge": surges(tk), "speech": surges(tk, 3600.0), "scene": scenes(tk).select("video_id", F.col("pos").cast("bigint").alias("pos"), "t0", "t1"),
-             "silence": quiet(tk).select("video_id", F.floor("t0").alias("pos"), "t0", "t1")}
+    make = {
+        "surge": lambda: surges(tk), "speech": lambda: surges(tk, 3600.0), "scene": lambda: scenes(tk),
+        "silence": lambda: quiet(tk).withColumn("pos", F.floor("t0")),
+    }
     spans = None
-    for k, df in kinds.items():
-        part = df.select("video_id", F.lit(k).alias("kind"), "pos", "t0", "t1")
+    for k in kinds:
+        part = make[k]().select("video_id", F.lit(k).alias("kind"), F.col("pos").cast("bigint").alias("pos"), "t0", "t1")
         spans = part if spans is None else spans.unionByName(part)
-    curve = pitch(tk).select("video_id", F.lit("pitch").alias("name"), "i", "t", "v")
-    return Signals(media=media_t(tk), peaks=peaks(tk), events=sevents(tk), spans=settle(spans, "spans"), curves=settle(curve, "curves"))
+    curves = settle(pitch(tk).select("video_id", F.lit("pitch").alias("name"), "i", "t", "v"), "curves") if curve else None
+    return Signals(media=media_t(tk), peaks=peaks(tk), events=sevents(tk), spans=settle(spans, "spans"), curves=curves)
 
 
 def ranked(df: DataFrame, order: str, at: Column, width: float) -> DataFrame:

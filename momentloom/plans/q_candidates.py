@@ -42,7 +42,7 @@ _RULE_A = dict(near=_NEAR, ra=clamp_sql("near", "video_id, surge, surge_t0, peak
 
 @query(with_("surges", "peaks", **_RULE_A) + "SELECT video_id, surge, surge_t0, peak_t, sigma, t0, t1 FROM ra")
 def rule_energy_rate(spark, d):
-    out = rule_a(D.tick_signals(spark, d))
+    out = rule_a(D.tick_signals(spark, d, ("surge",), False))
     e = lambda i: F.get("evidence", F.lit(i))
     return out.select("video_id", F.col("o1").cast("bigint").alias("surge"), e(1)["t"].alias("surge_t0"), e(0)["t"].alias("peak_t"),
                       e(0)["value_num"].alias("sigma"), "t0", "t1")
@@ -52,7 +52,7 @@ def rule_energy_rate(spark, d):
     SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY t0, surge, part) AS rn FROM ra) WHERE rn <= 20""")
 def energy_rate_windows(spark, d):
     """Flagship: words-and-energy style windows, best 20 per timeline."""
-    out = C.top_candidates(rule_a(D.tick_signals(spark, d)))
+    out = C.top_candidates(rule_a(D.tick_signals(spark, d, ("surge",), False)))
     e = F.get("evidence", F.lit(0))
     return out.select("video_id", F.col("pos").alias("place"), "t0", "t1", e["t"].alias("peak_t"), e["value_num"].alias("sigma"))
 
@@ -67,7 +67,7 @@ _RULE_B = dict(
 
 @query(with_("sevents", "talk", **_RULE_B) + "SELECT video_id, label, e0, conf, t0, t1 FROM rb")
 def rule_event_leadup(spark, d):
-    out = rule_b(D.tick_signals(spark, d))
+    out = rule_b(D.tick_signals(spark, d, ("speech",), False))
     e = F.get("evidence", F.lit(0))
     return out.select("video_id", e["kind"].alias("label"), F.col("o1").alias("e0"), e["value_num"].alias("conf"), "t0", "t1")
 
@@ -93,7 +93,7 @@ _RULE_C = dict(
 
 @query(with_("scenes", "pitch", **_RULE_C) + "SELECT video_id, pos AS scene, part, t0, t1, round(mean, 6) AS mean FROM rc")
 def rule_scene_variance(spark, d):
-    out = rule_c(D.tick_signals(spark, d))
+    out = rule_c(D.tick_signals(spark, d, ("scene",)))
     return out.select("video_id", F.col("o1").cast("bigint").alias("scene"), "part", "t0", "t1",
                       F.round(F.get("evidence", F.lit(0))["value_num"], 6).alias("mean"))
 
@@ -109,7 +109,7 @@ def clamp_windows(spark, d):
 
 @query()
 def dedupe_windows(spark, d):
-    sig = D.tick_signals(spark, d)
+    sig = D.tick_signals(spark, d, ("surge", "speech"), False)
     out = C.dedupe_windows(rule_a(sig).unionByName(rule_b(sig)), width=WIDTH)
     return out.select("video_id", "rule_rank", "o1", "o2", "part", "t0", "t1", "source", F.size("evidence").alias("n_evidence"))
 
@@ -122,7 +122,7 @@ _RANKED = with_("surges", "peaks", "sevents", "talk", **_RULE_A, **_RULE_B,
 @query(_RANKED + """SELECT video_id, rn - 1 AS place, rule_rank, t0, t1, n_evidence FROM (SELECT *, row_number() OVER (
     PARTITION BY video_id ORDER BY n_evidence DESC, t0, rule_rank, o1, o2, part) AS rn FROM u) WHERE rn <= 20""")
 def top_candidates(spark, d):
-    sig = D.tick_signals(spark, d)
+    sig = D.tick_signals(spark, d, ("surge", "speech"), False)
     out = C.top_candidates(rule_a(sig).unionByName(rule_b(sig)))
     rank = F.when(F.col("source") == "rule_a_energy_rate", 0).otherwise(1)
     return out.select("video_id", F.col("pos").alias("place"), rank.alias("rule_rank"), "t0", "t1", F.size("evidence").alias("n_evidence"))
@@ -153,7 +153,7 @@ def propose(spark, d):
         THEN f.kept ELSE list_append(f.kept, {'t0': w.t0, 't1': w.t1}) END FROM f JOIN w3 w ON w.video_id = f.video_id AND w.k = f.k + 1)
     SELECT video_id, unnest(kept).t0 AS t0, unnest(kept).t1 AS t1 FROM f WHERE k = 3""")
 def fallback_windows(spark, d):
-    return C.fallback_windows(D.tick_signals(spark, d), 4, span=MIN_LEN, width=WIDTH).select("video_id", "t0", "t1")
+    return C.fallback_windows(D.tick_signals(spark, d, ("speech",), False), 4, span=MIN_LEN, width=WIDTH).select("video_id", "t0", "t1")
 
 
 # --- scoring ------------------------------------------------------------------------------------------
@@ -289,7 +289,7 @@ def _proposal_replies(spark, d, tag):
              g="SELECT video_id, t, t - 900 AS r0, t + 900 AS r1, 43200.0 AS dur, unnest([1, 2]) AS round FROM p",
              w=clamp_sql("g", "video_id, round")) + "SELECT video_id, round, t0, t1, 'spike' AS notes FROM w")
 def admit_proposals(spark, d):
-    sig = D.tick_signals(spark, d)
+    sig = D.tick_signals(spark, d, ("surge",), False)
     ok, _ = C.admit_proposals(_proposal_replies(spark, d, 1), sig, _proposal_replies(spark, d, 2), MIN_LEN, MAX_LEN, **GATE)
     return ok.select("video_id", F.col("o1").cast("int").alias("round"), "t0", "t1", "notes")
 
@@ -299,7 +299,7 @@ def admit_proposals(spark, d):
     UNION ALL SELECT video_id, 2, 2, 'malformed t0/t1' FROM p UNION ALL SELECT video_id, 2, 3, 'malformed evidence entry' FROM p
     UNION ALL SELECT video_id, 2, 1, 'no energy peak within 30.0s' FROM p""")
 def rejected_proposals(spark, d):
-    sig = D.tick_signals(spark, d)
+    sig = D.tick_signals(spark, d, ("surge",), False)
     _, no = C.admit_proposals(_proposal_replies(spark, d, 1), sig, _proposal_replies(spark, d, 2), MIN_LEN, MAX_LEN, **GATE)
     short = F.when(F.col("reason").startswith("no energy"), F.substring("reason", 1, 27)).otherwise(F.col("reason"))
     return no.select("video_id", "round", "seq", short.alias("reason"))
@@ -310,7 +310,7 @@ def rejected_proposals(spark, d):
            CASE pos % 4 WHEN 0 THEN 'borderline' WHEN 1 THEN 'keep' ELSE 'kill' END AS verdict FROM peaks""")
 def score_components(spark, d):
     """Replies per peak: emotion fails in the first reply of every peak; what the second one offers depends on the peak."""
-    sig = D.tick_signals(spark, d)
+    sig = D.tick_signals(spark, d, ("surge",), False)
     pk = D.peaks(D.ticks(spark, d))
     cands = pk.select("video_id", F.col("pos").cast("string").alias("cand_id"), "pos", (F.col("t") - 600).alias("t0"), (F.col("t") + 600).alias("t1"),
                       F.array(C.claim("energy_peak", F.col("t"), F.col("sigma"))).alias("evidence"), F.col("sigma"), F.col("t"))

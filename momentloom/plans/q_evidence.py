@@ -53,7 +53,7 @@ _TABLES = ("peaks", "sevents", "surges", "quiet", "scenes")
 
 
 def _gated(spark, d):
-    return E.validate_claims(_claims(D.ticks(spark, d)), D.tick_signals(spark, d), **GATE)
+    return E.validate_claims(_claims(D.ticks(spark, d)), D.tick_signals(spark, d, ("surge", "scene", "silence"), False), **GATE)
 
 
 @query(with_(*_TABLES, **_GATED) + "SELECT video_id, event_id, kind, t, reason IS NULL AS resolved, reason FROM g")

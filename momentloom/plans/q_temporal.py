@@ -44,7 +44,7 @@ def events_in(spark, d):
     QUALIFY row_number() OVER (PARTITION BY p.video_id, p.event_id ORDER BY s.pos) = 1""")
 def scene_at(spark, d):
     tk = D.ticks(spark, d)
-    out = T.stab_first(tk.select("video_id", "event_id", "t"), as_spans(D.scenes(tk), "pos"), width=600.0)
+    out = T.stab_first(tk.select("video_id", "event_id", "t"), as_spans(D.settle(D.scenes(tk), "scenes"), "pos"), width=600.0)
     return out.select("video_id", "event_id", F.col("hit.pos").alias("scene"), F.col("hit.s0").alias("scene_t0"), F.col("hit.s1").alias("scene_t1"))
 
 
@@ -55,7 +55,7 @@ def scene_at(spark, d):
         CASE WHEN p.t BETWEEN s.t0 AND s.t1 THEN 0 ELSE least(abs(s.t0 - p.t), abs(s.t1 - p.t)) END, s.pos) = 1""")
 def nearest_silence(spark, d):
     tk = D.ticks(spark, d)
-    q = D.quiet(tk).withColumn("pos", F.floor("t0"))
+    q = D.settle(D.quiet(tk).withColumn("pos", F.floor("t0")), "quiet")
     out = T.nearest_span(tk.select("video_id", "event_id", "t"), as_spans(q, "pos"), width=600.0)
     return out.select("video_id", "event_id", F.col("near.s0").alias("near_t0"), F.col("near.s1").alias("near_t1"), F.col("near.dist").alias("dist"))
 
