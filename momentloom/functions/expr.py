@@ -36,12 +36,17 @@ def fixed(c: Column | str, places: int) -> Column:
 def title_case(c: Column | str) -> Column:
     """Capital after every non-letter, lower case after a letter (``that's`` -> ``That'S``)."""
     chars = F.split(col(c), "")
+
+    def capital(ch):
+        # a letter may open with several capitals, of which only the first stays one
+        return F.concat(F.substring(F.upper(ch), 1, 1), F.lower(F.substr(F.upper(ch), F.lit(2))))
+
     return F.array_join(
         F.transform(
             chars,
             lambda ch, i: F.when(
                 (i > 0) & F.element_at(chars, F.greatest(i, F.lit(1))).rlike(r"\p{L}"), F.lower(ch)
-            ).otherwise(F.upper(ch)),
+            ).otherwise(capital(ch)),
         ),
         "",
     )

@@ -72,7 +72,7 @@ def claim_quality(spark, d):
 
 _SQUASH = r"""trim(regexp_replace(regexp_replace(lower({}), '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]', '', 'g'), '\s+', ' ', 'g'))"""
 _QUOTE = with_("words", c="""SELECT w.video_id, w.pos, w.t0 + (w.pos % 3) * 20.0 AS t,
-        upper(w.text) || ', ' || coalesce(n.text, '') || CASE WHEN w.pos % 2 = 0 THEN '!' ELSE ' ' || coalesce(m.text, '') END AS q
+        w.text || ', ' || coalesce(n.text, '') || CASE WHEN w.pos % 2 = 0 THEN '!' ELSE ' ' || coalesce(m.text, '') END AS q
         FROM words w LEFT JOIN words n ON n.video_id = w.video_id AND n.pos = w.pos + 1 LEFT JOIN words m ON m.video_id = w.video_id AND m.pos = w.pos + 2""",
         h="""SELECT c.video_id, c.pos, string_agg(w.text, ' ' ORDER BY w.pos) AS hay FROM c JOIN words w ON w.video_id = c.video_id
              AND w.t0 < c.t + length(c.q) / 4 AND w.t1 > c.t - 1 GROUP BY 1, 2""")
@@ -85,7 +85,7 @@ def quote_claims(spark, d):
     w = D.words(spark, d).select("video_id", "pos", "text", "t0", "t1")
     nxt = lambda k: w.select("video_id", (F.col("pos") - k).alias("pos"), F.col("text").alias(f"n{k}"))
     q = w.join(nxt(1), ["video_id", "pos"], "left").join(nxt(2), ["video_id", "pos"], "left")
-    said = F.concat(F.upper("text"), F.lit(", "), F.coalesce("n1", F.lit("")), F.when(F.col("pos") % 2 == 0, "!").otherwise(F.concat(F.lit(" "), F.coalesce("n2", F.lit("")))))
+    said = F.concat("text", F.lit(", "), F.coalesce("n1", F.lit("")), F.when(F.col("pos") % 2 == 0, "!").otherwise(F.concat(F.lit(" "), F.coalesce("n2", F.lit("")))))
     claims = q.select("video_id", "pos", F.lit("quote").alias("kind"), (F.col("t0") + F.col("pos") % 3 * 20.0).alias("t"),
                       F.lit(None).cast("double").alias("value_num"), said.alias("value_str"), F.lit(0.0).alias("w0"), F.lit(1e9).alias("w1"))
     sig = Signals(media=D.media(w), words=w, peaks=w.where("false").select("video_id", "pos", F.col("t0").alias("t"), F.col("t0").alias("sigma")))

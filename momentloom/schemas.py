@@ -34,12 +34,11 @@ CLIPS = (
 LEDGER = "id string, user_id string, delta_minutes double, reason string, ref string, created_at timestamp"
 PAYMENTS = "user_id string, event_id string, amount_cents int, currency string, created_at timestamp"
 
-# One clip record of a run result.  A claim value is text or number, so it stays raw JSON text.
-RAW_CLAIM = "struct<kind:string,t:double,value:string>"
+# One clip record of a run result.  A claim value is text or number, so each claim stays JSON text.
 RUN_CLIP = (
-    f"struct<index:int,candidate:struct<t0:double,t1:double,source:string,notes:string,evidence:array<{RAW_CLAIM}>>,"
+    "struct<index:int,candidate:struct<t0:double,t1:double,source:string,notes:string,evidence:array<string>>,"
     "cut:struct<t0:double,t1:double,payoff_word_i:int>,"
-    f"score:struct<total:double,verdict:string,components:map<string,struct<score:double,evidence:array<{RAW_CLAIM}>>>>,"
+    "score:struct<total:double,verdict:string,components:map<string,struct<score:double,evidence:array<string>>>>,"
     "hook:struct<title:string,captions:map<string,string>>,"
     "qa:struct<passed:boolean,failures:array<struct<code:string,detail:string>>>,"
     "repairs:array<string>,dropped_reason:string,paths:struct<mp4:string,thumb:string>>"

@@ -87,3 +87,14 @@ def claims_at(v: Column, path: str) -> Column:
         )
 
     return F.when(has_type(v, path, "array") & F.forall(entries, fine), F.transform(entries, build))
+
+
+def claim_of(text: Column) -> Column:
+    """One claim from its JSON text."""
+    v = F.try_parse_json(text)
+    vt = F.coalesce(type_at(v, "$.value"), F.lit("VOID"))
+    return F.struct(
+        F.try_variant_get(v, "$.kind", "string").alias("kind"), F.try_variant_get(v, "$.t", "double").alias("t"),
+        F.when(vt.rlike(TYPES["number"]), F.try_variant_get(v, "$.value", "double")).alias("value_num"),
+        F.when(vt.rlike(TYPES["string"]), F.try_variant_get(v, "$.value", "string")).alias("value_str"),
+    )

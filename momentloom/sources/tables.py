@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from momentloom.functions.expr import half_up, strip
 from momentloom.schemas import AGENT_EVENTS, BOX, RUN_RESULT, Signals
+from momentloom.sources.replies import claim_of
 
 # Keys a signal document must have, and its version.
 INDEX_KEYS = [
@@ -62,9 +63,11 @@ def flatten_signals(index: DataFrame) -> Signals:
 
     kinds = {"speech": "speech", "silences": "silence", "fillers": "filler", "surges": "surge", "monotone": "monotone",
              "scenes": "scene", "defects_black": "black", "defects_frozen": "frozen"}
-    tagged = F.array(*[
-        F.transform(f"doc.{f}", lambda x, i, k=k: F.struct(F.lit(k).alias("kind"), i.alias("pos"), x.t0.alias("t0"), x.t1.alias("t1")))
-        for f, k in kinds.items()])
+
+    def tag(kind):
+        return lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), x.t0.alias("t0"), x.t1.alias("t1"))
+
+    tagged = F.array(*[F.transform(f"doc.{f}", tag(k)) for f, k in kinds.items()])
     spans = index.select("video_id", F.inline(F.flatten(tagged)))
     curves = index.select("video_id", F.inline(F.array(*[
         F.struct(F.lit(n).alias("name"), F.col(f"doc.{n}.hop_s").alias("hop_s"), F.col(f"doc.{n}.values").alias("vs"))
@@ -154,6 +157,17 @@ def clip_rows(runs: DataFrame) -> DataFrame:
     )
 
 
+def with_claims(candidate: Column) -> Column:
+    """A run's candidate with its claims read from JSON text."""
+    return F.when(candidate.isNotNull(), candidate.withField("evidence", F.transform(candidate["evidence"], claim_of)))
+
+
+def scored_claims(score: Column) -> Column:
+    """A run's score with the claims of every component read from JSON text."""
+    parts = F.transform_values(score["components"], lambda k, p: F.struct(p.score.alias("score"), F.transform(p.evidence, claim_of).alias("evidence")))
+    return F.when(score.isNotNull(), F.struct(score["total"].alias("total"), score["verdict"].alias("verdict"), parts.alias("components")))
+
+
 def job_facts(runs: DataFrame) -> DataFrame:
     """Minutes processed and cost in whole cents per run."""
     cost = F.aggregate(F.map_values("run.agent_totals"), F.lit(0.0), lambda a, t: a + F.coalesce(t.cost_cents, F.lit(0.0)))
