@@ -1 +1,83 @@
-"""Queries."""
+"""Queries that run a stream over the given tables to its end and return what it wrote."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from momentloom.functions.expr import half_up
+from momentloom.operators.stored import scratch
+from momentloom.plans import derive as D
+from momentloom.plans import q_product as P
+from momentloom.plans.registry import query, with_
+from momentloom.streaming import streams as K
+
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
+def _stream(spark, d, name="events", ddl=EVENTS):
+    return spark.readStream.schema(ddl).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
+def _log(spark, d):
+    e = _stream(spark, d)
+    return e.select(F.col("user_id").cast("string").alias("job_id"), D.agent_of(F.col("event_type")).alias("agent"), F.col("ts").cast("timestamp").alias("created_at"), F.col("event_id").alias("seq"))
+
+
+@query(f"WITH s AS ({P._STAGED}) SELECT job_id, CASE r WHEN 4 THEN 'render' ELSE 'crew' END AS stage, CASE r WHEN 4 THEN 1.0 ELSE 0.7 END AS progress FROM s")
+def stream_progress(spark, d):
+    out = K.run_available(K.stream_progress(_log(spark, d).where(F.col("seq") % 13 < 4)), "update")
+    return out.groupBy("job_id").agg(F.max_by("stage", "batch").alias("stage"), F.max_by("progress", "batch").alias("progress"))
+
+
+@query("""SELECT DISTINCT CAST(user_id AS VARCHAR) AS job_id, CASE event_type WHEN 'click' THEN 'scout' WHEN 'view' THEN 'critic' WHEN 'purchase' THEN 'surgeon'
+    WHEN 'signup' THEN 'qa' ELSE 'orchestrator' END AS agent FROM events""")
+def stream_first_agents(spark, d):
+    return K.run_available(K.stream_first_agents(_log(spark, d))).drop("batch")
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS video_id, date_trunc('hour', ts) AS start, count(*) AS n FROM events GROUP BY 1, 2""")
+def stream_rates(spark, d):
+    e = _stream(spark, d).select(F.col("user_id").cast("string").alias("video_id"), F.col("ts").cast("timestamp").alias("ts"))
+    out = K.run_available(K.stream_rates(e, "1 hour", "1 hour"), "update")
+    return out.groupBy("video_id", "start").agg(F.max("n").alias("n"))
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS video_id, s AS start, count(*) AS n, round(sqrt(avg(value * value)), 6) AS v
+    FROM (SELECT user_id, value, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS s FROM events) GROUP BY 1, 2""")
+def stream_activity_windows(spark, d):
+    e = _stream(spark, d).select(F.col("user_id").cast("string").alias("video_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("x"))
+    out = K.run_available(K.stream_activity_windows(e, "1 hour", "2 hours", "1 hour"), "update")
+    last = out.groupBy("video_id", "start").agg(F.max_by(F.struct("n", "v"), "batch").alias("x"))
+    return last.select("video_id", "start", "x.n", F.round("x.v", 6).alias("v"))
+
+
+@query(with_(**P.SQL).rstrip() + ", pay0 AS (SELECT * FROM pay WHERE false)," + P._BILL.replace("FROM pay)", "FROM pay0)"))
+def stream_billing(spark, d):
+    base = scratch(spark, "billing")
+    sink = K.billing_sink(D.users(spark, d), f"{base}/payments", f"{base}/ledger")
+    K.run_available(P.billing_events(_stream(spark, d)), sink=sink)
+    paid = spark.read.schema("user_id string, event_id string, amount_cents int").parquet(f"{base}/payments")
+    credit = spark.read.schema("delta_minutes double, reason string, ref string").parquet(f"{base}/ledger")
+    return paid.join(credit.withColumnRenamed("ref", "event_id"), "event_id").select("user_id", "event_id", "amount_cents", "delta_minutes", "reason")
+
+
+@query("""WITH e AS (SELECT user_id AS job, arg_max(event_type, ts) AS last_type, max(ts) AS last FROM events GROUP BY 1)
+    SELECT CAST(job AS VARCHAR) AS job_id, 'o' || job AS user_id, 'failed' AS status, 'timed out' AS error FROM e
+    WHERE last_type IN ('click', 'view') AND epoch_ms(last) + 1800000 < (SELECT epoch_ms(max(ts)) - 60000 FROM events)""")
+def stream_stale_jobs(spark, d):
+    kind = F.col("event_type")
+    status = F.when(kind == "click", "queued").when(kind == "view", "processing").otherwise("done")
+    e = _stream(spark, d).select(F.col("user_id").cast("string").alias("job_id"), F.concat(F.lit("o"), F.col("user_id").cast("string")).alias("user_id"), status.alias("status"),
+                                 F.col("ts").cast("timestamp").alias("updated_at"))
+    return K.run_available(K.stream_stale_jobs(e)).drop("batch")
+
+
+@query("WITH RECURSIVE " + P._WALK)
+def stream_ledger(spark, d):
+    kind = F.col("event_type")
+    name = F.when(kind == "signup", "signup_grant").when(kind == "purchase", "purchase").when(kind == "click", "debit").otherwise("refund")
+    minutes = F.when(kind == "signup", 60.0).when(kind == "purchase", F.col("value") / 4).otherwise(F.col("value"))
+    req = _stream(spark, d).where(kind != "view").select(
+        F.col("event_id").alias("id"), F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("user_id"), name.alias("kind"), half_up(minutes).cast("bigint").alias("minutes"),
+        F.concat(F.col("user_id").cast("string"), F.lit("-"), (F.col("event_id") % 7).cast("string")).alias("ref"))
+    return K.run_available(K.stream_ledger(req)).drop("batch")
