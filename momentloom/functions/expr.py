@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ASCII punctuation, as a Java regex character class.
@@ -17,6 +17,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def held(df: DataFrame, **exprs: Column) -> DataFrame:
+    """Add columns that are computed once per row: a generator keeps later filters and projections from repeating them."""
+    return df.select("*", F.inline(F.array(F.struct(*[e.alias(n) for n, e in exprs.items()]))))
+
+
 def half_up(c: Column | str) -> Column:
     """Round half toward +infinity (JavaScript rule); null stays null."""
     return F.floor(col(c) + F.lit(0.5))

@@ -109,8 +109,8 @@ def decile_bar(curve: DataFrame) -> DataFrame:
     """
     counted = curve.where(F.col("v") > 0).groupBy("video_id", "v").agg(F.count("*").alias("n"))
     size = counted.groupBy("video_id").agg(F.sum("n").alias("size"), F.max("v").alias("top")).where(F.col("size") >= 2)
-    scaled = counted.join(size, "video_id").withColumn("x", F.col("v") / F.col("top") * 1e6)
-    ranked = lookup(scaled, [Edge("upto", scaled, "x", "n", keep="sum")], t="x", width=2e4)
+    scaled = settle(counted.join(size, "video_id").withColumn("x", F.col("v") / F.col("top") * 1e6), "values")
+    ranked = lookup(scaled, [Edge("upto", scaled, "x", "n", keep="sum")], t="x", width=2e3)
     n = F.col("size")
     j = F.least(F.greatest(F.floor(F.lit(9) * (n + 1) / 10), F.lit(1)), n - 1)
     ranked = ranked.withColumn("j", j)
@@ -191,8 +191,7 @@ def propose(sig: Signals, rules=(rule_energy_rate, rule_event_leadup, rule_scene
 
 def parse_proposals(replies: DataFrame, media: DataFrame, min_len: float = MIN_LEN, max_len: float = MAX_LEN):
     """Split the candidates of valid replies ``video_id, chunk, reply`` into well-formed windows and discards."""
-    v = F.try_parse_json("reply")
-    entries = replies.select("video_id", "chunk", F.posexplode(F.try_variant_get(v, "$.candidates", "array<variant>")).alias("seq", "e"))
+    entries = replies.select("video_id", "chunk", F.posexplode(F.try_variant_get(F.try_parse_json("reply"), "$.candidates", "array<variant>")).alias("seq", "e"))
     e = F.col("e")
     entries = entries.where(has_type(e, "$", "object"))
     typed = entries.select(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from momentloom.functions.expr import ends_sentence
 from momentloom.operators.series import as_spans
+from momentloom.operators.stored import settle
 from momentloom.operators.timeline import Edge, inside_word, interval_pairs, lookup
 from momentloom.schemas import Signals
 
@@ -54,7 +55,7 @@ def edges_of(sig: Signals, width: float = 64.0) -> dict[str, Edge]:
     ends = sentence_ends(sig.words)
     quiet = sig.kind("silence")
     long = quiet.where(F.col("t1") - F.col("t0") >= MIN_SILENCE).select("video_id", F.col("t1").alias("t"))
-    clean = inside_word(long, as_spans(words), width).where(~F.col("mid_word"))
+    clean = settle(inside_word(long, as_spans(words), width).where(~F.col("mid_word")), "pauses")
     return {
         "sentence_before": Edge("sentence_before", ends, "t1", "t1", "before"),
         "sentence_after": Edge("sentence_after", ends, "t1", "t1", "after"),
@@ -136,15 +137,16 @@ def strip_fillers(opens: DataFrame, sig: Signals, t: str = "open", scan: float =
     is a filler again, so a run of fillers ends at the first final start: a forward lookup instead
     of a loop.
     """
+    opens = settle(opens, "opens")
     cols = opens.columns
     words = sig.words.select("video_id", "pos", F.col("t0").alias("s0"), F.col("t1").alias("s1"))
-    fillers = filler_words(sig, width)
-    nexts = lookup(fillers, [Edge("next", words, "s0", "s0", "after", strict=True)], t="t0", width=width)
+    fillers = settle(filler_words(sig, width), "fillers")
+    nexts = settle(lookup(fillers, [Edge("next", words, "s0", "s0", "after", strict=True)], t="t0", width=width), "nexts")
     starts = nexts.where(F.col("next").isNotNull()).select("video_id", "next").distinct()
     heads = _first_word(starts, words, "next", scan, ["video_id"], width)
     heads = heads.select("video_id", "next", F.col("w.pos").alias("pos"), F.col("w.s0").alias("h0"))
     again = heads.where(F.col("h0") >= F.col("next")).join(fillers.select("video_id", "pos"), ["video_id", "pos"], "left_semi")
-    final = starts.join(again.select("video_id", "next"), ["video_id", "next"], "left_anti")
+    final = settle(starts.join(again.select("video_id", "next"), ["video_id", "next"], "left_anti"), "final")
     tail = fillers.groupBy("video_id").agg(F.max_by("t1", F.struct("t0", "pos")).alias("tail"))
 
     first = _first_word(opens.select(*IDS, t), words, t, scan, list(IDS), width)
@@ -248,7 +250,7 @@ def repair_word_clip(cuts: DataFrame, sig: Signals, width: float = 64.0) -> Data
     flagged = ask(cuts, {"a": F.col("t0"), "b": F.col("t1")}, [e["reach"]], width=width)
     flagged = flagged.select(*cuts.columns, F.coalesce(F.col("a_reach") > F.col("t0"), F.lit(False)).alias("_cut0"),
                              F.coalesce(F.col("b_reach") > F.col("t1"), F.lit(False)).alias("_cut1"))
-    opened = snap_open(flagged, sig, "t0", "_open", width)
+    opened = settle(snap_open(flagged, sig, "t0", "_open", width), "opened")
     moved = strip_fillers(opened.where("_cut0"), sig, "_open", width=width).withColumn("t0", F.col("_open"))
     opened = opened.where("not _cut0").unionByName(moved)
     closed = snap_close(opened, sig, "t1", "_close", width)
@@ -297,11 +299,11 @@ def repair(cuts: DataFrame, failures: DataFrame, sig: Signals, min_dur: float =
     codes = failures.groupBy(*IDS).agg(
         F.max(F.col("code") == "WORD_CLIP").alias("_wc"), F.max(F.col("code") == "ALIGN").alias("_al"))
     cols = cuts.columns
-    marked = cuts.join(codes, list(IDS), "left")
+    marked = settle(cuts.join(codes, list(IDS), "left"), "marked")
     due = F.coalesce(F.col("_wc") | F.col("_al"), F.lit(False))
     same = marked.where(~due).select(*cols)
     work = marked.where(due)
-    fixed = repair_word_clip(work.where("_wc"), sig, width).unionByName(work.where("not _wc"))
+    fixed = settle(repair_word_clip(work.where("_wc"), sig, width).unionByName(work.where("not _wc")), "fixed")
     runs = best_aligned_run(fixed.where("_al"), sig.words, width=width)
     fixed = fixed.join(runs, list(IDS), "left")
     take = F.col("_al") & (F.col("run_t1") - F.col("run_t0") >= min_dur)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from momentloom.functions.expr import half_up
 from momentloom.operators import folds
+from momentloom.operators.stored import settle
 from momentloom.operators.text import label
 from momentloom.operators.timeline import running
 
@@ -181,7 +182,7 @@ def apply_ledger(requests: DataFrame, opening: DataFrame | None = None) -> DataF
     else:
         have = opening.select("user_id", F.col("balance").cast("bigint").alias("start"))
         rows = rows.join(have, "user_id", "left").withColumn("start", F.coalesce("start", F.lit(0).cast("bigint")))
-    summed = running(rows, "upto", "seq", F.col("want"), keys=("user_id",), width=65536.0)
+    summed = settle(running(settle(rows, "requests"), "upto", "seq", F.col("want"), keys=("user_id",), width=4096.0), "running")
     summed = summed.withColumn("after", F.col("start") + F.col("upto")).withColumn("before", F.col("after") - F.col("want"))
 
     short = summed.where(F.col("after") < 0).groupBy("user_id").agg(F.min(F.struct("seq", "before")).alias("s"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from momentloom.functions.expr import verdict
+from momentloom.functions.expr import held, verdict
 from momentloom.operators.candidates import fallback_windows
 from momentloom.operators.evidence import validate_claims
 from momentloom.operators.stored import settle
@@ -44,8 +44,9 @@ def score_components(replies: DataFrame, cands: DataFrame, sig: Signals, **gate)
     is void when that fails too.  Without a valid reply the evidence count decides.
     """
     ids = ["video_id", "cand_id"]
-    v = F.try_parse_json("reply")
-    parsed = replies.where(F.col("attempt") <= 2).select(*ids, "attempt", F.when(is_valid(v, ["components"], {"components": "object"}), v).alias("v"))
+    v = F.col("_v")
+    parsed = held(replies.where(F.col("attempt") <= 2), _v=F.try_parse_json("reply"))
+    parsed = parsed.select(*ids, "attempt", F.when(is_valid(v, ["components"], {"components": "object"}), v).alias("v"))
     rows = cands.select(*ids, F.col("t0").alias("w0"), F.col("t1").alias("w1")).join(parsed, ids).where(F.col("v").isNotNull())
     name = F.explode(F.array(*[F.lit(p) for p in PARTS]))
     rows = rows.select(*ids, "w0", "w1", "attempt", "v", name.alias("part"))
@@ -54,7 +55,7 @@ def score_components(replies: DataFrame, cands: DataFrame, sig: Signals, **gate)
         cond = F.col("part") == p
         val = F.try_variant_get("v", f"$.components.{p}", "variant")
         pick = F.when(cond, val) if pick is None else pick.when(cond, val)
-    rows = rows.select(*ids, "w0", "w1", "attempt", "part", pick.alias("e"))
+    rows = held(rows.select(*ids, "w0", "w1", "attempt", "part", "v"), e=pick)
     e = F.col("e")
     raw = F.when(has_type(e, "$.score", "number"), F.try_variant_get(e, "$.score", "double"))
     clamped = F.when(raw.isNull() | F.isnan(raw), 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(PART_MAX), raw.cast("int"))))
@@ -94,7 +95,7 @@ def run_rounds(cands: DataFrame, scorer: Callable[[DataFrame], DataFrame], refin
     Timelines with a borderline window are proposed again (``refined``, or the same candidates) and
     lose what overlaps a keeper.
     """
-    one = scorer(cands).withColumn("round", F.lit(0))
+    one = settle(scorer(cands).withColumn("round", F.lit(0)), "round")
     keep = one.where(F.col("verdict") == "keep")
     again = one.where(F.col("verdict") == "borderline").select("video_id").distinct()
     pool = (cands if refined is None else refined).join(again, "video_id", "left_semi")
@@ -109,6 +110,7 @@ def best_effort(every: DataFrame, sig: Signals, n: int = BEST_EFFORT, width: flo
 
     Everything is marked borderline.  Equal windows count once, the last scored one.
     """
+    every = settle(every, "scored")
     kept = every.where(F.col("verdict") == "keep").select("video_id").distinct()
     scored = every.select("video_id").distinct()
     cols = ["cand_id", "pos", "source", "notes", "evidence", "total", "components"]

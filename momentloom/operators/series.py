@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from momentloom.operators import folds
+from momentloom.operators.stored import settle
 from momentloom.operators.timeline import KEY, Edge, lookup, running
 
 # Filler words and the two-word filler.
@@ -139,9 +140,9 @@ def runs_where(curve: DataFrame, predicate: Column, hop_s: float = 1.0, min_dura
     the run is an aggregate over that start.  No window spans a whole timeline.
     """
     keys = list(keys)
-    hits = curve.where(predicate).select(*keys, F.col("i").cast("bigint").alias("i"), "v")
+    hits = settle(curve.where(predicate).select(*keys, F.col("i").cast("bigint").alias("i"), "v"), "hits")
     starts = hits.select(*keys, "i").join(hits.select(*keys, (F.col("i") + 1).alias("i")), keys + ["i"], "left_anti")
-    runs = lookup(hits, [Edge("start", starts, "i", "i")], t="i", keys=keys, width=4096)
+    runs = lookup(hits, [Edge("start", starts, "i", "i")], t="i", keys=keys, width=256)
     runs = runs.groupBy(*keys, "start").agg(F.max("i").alias("stop"), F.max("v").alias("peak"))
     return runs.select(
         *keys, (F.col("start") * hop_s).alias("t0"), ((F.col("stop") + 1) * hop_s).alias("t1"), "peak"
@@ -172,7 +173,7 @@ def threshold_events(probs: DataFrame, hop_s: float, thresholds: dict[str, float
 
 def interval_complement(spans: DataFrame, media: DataFrame) -> DataFrame:
     """What the spans leave uncovered inside ``[0, duration]``, including the tail."""
-    heads = spans.groupBy("video_id", "t0").agg(F.max("t1").alias("t1"))
+    heads = settle(spans.groupBy("video_id", "t0").agg(F.max("t1").alias("t1")), "heads")
     seen = lookup(heads, [Edge("cursor", heads, "t0", "t1", strict=True, keep="max")], t="t0")
     cursor = F.greatest(F.coalesce("cursor", F.lit(0.0)), F.lit(0.0))
     gaps = seen.where(F.col("t0") > cursor).select("video_id", cursor.alias("t0"), F.col("t0").alias("t1"))
@@ -187,6 +188,7 @@ def segments_from_cuts(cut_points: DataFrame, media: DataFrame) -> DataFrame:
     inner = cut_points.join(media.select("video_id", "duration_s"), "video_id").where(
         (F.col("t") > 0) & (F.col("t") < F.col("duration_s"))
     ).select("video_id", "t").distinct()
+    inner = settle(inner, "points")
     heads = inner.unionByName(media.select("video_id", F.lit(0.0).alias("t")))
     ends = inner.unionByName(media.select("video_id", F.col("duration_s").alias("t")))
     out = lookup(heads, [

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from momentloom.functions.expr import (
-    ASCII_PUNCT, capitalise, clock, half_even, rstrip, strip, subtitle_time, title_case, truncate_words,
+    ASCII_PUNCT, capitalise, clock, half_even, held, rstrip, strip, subtitle_time, title_case, truncate_words,
 )
 from momentloom.operators import folds
 from momentloom.operators.cuts import IDS
@@ -99,10 +99,10 @@ def choose_hook(replies: DataFrame, cuts: DataFrame, words: DataFrame, width: fl
 
     A missing or unreadable first reply goes straight to the fallback.
     """
-    v = F.try_parse_json("reply")
+    v = F.col("_v")
     shape = is_valid(v, ["title", "captions"], {"title": "string", "captions": "object"})
     caption = lambda p: F.when(has_type(v, f"$.captions.{p}", "string"), F.try_variant_get(v, f"$.captions.{p}", "string"))
-    read = replies.where(F.col("attempt") <= 2).select(
+    read = held(replies.where(F.col("attempt") <= 2), _v=F.try_parse_json("reply")).select(
         *IDS, "attempt", F.when(shape, F.try_variant_get(v, "$.title", "string")).alias("title"),
         F.map_from_arrays(F.array(*[F.lit(p) for p in CAPTION_CAPS]), F.array(*[caption(p) for p in CAPTION_CAPS])).alias("captions"))
     good = F.col("title").isNotNull() & (F.size(hook_messages(F.col("title"), F.col("captions"))) == 0)
@@ -177,10 +177,10 @@ def publish_metadata(clips: DataFrame, words: DataFrame, replies: DataFrame | No
         F.when(excerpt != "", F.concat(strip(F.col("hook_title")), F.lit("\n\n"), excerpt)).otherwise(strip(F.col("hook_title"))).alias("description"),
         F.slice(lower, 1, 3).alias("hashtags"), lower.alias("tags"))
     if replies is not None:
-        v = F.try_parse_json("reply")
+        v = F.col("_v")
         ok = is_valid(v, ["description", "hashtags", "tags"], {"description": "string", "hashtags": "array", "tags": "array"})
         texts = lambda p: F.transform(F.try_variant_get(v, p, "array<variant>"), lambda x: F.coalesce(F.try_variant_get(x, "$", "string"), F.to_json(x)))
-        live = replies.where(F.col("attempt") <= 2).select(*IDS, "attempt", F.when(ok, F.struct(
+        live = held(replies.where(F.col("attempt") <= 2), _v=F.try_parse_json("reply")).select(*IDS, "attempt", F.when(ok, F.struct(
             F.try_variant_get(v, "$.description", "string").alias("description"), texts("$.hashtags").alias("hashtags"), texts("$.tags").alias("tags"))).alias("p"))
         live = live.groupBy(*IDS).agg(F.min_by("p", F.when(F.col("p").isNotNull(), F.col("attempt"))).alias("p"))
         rows = rows.join(live, list(IDS), "left").select(
@@ -281,9 +281,8 @@ def claim_line(c: Column) -> Column:
     )
 
 
-def repair_line(raw: Column) -> Column:
-    """One stored repair entry (JSON text) as a readable line; every field may be missing or of another type."""
-    v = F.try_parse_json(raw)
+def repair_line(v: Column) -> Column:
+    """One stored repair entry as a readable line; every field may be missing or of another type."""
     attempt = F.when(has_type(v, "$.attempt", "number"), plain_number(F.try_variant_get(v, "$.attempt", "double"))).otherwise("?")
     items = F.filter(F.try_variant_get(v, "$.codes", "array<variant>"), lambda x: has_type(x, "$", "string"))
     codes = F.array_join(F.transform(items, lambda x: F.try_variant_get(x, "$", "string")), ", ")
@@ -316,7 +315,7 @@ def evidence_report(clips: DataFrame) -> DataFrame:
     heads = comps.select(*keys, (c("rank") * 1000).alias("ord"), F.concat(name, F.lit(": "), plain_number(c("p.value.score")), F.lit("/25")).alias("line"))
     cited = comps.select(*keys, "rank", F.posexplode("p.value.evidence").alias("i", "claim")).select(
         *keys, (c("rank") * 1000 + 1 + c("i")).alias("ord"), claim_line(c("claim")).alias("line"))
-    fixes = clips.select(*keys, F.posexplode("repairs").alias("ord", "r")).select(*keys, "ord", repair_line(c("r")).alias("line"))
+    fixes = clips.select(*keys, F.posexplode(F.transform("repairs", F.try_parse_json)).alias("ord", "r")).select(*keys, "ord", repair_line(c("r")).alias("line"))
     fails = clips.select(*keys, F.posexplode("qa.failures").alias("ord", "f")).select(*keys, "ord", label(c("f.code"), QA_LABELS, c("f.code")).alias("line"))
     out = section(source, "source")
     for df, name in ((cites, "claim"), (heads, "component"), (cited, "component"), (fixes, "repair"), (fails, "qa")):
@@ -332,10 +331,11 @@ AGENT_LINES = {
 
 def activity_feed(events: DataFrame) -> DataFrame:
     """Adds a readable ``line`` to agent events ``agent, action, payload``."""
-    v = F.try_parse_json("payload")
+    rows = held(events, _v=F.try_parse_json("payload"))
+    v = F.col("_v")
     count = F.when(has_type(v, "$.count", "number"), F.try_variant_get(v, "$.count", "double"))
     found = F.concat(F.lit("Scout found "), plain_number(count), F.when(count == 1, " moment").otherwise(" moments"))
     agent = F.col("agent")
     text = F.when(agent == "scout", F.when((F.col("action") == "found") & count.isNotNull(), found).otherwise("Scout is scanning…")).otherwise(
         label(agent, AGENT_LINES, capitalise(agent)))
-    return events.withColumn("line", text)
+    return rows.withColumn("line", text).drop("_v")

@@ -25,6 +25,9 @@ from momentloom.functions.expr import col, interval_iou
 KEY = ("video_id",)
 WIDTH = 64.0
 
+# A scan sorts its bucket once, so it takes buckets this many times wider than a pair join.
+SCAN = 16
+
 
 def bucket(t: Column | str, width: float) -> Column:
     return F.floor(col(t) / F.lit(float(width))).cast("bigint")
@@ -91,23 +94,35 @@ def _plain(e: Edge) -> bool:
     return e.keep != "nearest" or _is_time(e)
 
 
-def _edge_rows(e: Edge, keys: list[str], width: float, slot: str) -> DataFrame:
+def _edge_rows(slots: dict[str, Edge], keys: list[str], width: float) -> DataFrame:
+    """Rows of edges that share table, time, side and tie: one row carries all their values."""
+    e = next(iter(slots.values()))
     before = e.side == "before"
-    if _plain(e):
-        value = col(e.value).cast("double") if _is_time(e) else col(e.value)
-    else:
-        value = F.struct(col(e.value).alias("v"))
     tie = F.lit(0).cast("bigint") if e.tie is None else col(e.tie).cast("bigint")
-    t = col(e.t).cast("double")
+
+    def value(x: Edge) -> Column:
+        if not _plain(x):
+            return F.struct(col(x.value).alias("v"))
+        return col(x.value).cast("double") if _is_time(x) else col(x.value)
+
     return e.df.select(
         *keys,
-        t.alias("_t"),
+        col(e.t).cast("double").alias("_t"),
         F.lit(0 if before != e.strict else 2).alias("_side"),
         (-tie if before else tie).alias("_tie"),
-        value.alias(slot),
+        *[value(x).alias(s) for s, x in slots.items()],
     ).where(F.col("_t").isNotNull()).withColumn("_b", bucket("_t", width))
 
 
+def _grouped(slots: dict[str, Edge]) -> list[dict[str, Edge]]:
+    groups: dict = {}
+    for s, e in slots.items():
+        shared = isinstance(e.t, str) and (e.tie is None or isinstance(e.tie, str))
+        key = (id(e.df), e.t, e.side, e.strict, e.tie) if shared else s
+        groups.setdefault(key, {})[s] = e
+    return list(groups.values())
+
+
 def _fold(e: Edge, c: Column) -> Column:
     """How several values of one slot combine, in scan order."""
     if e.keep == "max":
@@ -125,13 +140,14 @@ def lookup(
     All edge kinds are resolved in a single scan of ``(key, bucket)`` groups.
     """
     keys = list(keys)
+    width = width * SCAN
     slots = {f"_e{i}": e for i, e in enumerate(edges)}
     ahead = {s: e for s, e in slots.items() if e.side == "before"}
     behind = {s: e for s, e in slots.items() if e.side == "after"}
 
     every = reduce(
         lambda a, b: a.unionByName(b, allowMissingColumns=True),
-        [_edge_rows(e, keys, width, s) for s, e in slots.items()],
+        [_edge_rows(g, keys, width) for g in _grouped(slots)],
     )
 
     # Directory: one row per non-empty bucket, with what leaves the bucket on either side.
@@ -329,6 +345,6 @@ def inside_word(points: DataFrame, words: DataFrame, width: float = WIDTH, name:
 
 
 def running(df: DataFrame, name: str, at: str, value: Column | str, keep: str = "sum", strict: bool = False,
-            tie: str | None = None, keys=KEY, width: float = 4096.0) -> DataFrame:
+            tie: str | None = None, keys=KEY, width: float = 1024.0) -> DataFrame:
     """Running sum / max of ``value`` along ``at`` within each key."""
     return lookup(df, [Edge(name, df, at, value, "before", strict=strict, keep=keep, tie=tie)], t=at, keys=keys, width=width)

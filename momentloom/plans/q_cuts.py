@@ -281,7 +281,7 @@ def check_alignment(spark, d):
     return H.check_alignment(c, sig.words, sig.media).drop("ord")
 
 
-_TITLE = "substr(replace(d.text, chr(10), ' '), 1, CAST(10 + d.doc_id % 50 AS INT))"
+_TITLE = r"coalesce(string_split_regex(d.text, '[.!?\n]')[1], '')"
 _HOOKS = f"SELECT CAST(doc_id AS VARCHAR) AS video_id, '1' AS cand_id, CASE WHEN doc_id % 11 <> 0 THEN {_TITLE} END AS title, CASE WHEN doc_id % 3 = 0 THEN 540 ELSE 1080 END AS width FROM documents d"
 
 
@@ -292,7 +292,7 @@ def check_title_fit(spark, d):
     k = F.col("doc_id")
     docs = D.read(spark, d, "documents").select(
         k.cast("string").alias("video_id"), F.lit("1").alias("cand_id"),
-        F.when(k % 11 != 0, F.struct(F.substr(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(1), (10 + k % 50).cast("int")).alias("title"))).alias("hook"),
+        F.when(k % 11 != 0, F.struct(F.get(F.split("text", r"[.!?\n]"), F.lit(0)).alias("title"))).alias("hook"),
         F.when(k % 3 == 0, 540).otherwise(1080).alias("width"))
     return H.check_title_fit(docs.select("video_id", "cand_id", "hook"), docs.select("video_id", "cand_id", "width")).drop("ord")
 

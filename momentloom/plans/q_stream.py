@@ -25,7 +25,7 @@ def _log(spark, d):
 
 @query(f"WITH s AS ({P._STAGED}) SELECT job_id, CASE r WHEN 4 THEN 'render' ELSE 'crew' END AS stage, CASE r WHEN 4 THEN 1.0 ELSE 0.7 END AS progress FROM s")
 def stream_progress(spark, d):
-    out = K.run_available(K.stream_progress(_log(spark, d).where(F.col("seq") % 13 < 4)), "update")
+    out = K.run_available(K.stream_progress(P.daily(_log(spark, d))), "update")
     return out.groupBy("job_id").agg(F.max_by("stage", "batch").alias("stage"), F.max_by("progress", "batch").alias("progress"))
 
 

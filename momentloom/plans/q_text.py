@@ -21,22 +21,23 @@ def clip_transcript(spark, d):
 
 
 _PHRASES = ["Doctors hate it: ", "It was gone wrong. ", "You Won't  Believe ", "damn! ", "", "", ""]
-_HT = "substr(text, 1, CAST(8 + doc_id % 45 AS INT))"
+# Titles are the first sentence of a document, captions its first line.
+_SENT = r"coalesce(string_split_regex(text, '[.!?\n\t]')[1], '')"
+_LINE = r"coalesce(string_split_regex(text, '\n')[1], '')"
 
 
 def _hook_rows(spark, d):
     k = F.col("doc_id")
     head = F.get(F.array(*[F.lit(p) for p in _PHRASES]), (k % 7).cast("int"))
-    title = F.concat(head, F.substr(F.translate("text", "\n\t", "  "), F.lit(1), (8 + k % 45).cast("int")))
-    body = F.substring("text", 1, 120)
+    title = F.concat(head, F.get(F.split("text", r"[.!?\n\t]"), F.lit(0)))
+    body = F.get(F.split("text", r"\n"), F.lit(0))
     caps = F.map_from_arrays(F.array(F.lit("tiktok"), F.lit("reels"), F.lit("shorts")), F.array(
-        body, F.when(k % 4 != 0, body), F.substring("text", 1, 90)))
+        body, F.when(k % 4 != 0, body), body))
     return D.read(spark, d, "documents").select(k.cast("string").alias("video_id"), F.lit("1").alias("cand_id"), title.alias("title"), caps.alias("captions"))
 
 
-@query(r"""WITH h AS (SELECT CAST(doc_id AS VARCHAR) AS video_id, '1' AS cand_id,
-        ['Doctors hate it: ', 'It was gone wrong. ', 'You Won''t  Believe ', 'damn! ', '', '', ''][doc_id % 7 + 1] ||
-        substr(translate(text, chr(10) || chr(9), '  '), 1, CAST(8 + doc_id % 45 AS INT)) AS title, substr(text, 1, 120) AS body, doc_id % 4 <> 0 AS has_reels FROM documents),
+@query(rf"""WITH h AS (SELECT CAST(doc_id AS VARCHAR) AS video_id, '1' AS cand_id,
+        ['Doctors hate it: ', 'It was gone wrong. ', 'You Won''t  Believe ', 'damn! ', '', '', ''][doc_id % 7 + 1] || {_SENT} AS title, {_LINE} AS body, doc_id % 4 <> 0 AS has_reels FROM documents),
     n AS (SELECT *, list_filter(string_split_regex(title, '\s+'), lambda w: w <> '') AS ws FROM h)
     SELECT video_id, cand_id, concat_ws('; ',
         CASE WHEN len(ws) > 8 THEN 'title has ' || len(ws) || ' words, max 8' END,
@@ -45,7 +46,9 @@ def _hook_rows(spark, d):
         CASE WHEN contains(lower(title), 'gone wrong') THEN 'title contains banned phrase ''gone wrong''' END,
         CASE WHEN title LIKE 'You Won''t  Believe%' THEN 'title contains banned phrase "you won''t believe"' END,
         CASE WHEN title LIKE 'damn!%' THEN 'title contains profanity: [''damn'']' END,
-        CASE WHEN NOT has_reels THEN 'reels caption missing or not a string' END) AS violations FROM n""")
+        CASE WHEN length(body) > 150 THEN 'tiktok caption is ' || length(body) || ' chars, max 150' END,
+        CASE WHEN NOT has_reels THEN 'reels caption missing or not a string' WHEN length(body) > 125 THEN 'reels caption is ' || length(body) || ' chars, max 125' END,
+        CASE WHEN length(body) > 100 THEN 'shorts caption is ' || length(body) || ' chars, max 100' END) AS violations FROM n""")
 def hook_violations(spark, d):
     return I.hook_violations(_hook_rows(spark, d)).withColumn("violations", F.array_join("violations", "; "))
 
@@ -141,14 +144,13 @@ def karaoke_timing(spark, d):
 
 
 @query("""SELECT event_id, CASE event_type WHEN 'click' THEN CASE WHEN event_id % 3 = 0 THEN 'Scout is scanning…' WHEN event_id % 3 = 1
-        THEN 'Scout found 1 moment' ELSE 'Scout found ' || json_extract(props, '$.k') || ' moments' END
+        OR json_extract(props, '$.k')::INT = 1 THEN 'Scout found 1 moment' ELSE 'Scout found ' || json_extract(props, '$.k') || ' moments' END
     WHEN 'view' THEN 'Critic is scoring candidates' WHEN 'purchase' THEN 'Trimming cuts' WHEN 'signup' THEN 'Quality checks' ELSE 'Orchestrator' END AS line
-    FROM events WHERE event_type <> 'click' OR event_id % 3 <> 2 OR json_extract(props, '$.k')::INT <> 1""")
+    FROM events""")
 def activity_feed(spark, d):
     e = D.read(spark, d, "events")
     k = F.get_json_object("props", "$.k")
     n = F.col("event_id") % 3
-    e = e.where((F.col("event_type") != "click") | (n != 2) | (k.cast("int") != 1))
     payload = F.when(n == 0, F.lit('{"note":"x"}')).when(n == 1, F.lit('{"count":1}')).otherwise(F.concat(F.lit('{"count":'), k, F.lit("}")))
     agents = e.select("event_id", D.agent_of(F.col("event_type")).alias("agent"), F.when(n == 0, "scan").otherwise("found").alias("action"), payload.alias("payload"))
     return I.activity_feed(agents).select("event_id", "line")

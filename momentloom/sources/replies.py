@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from momentloom.functions.expr import strip
+from momentloom.functions.expr import held, strip
 
 # JSON type name -> how the variant type reads.
 TYPES = {
@@ -56,8 +56,8 @@ def parse_model_replies(
 
     The valid text travels as a string, so the choice is a partial aggregate, not a sort.
     """
-    found = replies.withColumn("_text", json_text(F.col("raw")))
-    v = F.try_parse_json("_text")
+    found = held(held(replies, _text=json_text(F.col("raw"))), _v=F.try_parse_json("_text"))
+    v = F.col("_v")
     ok = (F.col("attempt") <= attempts) & is_valid(v, required, types)
     return found.groupBy(*keys).agg(
         F.min_by("_text", F.when(ok, F.col("attempt"))).alias("reply"),
@@ -89,9 +89,12 @@ def claims_at(v: Column, path: str) -> Column:
     return F.when(has_type(v, path, "array") & F.forall(entries, fine), F.transform(entries, build))
 
 
-def claim_of(text: Column) -> Column:
-    """One claim from its JSON text."""
-    v = F.try_parse_json(text)
+def read_claims(texts: Column) -> Column:
+    """Claims from an array of JSON texts; each text is parsed once."""
+    return F.transform(F.transform(texts, F.try_parse_json), _claim)
+
+
+def _claim(v: Column) -> Column:
     vt = F.coalesce(type_at(v, "$.value"), F.lit("VOID"))
     return F.struct(
         F.try_variant_get(v, "$.kind", "string").alias("kind"), F.try_variant_get(v, "$.t", "double").alias("t"),

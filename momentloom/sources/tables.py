@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momentloom.functions.expr import half_up, strip
+from momentloom.functions.expr import half_up, held, strip
 from momentloom.schemas import AGENT_EVENTS, BOX, RUN_RESULT, Signals
-from momentloom.sources.replies import claim_of
+from momentloom.sources.replies import read_claims
 
 # Keys a signal document must have, and its version.
 INDEX_KEYS = [
@@ -32,9 +32,9 @@ INDEX_DDL = (
 
 def parse_signal_index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Good documents as ``video_id, doc`` and rejected ones as ``video_id, reason``, from ``video_id, raw``."""
-    keys = F.json_object_keys("raw")
+    docs = held(docs, keys=F.json_object_keys("raw"), parsed=F.from_json("raw", INDEX_DDL))
+    keys, parsed = F.col("keys"), F.col("parsed")
     missing = F.array_sort(F.array_except(F.array(*[F.lit(k) for k in INDEX_KEYS]), keys))
-    parsed = F.from_json("raw", INDEX_DDL)
     reason = (
         F.when(keys.isNull(), "not a JSON object")
         .when(F.size(missing) > 0, F.concat(F.lit("signals JSON missing keys: ['"), F.array_join(missing, "', '"), F.lit("']")))
@@ -97,8 +97,7 @@ def parse_agent_events(lines: DataFrame, mode: str = "tolerant") -> DataFrame:
     ``tolerant`` drops lines that do not parse; ``strict`` keeps them with ``ok = false`` so that the
     caller can fail the job.
     """
-    rec = F.from_json("value", AGENT_EVENTS)
-    full = lines.where(F.trim("value") != "").select("job_id", rec.alias("r"))
+    full = held(lines.where(F.trim("value") != ""), r=F.from_json("value", AGENT_EVENTS))
     ok = F.col("r.agent").isNotNull() & F.col("r.action").isNotNull()
     out = full.select(
         "job_id", "r.agent", "r.action", "r.payload", F.coalesce("r.tokens_in", F.lit(0)).cast("bigint").alias("tokens_in"),
@@ -117,16 +116,15 @@ def read_agent_events(spark: SparkSession, path: str, mode: str = "tolerant") ->
 
 def parse_run_results(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Good runs as ``job_id, run`` and failures as ``job_id, status, error``, from ``job_id, raw``."""
-    v = F.try_parse_json("raw")
-    run = F.from_json("raw", RUN_RESULT)
-    version = F.get_json_object("raw", "$.version")
-    has_error = F.array_contains(F.json_object_keys("raw"), "error")
+    docs = held(docs, readable=F.try_parse_json("raw").isNotNull(), run=F.from_json("raw", RUN_RESULT), version=F.get_json_object("raw", "$.version"),
+                has_error=F.array_contains(F.json_object_keys("raw"), "error"))
+    run, version, has_error = F.col("run"), F.col("version"), F.col("has_error")
     shape = (
         run["pipeline_version"].isNotNull() & run["source"].isNotNull() & run["agent_totals"].isNotNull() & run["timings_s"].isNotNull()
         & run["clips"].isNotNull() & F.forall(run["clips"], lambda c: c["index"].isNotNull() & c["cut"].isNotNull() & c["candidate"].isNotNull())
     )
     error = (
-        F.when(v.isNull(), "run.json is not valid JSON")
+        F.when(~F.col("readable"), "run.json is not valid JSON")
         .when(~version.eqNullSafe(F.lit("1")), F.concat(F.lit("run.json version mismatch: expected 1, got "), F.coalesce(version, F.lit("undefined"))))
         .when(has_error, F.coalesce(F.get_json_object("raw", "$.error.message"), F.lit("run.json error-shape failed validation")))
         .when(~F.coalesce(shape, F.lit(False)), "run.json failed schema validation")
@@ -159,12 +157,12 @@ def clip_rows(runs: DataFrame) -> DataFrame:
 
 def with_claims(candidate: Column) -> Column:
     """A run's candidate with its claims read from JSON text."""
-    return F.when(candidate.isNotNull(), candidate.withField("evidence", F.transform(candidate["evidence"], claim_of)))
+    return F.when(candidate.isNotNull(), candidate.withField("evidence", read_claims(candidate["evidence"])))
 
 
 def scored_claims(score: Column) -> Column:
     """A run's score with the claims of every component read from JSON text."""
-    parts = F.transform_values(score["components"], lambda k, p: F.struct(p.score.alias("score"), F.transform(p.evidence, claim_of).alias("evidence")))
+    parts = F.transform_values(score["components"], lambda k, p: F.struct(p.score.alias("score"), read_claims(p.evidence).alias("evidence")))
     return F.when(score.isNotNull(), F.struct(score["total"].alias("total"), score["verdict"].alias("verdict"), parts.alias("components")))
 
 
