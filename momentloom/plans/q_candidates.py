@@ -107,18 +107,34 @@ def clamp_windows(spark, d):
     return C.clamp_windows(m).select("doc_id", "part", "t0", "t1")
 
 
-@query()
+_UNION = dict(u="""SELECT video_id, 0 AS rule_rank, surge::DOUBLE AS o1, 0::BIGINT AS o2, part, t0, t1, 2 AS n_evidence FROM ra
+                     UNION ALL SELECT video_id, 1, e0, CASE label WHEN 'laughter' THEN 0 ELSE 1099511627776 END + pos, part, t0, t1, 1 FROM rb""")
+_RANKED = with_("surges", "peaks", "sevents", "talk", **_RULE_A, **_RULE_B, **_UNION)
+
+
+# The greedy pass as a recursion over the candidates of each timeline.
+_KEPT = "STRUCT(rule_rank INT, o1 DOUBLE, o2 BIGINT, part INT, t0 DOUBLE, t1 DOUBLE, ne INT, src INT)"
+_INTER = "(least(y.t1, x.t1) - greatest(y.t0, x.t0))"
+_FOLD = dict(
+    num="SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY rule_rank, o1, o2, part) AS n FROM u",
+    fold=f"""SELECT DISTINCT video_id, 0::BIGINT AS n, []::{_KEPT}[] AS kept FROM num UNION ALL
+        SELECT video_id, n, CASE WHEN hit IS NULL THEN list_append(kept, c) WHEN c.ne > kept[hit].ne THEN list_concat(list_concat(kept[1:hit - 1],
+            [struct_pack(rule_rank := kept[hit].rule_rank, o1 := kept[hit].o1, o2 := kept[hit].o2, part := kept[hit].part, t0 := c.t0, t1 := c.t1, ne := c.ne, src := c.src)::{_KEPT}]), kept[hit + 1:]) ELSE kept END
+        FROM (SELECT f.video_id, x.n, f.kept, struct_pack(rule_rank := x.rule_rank, o1 := x.o1, o2 := x.o2, part := x.part, t0 := x.t0, t1 := x.t1, ne := x.n_evidence, src := x.rule_rank)::{_KEPT} AS c,
+                     nullif(list_position(list_transform(f.kept, lambda y: {_INTER} > 0 AND {_INTER} / ((y.t1 - y.t0) + (x.t1 - x.t0) - {_INTER}) > 0.5), true), 0) AS hit
+              FROM fold f JOIN num x ON x.video_id = f.video_id AND x.n = f.n + 1)""",
+    kept="SELECT video_id, unnest(arg_max(kept, n)) AS k FROM fold GROUP BY 1")
+_SOURCES = "['rule_a_energy_rate', 'rule_b_laughter', 'rule_c_scene_pitch'][k.src + 1]"
+
+
+@query(with_("surges", "peaks", "sevents", "talk", **_RULE_A, **_RULE_B, **_UNION, **_FOLD) + f"""SELECT video_id, k.rule_rank, k.o1, k.o2, k.part, k.t0, k.t1,
+    {_SOURCES} AS source, k.ne AS n_evidence FROM kept""")
 def dedupe_windows(spark, d):
     sig = D.tick_signals(spark, d, ("surge", "speech"), False)
     out = C.dedupe_windows(rule_a(sig).unionByName(rule_b(sig)), width=WIDTH)
     return out.select("video_id", "rule_rank", "o1", "o2", "part", "t0", "t1", "source", F.size("evidence").alias("n_evidence"))
 
 
-_RANKED = with_("surges", "peaks", "sevents", "talk", **_RULE_A, **_RULE_B,
-                u="""SELECT video_id, 0 AS rule_rank, surge::DOUBLE AS o1, 0::BIGINT AS o2, part, t0, t1, 2 AS n_evidence FROM ra
-                     UNION ALL SELECT video_id, 1, e0, CASE label WHEN 'laughter' THEN 0 ELSE 1099511627776 END + pos, part, t0, t1, 1 FROM rb""")
-
-
 @query(_RANKED + """SELECT video_id, rn - 1 AS place, rule_rank, t0, t1, n_evidence FROM (SELECT *, row_number() OVER (
     PARTITION BY video_id ORDER BY n_evidence DESC, t0, rule_rank, o1, o2, part) AS rn FROM u) WHERE rn <= 20""")
 def top_candidates(spark, d):
@@ -133,7 +149,12 @@ def _proposed(spark, d):
     return sig, D.settle(C.propose(sig, RULES, width=WIDTH))
 
 
-@query()
+_UNION3 = dict(u=_UNION["u"] + " UNION ALL SELECT video_id, 2, pos::DOUBLE, 0::BIGINT, part, t0, t1, 1 FROM rc")
+
+
+@query(with_("surges", "peaks", "sevents", "talk", "scenes", "pitch", **_RULE_A, **_RULE_B, **_RULE_C, **_UNION3, **_FOLD) + f"""
+    SELECT video_id, video_id || '-' || lpad(CAST(rn - 1 AS VARCHAR), 3, '0') AS cand_id, rn - 1 AS pos, k.t0, k.t1, {_SOURCES} AS source, k.ne AS n_evidence FROM (
+        SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY k.ne DESC, k.t0, k.rule_rank, k.o1, k.o2, k.part) AS rn FROM kept) WHERE rn <= 20""")
 def propose(spark, d):
     _, out = _proposed(spark, d)
     return out.select("video_id", "cand_id", "pos", "t0", "t1", "source", F.size("evidence").alias("n_evidence"))

@@ -161,7 +161,12 @@ def alignment_error(spark, d):
     return series.alignment_error(w, aligned, D.media(w)).select("video_id", "pos", r6("align_err_ms"))
 
 
-@query()
+@query(with_("words", ch="""SELECT video_id, 0::BIGINT AS p0, (SELECT w.t0 FROM words w WHERE w.video_id = m.video_id AND w.pos = 0) AS b0 FROM (SELECT DISTINCT video_id FROM words) m
+        UNION ALL SELECT video_id, nx.pos, nx.t0 FROM (SELECT c.video_id, (SELECT arg_min(struct_pack(pos := w.pos, t0 := w.t0), w.pos) FROM words w
+            WHERE w.video_id = c.video_id AND w.pos > c.p0 AND w.t1 - c.b0 > 60) AS nx FROM ch c) WHERE nx IS NOT NULL""",
+             nb="SELECT *, lead(p0) OVER (PARTITION BY video_id ORDER BY p0) AS p1 FROM ch") + """
+    SELECT b.video_id, b.p0 AS first_pos, count(*) AS n_words, greatest(0, b.b0 - 1) AS slice_t0, max(w.t1) + 1 AS slice_t1
+    FROM nb b JOIN words w ON w.video_id = b.video_id AND w.pos >= b.p0 AND w.pos < coalesce(b.p1, 1000000000) GROUP BY b.video_id, b.p0, b.b0""")
 def span_batches(spark, d):
     return series.span_batches(D.words(spark, d), 60.0, 1.0)
 
