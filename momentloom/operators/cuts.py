@@ -33,6 +33,7 @@ def ask(df: DataFrame, roles: dict[str, Column], edges: list[Edge], ids=IDS, wid
     The row itself travels with its first role only and is put together again by key.
     """
     ids = list(ids)
+    df = settle(df, "asked")
     row = F.struct(*[c for c in df.columns if c not in ids])
     points = [
         F.struct(F.lit(r).alias("role"), t.cast("double").alias("t"), (row if i == 0 else F.lit(None)).alias("row"))
@@ -72,7 +73,7 @@ def edges_of(sig: Signals, width: float = 64.0) -> dict[str, Edge]:
 def sentence_start(points: DataFrame, sig: Signals, lead: float = SENTENCE_LEAD, width: float = 64.0) -> DataFrame:
     """Start of the sentence holding ``t``, at most ``lead`` back; null without an earlier sentence end."""
     e = edges_of(sig, width)
-    out = lookup(points, [e["sentence_before"]], width=width)
+    out = settle(lookup(points, [e["sentence_before"]], width=width), "ends")
     out = lookup(out, [e["start_after"]], t="sentence_before", width=width)
     back = F.col("t") - F.col("start_after")
     return out.select(*points.columns, F.when((back >= 0) & (back <= lead), F.col("start_after")).alias("sentence_start"))
@@ -151,7 +152,7 @@ def strip_fillers(opens: DataFrame, sig: Signals, t: str = "open", scan: float =
 
     first = _first_word(opens.select(*IDS, t), words, t, scan, list(IDS), width)
     first = first.select(*IDS, F.col("w.pos").alias("pos"))
-    leading = first.join(nexts.select("video_id", "pos", "next", "t1"), ["video_id", "pos"])
+    leading = settle(first.join(nexts.select("video_id", "pos", "next", "t1"), ["video_id", "pos"]), "leading")
     jump = lookup(leading, [Edge("final", final, "next", "next", "after")], t="next", width=width)
     jump = jump.join(tail, "video_id").select(
         *IDS, F.when(F.col("next").isNull(), F.col("t1")).otherwise(F.coalesce("final", "tail")).alias("_jump"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from momentloom.functions.expr import fixed, squash
+from momentloom.operators.stored import settle
 from momentloom.operators.timeline import Edge, interval_pairs, lookup, stab_pairs
 from momentloom.schemas import Signals
 
@@ -73,6 +74,7 @@ def validate_claims(
     pairs = stab_pairs(points, spread, "t", "x0", "x1", match, keys=keys, width=width)
     first = F.min(F.when(s0.isNotNull(), F.struct("m_pos", "s0", "s1")))
     hit = pairs.select(*base, "m_pos", "s0", "s1").groupBy(*base).agg(first.alias("_hit"))
+    hit = settle(hit, "hits")
 
     val = F.struct("m_pos", "s0", "s1", "sigma")
     near = lookup(

@@ -201,6 +201,7 @@ def gap_islands(df: DataFrame, t0: str, t1: str, gap: float, name: str = "island
     """
     df = settle(df, "rows")
     heads = df.groupBy("video_id", F.col(t0).alias("_h")).agg(F.max(t1).alias("_reach"))
+    heads = settle(heads, "heads")
     heads = lookup(heads, [Edge("_seen", heads, "_h", "_reach", strict=True, keep="max")], t="_h", width=width)
     breaks = heads.where(F.col("_seen").isNull() | (F.col("_h") - F.col("_seen") > gap)).select("video_id", "_h")
     breaks = settle(breaks, "breaks")

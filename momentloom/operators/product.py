@@ -129,7 +129,7 @@ def stage_progress(events: DataFrame) -> DataFrame:
 
 def eta(progress: DataFrame, status: DataFrame | None = None, keep: int = 6) -> DataFrame:
     """Seconds left per job from its last rising samples ``job_id, ts, p`` (``ts`` in seconds)."""
-    once = progress.groupBy("job_id", "ts").agg(F.max("p").alias("p"))
+    once = settle(progress.groupBy("job_id", "ts").agg(F.max("p").alias("p")), "samples")
     rising = running(once, "top", "ts", "p", keep="max", strict=True, keys=("job_id",), width=3600.0)
     rising = rising.where(F.col("top").isNull() | (F.col("p") > F.col("top")))
     w = W.partitionBy("job_id").orderBy(F.desc("ts"))

@@ -6,7 +6,7 @@ buckets, so one very long or very busy timeline is spread over many tasks:
 * interval predicates become an equi join on ``(key, bucket)``; a pair is kept only in
   the first bucket both sides share, so it appears once;
 * as-of lookups scan each ``(key, bucket)`` on its own.  What a bucket inherits from its
-  neighbours comes from a directory with one row per non-empty bucket, never from the rows.
+  neighbours comes from a directory with one row per bucket in use, never from the rows.
 
 Shuffle skew left inside one bucket is for adaptive execution to split.
 """
@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from momentloom.functions.expr import col, interval_iou
+from momentloom.operators.stored import settle
 
 KEY = ("video_id",)
 WIDTH = 64.0
@@ -137,7 +138,8 @@ def lookup(
 ) -> DataFrame:
     """Add to each point the edge values found before / after it, one column per edge.
 
-    All edge kinds are resolved in a single scan of ``(key, bucket)`` groups.
+    All edge kinds are resolved in a single scan of ``(key, bucket)`` groups.  ``points`` is read
+    twice (its buckets, then its rows), so store it first when it is costly.
     """
     keys = list(keys)
     width = width * SCAN
@@ -150,76 +152,50 @@ def lookup(
         [_edge_rows(g, keys, width) for g in _grouped(slots)],
     )
 
-    # Directory: one row per non-empty bucket, with what leaves the bucket on either side.
+    asked = points.select(
+        *keys, F.col(t).cast("double").alias("_t"), F.lit(1).alias("_side"), F.lit(0).cast("bigint").alias("_tie"),
+        bucket(F.col(t).cast("double"), width).alias("_b"), F.struct(*points.columns).alias("_p"),
+    )
+
+    # Directory: one row per bucket that holds an edge or a point, with the sum of its edges.
     order = F.struct("_t", "_side", "_tie")
     aggs = []
     for s, e in slots.items():
         c = F.col(s)
-        seen = F.when(c.isNotNull(), order)
         if e.keep != "nearest":
             aggs.append(_fold(e, c).alias(s))
         elif _is_time(e):
             aggs.append((F.max if e.side == "before" else F.min)(c).alias(s))
         else:
-            aggs.append((F.max_by if e.side == "before" else F.min_by)(c, seen).alias(s))
-    directory = every.groupBy(*keys, "_b").agg(*aggs)
-    fwd = W.partitionBy(*keys).orderBy("_b")
-    rev = W.partitionBy(*keys).orderBy(F.desc("_b"))
-    upto = lambda w: w.rowsBetween(W.unboundedPreceding, W.currentRow)
-    directory = directory.select(
-        *keys, "_b",
-        F.lead("_b").over(fwd).alias("_next"),
-        F.lag("_b").over(fwd).alias("_prev"),
-        *[_fold(e, F.col(s)).over(upto(fwd)).alias(s) for s, e in ahead.items()],
-        *[_fold(e, F.col(s)).over(upto(rev)).alias(s) for s, e in behind.items()],
-    )
-
-    # A bucket inherits one row at its start and one at its end.
-    parts = [every]
-    if ahead:
-        parts.append(
-            directory.where(F.col("_next").isNotNull()).select(
-                *keys, F.explode(F.sequence(F.col("_b") + 1, F.col("_next"))).alias("_b"),
-                F.lit(float("-inf")).alias("_t"), F.lit(0).alias("_side"), F.lit(0).cast("bigint").alias("_tie"), *ahead,
-            )
-        )
-    if behind:
-        parts.append(
-            directory.where(F.col("_prev").isNotNull()).select(
-                *keys, F.explode(F.sequence(F.col("_prev"), F.col("_b") - 1)).alias("_b"),
-                F.lit(float("inf")).alias("_t"), F.lit(2).alias("_side"), F.lit(0).cast("bigint").alias("_tie"), *behind,
-            )
-        )
-    asked = points.select(
-        *keys, F.col(t).cast("double").alias("_t"), F.lit(1).alias("_side"), F.lit(0).cast("bigint").alias("_tie"),
-        bucket(F.col(t).cast("double"), width).alias("_b"), F.struct(*points.columns).alias("_p"),
-    )
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts + [asked])
-
-    up = W.partitionBy(*keys, "_b").orderBy("_t", "_side", "_tie")
-    down = W.partitionBy(*keys, "_b").orderBy(F.desc("_t"), F.desc("_side"), F.desc("_tie"))
-    found = rows.select(
-        *keys, "_b", "_p",
-        *[_fold(e, F.col(s)).over(upto(up)).alias(s) for s, e in ahead.items()],
-        *[_fold(e, F.col(s)).over(upto(down)).alias(s) for s, e in behind.items()],
-    ).where(F.col("_p").isNotNull())
-
-    # Points outside the edges' own extent take the outermost value: one row per key.
-    ends = directory.groupBy(*keys).agg(
-        F.max("_b").alias("_hi"), F.min("_b").alias("_lo"),
-        *[F.max_by(s, "_b").alias(f"{s}_x") for s in ahead],
-        *[F.min_by(s, "_b").alias(f"{s}_x") for s in behind],
-    )
-    found = found.join(ends, keys, "left")
+            aggs.append((F.max_by if e.side == "before" else F.min_by)(c, F.when(c.isNotNull(), order)).alias(s))
+    used = asked.select(*keys, "_b").where(F.col("_b").isNotNull())
+    directory = every.unionByName(used, allowMissingColumns=True).groupBy(*keys, "_b").agg(*aggs)
+
+    # What a bucket inherits from the ones before and after it, as one row at its start and one at its end.
+    fwd = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    rev = W.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)
+    inherited = directory.select(
+        *keys, "_b", *[_fold(e, F.col(s)).over(fwd if e.side == "before" else rev).alias(s) for s, e in slots.items()]
+    ).where(reduce(lambda x, y: x | y, [F.col(s).isNotNull() for s in slots]))
+
+    def at(time: float, side: int, mine: dict) -> Column:
+        kept = [(F.col(s) if s in mine else F.when(F.lit(False), F.col(s))).alias(s) for s in slots]
+        return F.struct(F.lit(time).alias("_t"), F.lit(side).alias("_side"), F.lit(0).cast("bigint").alias("_tie"), *kept)
+
+    fills = ([at(float("-inf"), 0, ahead)] if ahead else []) + ([at(float("inf"), 2, behind)] if behind else [])
+    inherited = inherited.select(*keys, "_b", F.inline(F.array(*fills)))
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [every, inherited, asked])
+
+    up = W.partitionBy(*keys, "_b").orderBy("_t", "_side", "_tie").rowsBetween(W.unboundedPreceding, W.currentRow)
+    down = W.partitionBy(*keys, "_b").orderBy(F.desc("_t"), F.desc("_side"), F.desc("_tie")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = rows.select("_p", *[_fold(e, F.col(s)).over(up if e.side == "before" else down).alias(s) for s, e in slots.items()])
     outs = []
     for s, e in slots.items():
-        outside = (F.col("_b") > F.col("_hi")) if e.side == "before" else (F.col("_b") < F.col("_lo"))
-        v = F.coalesce(F.col(s), F.when(outside, F.col(f"{s}_x")))
         if e.keep == "sum":
-            outs.append(F.coalesce(v, F.lit(0)).alias(e.name))
+            outs.append(F.coalesce(s, F.lit(0)).alias(e.name))
         else:
-            outs.append((v if _plain(e) else v["v"]).alias(e.name))
-    return found.select("_p.*", *outs)
+            outs.append((F.col(s) if _plain(e) else F.col(s)["v"]).alias(e.name))
+    return found.where(F.col("_p").isNotNull()).select("_p.*", *outs)
 
 
 # --- joins of windows with points and spans -----------------------------------------------
@@ -258,7 +234,7 @@ def stab_first(points: DataFrame, spans: DataFrame, width: float = WIDTH, name:
 
 def nearest_span(points: DataFrame, spans: DataFrame, width: float = WIDTH, name: str = "near") -> DataFrame:
     """Closest span as ``struct(dist, pos, s0, s1)``: 0 inside, else the nearer edge; list order breaks ties."""
-    inside = stab_first(points, spans.select("video_id", "pos", "s0", "s1"), width, "_in")
+    inside = settle(stab_first(points, spans.select("video_id", "pos", "s0", "s1"), width, "_in"), "inside")
     val = F.struct("pos", "s0", "s1")
     both = lookup(
         inside,
