@@ -1,0 +1,25 @@
+"""Global row numbers, gapless from 0, without a global sort in one task."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from momentloom.operators.stored import settle
+
+_BITS = 33  # monotonically_increasing_id keeps the row in its partition below, the partition above
+
+
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with ``row_number`` (from 0) by the order of the columns ``order``; rows equal in all of them are interchangeable.
+
+    Rows are dealt out by range, sorted within partitions and written once; the number of a row is its place in its
+    partition plus the rows of all partitions before. That running sum is over one row per partition of the
+    shuffle, which is also the bound of what is broadcast.
+    """
+    placed = settle(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_place", _BITS)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    row = F.col("_base") + F.col("_place").bitwiseAND(F.lit((1 << _BITS) - 1))
+    return placed.withColumn("_part", part).join(F.broadcast(bases), "_part").withColumn("row_number", row).drop("_part", "_place", "_base")
