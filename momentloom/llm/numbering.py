@@ -11,15 +11,16 @@ _BITS = 33  # monotonically_increasing_id keeps the row in its partition below,
 
 
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """``rows`` with ``row_number`` (from 0) by the order of the columns ``order``; rows equal in all of them are interchangeable.
+    """``row`` (a struct of all columns of ``rows``) and ``row_number`` (from 0) by the order of the columns ``order``.
 
-    Rows are dealt out by range, sorted within partitions and written once; the number of a row is its place in its
-    partition plus the rows of all partitions before. That running sum is over one row per partition of the
-    shuffle, which is also the bound of what is broadcast.
+    Rows equal in all of ``order`` are interchangeable. Rows are dealt out by range, sorted within partitions and
+    written once; the number of a row is its place in its partition plus the rows of all partitions before. That
+    running sum is over one row per partition of the shuffle, which is also the bound of what is broadcast.
     """
-    placed = settle(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()), "numbered")
-    part = F.shiftright("_place", _BITS)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    row = F.col("_base") + F.col("_place").bitwiseAND(F.lit((1 << _BITS) - 1))
-    return placed.withColumn("_part", part).join(F.broadcast(bases), "_part").withColumn("row_number", row).drop("_part", "_place", "_base")
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = settle(dealt.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.monotonically_increasing_id().alias("place")), "numbered")
+    placed = placed.withColumn("part", F.shiftright("place", _BITS))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = placed.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    row = F.col("base") + F.col("place").bitwiseAND(F.lit((1 << _BITS) - 1))
+    return placed.join(F.broadcast(bases), "part").select("row", row.alias("row_number"))

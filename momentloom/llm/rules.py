@@ -42,8 +42,8 @@ def mask(policy: str) -> int:
     return sum(1 << names.index(r) for r in POLICIES[policy])
 
 
-def measured(docs: DataFrame, text: str = "text", window: int = 8) -> DataFrame:
-    """``docs`` with the measurements of its texts under ``_m`` (a struct), other columns untouched.
+def measured(docs: DataFrame, carried: list[str], window: int = 8) -> DataFrame:
+    """``row`` (a struct of the columns ``carried``) and ``m`` (a struct of the measurements) of every row of ``docs``.
 
     ``n_repeat_words`` counts words inside windows of ``window`` words that occur twice or more in the text, the
     first occurrence included. Windows are compared by a 64-bit hash: two of a text's n windows are taken for
@@ -51,32 +51,31 @@ def measured(docs: DataFrame, text: str = "text", window: int = 8) -> DataFrame:
     sorted with their positions, and equal neighbours mark the positions to cover. Time is n log n, memory that
     of the text, and no row meets another. Null text counts as empty: all measurements are 0.
     """
-    t = f"coalesce(cast(`{text}` AS string), '')"
-    own = docs.columns
+    t = "coalesce(cast(text AS string), '')"
     out = docs.select(
-        *[F.col(f"`{c}`") for c in own],
-        F.expr(f"filter(split({t}, '[{BLANKS}]+'), w -> w <> '')".replace("\\", "\\\\")).alias("_w"),
-        F.expr(f"filter(split({t}, '\n'), l -> l rlike '[^{BLANKS}]')".replace("\\", "\\\\")).alias("_l"),
-        F.expr(f"char_length(translate({t}, ' \t\n\x0b\x0c\r', ''))").alias("_chars"),
-        F.expr(f"char_length({t}) - char_length(translate({t}, '{SYMBOLS}', ''))").alias("_symbols"),
-        F.expr(f"char_length({t}) - char_length(translate({t}, '!', ''))").alias("_bangs"),
+        F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"),
+        F.expr(f"filter(split({t}, '[{BLANKS}]+'), w -> w <> '')".replace("\\", "\\\\")).alias("words"),
+        F.expr(f"filter(split({t}, '\n'), l -> l rlike '[^{BLANKS}]')".replace("\\", "\\\\")).alias("lines"),
+        F.expr(f"char_length(translate({t}, ' \t\n\x0b\x0c\r', ''))").alias("chars"),
+        F.expr(f"char_length({t}) - char_length(translate({t}, '{SYMBOLS}', ''))").alias("symbols"),
+        F.expr(f"char_length({t}) - char_length(translate({t}, '!', ''))").alias("bangs"),
     )
-    kept = [F.col(f"`{c}`") for c in own] + [F.col(c) for c in ("_chars", "_symbols", "_bangs")]
-    lines = [F.size("_l").alias("_lines"), (F.size("_l") - F.size(F.array_distinct("_l"))).alias("_again")]
-    out = out.select(*kept, *lines, F.size("_w").alias("_n"), F.expr(
-        f"CASE WHEN size(_w) > {window} THEN transform(sequence(1, size(_w) - {window - 1}), i -> xxhash64(slice(_w, i, {window}))) END").alias("_h"))
-    kept += [F.col(c) for c in ("_lines", "_again", "_n")]
-    out = out.select(*kept, F.expr(
-        "CASE WHEN size(array_distinct(_h)) < size(_h) THEN array_sort(transform(_h, (h, i) -> struct(h AS h, i AS i))) END").alias("_s"))
+    out = out.select(
+        "row", "chars", "symbols", "bangs", F.size("words").alias("n"), F.size("lines").alias("n_lines"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).alias("again"),
+        F.expr(f"CASE WHEN size(words) > {window} THEN transform(sequence(1, size(words) - {window - 1}), i -> xxhash64(slice(words, i, {window}))) END").alias("hashes"))
+    out = out.withColumn("sorted", F.expr(
+        "CASE WHEN size(array_distinct(hashes)) < size(hashes) THEN array_sort(transform(hashes, (h, i) -> struct(h AS h, i AS i))) END")).drop("hashes")
     covered = f"""
         aggregate(
-            array_sort(transform(filter(_s, (x, k) -> coalesce(x.h = get(_s, k - 1).h, false) OR coalesce(x.h = get(_s, k + 1).h, false)), x -> x.i)),
+            array_sort(transform(
+                filter(sorted, (x, k) -> coalesce(x.h = get(sorted, k - 1).h, false) OR coalesce(x.h = get(sorted, k + 1).h, false)), x -> x.i)),
             struct(0L AS n, 0 AS upto),
             (a, i) -> struct(a.n + (i + {window} - greatest(a.upto, i)) AS n, i + {window} AS upto),
             a -> a.n)"""
-    long = {"n_words": "_n", "word_chars": "_chars", "n_symbols": "_symbols", "n_dup_lines": "_again", "n_lines": "_lines", "n_exclamations": "_bangs"}
-    fields = [F.col(v).cast("long").alias(k) for k, v in long.items()]
-    return out.select(*[F.col(f"`{c}`") for c in own], F.struct(*fields, F.coalesce(F.expr(covered), F.lit(0)).cast("long").alias("n_repeat_words")).alias("_m"))
+    named = {"n_words": "n", "word_chars": "chars", "n_symbols": "symbols", "n_dup_lines": "again", "n_lines": "n_lines", "n_exclamations": "bangs"}
+    fields = [F.col(v).cast("long").alias(k) for k, v in named.items()]
+    return out.select("row", F.struct(*fields, F.coalesce(F.expr(covered), F.lit(0)).cast("long").alias("n_repeat_words")).alias("m"))
 
 
 def failures(m: str = "") -> Column:
@@ -93,7 +92,7 @@ def ledger(docs: DataFrame) -> DataFrame:
 
     Repeated rows and null ids are kept; other columns are dropped, whatever their names.
     """
-    m = measured(docs.select("doc_id", "text")).select("doc_id", *[F.col(f"_m.{c}").alias(c) for c in MEASURES])
+    m = measured(docs, ["doc_id"]).select("row.doc_id", *[F.col(f"m.{c}").alias(c) for c in MEASURES])
     return m.withColumn("failures", failures())
 
 
@@ -110,9 +109,8 @@ def keep(docs: DataFrame, policy: str) -> DataFrame:
     make each of them anew for every rule.
     """
     rejecting = F.lit(mask(policy) | mask("base")).cast("long")
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    told = measured(docs).select(*own, F.explode(F.array(failures("_m"))).alias("_failures"))
-    return told.where(F.col("_failures").bitwiseAND(rejecting) == 0).select(*own)
+    told = measured(docs, docs.columns).select("row", F.explode(F.array(failures("m"))).alias("bits"))
+    return told.where(F.col("bits").bitwiseAND(rejecting) == 0).select("row.*")
 
 
 def ablations(ledger_rows: DataFrame, policies: tuple[str, ...] = tuple(POLICIES)) -> DataFrame:

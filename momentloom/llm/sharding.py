@@ -54,10 +54,11 @@ def shard(rows: DataFrame, order: list[str], shards: int, key: int = 0) -> DataF
 
     ``order`` fixes the row numbers and thereby the shuffle: the same rows, order and key give the same places on any
     cluster. Nulls in ``order`` come first; rows equal in it are interchangeable, so repeated rows take different
-    slots. An empty table gives no rows. Pass narrow rows: they are shuffled and written once; texts can be
+    slots. An empty table gives no rows; columns named
+    ``shard`` or ``slot`` are replaced. Pass narrow rows: they are shuffled and written once; texts can be
     joined to the places later, or read shard by shard.
     """
-    held = numbered(rows, order)
+    held = numbered(rows.drop("shard", "slot"), order)
     n = held.count()
-    return held.withColumn("_p", permuted(F.col("row_number"), n, key)).withColumns(
-        {"shard": F.pmod(F.col("_p"), F.lit(shards)).cast("int"), "slot": F.expr(f"_p div {shards}")}).drop("_p", "row_number")
+    place = held.select("row", permuted(F.col("row_number"), n, key).alias("place"))
+    return place.select("row.*", F.pmod("place", F.lit(shards)).cast("int").alias("shard"), F.expr(f"place div {shards}").alias("slot"))
