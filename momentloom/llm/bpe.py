@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from momentloom.llm.memo import MEMO_LIMIT, Memo, cut_byte_level, is_loose, slices
+from momentloom.llm.memo import WORD_LIMIT, Memo, cut_byte_level, is_loose, packed, slices
 
 CODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _NONE = np.int64(2**62)
@@ -169,20 +169,20 @@ class Coder:
         import regex
 
         self.ranks, self.split = Ranks(read_ranks(path)), regex.compile(pattern).findall
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
         self.memo = Memo(cut_byte_level, self._piece, is_loose)
         self.bytes = [self.ranks.token.get(i, b"") for i in range(self.ranks.size)]
 
-    def _piece(self, piece: str) -> list[int]:
-        return [i for w in self.split(piece) for i in (self.words.get(w) or self._learn([w])[w])]
+    def _piece(self, piece: str) -> bytes:
+        return b"".join([self.words.get(w) or self._learn([w])[w] for w in self.split(piece)])
 
-    def _learn(self, words: list[str]) -> dict[str, list[int]]:
-        self.words.update(zip(words, merge_words([w.encode() for w in words], self.ranks), strict=True))
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        self.words.update(zip(words, map(packed, merge_words([w.encode() for w in words], self.ranks)), strict=True))
         return self.words
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.words) > MEMO_LIMIT // 8:
+        if len(self.words) > WORD_LIMIT:
             self.words = {}
         memo, new = self.memo, set()
         for t in texts:

@@ -15,6 +15,9 @@ from collections.abc import Callable, Iterable
 #: Pieces that a worker remembers at most; about 200 bytes each. The half not met lately is forgotten when full.
 MEMO_LIMIT = 800_000
 
+#: Distinct words that a worker remembers besides; they occur in several pieces, with and without punctuation.
+WORD_LIMIT = 400_000
+
 #: Pieces with characters from here on take the library's whole chain, lest Unicode versions differ.
 PLAIN_BELOW = "\u0130"
 
@@ -47,13 +50,18 @@ def cut_loose(text: str) -> list[str]:
     return _BEFORE_SPACE.split(text)
 
 
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return array("I", ids).tobytes()
+
+
 class Memo(dict):
     """Ids of pieces as little-endian unsigned 32-bit integers, made once by ``encode`` and remembered.
 
     ``cut`` gives the pieces of a text. Where ``loose`` holds for a piece, its text is cut by ``cut_loose`` instead.
     """
 
-    def __init__(self, cut: Callable[[str], list[str]], encode: Callable[[str], list[int]],
+    def __init__(self, cut: Callable[[str], list[str]], encode: Callable[[str], bytes],
                  loose: Callable[[str], bool] | None = None, limit: int = MEMO_LIMIT):
         super().__init__()
         self.cut, self.encode, self.loose, self.limit, self.older = cut, encode, loose, limit, {}
@@ -61,7 +69,7 @@ class Memo(dict):
     def __missing__(self, piece: str) -> bytes | None:
         out = self.older.get(piece)
         if out is None and not (self.loose and self.loose(piece)):
-            out = array("I", self.encode(piece)).tobytes()
+            out = self.encode(piece)
         self[piece] = out
         return out
 
@@ -73,7 +81,7 @@ class Memo(dict):
         try:
             return b"".join(map(self.__getitem__, self.cut(text)))
         except TypeError:  # a loose piece has no ids of its own
-            return b"".join((self[p] if not self.loose(p) else array("I", self.encode(p)).tobytes()) for p in cut_loose(text) if p)
+            return b"".join((self[p] if not self.loose(p) else self.encode(p)) for p in cut_loose(text) if p)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -100,19 +108,18 @@ class _Library:
         self.model, self.lower = self.whole.model, lower
         self.words, self.letters, self.known = regex.compile(pattern).findall, _byte_letters(), {}
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
         shown = word.encode().decode("latin-1").translate(self.letters)
-        out = self.known[word] = [t.id for t in self.model.tokenize(shown)]
+        out = self.known[word] = packed([t.id for t in self.model.tokenize(shown)])
         return out
 
-    def __call__(self, piece: str) -> list[int]:
+    def __call__(self, piece: str) -> bytes:
         if not piece.isascii() and (max(piece) >= PLAIN_BELOW or self.lower and not unicodedata.is_normalized("NFC", piece)):
-            return self.whole.encode(piece, add_special_tokens=False).ids
-        if len(self.known) > MEMO_LIMIT // 8:
+            return packed(self.whole.encode(piece, add_special_tokens=False).ids)
+        if len(self.known) > WORD_LIMIT:
             self.known.clear()
-        found = self.words(piece.lower() if self.lower else piece)
-        ids = [self.known.get(w) or self._word(w) for w in found]
-        return ids[0] if len(ids) == 1 else [i for x in ids for i in x]
+        get = self.known.get
+        return b"".join([get(w) or self._word(w) for w in self.words(piece.lower() if self.lower else piece)])
 
 
 #: The split patterns of the two vocabularies.
