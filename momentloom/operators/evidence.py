@@ -48,8 +48,11 @@ def validate_claims(
     """Add ``resolved`` and ``reason`` to claims ``video_id, w0, w1, kind, t, value_num, value_str, ...``.
 
     All measured kinds share one table keyed by ``(video_id, kind)``: one containment join and one
-    nearest lookup serve every kind.  Rows must be distinct (carry an id column).
+    nearest lookup serve every kind.  A claim is rejected unless its rule holds: a null time, window bound, value
+    or measurement never resolves.  Identical claims are judged once and all come back.
     """
+    own = claims.columns
+    claims = claims.groupBy(*own).agg(F.count("*").alias("_times"))
     base = claims.columns
     keys = ("video_id", "kind")
     quotes = claims.where(F.col("kind") == "quote")
@@ -85,10 +88,10 @@ def validate_claims(
     cand = lambda c, d: F.when(c.isNotNull(), F.struct(d.alias("d"), c.m_pos.alias("pos"), c.s0.alias("s0"), c.s1.alias("s1"), c.sigma.alias("sigma")))
     near = near.withColumn("_n", F.array_min(F.array_compact(F.array(cand(l, t - l.s1), cand(r, r.s0 - t)))))
 
-    txt = lambda c: c.cast("string")
+    txt = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
     n, h = F.col("_n"), F.col("_hit")
     lit, cat = F.lit, F.concat
-    outside = (t < F.col("w0") - slack) | (t > F.col("w1") + slack)
+    outside = ~F.coalesce((t >= F.col("w0") - slack) & (t <= F.col("w1") + slack), lit(False))
     out_reason = cat(lit("outside window ["), txt(F.col("w0")), lit(", "), txt(F.col("w1")), lit(f"] (+/-{slack}s): t="), txt(t))
     k = F.col("kind")
     span_of = lambda s: cat(lit("["), txt(s.s0), lit(","), txt(s.s1), lit("]"))
@@ -108,6 +111,8 @@ def validate_claims(
         h.s1 - h.s0 < scene_len,
         cat(lit("scene at t="), txt(t), lit(" is only "), fixed(h.s1 - h.s0, 1), lit(f"s, below {scene_len}s minimum")))
     failed = h.isNull()
+    holds = (~outside & k.isin(*POINT_KINDS) & ~failed & ((k != "energy_peak") | F.col("value_num").isNotNull())
+             & ((k != "scene_stable") | (h.s1 - h.s0 >= scene_len)))
     reason = (
         F.when(outside, out_reason)
         .when(~k.isin(*POINT_KINDS) | k.isNull(), "unknown kind")
@@ -118,7 +123,7 @@ def validate_claims(
         .when(k == "silence", F.when(failed, quiet_reason))
         .otherwise(scene_reason)
     )
-    measured = near.select(*base, reason.alias("reason"))
+    measured = near.select(*base, F.coalesce(holds, lit(False)).alias("resolved"), reason.alias("reason"))
 
     said = quotes.withColumn("q1", t + F.length("value_str") / QUOTE_RATE).withColumn("q0", t - QUOTE_LEAD)
     word = "struct<w_pos:int,w_text:string>"
@@ -133,15 +138,18 @@ def validate_claims(
     needle = squash("value_str")
     value_str = F.col("value_str")
     double_quoted = value_str.contains("'") & ~value_str.contains('"')
-    shown = F.when(double_quoted, cat(lit('"'), value_str, lit('"'))).otherwise(
-        cat(lit("'"), F.regexp_replace(value_str, "'", r"\\\\'"), lit("'")))
-    quote_reason = cat(lit("quote "), shown, lit(" not found in transcript t=["), fixed("q0", 1), lit(","), fixed("q1", 1), lit("]"))
+    slashed = F.replace(value_str, lit("\\"), lit("\\\\"))
+    shown = F.when(double_quoted, cat(lit('"'), slashed, lit('"'))).otherwise(cat(lit("'"), F.replace(slashed, lit("'"), lit("\\'")), lit("'")))
+    edge = lambda c: F.coalesce(fixed(c, 1), lit("null"))
+    quote_reason = cat(lit("quote "), shown, lit(" not found in transcript t=["), edge("q0"), lit(","), edge("q1"), lit("]"))
     found = (needle != "") & F.coalesce(squash(F.coalesce("_text", lit(""))).contains(needle), lit(False))
-    spoken = joined.select(*base, (
+    heard_it = F.coalesce(~outside & value_str.isNotNull() & found, lit(False))
+    spoken = joined.select(*base, heard_it.alias("resolved"), (
         F.when(outside, out_reason).when(value_str.isNull(), "bad value type").when(~found, quote_reason)
     ).alias("reason"))
     every = measured.unionByName(spoken)
-    return every.select(*base, F.col("reason").isNull().alias("resolved"), "reason")
+    told = F.when(~F.col("resolved"), F.coalesce("reason", lit("not resolved"))).alias("reason")
+    return every.select(*own, "resolved", told, F.explode(F.sequence(lit(1).cast("bigint"), "_times")).alias("_copy")).drop("_copy")
 
 
 # Reason classes, by the words each reason starts with.

@@ -74,10 +74,11 @@ def jobs_by_status(jobs: DataFrame) -> DataFrame:
 
 
 def recent_jobs(jobs: DataFrame, users: DataFrame, k: int = RECENT, status: str | None = None) -> DataFrame:
-    """Newest jobs with their owner's email; the cut happens before the join where every job has an owner."""
+    """Newest jobs with their owner's email.  Every job has an owner, so the cut comes first and the join sees ``k`` jobs."""
     rows = jobs if status is None else jobs.where(F.col("status") == status)
     mail = users.select(F.col("id").alias("user_id"), "email")
-    return rows.join(mail, "user_id").select("id", "email", "status", "error", "created_at").orderBy(F.desc("created_at"), F.desc("id")).limit(k)
+    newest = rows.select("id", "user_id", "status", "error", "created_at").orderBy(F.desc("created_at"), F.desc("id")).limit(k)
+    return newest.join(mail, "user_id").select("id", "email", "status", "error", "created_at").orderBy(F.desc("created_at"), F.desc("id"))
 
 
 def recent_failures(jobs: DataFrame, users: DataFrame, k: int = RECENT) -> DataFrame:

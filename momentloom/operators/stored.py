@@ -3,18 +3,28 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_TAKEN: dict[str, list[str]] = {}
+
 
 def scratch(spark: SparkSession, name: str = "table") -> str:
-    """A new folder below the session's checkpoint folder; a temporary one is set only when the session names none."""
+    """A new folder below the session's checkpoint folder, which all executors must share."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{name}-{os.urandom(6).hex()}"
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+    path = f"{base.rstrip('/')}/{name}-{os.urandom(6).hex()}"
+    _TAKEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every folder taken so far in this application; frames that read them are no longer usable."""
+    jvm = spark.sparkContext._jvm
+    for path in _TAKEN.pop(spark.sparkContext.applicationId, []):
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def settle(df: DataFrame, name: str = "table") -> DataFrame:

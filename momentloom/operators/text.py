@@ -225,7 +225,7 @@ def karaoke_timing(lines: DataFrame) -> DataFrame:
     w = W.partitionBy(*IDS, "line_no").orderBy("pos")
     span = F.coalesce(F.lead("t0").over(w), F.col("t1")) - F.col("t0")
     centis = F.greatest(half_even(span * 100), F.lit(0).cast("bigint"))
-    safe = F.regexp_replace("text", r"\\", r"\\\\\\\\")
+    safe = F.replace("text", F.lit("\\"), F.lit("\\\\"))
     safe = F.translate(F.replace(safe, F.lit("\n"), F.lit(" ")), "{}", "()")
     part = F.concat(F.lit("{\\kf"), centis.cast("string"), F.lit("}"), safe)
     timed = lines.select(*IDS, "line_no", "pos", "t0", "t1", part.alias("part"))

@@ -281,13 +281,15 @@ def asof_forward(points, edges, tolerance=None, width: float = WIDTH, name: str
 
 
 def overlap_seconds(windows: DataFrame, spans: DataFrame, width: float = WIDTH, name: str = "seconds") -> DataFrame:
-    """Summed overlap of each window with the spans; 0 without any.  Windows must be distinct rows."""
+    """Summed overlap of each window with the spans; 0 without any.  Windows must be distinct rows; any column may be null."""
     keys = windows.columns
     pairs = overlapping(windows, spans.select("video_id", "s0", "s1"), width)
     sums = pairs.groupBy(*keys).agg(
         F.sum(F.least("t1", "s1") - F.greatest("t0", "s0")).alias(name)
     )
-    return windows.join(sums, keys, "left").withColumn(name, F.coalesce(F.col(name), F.lit(0.0)))
+    sums = sums.withColumnsRenamed({c: f"_of_{c}" for c in keys})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys])
+    return windows.join(sums, same, "left").select(*[windows[c] for c in keys], F.coalesce(F.col(name), F.lit(0.0)).alias(name))
 
 
 def iou_join(left: DataFrame, right: DataFrame, min_iou: float = 0.5, width: float = WIDTH) -> DataFrame:

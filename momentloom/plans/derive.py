@@ -183,14 +183,21 @@ def jobs(spark: SparkSession, d: str) -> DataFrame:
         F.col("o_orderdate").cast("timestamp").alias("created_at"), F.timestamp_seconds(F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + k % 120 * 60).alias("updated_at"))
 
 
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of orders, numbered from 1 within each order (the given numbers repeat); an order has a dozen at most."""
+    from pyspark.sql import Window as W
+
+    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_extendedprice", "l_quantity", "l_returnflag")
+    return read(spark, d, "lineitem").select("l_orderkey", F.row_number().over(order).alias("l_linenumber"), "l_extendedprice", "l_quantity", "l_returnflag")
+
+
 def clips(spark: SparkSession, d: str) -> DataFrame:
-    """Lines as clips; a repeated line number keeps its cheapest line."""
-    li = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-        F.min(F.struct("l_extendedprice", "l_quantity", "l_returnflag")).alias("x"))
+    """Lines as clips."""
+    li = lines(spark, d)
     job, i = F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")
-    dropped = F.col("x.l_returnflag") == "R"
+    dropped = F.col("l_returnflag") == "R"
     return li.select(
-        job.alias("job_id"), F.col("l_linenumber").alias("clip_index"), F.floor(F.col("x.l_quantity")).cast("int").alias("score"),
+        job.alias("job_id"), F.col("l_linenumber").alias("clip_index"), F.floor(F.col("l_quantity")).cast("int").alias("score"),
         F.concat(F.lit("Clip: "), i, F.lit("?")).alias("hook"), F.concat_ws("/", F.lit("u"), job, F.concat(F.lit("clip_"), i, F.lit(".mp4"))).alias("media_key"),
         F.concat_ws("/", F.lit("u"), job, F.concat(F.lit("clip_"), i, F.lit(".jpg"))).alias("thumb_key"),
         F.when(dropped, "dropped").otherwise("ready").alias("status"), F.when(dropped, F.lit("BLACK")).alias("dropped_reason"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from momentloom.operators import product as J
 from momentloom.plans import derive as D
-from momentloom.plans.registry import query, with_
+from momentloom.plans.registry import LINES, query, with_
 
 NOW = datetime(1998, 8, 2, tzinfo=timezone.utc)
 NOW_SQL = "TIMESTAMP '1998-08-02 00:00:00'"
@@ -52,7 +52,7 @@ def agent_totals(spark, d):
 
 
 @query(with_(**SQL) + f"""SELECT (SELECT count(*) FROM usr) AS total_users, (SELECT count(*) FROM usr WHERE created_at >= {NOW_SQL} - INTERVAL 7 DAY) AS signups_7d,
-    (SELECT sum(minutes_balance)::BIGINT FROM usr) AS outstanding_minutes, j.*, (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) AS total_clips,
+    (SELECT sum(minutes_balance)::BIGINT FROM usr) AS outstanding_minutes, j.*, (SELECT count(*) FROM lineitem) AS total_clips,
     (SELECT sum(delta_minutes)::DOUBLE FROM led WHERE delta_minutes > 0) AS minutes_granted, (SELECT -sum(delta_minutes)::DOUBLE FROM led WHERE delta_minutes < 0) AS minutes_spent,
     (SELECT sum(amount_cents)::BIGINT FROM pay) AS revenue_cents, (SELECT count(DISTINCT user_id) FROM pay) AS paying_users
     FROM (SELECT count(*) AS total_jobs, count(*) FILTER (status = 'queued') AS jobs_queued, count(*) FILTER (status = 'processing') AS jobs_processing, count(*) FILTER (status = 'done') AS jobs_done,
@@ -89,8 +89,8 @@ def jobs_per_user(spark, d):
     return J.jobs_per_user(D.jobs(spark, d), 5).select("user_id", "id", "rn")
 
 
-@query("""WITH c AS (SELECT l_orderkey, l_linenumber AS i, min(struct_pack(p := l_extendedprice, q := l_quantity, f := l_returnflag)) AS x FROM lineitem GROUP BY 1, 2),
-    a AS (SELECT l_orderkey, string_agg(i || CASE WHEN x.f = 'R' THEN ':-' ELSE ':u/' || l_orderkey || '/clip_' || i || '.mp4' END, ',' ORDER BY i) AS clips FROM c GROUP BY 1),
+@query(f"""WITH c AS (SELECT l_orderkey, l_linenumber AS i, l_returnflag AS f FROM {LINES}),
+    a AS (SELECT l_orderkey, string_agg(i || CASE WHEN f = 'R' THEN ':-' ELSE ':u/' || l_orderkey || '/clip_' || i || '.mp4' END, ',' ORDER BY i) AS clips FROM c GROUP BY 1),
     e AS (SELECT user_id, string_agg(event_id, ',' ORDER BY ts, event_id) AS events FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20) GROUP BY 1)
     SELECT CAST(o_orderkey AS VARCHAR) AS job_id, a.clips, e.events FROM orders LEFT JOIN a ON a.l_orderkey = o_orderkey LEFT JOIN e ON e.user_id = o_orderkey""")
 def job_status(spark, d):
@@ -210,7 +210,7 @@ def failed_refunds(spark, d):
 
 @query(with_(**SQL) + """SELECT 'users' AS tab, count(*) AS n FROM usr WHERE CAST(id AS BIGINT) % 10 <> 3 UNION ALL SELECT 'jobs', count(*) FROM jobs WHERE CAST(user_id AS BIGINT) % 10 <> 3
     UNION ALL SELECT 'ledger', count(*) FROM led WHERE CAST(user_id AS BIGINT) % 10 <> 3 UNION ALL SELECT 'payments', count(*) FROM pay WHERE CAST(user_id AS BIGINT) % 10 <> 3
-    UNION ALL SELECT 'clips', count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 10 = 3))""")
+    UNION ALL SELECT 'clips', count(*) FROM (SELECT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 10 = 3))""")
 def erase_user(spark, d):
     tables = {"users": D.users(spark, d), "jobs": D.jobs(spark, d), "ledger": ledger(spark, d), "payments": payments(spark, d), "clips": D.clips(spark, d)}
     gone = D.read(spark, d, "customer").where(F.col("c_custkey") % 10 == 3).select(F.col("c_custkey").cast("string").alias("user_id"))

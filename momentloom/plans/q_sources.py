@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from momentloom.operators import text as I
 from momentloom.plans import derive as D
-from momentloom.plans.registry import query
+from momentloom.plans.registry import LINES, query
 from momentloom.sources import tables as A
 
 
@@ -67,8 +67,7 @@ def read_agent_events(spark, d):
 
 
 def _run_docs(spark, d):
-    """One run result per order: its lines are clips; some orders carry an error, another version, or no JSON."""
-    li = D.read(spark, d, "lineitem")
+    """One run result per order: its lines are clips, none for some; some orders carry an error, another version, or no JSON."""
     i, q = F.col("l_linenumber"), F.col("l_quantity")
     claim = F.struct(F.lit("energy_peak").alias("kind"), F.lit(3.5).alias("t"), (q / 10).alias("value"))
     part = lambda s: F.struct(s.cast("int").alias("score"), F.array(claim).alias("evidence"))
@@ -84,26 +83,25 @@ def _run_docs(spark, d):
         F.when(dropped.isNotNull(), F.array(F.struct(F.lit(1).alias("attempt"), F.array(F.lit("BLACK")).alias("codes"), F.lit("render").alias("route"), F.lit("failed").alias("outcome")))).otherwise(
             F.array().cast("array<struct<attempt:int,codes:array<string>,route:string,outcome:string>>")).alias("repairs"),
         dropped.alias("dropped_reason"), F.struct(F.concat(F.lit("m"), i.cast("string")).alias("mp4"), F.concat(F.lit("j"), i.cast("string")).alias("thumb")).alias("paths"))
-    one = li.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_quantity", "l_returnflag")).alias("x")).select(
-        "l_orderkey", "l_linenumber", F.col("x.l_quantity").alias("l_quantity"), F.col("x.l_returnflag").alias("l_returnflag"))
-    per = one.select("l_orderkey", clip.alias("c")).groupBy("l_orderkey").agg(F.collect_list("c").alias("clips"))
+    per = D.lines(spark, d).select("l_orderkey", clip.alias("c")).groupBy("l_orderkey").agg(F.collect_list("c").alias("clips"))
+    clips = F.coalesce("clips", F.array().cast(per.schema["clips"].dataType)).alias("clips")
     k, p = F.col("o_orderkey"), F.col("o_totalprice")
     total = lambda c: F.struct(F.lit(10).alias("tokens_in"), F.lit(5).alias("tokens_out"), c.alias("cost_cents"))
     run = F.struct(
         F.when(k % 10 == 1, 2).otherwise(1).alias("version"), F.lit("0.1.0").alias("pipeline_version"),
         F.struct(F.lit("in.mp4").alias("input"), (k % 900 * 1.0).alias("duration_s")).alias("source"), F.when(k % 7 != 0, k % 900 * 1.0 + 1).alias("duration_processed_s"),
         F.struct(total(k % 50 * 0.5).alias("scout"), total(k % 30 * 0.25).alias("critic")).alias("agent_totals"),
-        F.struct(F.lit(0.25).alias("ingest"), (k % 40 * 0.5).alias("signals"), (k % 60 * 0.25).alias("render")).alias("timings_s"), F.col("clips"))
+        F.struct(F.lit(0.25).alias("ingest"), (k % 40 * 0.5).alias("signals"), (k % 60 * 0.25).alias("render")).alias("timings_s"), clips)
     doc = (F.when(k % 10 == 0, F.lit('{"version":1,"error":{"code":"NETWORK","message":"Network error"}}')).when(k % 10 == 2, F.lit("not json"))
            .when(k % 10 == 3, F.lit('{"version":1,"pipeline_version":"x"}')).otherwise(F.to_json(run)))
-    return D.read(spark, d, "orders").join(per, k == F.col("l_orderkey")).select(k.cast("string").alias("job_id"), doc.alias("raw"))
+    return D.read(spark, d, "orders").join(per, k == F.col("l_orderkey"), "left").select(k.cast("string").alias("job_id"), doc.alias("raw"))
 
 
-_ONE = """SELECT l_orderkey AS k, l_linenumber AS i, m.q, m.f FROM (SELECT l_orderkey, l_linenumber, min(struct_pack(q := l_quantity, f := l_returnflag)) AS m FROM lineitem GROUP BY 1, 2)
-          WHERE l_orderkey IN (SELECT o_orderkey FROM orders)"""
+_ONE = f"SELECT l_orderkey AS k, l_linenumber AS i, l_quantity AS q, l_returnflag AS f FROM {LINES} WHERE l_orderkey IN (SELECT o_orderkey FROM orders)"
+_RUNS = "SELECT o_orderkey AS k FROM orders"
 
 
-@query(f"""WITH o AS (SELECT DISTINCT k FROM ({_ONE})) SELECT CAST(k AS VARCHAR) AS job_id, CASE WHEN k % 10 < 4 THEN 'failed' ELSE 'done' END AS status,
+@query(f"""WITH o AS ({_RUNS}) SELECT CAST(k AS VARCHAR) AS job_id, CASE WHEN k % 10 < 4 THEN 'failed' ELSE 'done' END AS status,
     CASE k % 10 WHEN 0 THEN 'Network error' WHEN 1 THEN 'run.json version mismatch: expected 1, got 2' WHEN 2 THEN 'run.json is not valid JSON'
          WHEN 3 THEN 'run.json failed schema validation' END AS error FROM o""")
 def read_run_results(spark, d):
@@ -118,14 +116,14 @@ def clip_rows(spark, d):
     return A.clip_rows(ok).select("job_id", "clip_index", "t_start", "t_end", "score", "hook", "status", "dropped_reason", "media_key")
 
 
-@query(f"""WITH o AS (SELECT DISTINCT k FROM ({_ONE})) SELECT CAST(k AS VARCHAR) AS job_id, CASE WHEN k % 7 <> 0 THEN round((k % 900 + 1) / 60::DOUBLE, 6) END AS duration_min,
+@query(f"""WITH o AS ({_RUNS}) SELECT CAST(k AS VARCHAR) AS job_id, CASE WHEN k % 7 <> 0 THEN round((k % 900 + 1) / 60::DOUBLE, 6) END AS duration_min,
     CAST(floor(k % 50 * 0.5 + k % 30 * 0.25 + 0.5) AS BIGINT) AS cost_cents FROM o WHERE k % 10 > 3""")
 def job_facts(spark, d):
     ok, _ = A.parse_run_results(_run_docs(spark, d))
     return A.job_facts(ok).withColumn("duration_min", F.round("duration_min", 6))
 
 
-@query(f"""WITH o AS (SELECT DISTINCT k FROM ({_ONE})), t AS (SELECT unnest([struct_pack(stage := 'ingest', s := 0.25::DOUBLE), struct_pack(stage := 'signals', s := k % 40 * 0.5::DOUBLE),
+@query(f"""WITH o AS ({_RUNS}), t AS (SELECT unnest([struct_pack(stage := 'ingest', s := 0.25::DOUBLE), struct_pack(stage := 'signals', s := k % 40 * 0.5::DOUBLE),
     struct_pack(stage := 'render', s := k % 60 * 0.25::DOUBLE)], recursive := true) FROM o WHERE k % 10 > 3)
     SELECT stage, count(*) AS n_runs, sum(s) AS total_s, quantile_cont(s, 0.5) AS p50_s, max(s) AS max_s FROM t GROUP BY 1""")
 def stage_timings(spark, d):
@@ -155,8 +153,8 @@ def evidence_report(spark, d):
 
 # --- maintenance --------------------------------------------------------------------------------------
 
-_CLIPS = """SELECT CAST(l_orderkey AS VARCHAR) AS job_id, l_linenumber AS clip_index, CAST(floor(x.q) AS INT) AS score, CASE WHEN x.f = 'R' THEN 'dropped' ELSE 'ready' END AS status,
-    'u/' || l_orderkey || '/clip_' || l_linenumber || '.mp4' AS media_key FROM (SELECT l_orderkey, l_linenumber, min(struct_pack(p := l_extendedprice, q := l_quantity, f := l_returnflag)) AS x FROM lineitem GROUP BY 1, 2)"""
+_CLIPS = f"""SELECT CAST(l_orderkey AS VARCHAR) AS job_id, l_linenumber AS clip_index, CAST(floor(l_quantity) AS INT) AS score, CASE WHEN l_returnflag = 'R' THEN 'dropped' ELSE 'ready' END AS status,
+    'u/' || l_orderkey || '/clip_' || l_linenumber || '.mp4' AS media_key FROM {LINES}"""
 
 
 @query(f"WITH c AS ({_CLIPS}) SELECT job_id, clip_index, score + CASE WHEN clip_index >= 3 THEN 100 ELSE 0 END AS score FROM c")

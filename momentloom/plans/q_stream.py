@@ -68,7 +68,7 @@ def stream_stale_jobs(spark, d):
     kind = F.col("event_type")
     status = F.when(kind == "click", "queued").when(kind == "view", "processing").otherwise("done")
     e = _stream(spark, d).select(F.col("user_id").cast("string").alias("job_id"), F.concat(F.lit("o"), F.col("user_id").cast("string")).alias("user_id"), status.alias("status"),
-                                 F.col("ts").cast("timestamp").alias("updated_at"))
+                                 F.col("ts").cast("timestamp").alias("updated_at"), F.col("event_id").alias("seq"))
     return K.run_available(K.stream_stale_jobs(e)).drop("batch")
 
 

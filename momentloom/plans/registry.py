@@ -74,6 +74,11 @@ NEEDS = {
 }
 
 
+# Lines of orders, numbered from 1 within each order; the given numbers repeat.
+LINES = """(SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice, l_quantity, l_returnflag) AS INT) AS l_linenumber,
+                 l_extendedprice, l_quantity, l_returnflag FROM lineitem)"""
+
+
 def with_(*names: str, **more: str) -> str:
     """``WITH`` clause of the named derived tables and their needs, then extra ones in the order given."""
     wanted: set[str] = set()

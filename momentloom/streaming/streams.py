@@ -27,9 +27,9 @@ def stream_progress(events: DataFrame) -> DataFrame:
     return stage_progress(events)
 
 
-def stream_first_agents(events: DataFrame, delay: str = "40 days") -> DataFrame:
-    """First sighting of each agent in each job, with ``created_at`` as event time."""
-    return events.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["job_id", "agent"]).select("job_id", "agent")
+def stream_first_agents(events: DataFrame) -> DataFrame:
+    """First sighting of each agent in each job, once for ever: the state is one row per pair and never expires."""
+    return events.select("job_id", "agent").dropDuplicates(["job_id", "agent"])
 
 
 def stream_rates(words: DataFrame, hop: str = "1 second", delay: str = "1 minute") -> DataFrame:
@@ -75,15 +75,15 @@ class StaleJobs(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.job = handle.getValueState("job", "user_id string, status string, at_ms long")
+        self.job = handle.getValueState("job", "user_id string, status string, at_ms long, seq long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.job.get() if self.job.exists() else None
+        last = tuple(self.job.get()) if self.job.exists() else None
         for pdf in rows:
             for r in pdf.itertuples(index=False):
                 at = int(pd.Timestamp(r.updated_at).value // 1_000_000)
-                if last is None or at >= last[2]:
-                    last = (r.user_id, r.status, at)
+                if last is None or (at, int(r.seq)) >= last[2:]:
+                    last = (r.user_id, r.status, at, int(r.seq))
         self.job.update(last)
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
@@ -92,7 +92,7 @@ class StaleJobs(StatefulProcessor):
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        user_id, _, _ = self.job.get()
+        user_id = self.job.get()[0]
         self.job.clear()
         yield pd.DataFrame([[key[0], user_id, "failed", "timed out"]], columns=["job_id", "user_id", "status", "error"])
 
@@ -101,7 +101,7 @@ class StaleJobs(StatefulProcessor):
 
 
 def stream_stale_jobs(updates: DataFrame, minutes: int = STALE_MINUTES, delay: str = "1 minute") -> DataFrame:
-    """Jobs ``job_id, user_id, status, updated_at`` that stopped moving, once each."""
+    """Jobs ``job_id, user_id, status, updated_at, seq`` that stopped moving, once each; ``seq`` orders updates of one time."""
     return updates.withWatermark("updated_at", delay).groupBy("job_id").transformWithStateInPandas(
         statefulProcessor=StaleJobs(minutes), outputStructType="job_id string, user_id string, status string, error string",
         outputMode="append", timeMode="EventTime")
@@ -143,19 +143,23 @@ def stream_ledger(requests: DataFrame) -> DataFrame:
         outputMode="append", timeMode="None")
 
 
-def run_available(stream: DataFrame, mode: str = "append", sink: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
+def run_available(stream: DataFrame, mode: str = "append", sink: Callable[[DataFrame, int], None] | None = None, path: str | None = None) -> DataFrame | None:
     """Process what is there now and return the written rows, with the micro-batch in ``batch``.
 
-    Each micro-batch owns one directory, so a replayed one replaces itself.
+    Each micro-batch owns one directory, so a replayed one replaces itself.  Rows and checkpoint live below ``path``;
+    naming the one of an earlier run resumes it, none takes a new folder.
     """
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    out = scratch(spark, "stream")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKSDB)
+    out = path or scratch(spark, "stream")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
 
     q = (stream.writeStream.outputMode(mode).foreachBatch(sink or write).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
+    spark.conf.set(key, before)
     q.awaitTermination()
     if sink is not None:
         return None
