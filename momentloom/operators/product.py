@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from momentloom.functions.expr import half_up
 from momentloom.operators import folds
+from momentloom.operators.numbering import numbered
 from momentloom.operators.stored import settle
 from momentloom.operators.text import label
 from momentloom.operators.timeline import running
@@ -151,55 +152,57 @@ def eta(progress: DataFrame, status: DataFrame | None = None, keep: int = 6) ->
 
 
 def _keep_first(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """First row per key by ``seq, id``; a partial aggregate finds it, whatever the number of repeats."""
-    first = rows.groupBy(*keys).agg(F.min(F.struct("seq", "id")).alias("f")).select("f.id")
-    return rows.join(first, "id", "left_semi")
+    """First row per key by ``at``; a partial aggregate finds it, whatever the number of repeats."""
+    first = rows.groupBy(*keys).agg(F.min("at").alias("at")).select("at")
+    return rows.join(first, "at", "left_semi")
 
 
 def apply_ledger(requests: DataFrame, opening: DataFrame | None = None) -> DataFrame:
     """Decide ledger requests ``id, seq, user_id, kind, minutes, ref`` in order.
 
-    Grants and refunds land once per ``(kind, ref)``.  A debit lands once per ``ref`` and only with
+    The order is ``seq, id``: requests are numbered by it once, and only that number counts afterwards.  Grants and
+    refunds land once per ``(kind, ref)``, whoever they name.  A debit lands once per user and ``ref`` and only with
     enough balance; a refused one leaves nothing, so it may be tried again.  ``reconcile`` carries a
     signed correction whose charge is cut to the balance.
 
     As long as a user's balance covers everything, order does not matter for the outcome and
     running sums settle the rows.  Only rows from a user's first shortfall on are walked in order.
     """
-    req = requests.withColumn("minutes", half_up("minutes").cast("bigint"))
+    asked = requests.select("id", "seq", "user_id", "kind", half_up("minutes").cast("bigint").alias("minutes"), "ref")
+    req = numbered(asked, ["seq", "id"]).select("row.*", F.col("row_number").alias("at"))
     debit = F.col("kind") == "debit"
-    cols = ["id", "seq", "user_id", "kind", "minutes", "ref"]
+    cols = ["id", "at", "user_id", "kind", "minutes", "ref"]
     other = _keep_first(req.where(~debit).select(*cols), ["kind", "ref"])
-    other = other.withColumn("first_seq", F.col("seq")).withColumn("repeated", F.lit(False))
+    other = other.withColumn("first_at", F.col("at")).withColumn("repeated", F.lit(False))
     tries = req.where(debit).select(*cols)
-    per_ref = tries.groupBy("ref").agg(F.min(F.struct("seq", "id")).alias("f"), (F.count("*") > 1).alias("repeated"))
-    tries = tries.join(per_ref, "ref").select(*cols, F.col("f.seq").alias("first_seq"), "repeated")
+    per_ref = tries.groupBy("user_id", "ref").agg(F.min("at").alias("first_at"), (F.count("*") > 1).alias("repeated"))
+    tries = tries.join(per_ref, ["user_id", "ref"]).select(*cols, "first_at", "repeated")
     rows = other.unionByName(tries)
 
-    signed = F.when(F.col("kind") == "debit", F.when(F.col("seq") == F.col("first_seq"), -F.col("minutes")).otherwise(F.lit(0))).otherwise(F.col("minutes"))
+    signed = F.when(F.col("kind") == "debit", F.when(F.col("at") == F.col("first_at"), -F.col("minutes")).otherwise(F.lit(0))).otherwise(F.col("minutes"))
     rows = rows.withColumn("want", signed.cast("bigint"))
     if opening is None:
         rows = rows.withColumn("start", F.lit(0).cast("bigint"))
     else:
         have = opening.select("user_id", F.col("balance").cast("bigint").alias("start"))
         rows = rows.join(have, "user_id", "left").withColumn("start", F.coalesce("start", F.lit(0).cast("bigint")))
-    summed = settle(running(settle(rows, "requests"), "upto", "seq", F.col("want"), keys=("user_id",), width=4096.0), "running")
+    summed = settle(running(settle(rows, "requests"), "upto", "at", F.col("want"), keys=("user_id",), width=4096.0), "running")
     summed = summed.withColumn("after", F.col("start") + F.col("upto")).withColumn("before", F.col("after") - F.col("want"))
 
-    short = summed.where(F.col("after") < 0).groupBy("user_id").agg(F.min(F.struct("seq", "before")).alias("s"))
+    short = summed.where(F.col("after") < 0).groupBy("user_id").agg(F.min(F.struct("at", "before")).alias("s"))
     placed = summed.join(short, "user_id", "left")
-    settled = F.col("s").isNull() | (F.col("seq") < F.col("s.seq"))
-    again = (F.col("kind") == "debit") & (F.col("seq") > F.col("first_seq"))
+    settled = F.col("s").isNull() | (F.col("at") < F.col("s.at"))
+    again = (F.col("kind") == "debit") & (F.col("at") > F.col("first_at"))
     out = ["id", "user_id", "kind", "ref", "minutes", "verdict", "delta", "balance_before", "balance_after"]
     calm = placed.where(settled).select(
         "id", "user_id", "kind", "ref", "minutes", F.when(again, "duplicate").otherwise("accepted").alias("verdict"),
         F.col("want").alias("delta"), F.col("before").alias("balance_before"), F.col("after").alias("balance_after"))
 
     rest = placed.where(~settled)
-    charged = (F.col("kind") == "debit") & (F.col("first_seq") < F.col("s.seq"))
-    walk = rest.select("user_id", "seq", "id", "kind", "minutes", "ref", "repeated", charged.alias("charged"), F.col("s.before").alias("opening"))
+    charged = (F.col("kind") == "debit") & (F.col("first_at") < F.col("s.at"))
+    walk = rest.select("user_id", "at", "id", "kind", "minutes", "ref", "repeated", charged.alias("charged"), F.col("s.before").alias("opening"))
     walked = folds.scan_groups(
-        walk, ["user_id"], ["seq", "id"], guard_step(),
+        walk, ["user_id"], ["at"], guard_step(),
         "id bigint, kind string, ref string, minutes bigint, verdict string, delta bigint, balance_before bigint, balance_after bigint")
     return calm.unionByName(walked.select(*out))
 

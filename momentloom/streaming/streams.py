@@ -107,6 +107,32 @@ def stream_stale_jobs(updates: DataFrame, minutes: int = STALE_MINUTES, delay: s
         outputMode="append", timeMode="EventTime")
 
 
+class FirstOfRef(StatefulProcessor):
+    """Of all requests with one kind and reference, whoever they name, the first by ``seq, id``; later batches add none."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.landed = handle.getValueState("landed", "id long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        best = None
+        for pdf in rows:
+            first = pdf.sort_values(["seq", "id"], kind="stable").iloc[:1]
+            if best is None or tuple(first[["seq", "id"]].iloc[0]) < tuple(best[["seq", "id"]].iloc[0]):
+                best = first
+        if self.landed.exists():
+            yield pd.DataFrame()
+        else:
+            self.landed.update((int(best["id"].iloc[0]),))
+            yield best[REQUEST]
+
+    def close(self) -> None:
+        pass
+
+
+# The columns of a ledger request.
+REQUEST = ["id", "seq", "user_id", "kind", "minutes", "ref"]
+
+
 class GuardedLedger(StatefulProcessor):
     """Running balance of one user with the refs that already landed."""
 
@@ -137,8 +163,18 @@ class GuardedLedger(StatefulProcessor):
 
 
 def stream_ledger(requests: DataFrame) -> DataFrame:
-    """Decisions on requests ``id, seq, user_id, kind, minutes, ref`` (whole minutes) as they arrive."""
-    return requests.groupBy("user_id").transformWithStateInPandas(
+    """Decisions on requests ``id, seq, user_id, kind, minutes, ref`` (whole minutes) as they arrive.
+
+    As in the batch form, all but debits land once per kind and reference over all users, debits once per user and
+    reference.  A micro-batch is ordered by ``seq, id``; batches are taken as they come.
+    """
+    named = requests.select("id", F.col("seq").cast("bigint").alias("seq"), "user_id", "kind", F.col("minutes").cast("bigint").alias("minutes"), "ref")
+    # Every debit is a key of its own here and passes.
+    own = F.when(F.col("kind") == "debit", F.col("id").cast("string")).otherwise(F.col("ref"))
+    firsts = named.withColumn("_own", own).groupBy("kind", "_own").transformWithStateInPandas(
+        statefulProcessor=FirstOfRef(), outputStructType="id long, seq long, user_id string, kind string, minutes long, ref string",
+        outputMode="append", timeMode="None")
+    return firsts.groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=GuardedLedger(), outputStructType="id long, user_id string, verdict string, delta long, balance_after long",
         outputMode="append", timeMode="None")
 
