@@ -8,7 +8,8 @@ buckets, so one very long or very busy timeline is spread over many tasks:
 * as-of lookups scan each ``(key, bucket)`` on its own.  What a bucket inherits from its
   neighbours comes from a directory with one row per bucket in use, never from the rows.
 
-Shuffle skew left inside one bucket is for adaptive execution to split.
+Adaptive execution splits a pair join whose bucket is overfull; a scan needs its bucket in one task, sorted on disk
+if need be, so a burst of events within one bucket is that task's work.
 """
 
 from __future__ import annotations

@@ -72,6 +72,44 @@ def stream_stale_jobs(spark, d):
     return K.run_available(K.stream_stale_jobs(e)).drop("batch")
 
 
+_STALE = """SELECT job, 'o' || job AS user_id FROM (SELECT user_id AS job, arg_max(event_type, ts) AS last_type, max(ts) AS last FROM events GROUP BY 1)
+    WHERE last_type IN ('click', 'view') AND epoch_ms(last) + 1800000 < (SELECT epoch_ms(max(ts)) - 60000 FROM events)"""
+
+
+@query(f"""SELECT CAST(job AS VARCHAR) AS ref, user_id, 'job_refund' AS reason, CAST(job % 20 AS DOUBLE) AS delta_minutes FROM ({_STALE}) WHERE job % 20 > 0 AND job % 8 <> 1""")
+def stream_stale_refunds(spark, d):
+    """Refunds of jobs found stale: every job was charged its number modulo 20, one in eight is refunded already."""
+    job = F.col("user_id")
+    jobs = D.read(spark, d, "events").select("user_id").distinct()
+    row = lambda df, minutes, reason: df.select(
+        F.concat(F.lit("o"), job.cast("string")).alias("user_id"), minutes.cast("double").alias("delta_minutes"), F.lit(reason).alias("reason"),
+        job.cast("string").alias("ref"), F.lit("2024-01-01").cast("timestamp").alias("created_at"))
+    entries = row(jobs, -(job % 20), "job_debit").unionByName(row(jobs.where(job % 8 == 1), job % 20, "job_refund"))
+    kind = F.col("event_type")
+    status = F.when(kind == "click", "queued").when(kind == "view", "processing").otherwise("done")
+    e = _stream(spark, d).select(job.cast("string").alias("job_id"), F.concat(F.lit("o"), job.cast("string")).alias("user_id"), status.alias("status"),
+                                 F.col("ts").cast("timestamp").alias("updated_at"), F.col("event_id").alias("seq"))
+    base = scratch(spark, "sweep")
+    K.run_available(K.stream_stale_jobs(e), sink=K.sweep_sink(lambda: entries, f"{base}/swept", f"{base}/refunds"))
+    return spark.read.schema("user_id string, delta_minutes double, reason string, ref string").parquet(f"{base}/refunds").select("ref", "user_id", "reason", "delta_minutes")
+
+
+@query("""WITH e AS (SELECT *, event_id % 5 = 0 AS second FROM events), w AS (SELECT max(epoch_ms(ts)) - 7 * 86400000 AS mark FROM e WHERE NOT second)
+    SELECT count(*) AS arrived, count(*) - count(*) FILTER (second AND epoch_ms(date_trunc('hour', ts)) + 3600000 <= mark) AS counted,
+           count(*) FILTER (second AND epoch_ms(date_trunc('hour', ts)) + 3600000 <= mark) AS late FROM e, w""")
+def stream_late_rows(spark, d):
+    """Every fifth event comes in a second file; those whose hour closed a week before the newest event are late, and counted."""
+    base = scratch(spark, "arrivals")
+    e = D.read(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("video_id"), F.col("ts").cast("timestamp").alias("ts"))
+    out, path = None, f"{base}/out"
+    for second in (False, True):
+        e.where((F.col("event_id") % 5 == 0) == F.lit(second)).drop("event_id").write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema("video_id string, ts timestamp").parquet(f"{base}/in")
+        out = K.run_available(K.stream_rates(stream, "1 hour", "7 days"), "update", path=path)
+    last = out.groupBy("video_id", "start").agg(F.max("n").alias("n"))
+    return K.late_rows(spark.read.parquet(f"{base}/in"), last)
+
+
 @query("WITH RECURSIVE " + P._WALK)
 def stream_ledger(spark, d):
     kind = F.col("event_type")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from momentloom.operators.product import STALE_MINUTES, billing_credits, decide, stage_progress
+from momentloom.operators.product import STALE_MINUTES, billing_credits, decide, refunds_for, stage_progress
 from momentloom.operators.stored import scratch
 from momentloom.sources.tables import parse_agent_events
 
@@ -17,7 +17,11 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def stream_agent_events(spark: SparkSession, path: str) -> DataFrame:
-    """Tail JSONL logs below ``path``, one directory per job; unreadable lines drop out."""
+    """Tail JSONL logs below ``path``, one directory per job; unreadable lines drop out.
+
+    Files are read once, so a job's log must come as segments that are complete when they appear (written elsewhere
+    and moved in, or rolled); lines appended to a file already read are not seen.
+    """
     lines = spark.readStream.option("recursiveFileLookup", True).text(path)
     return parse_agent_events(lines.select(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]*$", 1).alias("job_id"), "value"))
 
@@ -162,6 +166,28 @@ class GuardedLedger(StatefulProcessor):
         pass
 
 
+def sweep_sink(ledger: Callable[[], DataFrame], swept_path: str, refunds_path: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function that stores jobs found stale and pays back what they were charged.
+
+    ``ledger`` gives the ledger as it is when a batch runs.  A job is found once, and a replayed batch replaces its
+    own two directories, so nothing is paid twice.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        batch.write.mode("overwrite").parquet(f"{swept_path}/batch={batch_id}")
+        refunds_for(batch.select("job_id", "user_id"), ledger()).write.mode("overwrite").parquet(f"{refunds_path}/batch={batch_id}")
+        batch.unpersist()
+
+    return write
+
+
+def late_rows(arrived: DataFrame, counted: DataFrame, n: str = "n") -> DataFrame:
+    """Rows that came after their bucket was closed: what arrived less what the final buckets ``counted`` hold."""
+    both = arrived.agg(F.count("*").alias("arrived")).unionByName(counted.agg(F.coalesce(F.sum(n), F.lit(0)).alias("counted")), allowMissingColumns=True)
+    return both.agg(F.max("arrived").alias("arrived"), F.max("counted").alias("counted")).withColumn("late", F.col("arrived") - F.col("counted"))
+
+
 def stream_ledger(requests: DataFrame) -> DataFrame:
     """Decisions on requests ``id, seq, user_id, kind, minutes, ref`` (whole minutes) as they arrive.
 
