@@ -219,3 +219,42 @@ def erase_user(spark, d):
         n = df.groupBy().agg(F.count("*").alias("n")).select(F.lit(name).alias("tab"), "n")
         out = n if out is None else out.unionByName(n)
     return out
+
+
+_DUE = """
+    use0 AS (SELECT o_orderkey AS k, CAST(o_custkey AS VARCHAR) AS user_id, CASE WHEN o_orderkey % 7 <> 0 THEN (o_orderkey % 900 + 1) / 60::DOUBLE ELSE 0 END AS used FROM orders WHERE o_orderkey % 10 > 3),
+    num AS (SELECT k AS id, use0.user_id, CAST(coalesce(-l.delta_minutes, 0) AS BIGINT) - CAST(floor(used + 0.5) AS BIGINT) AS diff FROM use0
+            LEFT JOIN led l ON l.reason = 'job_debit' AND l.ref = CAST(k AS VARCHAR)),
+    nn AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id) AS n FROM num WHERE diff <> 0),
+    walk AS (SELECT user_id, 0::BIGINT AS n, 0::BIGINT AS id, 0::BIGINT AS delta, greatest(coalesce((SELECT minutes_balance FROM usr u WHERE u.id = q.user_id), 0), 0)::BIGINT AS bal FROM (SELECT DISTINCT user_id FROM nn) q
+        UNION ALL SELECT user_id, n, id, d, bal + d FROM (SELECT x.user_id, x.n, x.id, w.bal, CASE WHEN x.diff >= 0 THEN x.diff ELSE -least(w.bal, -x.diff) END AS d FROM walk w JOIN nn x ON x.user_id = w.user_id AND x.n = w.n + 1)),
+    nclip AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1),
+    nevent AS (SELECT user_id AS k, count(*) AS n, count(*) FILTER (event_id % 5 NOT IN (0, 1)) AS fresh FROM events GROUP BY 1)"""
+
+
+@query(with_(**SQL).rstrip() + "," + _DUE + """
+    SELECT CAST(o_orderkey AS VARCHAR) AS job_id, CASE WHEN o_orderkey % 10 < 4 THEN 'failed' ELSE 'done' END AS status,
+           CASE o_orderkey % 10 WHEN 0 THEN 'Network error' WHEN 1 THEN 'run.json version mismatch: expected 1, got 2' WHEN 2 THEN 'run.json is not valid JSON'
+                WHEN 3 THEN 'run.json failed schema validation' END AS error,
+           CASE WHEN o_orderkey % 10 > 3 THEN CAST(floor(o_orderkey % 50 * 0.5 + o_orderkey % 30 * 0.25 + 0.5) AS BIGINT) END AS cost_cents,
+           CASE WHEN o_orderkey % 10 > 3 THEN coalesce(c.n, 0) ELSE least(coalesce(c.n, 0), 2) END AS n_clips,
+           CASE WHEN o_orderkey % 10 > 3 THEN coalesce(e.fresh, 0) ELSE coalesce(e.n, 0) END AS n_events,
+           w.delta AS correction, CASE WHEN o_orderkey % 10 < 4 AND o_orderkey % 5 <> 0 AND o_orderkey % 8 <> 1 AND floor(o_totalprice / 20000) > 0 THEN floor(o_totalprice / 20000) END AS refund
+    FROM orders LEFT JOIN nclip c ON c.k = o_orderkey LEFT JOIN nevent e ON e.k = o_orderkey LEFT JOIN walk w ON w.n > 0 AND w.id = o_orderkey""")
+def run_import(spark, d):
+    """All runs are imported over tables that hold two old clips of each job and its old events."""
+    from momentloom.operators.imports import run_import as imported
+    from momentloom.plans.q_sources import agent_lines, run_docs
+
+    k = F.col("o_orderkey")
+    jobs = D.read(spark, d, "orders").select(k.alias("seq"), k.cast("string").alias("job_id"), F.col("o_custkey").cast("string").alias("user_id"))
+    clips = D.clips(spark, d).where("clip_index <= 2").select("job_id", "clip_index", "score", "hook", "media_key", "status")
+    events = D.agent_events(spark, d).select("job_id", "agent", "action")
+    opening = D.users(spark, d).select(F.col("id").alias("user_id"), F.greatest(F.col("minutes_balance"), F.lit(0)).alias("balance"))
+    new = imported(run_docs(spark, d), agent_lines(spark, d), jobs, clips, events, ledger(spark, d), opening)
+    count = lambda name: new[name].groupBy("job_id").agg(F.count("*").alias(f"n_{name}"))
+    out = new["jobs"].join(count("clips"), "job_id", "left").join(count("events"), "job_id", "left")
+    out = out.join(new["corrections"].select(F.col("ref").alias("job_id"), F.col("delta").alias("correction")), "job_id", "left")
+    out = out.join(new["refunds"].select(F.col("ref").alias("job_id"), F.col("delta_minutes").alias("refund")), "job_id", "left")
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select("job_id", "status", "error", "cost_cents", none("n_clips"), none("n_events"), "correction", "refund")

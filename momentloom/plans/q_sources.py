@@ -56,17 +56,21 @@ def flatten_curves(spark, d):
 @query("""SELECT CAST(user_id AS VARCHAR) AS job_id, event_id, CASE event_type WHEN 'click' THEN 'scout' WHEN 'view' THEN 'critic' WHEN 'purchase' THEN 'surgeon' WHEN 'signup' THEN 'qa' ELSE 'orchestrator' END AS agent,
     CASE WHEN event_id % 5 = 2 THEN 0 ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS tokens_in, 0::BIGINT AS tokens_out FROM events WHERE event_id % 5 NOT IN (0, 1)""")
 def read_agent_events(spark, d):
+    out = A.parse_agent_events(agent_lines(spark, d))
+    return out.select("job_id", F.get_json_object("payload", "$.id").cast("bigint").alias("event_id"), "agent", "tokens_in", "tokens_out")
+
+
+def agent_lines(spark, d):
+    """Events as log lines of their user's job; some blank, cut short or without token counts."""
     k, e = F.get_json_object("props", "$.k"), F.col("event_id")
     agent = D.agent_of(F.col("event_type"))
     head = F.concat(F.lit('{"agent":"'), agent, F.lit('","action":"step","payload":{"id":'), e.cast("string"), F.lit("}"))
     line = F.when(e % 5 == 0, F.lit("   ")).when(e % 5 == 1, F.substring(head, 1, 30)).when(e % 5 == 2, F.concat(head, F.lit("}"))).otherwise(
         F.concat(head, F.lit(',"tokens_in":'), k, F.lit("}")))
-    lines = D.read(spark, d, "events").select(F.col("user_id").cast("string").alias("job_id"), line.alias("value"))
-    out = A.parse_agent_events(lines)
-    return out.select("job_id", F.get_json_object("payload", "$.id").cast("bigint").alias("event_id"), "agent", "tokens_in", "tokens_out")
+    return D.read(spark, d, "events").select(F.col("user_id").cast("string").alias("job_id"), line.alias("value"))
 
 
-def _run_docs(spark, d):
+def run_docs(spark, d):
     """One run result per order: its lines are clips, none for some; some orders carry an error, another version, or no JSON."""
     i, q = F.col("l_linenumber"), F.col("l_quantity")
     claim = F.struct(F.lit("energy_peak").alias("kind"), F.lit(3.5).alias("t"), (q / 10).alias("value"))
@@ -105,21 +109,21 @@ _RUNS = "SELECT o_orderkey AS k FROM orders"
     CASE k % 10 WHEN 0 THEN 'Network error' WHEN 1 THEN 'run.json version mismatch: expected 1, got 2' WHEN 2 THEN 'run.json is not valid JSON'
          WHEN 3 THEN 'run.json failed schema validation' END AS error FROM o""")
 def read_run_results(spark, d):
-    ok, bad = A.parse_run_results(_run_docs(spark, d))
+    ok, bad = A.parse_run_results(run_docs(spark, d))
     return bad.unionByName(ok.select("job_id", F.lit("done").alias("status"), F.lit(None).cast("string").alias("error")))
 
 
 @query(f"""WITH o AS ({_ONE}) SELECT CAST(k AS VARCHAR) AS job_id, i AS clip_index, q + 0.5 AS t_start, q + 30.5 AS t_end, CASE WHEN i % 3 <> 0 THEN CAST(floor(q) AS INT) END AS score,
     CASE WHEN i % 2 = 0 THEN 'Hook ' || i END AS hook, CASE WHEN f = 'R' THEN 'dropped' ELSE 'ready' END AS status, CASE WHEN f = 'R' THEN 'BLACK' END AS dropped_reason, 'm' || i AS media_key FROM o WHERE k % 10 > 3""")
 def clip_rows(spark, d):
-    ok, _ = A.parse_run_results(_run_docs(spark, d))
+    ok, _ = A.parse_run_results(run_docs(spark, d))
     return A.clip_rows(ok).select("job_id", "clip_index", "t_start", "t_end", "score", "hook", "status", "dropped_reason", "media_key")
 
 
 @query(f"""WITH o AS ({_RUNS}) SELECT CAST(k AS VARCHAR) AS job_id, CASE WHEN k % 7 <> 0 THEN round((k % 900 + 1) / 60::DOUBLE, 6) END AS duration_min,
     CAST(floor(k % 50 * 0.5 + k % 30 * 0.25 + 0.5) AS BIGINT) AS cost_cents FROM o WHERE k % 10 > 3""")
 def job_facts(spark, d):
-    ok, _ = A.parse_run_results(_run_docs(spark, d))
+    ok, _ = A.parse_run_results(run_docs(spark, d))
     return A.job_facts(ok).withColumn("duration_min", F.round("duration_min", 6))
 
 
@@ -129,12 +133,12 @@ def job_facts(spark, d):
 def stage_timings(spark, d):
     from momentloom.operators.product import stage_timings as timings
 
-    return timings(A.parse_run_results(_run_docs(spark, d))[0])[0]
+    return timings(A.parse_run_results(run_docs(spark, d))[0])[0]
 
 
 def _readable(spark, d):
     """Run clips with claims read from JSON text, as the report wants them."""
-    ok, _ = A.parse_run_results(_run_docs(spark, d))
+    ok, _ = A.parse_run_results(run_docs(spark, d))
     c = ok.select("job_id", F.explode("run.clips").alias("c"))
     return c.select("job_id", F.col("c.index").alias("clip_index"), A.with_claims(F.col("c.candidate")).alias("candidate"), A.scored_claims(F.col("c.score")).alias("score"),
                     F.col("c.repairs").alias("repairs"), F.col("c.qa").alias("qa"))
