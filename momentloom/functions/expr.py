@@ -103,25 +103,6 @@ def interval_iou(a0, a1, b0, b1) -> Column:
     return F.when((inter > 0) & (union > 0), inter / union).otherwise(F.lit(0.0))
 
 
-def box_iou(a: Column, b: Column) -> Column:
-    """Overlap over union of two ``x, y, w, h`` boxes; 0 when disjoint."""
-    zero = F.lit(0.0)
-    iw = F.greatest(zero, F.least(a.x + a.w, b.x + b.w) - F.greatest(a.x, b.x))
-    ih = F.greatest(zero, F.least(a.y + a.h, b.y + b.h) - F.greatest(a.y, b.y))
-    inter = iw * ih
-    union = a.w * a.h + b.w * b.h - inter
-    return F.when((inter > 0) & (union > 0), inter / union).otherwise(zero)
-
-
-def exclusive_decile(sorted_values: Column) -> Column:
-    """Top cut point of the exclusive ten-quantile method over a sorted array (size >= 2)."""
-    n = F.size(sorted_values)
-    k, parts = 9, 10
-    j = F.least(F.greatest(F.floor(F.lit(k) * (n + 1) / parts), F.lit(1)), n - 1).cast("int")
-    d = F.lit(k) * (n + 1) - j * parts
-    lo = F.element_at(sorted_values, j)
-    hi = F.element_at(sorted_values, j + 1)
-    return F.when(n >= 2, (lo * (parts - d) + hi * d) / parts)
 
 
 def p95(values: Column) -> Column:

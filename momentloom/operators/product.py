@@ -246,7 +246,7 @@ def ledger_rows(decided: DataFrame) -> DataFrame:
 def estimates(ledger: DataFrame) -> DataFrame:
     """Minutes debited per user and job."""
     return ledger.where(F.col("reason") == DEBIT).groupBy("user_id", F.col("ref").alias("job_id")).agg(
-        half_up(-F.min_by("delta_minutes", "created_at")).alias("estimate"))
+        half_up(-F.min(F.struct("created_at", "delta_minutes"))["delta_minutes"]).alias("estimate"))
 
 
 def reconcile(usage: DataFrame, ledger: DataFrame, opening: DataFrame) -> DataFrame:

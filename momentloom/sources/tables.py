@@ -51,7 +51,7 @@ def parse_signal_index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def read_signal_index(spark: SparkSession, path: str, video_id: Column | None = None) -> tuple[Signals, DataFrame]:
     """Signals of every document under ``path`` and a quarantine table of the rejected ones."""
     name = F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]*$", 1) if video_id is None else video_id
-    raw = spark.read.option("wholetext", True).text(path).select(name.alias("video_id"), F.col("value").alias("raw"))
+    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(name.alias("video_id"), F.col("value").alias("raw"))
     good, bad = parse_signal_index(raw)
     return flatten_signals(good), bad
 
@@ -107,7 +107,7 @@ def parse_agent_events(lines: DataFrame, mode: str = "tolerant") -> DataFrame:
 
 def read_agent_events(spark: SparkSession, path: str, mode: str = "tolerant") -> DataFrame:
     """JSONL logs, one directory per job."""
-    lines = spark.read.text(path).select(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]*$", 1).alias("job_id"), "value")
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]*$", 1).alias("job_id"), "value")
     return parse_agent_events(lines, mode)
 
 
@@ -137,7 +137,7 @@ def parse_run_results(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_run_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    raw = spark.read.option("wholetext", True).text(path).select(
+    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(
         F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]*$", 1).alias("job_id"), F.col("value").alias("raw"))
     return parse_run_results(raw)
 
