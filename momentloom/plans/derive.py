@@ -10,7 +10,6 @@ from momentloom.operators.stored import settle
 from momentloom.operators.timeline import Edge, lookup, running
 from momentloom.schemas import Signals
 
-SPAN_S = 43200.0
 FILL_ONE = r"(?i)^(de|that|en)[,.]?$"
 FILL_PAIR = (r"(?i)^la$", r"(?i)^(?!(?:de|that|en|la)[,.]?$)[a-z]+[,.]$")
 
@@ -86,7 +85,8 @@ def is_type(*types: str) -> Column:
 
 
 def media_t(tk: DataFrame) -> DataFrame:
-    return tk.select("video_id").distinct().select("video_id", F.lit(SPAN_S).alias("duration_s"), F.lit("en").alias("language"))
+    """A timeline lasts to the end of the hour of its last event."""
+    return tk.groupBy("video_id").agg(((F.floor(F.max("t") / 3600) + 1) * 3600.0).alias("duration_s")).withColumn("language", F.lit("en"))
 
 
 def peaks(tk: DataFrame) -> DataFrame:

@@ -34,8 +34,8 @@ def clamp_sql(src: str, cols: str, lo=MIN_LEN, hi=MAX_LEN) -> str:
              LATERAL (SELECT unnest(range(0, x.n)) AS part) g"""
 
 
-_NEAR = f"""SELECT s.video_id, s.pos AS surge, s.t0 AS surge_t0, p.t AS peak_t, p.sigma, p.t - {WINDOW} AS r0, p.t + {WINDOW} AS r1, 43200.0 AS dur
-    FROM surges s JOIN peaks p ON p.video_id = s.video_id AND p.t BETWEEN s.t0 - {REACH} AND s.t1 + {REACH}
+_NEAR = f"""SELECT s.video_id, s.pos AS surge, s.t0 AS surge_t0, p.t AS peak_t, p.sigma, p.t - {WINDOW} AS r0, p.t + {WINDOW} AS r1, m.duration_s AS dur
+    FROM surges s JOIN media_t m ON m.video_id = s.video_id JOIN peaks p ON p.video_id = s.video_id AND p.t BETWEEN s.t0 - {REACH} AND s.t1 + {REACH}
     QUALIFY row_number() OVER (PARTITION BY s.video_id, s.pos ORDER BY abs(p.t - (s.t0 + s.t1) / 2), p.pos) = 1"""
 _RULE_A = dict(near=_NEAR, ra=clamp_sql("near", "video_id, surge, surge_t0, peak_t, sigma"))
 
@@ -58,9 +58,9 @@ def energy_rate_windows(spark, d):
 
 
 _RULE_B = dict(
-    lead=f"""SELECT e.video_id, e.pos, e.label, e.t0 AS e0, e.t0 - {LEAD_WINDOW} AS r0, e.t1 + {TAIL} AS r1, e.conf, 43200.0 AS dur,
-        sum(least(k.t1, e.t0) - greatest(k.t0, e.t0 - {LEAD})) AS spoken FROM sevents e JOIN talk k
-        ON k.video_id = e.video_id AND k.t0 < e.t0 AND k.t1 > e.t0 - {LEAD} WHERE e.t0 < 43200 AND e.t1 > 0
+    lead=f"""SELECT e.video_id, e.pos, e.label, e.t0 AS e0, e.t0 - {LEAD_WINDOW} AS r0, e.t1 + {TAIL} AS r1, e.conf, m.duration_s AS dur,
+        sum(least(k.t1, e.t0) - greatest(k.t0, e.t0 - {LEAD})) AS spoken FROM sevents e JOIN media_t m ON m.video_id = e.video_id JOIN talk k
+        ON k.video_id = e.video_id AND k.t0 < e.t0 AND k.t1 > e.t0 - {LEAD} WHERE e.t0 < m.duration_s AND e.t1 > 0
         GROUP BY ALL HAVING spoken >= {LEAD}""",
     rb=clamp_sql("lead", "video_id, pos, label, e0, conf"))
 
@@ -84,7 +84,7 @@ def decile_bar(spark, d):
 
 _RULE_C = dict(
     dec=_DECILE,
-    loud=f"""SELECT s.video_id, s.pos, s.t0 AS scene_t0, s.t0 AS r0, s.t1 AS r1, 43200.0 AS dur, avg(p.v) AS mean FROM scenes s JOIN pitch p
+    loud=f"""SELECT s.video_id, s.pos, s.t0 AS scene_t0, s.t0 AS r0, s.t1 AS r1, m.duration_s AS dur, avg(p.v) AS mean FROM scenes s JOIN media_t m ON m.video_id = s.video_id JOIN pitch p
         ON p.video_id = s.video_id AND p.i >= floor(s.t0 / {HOP}) AND p.i < greatest(floor(s.t0 / {HOP}) + 1, floor(s.t1 / {HOP}))
         WHERE s.t1 - s.t0 >= {SCENE} GROUP BY ALL""",
     lc="SELECT l.* FROM loud l JOIN dec USING (video_id) WHERE mean >= raw",
@@ -306,8 +306,8 @@ def _proposal_replies(spark, d, tag):
     return pk.select("video_id", F.lit(0).alias("chunk"), text.alias("reply"))
 
 
-@query(with_("peaks", p="SELECT video_id, min(pos) AS pos, arg_min(t, pos) AS t FROM peaks GROUP BY 1",
-             g="SELECT video_id, t, t - 900 AS r0, t + 900 AS r1, 43200.0 AS dur, unnest([1, 2]) AS round FROM p",
+@query(with_("peaks", "media_t", p="SELECT video_id, min(pos) AS pos, arg_min(t, pos) AS t FROM peaks GROUP BY 1",
+             g="SELECT video_id, t, t - 900 AS r0, t + 900 AS r1, duration_s AS dur, unnest([1, 2]) AS round FROM p JOIN media_t USING (video_id)",
              w=clamp_sql("g", "video_id, round")) + "SELECT video_id, round, t0, t1, 'spike' AS notes FROM w")
 def admit_proposals(spark, d):
     sig = D.tick_signals(spark, d, ("surge",), False)

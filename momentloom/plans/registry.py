@@ -40,7 +40,7 @@ CTES: dict[str, str] = {
         SELECT CAST(user_id AS VARCHAR) AS video_id, event_id, event_type, value,
                CAST((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) // 60000000 AS DOUBLE) AS t
         FROM events""",
-    "media_t": "SELECT DISTINCT CAST(user_id AS VARCHAR) AS video_id, 43200.0::DOUBLE AS duration_s FROM events",
+    "media_t": "SELECT video_id, (floor(max(t) / 3600) + 1) * 3600.0::DOUBLE AS duration_s FROM ticks GROUP BY 1",
     "peaks": "SELECT video_id, event_id AS pos, t, value / 50 AS sigma FROM ticks WHERE event_type IN ('error', 'purchase')",
     "sevents": """
         SELECT video_id, event_id AS pos, CASE event_type WHEN 'click' THEN 'laughter' ELSE 'applause' END AS label,
@@ -58,18 +58,18 @@ CTES: dict[str, str] = {
     "scenes": """
         SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY t) - 1 AS pos, t AS t0,
                lead(t) OVER (PARTITION BY video_id ORDER BY t) AS t1
-        FROM (SELECT DISTINCT video_id, t FROM ticks WHERE event_type = 'error' AND t > 0 AND t < 43200
+        FROM (SELECT DISTINCT video_id, t FROM ticks WHERE event_type = 'error' AND t > 0
               UNION ALL SELECT video_id, 0.0 FROM media_t UNION ALL SELECT video_id, duration_s FROM media_t)
         QUALIFY lead(t) OVER (PARTITION BY video_id ORDER BY t) IS NOT NULL""",
     "pitch": """
         SELECT m.video_id, g.i, g.i * 3600.0 AS t, coalesce(CASE WHEN p.n >= 2 THEN p.v ELSE 0 END, 0) AS v
-        FROM media_t m CROSS JOIN (SELECT unnest(range(0, 12)) AS i) g
+        FROM media_t m, LATERAL (SELECT unnest(range(0, CAST(m.duration_s / 3600 AS BIGINT))) AS i) g
         LEFT JOIN (SELECT video_id, CAST(floor(t / 3600) AS BIGINT) AS i, var_pop(value) AS v, count(*) AS n FROM ticks GROUP BY 1, 2) p
           ON p.video_id = m.video_id AND p.i = g.i""",
 }
 NEEDS = {
     "speech": ["words"], "silence": ["speech"], "media": ["words"], "fillers": ["words"], "cuts": ["speech"],
-    "media_t": [], "peaks": ["ticks"], "sevents": ["ticks"], "surges": ["ticks"], "talk": ["ticks"],
+    "media_t": ["ticks"], "peaks": ["ticks", "media_t"], "sevents": ["ticks", "media_t"], "surges": ["ticks", "media_t"], "talk": ["ticks"],
     "quiet": ["talk", "media_t"], "scenes": ["ticks", "media_t"], "pitch": ["ticks", "media_t"],
 }
 
