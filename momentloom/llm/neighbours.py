@@ -21,8 +21,8 @@ from momentloom.operators.stored import settle
 
 #: Vectors that the forest is grown on, and queries that the number of visits is tuned on, at most.
 SAMPLE, PROBES = 1 << 16, 128
-#: Classes of one block at most, about.
-BLOCK = 4096
+#: Filed vectors, and searches, of one block at most, about.
+BLOCK = 32_768
 FOUND = "query_id long, rank int, vec_id long, score double"
 
 
@@ -118,9 +118,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 8, l
     visits = tuned(classes, queries, forest, k, recall)
     shared = spark.sparkContext.broadcast(forest)
 
-    # Medians fill leaves evenly, so their sizes are known well enough to bound the blocks.
-    parts = max(1, round(2 * max(leaf, 8 / share) / BLOCK))
-    groups = max(1, round(visits * n / max(1, forest.leaves) / 20 / BLOCK))
+    # A block is a bin of whole leaves, or part of a large one. Medians fill leaves evenly, so these sizes hold well enough.
+    bins = max(1, trees * n // BLOCK)
+    parts = max(1, n * trees // max(1, forest.leaves) // BLOCK)
+    groups = max(1, visits * queries.count() // min(bins, max(1, forest.leaves)) // (2 * BLOCK))
 
     def file(batches):
         for batch in batches:
@@ -145,16 +146,30 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 8, l
     asked = spread(queries.select("cid", "v").mapInArrow(ask, schema), "group", groups, "part", parts)
 
     def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names, x, out = left["cid"].to_numpy(), _stack(left["x"], width), []
-        for i in range(0, len(right), 256):
-            q = _stack(right["x"].iloc[i : i + 256], width)
-            for name, v, rough in zip(right["cid"].iloc[i : i + 256], q, q @ x.T, strict=True):
-                at = _best(rough, names, k + 1)
-                out.append(pd.DataFrame({"q": name, "c": names[at], "score": _products(v, x[at])}))
-        return pd.concat(out) if out else pd.DataFrame({"q": [], "c": [], "score": []})
-
-    keys = ["leaf", "part", "group"]
-    met = filed.groupBy(keys).cogroup(asked.groupBy(keys)).applyInPandas(block, "q long, c long, score double")
+        """The best classes of each query among the leaves of one bin; what several trees name counts once."""
+        found = {leaf: at for leaf, at in left.groupby("leaf").indices.items()}
+        qs, cs, scores = [], [], []
+        for leaf, asks in right.groupby("leaf").indices.items():
+            at = found.get(leaf)
+            if at is None:
+                continue
+            names, x = left["cid"].to_numpy()[at], _stack(left["x"].iloc[at], width)
+            for i in range(0, len(asks), 256):
+                part = right.iloc[asks[i : i + 256]]
+                q = _stack(part["x"], width)
+                for name, v, rough in zip(part["cid"], q, q @ x.T, strict=True):
+                    top = _best(rough, names, k + 1)
+                    qs.append(np.full(len(top), name))
+                    cs.append(names[top])
+                    scores.append(_products(v, x[top]))
+        if not qs:
+            return pd.DataFrame({"q": [], "c": [], "score": []})
+        every = pd.DataFrame({"q": np.concatenate(qs), "c": np.concatenate(cs), "score": np.concatenate(scores)}).drop_duplicates(["q", "c"])
+        return every.sort_values(["q", "score", "c"], ascending=[True, False, True]).groupby("q", sort=False).head(k + 1)
+
+    keys = ["bin", "part", "group"]
+    binned = lambda df: df.withColumn("bin", F.pmod("leaf", F.lit(bins)).cast("long")).groupBy(keys)
+    met = binned(filed).cogroup(binned(asked)).applyInPandas(block, "q long, c long, score double")
     first = Window.partitionBy("q").orderBy(F.desc("score"), "c")
     top = met.groupBy("q", "c").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
     each = top.join(classes.select(F.col("cid").alias("c"), "ids"), "c").select("q", "score", F.explode("ids").alias("vec_id"))
