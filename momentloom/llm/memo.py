@@ -13,10 +13,10 @@ from array import array
 from collections.abc import Callable, Iterable
 
 #: Pieces that a worker remembers at most; about 200 bytes each. The half not met lately is forgotten when full.
-MEMO_LIMIT = 800_000
+MEMO_LIMIT = 500_000
 
 #: Distinct words that a worker remembers besides; they occur in several pieces, with and without punctuation.
-WORD_LIMIT = 400_000
+WORD_LIMIT = 250_000
 
 #: Pieces with characters from here on take the library's whole chain, lest Unicode versions differ.
 PLAIN_BELOW = "\u0130"
