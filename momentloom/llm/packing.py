@@ -1,6 +1,6 @@
 """Packing documents into training sequences of a fixed length.
 
-A group is a run of documents of one partition with a bounded number of tokens. Whole windows are cut off its long
+A group is a run of documents of one partition with a bounded number of tokens and of pieces times windows. Whole windows are cut off its long
 documents; what remains is cut into pieces and dealt to k windows by multiway differencing: every piece starts as
 a partial partition of its own, and the two partial partitions with the widest gap between fullest and emptiest
 window are merged, fullest against emptiest, until one is left. k starts at tokens / capacity, rounded up, and
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 
 from momentloom.llm.memo import library_memo, slices
 
+#: Pieces times windows of a group at most: differencing holds two 64-bit numbers for each of them at its start, 128 MB.
+MOST_CELLS = 1 << 23
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -73,6 +76,20 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
         k += 1
 
 
+def groups(held: Iterable[tuple[int | None, np.ndarray]], capacity: int, piece: int, group: int) -> Iterator[list[tuple[int | None, np.ndarray]]]:
+    """Runs of documents with ``group`` tokens, or fewer where their pieces times their windows reach ``MOST_CELLS``."""
+    out, tokens, pieces, rest = [], 0, 0, 0
+    for d, ids in held:
+        over = len(ids) % capacity
+        out.append((d, ids))
+        tokens, pieces, rest = tokens + len(ids), pieces - (-over // piece), rest + over
+        if tokens >= group or pieces * (rest // capacity + 1) >= MOST_CELLS:
+            yield out
+            out, tokens, pieces, rest = [], 0, 0, 0
+    if out:
+        yield out
+
+
 def pack(docs: DataFrame, vocabulary: str, kind: str = "word", end_id: int = 1, capacity: int = 2048, piece: int = 256,
          group: int = 1 << 20, with_ids: bool = True) -> DataFrame:
     """Pack every document (ids and ``end_id``) into sequences of at most ``capacity`` tokens: one row per piece.
@@ -122,19 +139,18 @@ def pack(docs: DataFrame, vocabulary: str, kind: str = "word", end_id: int = 1,
 
     def run(batches):
         memo, end = library_memo(vocabulary, kind), np.uint32(end_id).tobytes()
-        held, tokens, counter = [], 0, [TaskContext.get().partitionId() << 32]
-        for batch in batches:
-            names, at = batch.column("doc_id").to_pylist(), 0
-            for texts in slices(batch.column("text")):
-                for t in texts:
-                    ids = np.frombuffer(memo.ids(t) + end, "<u4")
-                    held.append((names[at], ids))
-                    tokens, at = tokens + len(ids), at + 1
-                    if tokens >= group:
-                        yield from emit(held, counter)
-                        held, tokens = [], 0
-        if held:
-            yield from emit(held, counter)
+        counter = [TaskContext.get().partitionId() << 32]
+
+        def held():
+            for batch in batches:
+                names, at = batch.column("doc_id").to_pylist(), 0
+                for texts in slices(batch.column("text")):
+                    for t in texts:
+                        yield names[at], np.frombuffer(memo.ids(t) + end, "<u4")
+                        at += 1
+
+        for found in groups(held(), capacity, piece, group):
+            yield from emit(found, counter)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))

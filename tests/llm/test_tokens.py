@@ -124,3 +124,18 @@ def test_both_trees_merge_alike():
         want = own.encode_ordinary(w.decode())
         assert bpe.merge_long(w, c.ranks) == want
         assert bpe.merge_rows([w], c.ranks, max(2, 1 << (len(w) - 1).bit_length())) == [want]
+
+
+@pytest.mark.parametrize("tokens", [1, 5])
+def test_groups_of_tiny_texts_are_bounded(tokens):
+    ids, n = np.ones(tokens, "<u4"), 300_000
+    found = list(packing.groups(((i, ids) for i in range(n)), 2048, 256, 1 << 20))
+    assert [i for g in found for i, _ in g] == list(range(n))
+    # Differencing holds this many pairs of 64-bit numbers: one group had 300,000 x 147 or more of them.
+    assert all(len(g) * (len(g) * tokens // 2048 + 1) <= 1.05 * packing.MOST_CELLS for g in found)
+    assert sum(len(g) for g in found[:-1]) >= len(found[:-1]) * 30_000
+
+
+def test_groups_of_usual_texts_close_by_tokens():
+    found = list(packing.groups(((i, np.ones(600, "<u4")) for i in range(4000)), 2048, 256, 1 << 20))
+    assert [len(g) for g in found] == [1748, 1748, 504]
