@@ -2,7 +2,7 @@
 
 One model is fitted to toxic and one to ordinary documents. Both discount their own counts of a character after
 its context (up to four characters, from the start of the word) and give the rest to the same backoff: continuation
-counts over both classes together. So an expression that neither class has seen says nothing, and a rare one
+counts over all documents, labelled or not. So an expression that neither class has seen says nothing, and a rare one
 little, while inflected forms share the evidence of their stem. A word's value is the log-likelihood of the toxic
 model less that of the ordinary one.
 """
@@ -10,7 +10,9 @@ model less that of the ordinary one.
 from __future__ import annotations
 
 import math
+import sys
 from collections import Counter, defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,10 +23,9 @@ from pyspark.sql import functions as F
 
 from momentloom.llm import labelled
 from momentloom.llm.memo import MEMO_LIMIT, slices
+from momentloom.operators.stored import settle
 
 ORDER, DISCOUNT = 5, 0.75
-#: Grams in a model at most: 100 MB per worker. Beyond it the rarest go, which backoff is for.
-MOST_GRAMS = 1_000_000
 _EDGES = ".,;:!?\"'()[]*#$%&|"
 
 
@@ -34,18 +35,38 @@ def grams(word: str) -> list[str]:
     return [s[max(0, i - ORDER + 1) : i + 1] for i in range(1, len(s))]
 
 
-def log_ratios(counts: dict[str, tuple[int, int]]) -> tuple[dict[str, float], dict[str, float]]:
-    """Log ratio of toxic to ordinary probability of each gram, and of each context for grams never seen after it.
-
-    ``counts``: gram to its count in ordinary and in toxic documents.
-    """
-    # Continuation counts: of how many longer grams a shorter one is the end, whichever class has them.
+def continuations(grams: Iterable[str]) -> dict[str, int]:
+    """Of how many longer grams a shorter one is the end."""
     shared: dict[str, int] = {}
-    level = {g for g in counts if len(g) == ORDER}
+    by_length = defaultdict(set)
+    for g in grams:
+        by_length[len(g)].add(g)
+    level = by_length[ORDER]
     for k in range(ORDER - 1, 0, -1):
         below = Counter(g[1:] for g in level)
         shared |= below
-        level = set(below).union(g for g in counts if len(g) == k)
+        level = set(below) | by_length[k]
+    return shared
+
+
+def continued(seen: DataFrame) -> DataFrame:
+    """``gram`` and ``n`` as ``continuations`` has them, from a table of distinct grams in ``gram``."""
+    level, out = seen.where(F.length("gram") == ORDER).select("gram"), None
+    for k in range(ORDER - 1, 0, -1):
+        below = settle(level.groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n")), "continued")
+        out = below if out is None else out.union(below)
+        level = below.select("gram").union(seen.where(F.length("gram") == k).select("gram")).distinct()
+    return out
+
+
+def log_ratios(counts: dict[str, tuple[int, int]], shared: dict[str, int] | None = None) -> tuple[dict[str, float], dict[str, float]]:
+    """Log ratio of toxic to ordinary probability of each gram, and of each context for grams never seen after it.
+
+    ``counts``: gram to its count in ordinary and in toxic documents; ``shared``: continuation counts, those of
+    ``counts`` by default.
+    """
+    if shared is None:
+        shared = continuations(counts)
     total, kinds = Counter(), Counter()
     for g, n in shared.items():
         total[g[:-1]] += n
@@ -132,20 +153,24 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 30)
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, by: int, rest: int, most: int = labelled.MOST_ROWS, most_grams: int = MOST_GRAMS) -> Model:
-    """Fit on a sample of at most about ``most`` labelled rows: four folds are counted, the fifth sets the logistic weights.
+def fit(docs: DataFrame, labels: DataFrame, label: str, by: int, rest: int, most: int = labelled.MOST_ROWS) -> Model:
+    """Fit on all documents: a fifth of the labelled ones, of at most about ``most``, sets the logistic weights; all others are counted.
 
-    Each task counts grams of its documents, Spark adds them up, and the driver receives at most ``most_grams`` of
-    them. Without labelled rows every score is one half.
+    Each task counts grams of its documents and Spark adds them up: counts by class over the labelled rows,
+    continuation counts over all documents. The model grows with the distinct grams of labelled rows; the driver and
+    every worker hold it. Without labelled rows every score is one half.
     """
-    rows = labelled.texts(docs, labelled.sample(labels, label, by, rest, most))
+    told = settle(labelled.sample(labels, label, by, rest, sys.maxsize), "labelled")
+    setting = labelled.sample(labels, label, by, rest, most).where("fold = 0")
+    counting = told.join(F.broadcast(setting.select("doc_id")), "doc_id", "left_anti").select("doc_id", "y")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def count(batches):
-        words = (Counter(), Counter())
+        words = (Counter(), Counter(), Counter())  # the last: without a class
 
         def out():
-            n: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-            for y in (0, 1):
+            n: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
+            for y in (0, 1, 2):
                 for w, c in words[y].items():
                     for g in grams(w):
                         n[g][y] += c
@@ -156,19 +181,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, by: int, rest: int, most
             y, at = batch.column("y").to_pylist(), 0
             for part in slices(batch.column("text")):
                 for t in part:
-                    words[y[at]].update(t.lower().split())
+                    words[2 if y[at] is None else y[at]].update(t.lower().split())
                     at += 1
-                if len(words[0]) + len(words[1]) > 500_000:
+                if sum(map(len, words)) > 500_000:
                     yield from out()
-        if words[0] or words[1]:
+        if any(words):
             yield from out()
 
-    counted = rows.where("fold > 0").mapInArrow(count, "gram string, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    kept = counted.orderBy(F.desc(F.col("n0") + F.col("n1")), "gram").limit(most_grams).toPandas()
+    found = own.join(counting, "doc_id", "left").select("text", "y").mapInArrow(count, "gram string, n0 long, n1 long")
+    counted = settle(found.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "grams")
+    kept = counted.where("n0 + n1 > 0").toPandas()
     model = Model()
     if not len(kept):
         return model
-    model.ratios, model.contexts = log_ratios(dict(zip(kept["gram"], zip(kept["n0"].tolist(), kept["n1"].tolist(), strict=True), strict=True)))
+    ends = continued(counted.select("gram")).toPandas()
+    backoff = dict(zip(ends["gram"], ends["n"].tolist(), strict=True))
+    model.ratios, model.contexts = log_ratios(dict(zip(kept["gram"], zip(kept["n0"].tolist(), kept["n1"].tolist(), strict=True), strict=True)), backoff)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def compare(batches):
@@ -176,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, by: int, rest: int, most
             x = np.array([shared.value.compare(t) for part in slices(batch.column("text")) for t in part]).reshape(-1, 5)
             yield pa.RecordBatch.from_pydict({"y": batch.column("y")} | {f"x{i}": x[:, i] for i in range(5)})
 
-    told = rows.where("fold = 0").mapInArrow(compare, "y int, " + ", ".join(f"x{i} double" for i in range(5))).toPandas()
+    told = labelled.texts(docs, setting).mapInArrow(compare, "y int, " + ", ".join(f"x{i} double" for i in range(5))).toPandas()
     if len(told):
         x, y = told[[f"x{i}" for i in range(5)]].to_numpy(), told["y"].to_numpy()
         model.mean, model.scale = x.mean(0), np.maximum(x.std(0), 1e-6)

@@ -71,3 +71,25 @@ def test_rare_stem_is_found():
             c[y] += n
     model = toxicity.Model(*toxicity.log_ratios({g: tuple(c) for g, c in counts.items()}))
     assert model.word("vexlish")[0] > 1 > model.word("table")[0]
+
+
+def test_counts_grow_with_the_corpus(spark):
+    """Every labelled row but those that set the weights is counted, rare grams too; backoff counts cover unlabelled text."""
+    word = lambda i, c: c + "".join(chr(97 + i // 26**k % 26) for k in range(3)) + c
+    rows = [(i, f"common words here {word(i, 'q' if i % 2 else 'z')}") for i in range(300)] + [(1000 + i, f"unlabelled {word(i, 'x')}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    setting = {r.doc_id for r in labelled.sample(labels, "toxic", 4, 2, 40).where("fold = 0").collect()}
+    held = {r.doc_id for r in labels.where(labelled.held_out("doc_id", 4, 2)).collect()}
+    assert 0 < len(setting) < 30
+    counts = {}
+    for i, t in rows[:300]:
+        if i not in setting | held:
+            for g in (g for w in t.split() for g in toxicity.grams(w)):
+                c = counts.setdefault(g, [0, 0])
+                c[i % 2] += 1
+    seen = {g for _, t in rows for w in t.split() for g in toxicity.grams(w)}
+    want = toxicity.log_ratios(counts, toxicity.continuations(seen))
+    model = toxicity.fit(docs, labels, "toxic", 4, 2, most=40)
+    assert model.ratios == pytest.approx(want[0]) and model.contexts == pytest.approx(want[1])
+    assert model.ratios != pytest.approx(toxicity.log_ratios(counts)[0])
