@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from momentloom.llm.memo import WORD_LIMIT, Memo, cut_byte_level, is_loose, packed, slices
+from momentloom.llm.memo import Memo, cut_byte_level, is_loose, packed, slices
 
 CODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _NONE = np.int64(2**62)
@@ -168,28 +168,16 @@ class Coder:
     def __init__(self, path: str, pattern: str):
         import regex
 
-        self.ranks, self.split = Ranks(read_ranks(path)), regex.compile(pattern).findall
-        self.words: dict[str, bytes] = {}
-        self.memo = Memo(cut_byte_level, self._piece, is_loose)
+        self.ranks = Ranks(read_ranks(path))
+        self.memo = Memo(cut_byte_level, regex.compile(pattern).findall, self._learn, is_loose)
         self.bytes = [self.ranks.token.get(i, b"") for i in range(self.ranks.size)]
 
-    def _piece(self, piece: str) -> bytes:
-        return b"".join([self.words.get(w) or self._learn([w])[w] for w in self.split(piece)])
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        self.words.update(zip(words, map(packed, merge_words([w.encode() for w in words], self.ranks)), strict=True))
-        return self.words
+    def _learn(self, words: list[str]) -> list[bytes]:
+        return list(map(packed, merge_words([w.encode() for w in words], self.ranks)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.words) > WORD_LIMIT:
-            self.words = {}
-        memo, new = self.memo, set()
-        for t in texts:
-            new.update(p for p in memo.cut(t) if p not in memo and p not in memo.older)
-        words = {w for p in new for w in self.split(p) if w not in self.words}
-        self._learn(list(words))
-        return [memo.ids(t) for t in texts]
+        return self.memo.encode(texts)
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that the ids stand for."""

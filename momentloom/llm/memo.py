@@ -1,7 +1,8 @@
 """Encoding whole texts piece by piece through a bounded memo.
 
 A text is cut only where the tokenizer itself must cut, so the joined ids of the pieces are the ids of the whole
-text. Words repeat, so most pieces come from the memo; what is missing is encoded once.
+text. Words repeat, so most pieces come from the memo; what a batch of texts misses is split into words, and the
+words that are missing too are encoded together. Pieces and words each have a memo in two generations.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ import unicodedata
 from array import array
 from collections.abc import Callable, Iterable
 
-#: Pieces that a worker remembers at most; about 200 bytes each. The half not met lately is forgotten when full.
-MEMO_LIMIT = 500_000
+#: Bytes that a worker remembers at most: of pieces, and of the words that they are made of.
+PIECE_BYTES = 192 << 20
+WORD_BYTES = 128 << 20
 
-#: Distinct words that a worker remembers besides; they occur in several pieces, with and without punctuation.
-WORD_LIMIT = 250_000
+#: What an entry takes besides its characters and ids: two objects and a place in a table.
+_ENTRY = 180
 
 #: Pieces with characters from here on take the library's whole chain, lest Unicode versions differ.
 PLAIN_BELOW = "\u0130"
@@ -55,33 +57,103 @@ def packed(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
 
-class Memo(dict):
-    """Ids of pieces as little-endian unsigned 32-bit integers, made once by ``encode`` and remembered.
+#: Stands for the ids of a piece that has none of its own.
+LOOSE = False
 
-    ``cut`` gives the pieces of a text. Where ``loose`` holds for a piece, its text is cut by ``cut_loose`` instead.
+
+class Kept:
+    """A memo in two generations: when the young one holds half of ``most`` bytes, it becomes the older one, which is forgotten.
+
+    What is met in the older generation moves into the young one, so frequent keys stay.
     """
 
-    def __init__(self, cut: Callable[[str], list[str]], encode: Callable[[str], bytes],
-                 loose: Callable[[str], bool] | None = None, limit: int = MEMO_LIMIT):
-        super().__init__()
-        self.cut, self.encode, self.loose, self.limit, self.older = cut, encode, loose, limit, {}
+    def __init__(self, most: int):
+        self.most, self.young, self.older, self.held = most, {}, {}, 0
+
+    def turn(self) -> None:
+        if 2 * self.held > self.most:
+            self.older, self.young, self.held = self.young, {}, 0
+
+    def put(self, key: str, value: bytes | bool) -> None:
+        self.young[key] = value
+        self.held += _ENTRY + len(key) + (len(value) if value else 0)
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The keys that neither generation holds; the others are in the young one afterwards."""
+        out, older = [], self.older
+        for k in keys.difference(self.young):
+            if k in older:
+                self.put(k, older[k])
+            else:
+                out.append(k)
+        return out
+
+
+class Memo:
+    """Ids of texts as little-endian unsigned 32-bit integers, put together from remembered pieces.
 
-    def __missing__(self, piece: str) -> bytes | None:
-        out = self.older.get(piece)
-        if out is None and not (self.loose and self.loose(piece)):
-            out = self.encode(piece)
-        self[piece] = out
+    ``cut`` gives the pieces of a text, ``split`` the words of a piece, ``learn`` the ids of words that were not met
+    before, all of a batch at once. Where ``loose`` holds for a piece, its text is cut by ``cut_loose`` instead.
+    ``control`` maps strings that stand for one id wherever they occur to that id; the texts between them are
+    encoded on their own, as the library does.
+    """
+
+    def __init__(self, cut: Callable[[str], list[str]], split: Callable[[str], list[str]], learn: Callable[[list[str]], list[bytes]],
+                 loose: Callable[[str], bool] | None = None, control: dict[str, int] | None = None):
+        self.cut, self.split, self.learn, self.loose = cut, split, learn, loose
+        self.control = {k: packed([i]) for k, i in (control or {}).items()}
+        self.between = re.compile("(" + "|".join(map(re.escape, sorted(self.control, key=len, reverse=True))) + ")") if control else None
+        self.pieces, self.words = Kept(PIECE_BYTES), Kept(WORD_BYTES)
+
+    def _learnt(self, pieces: list[str]) -> Iterable[bytes]:
+        parts = list(map(tuple, map(self.split, pieces)))
+        new = self.words.missing(set().union(*parts))
+        for w, ids in zip(new, self.learn(new), strict=True):
+            self.words.put(w, ids)
+        get = self.words.young.__getitem__
+        return [get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws)) for ws in parts]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without control strings."""
+        cuts, young = [self.cut(t) for t in texts], self.pieces.young
+        found = [list(map(young.get, c)) for c in cuts]
+        new = self.pieces.missing({p for c, f in zip(cuts, found, strict=True) if None in f for p, x in zip(c, f, strict=True) if x is None})
+        if self.loose:
+            bad = set(filter(self.loose, new))
+            for p in bad:
+                self.pieces.put(p, LOOSE)
+            new = [p for p in new if p not in bad]
+        for p, ids in zip(new, self._learnt(new), strict=True):
+            self.pieces.put(p, ids)
+        out, again = [], []
+        for i, (c, f) in enumerate(zip(cuts, found, strict=True)):
+            if None in f:
+                f = [young[p] if x is None else x for p, x in zip(c, f, strict=True)]
+            if self.loose and LOOSE in f:
+                f = ()
+                again.append(i)
+            out.append(b"".join(f))
+        if again:
+            cuts = [[p for p in cut_loose(texts[i]) if p] for i in again]
+            new = list(set().union(*cuts))
+            own = dict(zip(new, self._learnt(new), strict=True))
+            for i, c in zip(again, cuts, strict=True):
+                out[i] = b"".join(map(own.__getitem__, c))
         return out
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        self.pieces.turn()
+        self.words.turn()
+        if not self.between or not any(k in t for k in self.control for t in texts):
+            return self._plain(texts)
+        parts = [self.between.split(t) for t in texts]  # every second part is a control string
+        flat = iter(self._plain([p for ps in parts for p in ps[::2]]))
+        return [b"".join([self.control[p] if i % 2 else next(flat) for i, p in enumerate(ps)]) for ps in parts]
+
     def ids(self, text: str) -> bytes:
-        """The ids of a text."""
-        if len(self) > self.limit // 2:
-            self.older = dict(self)
-            self.clear()
-        try:
-            return b"".join(map(self.__getitem__, self.cut(text)))
-        except TypeError:  # a loose piece has no ids of its own
-            return b"".join((self[p] if not self.loose(p) else self.encode(p)) for p in cut_loose(text) if p)
+        """The ids of one text."""
+        return self.encode([text])[0]
 
 
 def _byte_letters() -> dict[int, str]:
@@ -92,10 +164,10 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Library:
-    """Pieces to ids by the tokenizers library.
+    """Words and their ids by the tokenizers library.
 
     Pieces of common letters are normalised and split here and go straight to the library's merge model, each
-    distinct word once; all others take the library's whole chain.
+    distinct word once; others are left whole and take the library's whole chain.
     """
 
     def __init__(self, path: str, pattern: str, lower: bool):
@@ -104,23 +176,27 @@ class _Library:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model, self.lower = self.whole.model, lower
-        self.words, self.letters, self.known = regex.compile(pattern).findall, _byte_letters(), {}
-
-    def _word(self, word: str) -> bytes:
-        shown = word.encode().decode("latin-1").translate(self.letters)
-        out = self.known[word] = packed([t.id for t in self.model.tokenize(shown)])
+        self.found, self.letters = regex.compile(pattern).findall, _byte_letters()
+        self.control = {t.content: i for i, t in self.whole.get_added_tokens_decoder().items()}
+
+    def plain(self, piece: str) -> bool:
+        return piece.isascii() or max(piece) < PLAIN_BELOW and not (self.lower and not unicodedata.is_normalized("NFC", piece))
+
+    def split(self, piece: str) -> list[str]:
+        if not self.plain(piece):
+            return [piece]
+        return self.found(piece.lower() if self.lower else piece)
+
+    def learn(self, words: list[str]) -> list[bytes]:
+        tokens, letters, out = self.model.tokenize, self.letters, []
+        for w in words:
+            if self.plain(w):
+                out.append(packed([t.id for t in tokens(w.encode().decode("latin-1").translate(letters))]))
+            else:
+                out.append(packed(self.whole.encode(w, add_special_tokens=False).ids))
         return out
 
-    def __call__(self, piece: str) -> bytes:
-        if not piece.isascii() and (max(piece) >= PLAIN_BELOW or self.lower and not unicodedata.is_normalized("NFC", piece)):
-            return packed(self.whole.encode(piece, add_special_tokens=False).ids)
-        if len(self.known) > WORD_LIMIT:
-            self.known.clear()
-        get = self.known.get
-        return b"".join([get(w) or self._word(w) for w in self.words(piece.lower() if self.lower else piece)])
-
 
 #: The split patterns of the two vocabularies.
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -130,11 +206,11 @@ _MADE: dict[tuple[str, str], Memo] = {}
 
 
 def library_memo(path: str, kind: str) -> Memo:
-    """This worker's memo over the tokenizers library, without special tokens; ``kind`` is ``byte`` or ``word``."""
+    """This worker's memo over the tokenizers library, as its ``encode`` without adding special tokens; ``kind`` is ``byte`` or ``word``."""
     if (path, kind) not in _MADE:
         byte = kind == "byte"
         library = _Library(path, BYTE_PATTERN if byte else WORD_PATTERN, lower=not byte)
-        _MADE[path, kind] = Memo(cut_byte_level, library, is_loose) if byte else Memo(cut_at_blanks, library)
+        _MADE[path, kind] = Memo(cut_byte_level if byte else cut_at_blanks, library.split, library.learn, is_loose if byte else None, library.control)
     return _MADE[path, kind]
 
 

@@ -144,9 +144,9 @@ def pack(docs: DataFrame, vocabulary: str, kind: str = "word", end_id: int = 1,
         def held():
             for batch in batches:
                 names, at = batch.column("doc_id").to_pylist(), 0
-                for texts in slices(batch.column("text")):
-                    for t in texts:
-                        yield names[at], np.frombuffer(memo.ids(t) + end, "<u4")
+                for texts in slices(batch.column("text"), 512):
+                    for x in memo.encode(texts):
+                        yield names[at], np.frombuffer(x + end, "<u4")
                         at += 1
 
         for found in groups(held(), capacity, piece, group):

@@ -51,12 +51,12 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, kind: str = "byt
         for batch in batches:
             ids = batch.column("doc_id").fill_null(NULL_ID).to_numpy()
             at = 0
-            for texts in slices(batch.column("text")):
+            for texts in slices(batch.column("text"), 512):
                 if not streams:
                     place.create_dir(root)
                     streams = {x: place.open_output_stream(f"{p}.{key}") for x, p in names.items()}
                     streams["off"].write(np.int64(0).tobytes())
-                rows = [np.frombuffer(memo.ids(t) + end, "<u4") for t in texts]
+                rows = [np.frombuffer(x + end, "<u4") for x in memo.encode(texts)]
                 ends = n + np.cumsum([len(r) for r in rows])
                 streams["bin"].write(np.concatenate(rows).astype(f"<u{width}").tobytes())
                 streams["off"].write(ends.astype("<i8").tobytes())

@@ -22,10 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from momentloom.llm import labelled
-from momentloom.llm.memo import MEMO_LIMIT, slices
+from momentloom.llm.memo import slices
 from momentloom.operators.stored import settle
 
 ORDER, DISCOUNT = 5, 0.75
+
+#: Words whose values a worker remembers at most; then it starts anew.
+MOST_WORDS = 250_000
 _EDGES = ".,;:!?\"'()[]*#$%&|"
 
 
@@ -125,7 +128,7 @@ class Model:
         if not words:
             return (0.0,) * 5
         known = self.known
-        if len(known) > MEMO_LIMIT // 2:
+        if len(known) > MOST_WORDS:
             known.clear()
         for w in set(words).difference(known):
             known[w] = self.word(w)

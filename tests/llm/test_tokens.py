@@ -4,13 +4,14 @@ import hashlib
 import random
 import zlib
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
 from momentloom.llm import bpe, packing, token_files
-from momentloom.llm.memo import library_memo
+from momentloom.llm.memo import Kept, library_memo
 from momentloom.operators.stored import scratch
 from tokenizers import Tokenizer
 
@@ -19,10 +20,13 @@ from llm.conftest import EDGES
 FILES = {"byte": "byte_bpe_50k.json", "word": "word_bpe_49k.json"}
 
 
+@cache
+def library(kind):
+    return Tokenizer.from_file(P.path(FILES[kind]))
+
+
 def whole(kind, text):
-    t = Tokenizer.from_file(P.path(FILES[kind]))
-    t.encode_special_tokens = True
-    return t.encode(text, add_special_tokens=False).ids
+    return library(kind).encode(text, add_special_tokens=False).ids
 
 
 def crc(ids):
@@ -38,12 +42,38 @@ def test_memo_equals_whole_encoding(kind):
         assert np.frombuffer(memo.ids(text), "<u4").tolist() == whole(kind, text), text[:60]
 
 
-def test_memo_forgets(monkeypatch):
-    memo = library_memo(P.path(FILES["byte"]), "byte")
-    monkeypatch.setattr(memo, "limit", 20)
-    text = " ".join(f"w{i}" for i in range(100))
+@pytest.mark.parametrize("kind", ["byte", "word"])
+def test_control_strings_are_one_id(kind):
+    memo = library_memo(P.path(FILES[kind]), kind)
+    texts = ["end <|endoftext|> of", "<|endoftext|>", "a<|startoftext|><|endoftext|>b c", "<|EndOfText|> <|endoftext|", "x  <|endoftext|>\n\n<|endoftext|> ", "plain"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in memo.encode(texts)] == [whole(kind, t) for t in texts]
+
+
+@pytest.mark.parametrize("kind", ["byte", "word"])
+def test_memo_forgets(kind, monkeypatch):
+    memo = library_memo(P.path(FILES[kind]), kind)
+    monkeypatch.setattr(memo, "pieces", Kept(6000))
+    monkeypatch.setattr(memo, "words", Kept(6000))
+    r = random.Random(4)
+    for _ in range(60):
+        text = " ".join(f"w{min(r.randrange(99), r.randrange(99))}, it's" for _ in range(30))
+        assert np.frombuffer(memo.ids(text), "<u4").tolist() == whole(kind, text)
+        assert memo.pieces.held <= 3000 + 61 * 300
+    assert memo.pieces.older  # generations turned
+
+
+def test_bpe_merges_each_word_once_while_remembered(monkeypatch):
+    c = bpe.coder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    monkeypatch.setattr(c.memo, "pieces", Kept(1 << 20))
+    monkeypatch.setattr(c.memo, "words", Kept(1 << 20))
+    met = []
+    learn = c.memo.learn
+    monkeypatch.setattr(c.memo, "learn", lambda words: met.append(list(words)) or learn(words))
+    texts = [f"alpha{i % 50} beta, gamma{i}." for i in range(400)]
     for _ in range(3):
-        assert np.frombuffer(memo.ids(text), "<u4").tolist() == whole("byte", text)
+        c.encode(texts)
+    flat = [w for ws in met for w in ws]
+    assert len(flat) == len(set(flat)) and [len(ws) > 1 for ws in met if ws] == [True]
 
 
 def test_token_files(spark, edges):
