@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, by: int, rest: int, feat
 
 
 def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """``docs`` with the score of its ``text`` under ``column``; null counts as empty. No row moves; only texts go to Python."""
+    """``docs`` with the score of its ``text`` under ``column``; null counts as empty. A column of that name is replaced. No row moves; only texts go to Python."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -62,43 +62,83 @@ def continued(seen: DataFrame) -> DataFrame:
     return out
 
 
-def log_ratios(counts: dict[str, tuple[int, int]], shared: dict[str, int] | None = None) -> tuple[dict[str, float], dict[str, float]]:
-    """Log ratio of toxic to ordinary probability of each gram, and of each context for grams never seen after it.
-
-    ``counts``: gram to its count in ordinary and in toxic documents; ``shared``: continuation counts, those of
-    ``counts`` by default.
+@dataclass
+class Shared:
+    """Continuation counts: of grams, and summed and counted over what follows each context; ``singles`` counts the grams of one character."""
+
+    n: dict[str, int]
+    total: dict[str, int]
+    kinds: dict[str, int]
+    singles: int
+
+    @classmethod
+    def of(cls, n: dict[str, int]) -> Shared:
+        total, kinds = Counter(), Counter()
+        for g, k in n.items():
+            total[g[:-1]] += k
+            kinds[g[:-1]] += 1
+        return cls(n, total, kinds, sum(len(g) == 1 for g in n))
+
+    @classmethod
+    def needed(cls, ends: DataFrame, told: DataFrame) -> Shared:
+        """What ``log_ratios`` asks of ``ends`` (``gram``, ``n``) for the grams of ``told``: their ends, and what follows the contexts of these.
+
+        So what is collected is bounded by the grams of labelled rows, however many others the documents hold.
+        """
+        suffixes = told.where(F.length("gram") > 1).select(F.explode(F.expr("transform(sequence(2, length(gram)), i -> substring(gram, i))")).alias("gram")).distinct()
+        context = F.expr("substring(gram, 1, length(gram) - 1)").alias("context")
+        sums = ends.groupBy(context).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
+        n = ends.join(suffixes, "gram", "left_semi").toPandas()
+        sums = sums.join(suffixes.select(context).distinct(), "context", "left_semi").toPandas()
+        return cls(dict(zip(n["gram"], n["n"].tolist(), strict=True)), dict(zip(sums["context"], sums["n"].tolist(), strict=True)),
+                   dict(zip(sums["context"], sums["kinds"].tolist(), strict=True)), ends.where(F.length("gram") == 1).count())
+
+
+class KneserNey:
+    """Chance of a character after its context in both classes, by their own counts and the shared backoff.
+
+    ``counts``: gram to its count in ordinary and in toxic documents.
     """
-    if shared is None:
-        shared = continuations(counts)
-    total, kinds = Counter(), Counter()
-    for g, n in shared.items():
-        total[g[:-1]] += n
-        kinds[g[:-1]] += 1
-    alphabet = 1 + sum(len(g) == 1 for g in shared)
-    kept: dict[str, float] = {"": 1 / alphabet}
-
-    def backoff(g: str) -> float:
-        out = kept.get(g)
+
+    def __init__(self, counts: dict[str, tuple[int, int]], shared: Shared):
+        self.counts, self.shared = counts, shared
+        self.kept: dict[str, float] = {"": 1 / (1 + shared.singles)}
+        #: Of each context: its count in both classes, and the number of different characters after it.
+        self.seen: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+        for g, (a, b) in counts.items():
+            s = self.seen[g[:-1]]
+            s[0], s[1], s[2], s[3] = s[0] + a, s[1] + b, s[2] + (a > 0), s[3] + (b > 0)
+
+    def backoff(self, g: str) -> float:
+        out = self.kept.get(g)
         if out is None:
-            n = total.get(g[:-1], 0)
-            out = rest = backoff(g[1:])
+            h, shared = g[:-1], self.shared
+            n, out = shared.total.get(h, 0), self.backoff(g[1:])
             if n:
-                out = (max(shared.get(g, 0) - DISCOUNT, 0) + DISCOUNT * kinds[g[:-1]] * rest) / n
-            kept[g] = out
+                out = (max(shared.n.get(g, 0) - DISCOUNT, 0) + DISCOUNT * shared.kinds[h] * out) / n
+            self.kept[g] = out
         return out
 
-    seen: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
-    for g, (a, b) in counts.items():
-        s = seen[g[:-1]]
-        s[0], s[1], s[2], s[3] = s[0] + a, s[1] + b, s[2] + (a > 0), s[3] + (b > 0)
-    left = lambda s, y: DISCOUNT * s[2 + y] / s[y] if s[y] else 1.0
-    contexts = {h: math.log(left(s, 1) / left(s, 0)) for h, s in seen.items()}
+    def left(self, h: str, y: int) -> float:
+        """The share of chance that a class leaves to the backoff after a context."""
+        s = self.seen.get(h)
+        return DISCOUNT * s[2 + y] / s[y] if s and s[y] else 1.0
 
-    def chance(g: str, s: list[int], y: int) -> float:
-        own = max(counts[g][y] - DISCOUNT, 0) / s[y] if s[y] else 0.0
-        return own + left(s, y) * backoff(g[1:])
+    def chance(self, g: str, y: int) -> float:
+        h = g[:-1]
+        s = self.seen.get(h)
+        own = max(self.counts.get(g, (0, 0))[y] - DISCOUNT, 0) / s[y] if s and s[y] else 0.0
+        return own + self.left(h, y) * self.backoff(g[1:])
 
-    return {g: math.log(chance(g, seen[g[:-1]], 1) / chance(g, seen[g[:-1]], 0)) for g in counts}, contexts
+
+def log_ratios(counts: dict[str, tuple[int, int]], shared: Shared | None = None) -> tuple[dict[str, float], dict[str, float]]:
+    """Log ratio of toxic to ordinary probability of each gram, and of each context for grams never seen after it.
+
+    ``shared``: continuation counts, those of ``counts`` by default.
+    """
+    model = KneserNey(counts, shared or Shared.of(continuations(counts)))
+    contexts = {h: math.log(model.left(h, 1) / model.left(h, 0)) for h in model.seen}
+    return {g: math.log(model.chance(g, 1) / model.chance(g, 0)) for g in counts}, contexts
 
 
 @dataclass
@@ -160,8 +200,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, by: int, rest: int, most
     """Fit on all documents: a fifth of the labelled ones, of at most about ``most``, sets the logistic weights; all others are counted.
 
     Each task counts grams of its documents and Spark adds them up: counts by class over the labelled rows,
-    continuation counts over all documents. The model grows with the distinct grams of labelled rows; the driver and
-    every worker hold it. Without labelled rows every score is one half.
+    continuation counts over all documents. Texts meet their labels by a merge join at every size (rows without an
+    id are counted where they are); of the continuation counts only those that labelled grams ask for are collected.
+    The model grows with the distinct grams of labelled rows; the driver and every worker hold it. Without labelled
+    rows every score is one half.
     """
     told = settle(labelled.sample(labels, label, by, rest, sys.maxsize), "labelled")
     setting = labelled.sample(labels, label, by, rest, most).where("fold = 0")
@@ -191,14 +233,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, by: int, rest: int, most
         if any(words):
             yield from out()
 
-    found = own.join(counting, "doc_id", "left").select("text", "y").mapInArrow(count, "gram string, n0 long, n1 long")
+    named = own.where(F.col("doc_id").isNotNull()).join(counting.hint("merge"), "doc_id", "left").select("text", "y")
+    unnamed = own.where(F.col("doc_id").isNull()).select("text", F.lit(None).cast("int").alias("y"))
+    found = named.union(unnamed).mapInArrow(count, "gram string, n0 long, n1 long")
     counted = settle(found.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "grams")
-    kept = counted.where("n0 + n1 > 0").toPandas()
+    told_grams = counted.where("n0 + n1 > 0")
+    kept = told_grams.toPandas()
     model = Model()
     if not len(kept):
         return model
-    ends = continued(counted.select("gram")).toPandas()
-    backoff = dict(zip(ends["gram"], ends["n"].tolist(), strict=True))
+    backoff = Shared.needed(settle(continued(counted.select("gram")), "ends"), told_grams)
     model.ratios, model.contexts = log_ratios(dict(zip(kept["gram"], zip(kept["n0"].tolist(), kept["n1"].tolist(), strict=True), strict=True)), backoff)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -216,7 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, by: int, rest: int, most
 
 
 def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """``docs`` with the score of its whole ``text`` under ``column``; null counts as empty. No row moves; only texts go to Python."""
+    """``docs`` with the score of its whole ``text`` under ``column``; null counts as empty. A column of that name is replaced. No row moves; only texts go to Python."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -30,7 +30,7 @@ def test_edges_are_scored(spark, edges, no_docs):
     for module, label in ((quality, "quality"), (toxicity, "toxic")):
         for fitted in (labels, labels.limit(0)):
             model = module.fit(edges, fitted, label, 3, 1)
-            rows = module.scored(edges.drop("score"), model).collect()
+            rows = module.scored(edges, model).collect()
             assert len(rows) == len(EDGES) and all(0 <= r.score <= 1 for r in rows)
         assert module.scored(no_docs, module.fit(no_docs, labels, label, 3, 1)).collect() == []
 
@@ -47,22 +47,64 @@ def test_isotonic():
     assert np.isclose(np.interp(1.5, x, level), 0.5)
 
 
-def test_kneser_ney_sums_to_one():
-    r = random.Random(1)
-    counts = {}
-    for _ in range(400):
-        w = "".join(r.choice("abcd") for _ in range(r.randint(1, 7)))
+def _counts(seed, letters="abcd", words=400):
+    r, counts = random.Random(seed), {}
+    for _ in range(words):
+        w = "".join(r.choice(letters) for _ in range(r.randint(1, 7)))
         for g in toxicity.grams(w):
             a, b = counts.get(g, (0, 0))
             y = r.random() < 0.3
             counts[g] = (a + (not y), b + y)
-    ratios, contexts = toxicity.log_ratios(counts)
+    return counts
+
+
+def test_kneser_ney_sums_to_one():
+    counts = _counts(1)
+    shared = toxicity.Shared.of(toxicity.continuations([*counts, *_counts(2, "abcdef")]))
+    model = toxicity.KneserNey(counts, shared)
+    letters = sorted({g for g in shared.n if len(g) == 1})
+    assert set("abcdef") < set(letters)
+    for h in [*model.seen, "zz", "\x02z", ""]:  # "?" stands for all characters that were never seen
+        for y in (0, 1):
+            if h:
+                assert sum(model.chance(h + c, y) for c in [*letters, "?"]) == pytest.approx(1)
+        assert sum(model.backoff(h + c) for c in [*letters, "?"]) == pytest.approx(1)
+
+
+def test_kneser_ney_by_the_formula():
+    """One context by hand: discounted own counts, the rest to discounted continuation counts."""
+    model = toxicity.KneserNey({"ab": (3, 0), "ac": (1, 2), "b": (9, 9), "c": (9, 9)}, toxicity.Shared(dict(b=2, c=1), {"": 3}, {"": 2}, 2))
+    low = lambda n: (n - 0.75) / 3 + 0.75 * 2 / 3 / 3
+    assert model.chance("ab", 0) == pytest.approx(2.25 / 4 + 0.75 * 2 / 4 * low(2))
+    assert model.chance("ac", 0) == pytest.approx(0.25 / 4 + 0.75 * 2 / 4 * low(1))
+    assert model.chance("ab", 1) == pytest.approx(0.75 * 1 / 2 * low(2))
+    assert model.chance("xb", 1) == pytest.approx(low(2))
+
+
+def test_unseen_grams_say_what_their_context_says():
+    ratios, contexts = toxicity.log_ratios(counts := _counts(1))
     assert set(ratios) == set(counts) and all(map(math.isfinite, [*ratios.values(), *contexts.values()]))
-    # A class never seen in a context backs off wholly; where both never were, nothing is said.
     model = toxicity.Model(ratios, contexts)
     assert model.word("zzzz")[0] == pytest.approx(sum(contexts.get(g[:-1], 0) for g in toxicity.grams("zzzz")))
 
 
+def test_needed_continuations_are_enough(spark):
+    counts, every = _counts(3, "abc", 60), [*_counts(4, "abcdefgh", 900), *_counts(3, "abc", 60)]
+    ends = spark.createDataFrame(list(toxicity.continuations(every).items()), "gram string, n long")
+    told = spark.createDataFrame([(g,) for g in counts], "gram string")
+    few, all_ = toxicity.Shared.needed(ends, told), toxicity.Shared.of(toxicity.continuations(every))
+    assert len(few.n) < len(all_.n) / 2
+    for one, two in zip(toxicity.log_ratios(counts, few), toxicity.log_ratios(counts, all_), strict=True):
+        assert one == pytest.approx(two)
+
+
+def test_rows_without_an_id_are_counted_where_they_are(spark):
+    docs = spark.createDataFrame([(None, "abc abd")] * 50 + [(1, "abc"), (2, "xyz")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, "toxic", 4, 9)
+    assert set(model.ratios) <= {g for w in ("abc", "xyz") for g in toxicity.grams(w)}
+
+
 def test_rare_stem_is_found():
     counts = {}
     for w, y, n in [("table", 0, 50), ("tailor", 0, 30), ("vexling", 1, 6), ("vexlorn", 1, 6), ("table", 1, 20)]:
@@ -89,7 +131,7 @@ def test_counts_grow_with_the_corpus(spark):
                 c = counts.setdefault(g, [0, 0])
                 c[i % 2] += 1
     seen = {g for _, t in rows for w in t.split() for g in toxicity.grams(w)}
-    want = toxicity.log_ratios(counts, toxicity.continuations(seen))
+    want = toxicity.log_ratios(counts, toxicity.Shared.of(toxicity.continuations(seen)))
     model = toxicity.fit(docs, labels, "toxic", 4, 2, most=40)
     assert model.ratios == pytest.approx(want[0]) and model.contexts == pytest.approx(want[1])
     assert model.ratios != pytest.approx(toxicity.log_ratios(counts)[0])
