@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from momentloom.llm.memo import Memo, cut_byte_level, is_loose, packed, slices
+from momentloom.llm.memo import Memo, cut_byte_level, is_loose, packed, plain_words, slices
 
 CODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _NONE = np.int64(2**62)
@@ -169,7 +169,8 @@ class Coder:
         import regex
 
         self.ranks = Ranks(read_ranks(path))
-        self.memo = Memo(cut_byte_level, regex.compile(pattern).findall, self._learn, is_loose)
+        found = regex.compile(pattern).findall
+        self.memo = Memo(cut_byte_level, lambda p: plain_words(p) or found(p), self._learn, is_loose)
         self.bytes = [self.ranks.token.get(i, b"") for i in range(self.ranks.size)]
 
     def _learn(self, words: list[str]) -> list[bytes]:

@@ -9,18 +9,16 @@ from __future__ import annotations
 
 import os
 import re
-import unicodedata
 from array import array
 from collections.abc import Callable, Iterable
 
-#: Bytes that a worker remembers at most: of pieces, and of the words that they are made of.
-PIECE_BYTES = 192 << 20
-WORD_BYTES = 128 << 20
+#: Bytes that a worker remembers at most, of pieces and of the words that they are made of.
+MEMO_BYTES = 208 << 20
 
 #: What an entry takes besides its characters and ids: two objects and a place in a table.
 _ENTRY = 180
 
-#: Pieces with characters from here on take the library's whole chain, lest Unicode versions differ.
+#: Pieces with characters from here on take the library's whole chain, lest Unicode versions differ; those below are all composed.
 PLAIN_BELOW = "\u0130"
 
 # Between a non-blank and one space before a non-blank, every byte-level pre-tokenizer starts a new match.
@@ -52,6 +50,22 @@ def cut_loose(text: str) -> list[str]:
     return _BEFORE_SPACE.split(text)
 
 
+_MARKS = frozenset(".,;:!?")
+
+
+def plain_words(piece: str) -> list[str] | None:
+    """The words of a piece of common letters with at most one space before and one mark after them, else None.
+
+    Every split pattern in use takes the letters, with the space where it keeps spaces, as one match and the mark as another.
+    """
+    body = piece[1:] if piece[:1] == " " else piece
+    if not piece.isascii() and max(piece) >= PLAIN_BELOW:
+        return None
+    if body.isalpha():
+        return [piece]
+    return [piece[:-1], piece[-1]] if piece[-1:] in _MARKS and body[:-1].isalpha() else None
+
+
 def packed(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
     return array("I", ids).tobytes()
@@ -74,26 +88,24 @@ class Kept:
         if 2 * self.held > self.most:
             self.older, self.young, self.held = self.young, {}, 0
 
-    def put(self, key: str, value: bytes | bool) -> None:
-        self.young[key] = value
-        self.held += _ENTRY + len(key) + (len(value) if value else 0)
+    def put(self, keys: list[str], values: list[bytes]) -> None:
+        self.young.update(zip(keys, values, strict=True))
+        self.held += _ENTRY * len(keys) + sum(map(len, keys)) + sum(map(len, values))
 
     def missing(self, keys: set[str]) -> list[str]:
         """The keys that neither generation holds; the others are in the young one afterwards."""
-        out, older = [], self.older
-        for k in keys.difference(self.young):
-            if k in older:
-                self.put(k, older[k])
-            else:
-                out.append(k)
-        return out
+        new = keys.difference(self.young)
+        old = list(new.intersection(self.older))
+        self.put(old, list(map(self.older.__getitem__, old)))
+        return list(new.difference(old))
 
 
 class Memo:
     """Ids of texts as little-endian unsigned 32-bit integers, put together from remembered pieces.
 
     ``cut`` gives the pieces of a text, ``split`` the words of a piece, ``learn`` the ids of words that were not met
-    before, all of a batch at once. Where ``loose`` holds for a piece, its text is cut by ``cut_loose`` instead.
+    before, all of a batch at once; a piece of letters, or of letters with a space before them, is a word.
+    Where ``loose`` holds for a piece, its text is cut by ``cut_loose`` instead.
     ``control`` maps strings that stand for one id wherever they occur to that id; the texts between them are
     encoded on their own, as the library does.
     """
@@ -103,48 +115,63 @@ class Memo:
         self.cut, self.split, self.learn, self.loose = cut, split, learn, loose
         self.control = {k: packed([i]) for k, i in (control or {}).items()}
         self.between = re.compile("(" + "|".join(map(re.escape, sorted(self.control, key=len, reverse=True))) + ")") if control else None
-        self.pieces, self.words = Kept(PIECE_BYTES), Kept(WORD_BYTES)
-
-    def _learnt(self, pieces: list[str]) -> Iterable[bytes]:
-        parts = list(map(tuple, map(self.split, pieces)))
-        new = self.words.missing(set().union(*parts))
-        for w, ids in zip(new, self.learn(new), strict=True):
-            self.words.put(w, ids)
-        get = self.words.young.__getitem__
-        return [get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws)) for ws in parts]
+        self.kept = Kept(MEMO_BYTES)
+
+    def _learnt(self, pieces: list[str]) -> None:
+        """Remember the ids of pieces that are not loose."""
+        whole, made, words, split = [], [], [], self.split
+        for p in pieces:
+            ws = split(p)
+            if len(ws) == 1 and ws[0] == p:
+                whole.append(p)
+            else:
+                made.append(p)
+                words.append(ws)
+        every = set(whole).union(*words)
+        blank = [w for w in every if not w[-1:].isalnum() and self.loose and self.loose(w)]  # not kept: as pieces they have no ids
+        new = self.kept.missing(every.difference(blank))
+        self.kept.put(new, self.learn(new))
+        young, own = self.kept.young, dict(zip(blank, self.learn(blank), strict=True))
+        get = (lambda w: own[w] if w in own else young[w]) if own else young.__getitem__
+        self.kept.put(made, [b"".join(map(get, ws)) for ws in words])
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         """Ids of texts without control strings."""
-        cuts, young = [self.cut(t) for t in texts], self.pieces.young
+        cuts, young = [self.cut(t) for t in texts], self.kept.young
         found = [list(map(young.get, c)) for c in cuts]
-        new = self.pieces.missing({p for c, f in zip(cuts, found, strict=True) if None in f for p, x in zip(c, f, strict=True) if x is None})
+        gaps = []
+        for i, f in enumerate(found):
+            at = -1
+            while True:
+                try:
+                    at = f.index(None, at + 1)
+                except ValueError:
+                    break
+                gaps.append((i, at))
+        new = self.kept.missing({cuts[i][at] for i, at in gaps})
         if self.loose:
             bad = set(filter(self.loose, new))
-            for p in bad:
-                self.pieces.put(p, LOOSE)
+            young.update(dict.fromkeys(bad, LOOSE))
             new = [p for p in new if p not in bad]
-        for p, ids in zip(new, self._learnt(new), strict=True):
-            self.pieces.put(p, ids)
-        out, again = [], []
-        for i, (c, f) in enumerate(zip(cuts, found, strict=True)):
-            if None in f:
-                f = [young[p] if x is None else x for p, x in zip(c, f, strict=True)]
-            if self.loose and LOOSE in f:
-                f = ()
-                again.append(i)
-            out.append(b"".join(f))
-        if again:
-            cuts = [[p for p in cut_loose(texts[i]) if p] for i in again]
-            new = list(set().union(*cuts))
-            own = dict(zip(new, self._learnt(new), strict=True))
-            for i, c in zip(again, cuts, strict=True):
-                out[i] = b"".join(map(own.__getitem__, c))
+        self._learnt(new)
+        for i, at in gaps:
+            found[i][at] = young[cuts[i][at]]
+        out = []
+        for t, f in zip(texts, found, strict=True):
+            try:
+                out.append(b"".join(f))
+            except TypeError:  # a loose piece has no ids of its own
+                out.append(self._loosely(t))
         return out
 
+    def _loosely(self, text: str) -> bytes:
+        words = [self.split(p) for p in cut_loose(text) if p]
+        new = list(set().union(*words))
+        return b"".join(map(dict(zip(new, self.learn(new), strict=True)).__getitem__, [w for ws in words for w in ws]))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        self.pieces.turn()
-        self.words.turn()
+        self.kept.turn()
         if not self.between or not any(k in t for k in self.control for t in texts):
             return self._plain(texts)
         parts = [self.between.split(t) for t in texts]  # every second part is a control string
@@ -181,17 +208,19 @@ class _Library:
         self.control = {t.content: i for i, t in self.whole.get_added_tokens_decoder().items()}
 
     def plain(self, piece: str) -> bool:
-        return piece.isascii() or max(piece) < PLAIN_BELOW and not (self.lower and not unicodedata.is_normalized("NFC", piece))
+        return piece.isascii() or max(piece) < PLAIN_BELOW
 
     def split(self, piece: str) -> list[str]:
         if not self.plain(piece):
             return [piece]
-        return self.found(piece.lower() if self.lower else piece)
+        if self.lower:
+            piece = piece.lower()
+        return plain_words(piece) or self.found(piece)
 
     def learn(self, words: list[str]) -> list[bytes]:
         tokens, letters, out = self.model.tokenize, self.letters, []
         for w in words:
-            if self.plain(w):
+            if w.isascii() or self.plain(w):
                 out.append(packed([t.id for t in tokens(w.encode().decode("latin-1").translate(letters))]))
             else:
                 out.append(packed(self.whole.encode(w, add_special_tokens=False).ids))

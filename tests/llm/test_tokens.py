@@ -11,7 +11,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 from momentloom.llm import bpe, packing, token_files
-from momentloom.llm.memo import Kept, library_memo
+from momentloom.llm.memo import BYTE_PATTERN, PLAIN_BELOW, Kept, library_memo, plain_words
 from momentloom.operators.stored import scratch
 from tokenizers import Tokenizer
 
@@ -52,20 +52,18 @@ def test_control_strings_are_one_id(kind):
 @pytest.mark.parametrize("kind", ["byte", "word"])
 def test_memo_forgets(kind, monkeypatch):
     memo = library_memo(P.path(FILES[kind]), kind)
-    monkeypatch.setattr(memo, "pieces", Kept(6000))
-    monkeypatch.setattr(memo, "words", Kept(6000))
+    monkeypatch.setattr(memo, "kept", Kept(12000))
     r = random.Random(4)
     for _ in range(60):
         text = " ".join(f"w{min(r.randrange(99), r.randrange(99))}, it's" for _ in range(30))
         assert np.frombuffer(memo.ids(text), "<u4").tolist() == whole(kind, text)
-        assert memo.pieces.held <= 3000 + 61 * 300
-    assert memo.pieces.older  # generations turned
+        assert memo.kept.held <= 6000 + 91 * 300
+    assert memo.kept.older  # generations turned
 
 
 def test_bpe_merges_each_word_once_while_remembered(monkeypatch):
     c = bpe.coder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
-    monkeypatch.setattr(c.memo, "pieces", Kept(1 << 20))
-    monkeypatch.setattr(c.memo, "words", Kept(1 << 20))
+    monkeypatch.setattr(c.memo, "kept", Kept(1 << 20))
     met = []
     learn = c.memo.learn
     monkeypatch.setattr(c.memo, "learn", lambda words: met.append(list(words)) or learn(words))
@@ -76,6 +74,19 @@ def test_bpe_merges_each_word_once_while_remembered(monkeypatch):
     assert len(flat) == len(set(flat)) and [len(ws) > 1 for ws in met if ws] == [True]
 
 
+def test_common_letters_are_those_of_the_patterns():
+    import unicodedata
+
+    import regex
+
+    letters = regex.compile(r"\p{L}")
+    for c in map(chr, range(ord(PLAIN_BELOW))):
+        assert c.isalpha() == bool(letters.match(c)) and unicodedata.is_normalized("NFC", c)
+    for p in ("word", " word", " Élan,", "été.", "it's", " a1", "", " ", ",", "日本", "word\u0301"):
+        own = plain_words(p)
+        assert own is None or own == regex.findall(BYTE_PATTERN, p)
+
+
 def test_token_files(spark, edges):
     folder = scratch(spark, "test")
     token_files.write_tokens(edges, folder, P.path(FILES["byte"]), "byte", end_id=2, n_ids=50257)
