@@ -3,6 +3,7 @@
 from momentloom.llm import (  # noqa: F401
     q_chat,
     q_classifiers,
+    q_language,
     q_lexical,
     q_neighbours,
     q_rules,
