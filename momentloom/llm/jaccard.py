@@ -1,4 +1,4 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: bands of a MinHash sketch find pairs, whole texts decide.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash, bands of a MinHash sketch and rare shingles find pairs, whole texts decide.
 
 A pair of similarity s shares a band of ``rows`` minima with a chance of s ** rows, so all ``bands`` miss it with
 (1 - s ** rows) ** bands: 3e-6 at 0.8 for 32 bands of 5, less above. Only pairs that reach ``least`` exactly are linked.
@@ -12,9 +12,10 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from momentloom.llm import simhash
 from momentloom.llm.components import components
 from momentloom.llm.memo import slices
 from momentloom.operators.stored import settle
@@ -59,43 +60,69 @@ def sketch(found: np.ndarray, bands: int, rows: int) -> list[int]:
 
 
 def _sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id``, ``version`` (hash of the text), ``node`` (hash of its set of shingles) and ``keys`` of every row."""
+    """``doc_id``, ``version`` (hash of the text), ``node`` (hash of its set of shingles), its SimHash ``fp`` and its band ``keys`` of every row."""
 
     def run(batches):
         for batch in batches:
-            nodes, keys = [], []
+            nodes, keys, fps = [], [], []
             for texts in slices(batch.column("text")):
                 for t in texts:
                     found = shingles(t, words)
                     nodes.append(int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True))
                     keys.append(sketch(found, bands, rows))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "version": batch.column("version"), "node": pa.array(nodes, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+                    fps.append(simhash.fingerprint(t, words))
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column("doc_id"), "version": batch.column("version"), "node": pa.array(nodes, pa.int64()),
+                "fp": np.array(fps, "<u8").view("<i8"), "keys": pa.array(keys, pa.list_(pa.int64()))})
 
-    return docs.select("doc_id", "version", "text").mapInArrow(run, "doc_id long, version long, node long, keys array<long>")
+    return docs.select("doc_id", "version", "text").mapInArrow(run, "doc_id long, version long, node long, fp long, keys array<long>")
 
 
-def _reached(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """The ``pairs`` (``a``, ``b``: nodes) whose texts have a similarity of ``least`` or more."""
-    left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    whole = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+def _arrays(texts: DataFrame, words: int) -> DataFrame:
+    """``node``, ``size`` and ``found`` (its ``shingles``, as signed integers) of rows with ``node`` and ``text``."""
 
     def run(batches):
-        known: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = 0
+            for part in slices(batch.column("text")):
+                found = [shingles(t, words).view(np.int64) for t in part]
+                ends = np.cumsum([0] + [len(f) for f in found]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_pydict({"node": batch.column("node")[at : at + len(part)], "size": pa.array(np.diff(ends), pa.int32()), "found": lists})
+                at += len(part)
+
+    return texts.select("node", "text").mapInArrow(run, "node long, size int, found array<long>")
+
 
-        def of(node, text):
-            if node not in known:
-                if len(known) > 1000:
-                    known.clear()
-                known[node] = shingles(text or "", words)
-            return known[node]
+def _reached(pairs: DataFrame, arrays: DataFrame, least: float) -> DataFrame:
+    """The ``pairs`` (``a``, ``b``: nodes) with a similarity of ``least`` or more, by whole sets of shingles."""
+    one, two = (arrays.select(F.col("node").alias(c), F.col("found").alias(f"found_{c}")) for c in "ab")
 
+    def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 128):
-                rows = batch.slice(i, 128).to_pylist()
-                yes = [r for r in rows if similarity(of(r["a"], r["text_a"]), of(r["b"], r["text_b"])) >= least]
-                yield pa.RecordBatch.from_pydict({c: pa.array([r[c] for r in yes], pa.int64()) for c in "ab"})
+            one, two = batch.column("found_a"), batch.column("found_b")
+            yes = [similarity(one[i].values.to_numpy(), two[i].values.to_numpy()) >= least for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(yes, pa.bool_()))
+
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "found_a", "found_b").mapInArrow(run, "a long, b long")
 
-    return whole.mapInArrow(run, "a long, b long")
+
+def rare_keys(arrays: DataFrame, least: float) -> DataFrame:
+    """``key`` (a shingle) and ``node``, such that any two nodes with a similarity of ``least`` or more have a key in common.
+
+    Two sets of which the larger has n shingles share at least ``least`` * n of them, so each holds a shared one among
+    its n - ceil(least * n) + 1 rarest, whatever order all sets agree on. Here the order is by the number of nodes that
+    hold a shingle: what one node alone holds takes its place among the rarest but is no key, and a passage that
+    many nodes share is a key only of nodes that hold hardly anything else.
+    """
+    rows = arrays.select("node", "size", F.explode("found").alias("key"))
+    held = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    one = Window.partitionBy("node").orderBy("n", "key")
+    ranked = rows.join(held, "key").select(
+        "key", "node", "size", F.row_number().over(one).alias("rank"),
+        F.count("*").over(one.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("shared"))
+    prefix = F.col("size") - F.ceil(F.col("size") * F.lit(least) - F.lit(1e-6)) + 1
+    return ranked.where(F.col("rank") + F.col("size") - F.col("shared") <= prefix).select("key", "node")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, bands: int = 32, rows: int = 5) -> DataFrame:
@@ -103,36 +130,58 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, bands:
 
     Rows of one component of pairs with a similarity of ``least`` or more have one that stays, by the smallest
     ``doc_id`` and then ``version``; null ids come last. Texts with equal shingles are one node and make no pairs.
-    What shares a band is first held against one of the band; only pairs that are then still apart are held against
-    each other, so a large group of near copies does not make all its pairs. Null and empty texts are copies of each other.
+    Null and empty texts are copies of each other; so are an empty table's.
+
+    Pairs are looked for in three rounds, and what a round has put together makes no more pairs. First each node is
+    held against the least node of its SimHash component (fingerprints within 4 bits), and against the node with which
+    it shares most bands. Nodes that still share a band with a
+    node elsewhere are filed under their ``rare_keys``, and held against the least node of each key. Last, nodes that are still
+    apart under a key are held against each other, where their sizes allow the similarity. Passages that many texts
+    share are no keys, so texts that have only such a passage in common are not compared.
     """
     keyed = _keyed(docs)
     own = settle(_sketches(keyed, words, bands, rows), "sketches")
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version")
-    nodes = settle(own.groupBy("node").agg(F.min(F.struct(place.alias("place"), "keys")).alias("least")).select("node", "least.place", "least.keys"), "nodes")
+    nodes = settle(own.groupBy("node").agg(F.min(F.struct(place.alias("place"), "fp", "keys")).alias("least")).select("node", "least.place", "least.fp", "least.keys"), "nodes")
     filed = nodes.select("node", F.explode("keys").alias("key"))
     shared = filed.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
     met = settle(filed.join(shared, "key"), "met")
-
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = settle(pairs, f"{name}-pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        firsts = nodes.join(wanted, "node", "left_semi").select("node", F.col("place.doc_id").alias("d"), F.col("place.version").alias("v"))
-        texts = keyed.join(firsts, keyed["version"].eqNullSafe(firsts["v"]) & keyed["doc_id"].eqNullSafe(firsts["d"])).select("node", "text").dropDuplicates(["node"])
-        return settle(_reached(pairs, settle(texts, f"{name}-texts"), words, least), name)
-
-    stars = linked(met.where("node > centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "stars")
-    roots = components(stars)
-    at = met.join(roots, "node", "left").select("key", "node", F.coalesce("component", "node").alias("root"))
-    apart = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    at = settle(at.join(apart, "key", "left_semi"), "apart")
-    one, two = at.select("key", F.col("node").alias("a"), F.col("root").alias("ra")), at.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-    rest = linked(one.join(two, "key").where("a > b and ra <> rb").select("a", "b").distinct(), "rest")
-    placed = nodes.drop("keys").join(components(stars.union(rest)), "node", "left").withColumn("root", F.coalesce("component", "node"))
-    first = placed.groupBy("root").agg(F.min("place").alias("first"))
-    by_node = placed.join(first, "root").select("node", F.col("first.doc_id").alias("fd"), F.col("first.version").alias("fv"))
+    often = met.where("node > centre").groupBy("node", "centre").agg(F.count("*").alias("n"))
+    banded = often.groupBy("node").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("b")).select(F.col("node").alias("a"), "b")
+    prints = nodes.select("fp").distinct()
+    alike = nodes.select("node", "fp").join(components(simhash.links(prints)).withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("component", "fp").alias("print"))
+    heads = alike.groupBy("print").agg(F.min("node").alias("b"))
+    printed = alike.join(heads, "print").where("node <> b").select(F.col("node").alias("a"), "b")
+    nearest = settle(banded.union(printed).distinct(), "nearest")
+
+    asked = met.select("node").union(nearest.select(F.explode(F.array("a", "b")))).distinct()
+    firsts = nodes.join(asked, "node", "left_semi").select("node", F.col("place.doc_id").alias("d"), F.col("place.version").alias("v"))
+    texts = keyed.join(firsts.hint("merge"), (keyed["version"] == firsts["v"]) & keyed["doc_id"].eqNullSafe(firsts["d"])).select("node", "text").dropDuplicates(["node"])
+    arrays = settle(_arrays(texts, words), "arrays")
+    links = settle(_reached(nearest, arrays, least), "links")
+
+    def placed(keys: DataFrame) -> DataFrame:
+        """``key``, ``node`` and ``root`` of ``keys`` whose nodes are apart by the links so far, and the least of them as ``low`` and ``centre``."""
+        at = keys.join(components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("root"))
+        apart = at.groupBy("key").agg(F.min(F.struct("root", "node")).alias("least"), F.max("root").alias("high")).where("least.root < high")
+        return settle(at.join(apart.select("key", F.col("least.root").alias("low"), F.col("least.node").alias("centre")), "key"), "apart")
+
+    left = placed(met.select("key", "node")).select("node").distinct()
+    rare = settle(rare_keys(arrays.join(left, "node", "left_semi"), least), "rare")
+    at = placed(rare)
+    stars = at.where("root <> low").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    links = links.union(settle(_reached(stars, arrays, least), "links"))
+    at = placed(rare).join(arrays.select("node", "size"), "node")
+    one, two = (at.select("key", F.col("node").alias(c), F.col("root").alias(f"root_{c}"), F.col("size").alias(f"size_{c}")) for c in "ab")
+    fits = (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(least) - F.lit(1e-6)) & (F.col("root_a") != F.col("root_b"))
+    rest = one.join(two, "key").where((F.col("a") > F.col("b")) & fits).select("a", "b").distinct().join(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
+    links = links.union(settle(_reached(settle(rest, "rest"), arrays, least), "links"))
+
+    tied = nodes.drop("keys", "fp").join(components(links), "node", "left").withColumn("root", F.coalesce("component", "node"))
+    first = tied.groupBy("root").agg(F.min("place").alias("first"))
+    by_node = tied.join(first, "root").select("node", F.col("first.doc_id").alias("fd"), F.col("first.version").alias("fv"))
     stays = F.col("doc_id").eqNullSafe(F.col("fd")) & (F.col("version") == F.col("fv"))
-    return own.drop("keys").join(by_node, "node").select("doc_id", "version", stays.alias("stays"))
+    return own.drop("keys", "fp").join(by_node, "node").select("doc_id", "version", stays.alias("stays"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -141,9 +190,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: one row of each component stays. A row is named by id and text."""
-    gone = near_duplicates(docs, **how).where(~F.col("stays")).select(F.col("doc_id").alias("_gone"), F.col("version").alias("_text")).distinct()
-    id_, version = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    named = docs.withColumn("_version", version)
-    left = named.join(gone, (F.col("_version") == F.col("_text")) & id_.eqNullSafe(F.col("_gone")), "left_anti")
-    return left.dropDuplicates(["doc_id", "_version"]).drop("_version")
+    """The rows of ``docs`` without near-duplicates: one row of each component stays. A row is named by id and text; its other columns, of whatever names, stay with it."""
+    gone = near_duplicates(docs, **how).where(~F.col("stays")).select("doc_id", "version").distinct()
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("named"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("of"))
+    left = whole.join(gone, (whole["of"] == gone["version"]) & whole["named"].eqNullSafe(gone["doc_id"]), "left_anti")
+    return left.dropDuplicates(["named", "of"]).select("row.*")

@@ -88,13 +88,3 @@ def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, radius: int
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return own.join(placed.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
-
-def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the document with the smallest id stays, once.
-
-    Rows with equal ids are one document; rows without an id stay, as nothing tells them apart.
-    """
-    found = near_duplicates(docs, **how)
-    losers = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_loser"))
-    named = docs.where(F.col("doc_id").isNotNull())
-    return named.join(losers, named["doc_id"] == losers["_loser"], "left_anti").dropDuplicates(["doc_id"]).union(docs.where(F.col("doc_id").isNull()))

@@ -77,3 +77,45 @@ def test_hot_group(spark, n):
     base = prose(31, 200)
     docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit(base + " "), F.col("id").cast("string")).alias("text"))
     assert [x.doc_id for x in jaccard.one_of_each(docs).collect()] == [0]
+
+
+def test_rare_keys_meet_all_pairs(spark):
+    """Any two sets of a similarity of 0.8 or more share a key; a passage that all share is no key of texts with much else."""
+    r = random.Random(7)
+    texts = []
+    for _ in range(25):
+        base = " ".join(f"w{r.randint(0, 400)}" for _ in range(r.randint(6, 120)))
+        texts += [base] + [edited(base, k, r) for k in (1, 1, 2, 3) if len(base.split()) > 5 * k]
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    keys = jaccard.rare_keys(jaccard._arrays(rows, 5), 0.8).collect()
+    by = {}
+    for k in keys:
+        by.setdefault(k.node, set()).add(k.key)
+    sets = [plain(t) for t in texts]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if alike(sets[a], sets[b])]
+    assert len(pairs) > 50 and all(by[a] & by[b] for a, b in pairs)
+    passage = prose(41, 60)
+    texts = [f"{' '.join(f'own{i}x{j}' for j in range(40))} {passage}" for i in range(50)]
+    assert jaccard.rare_keys(jaccard._arrays(spark.createDataFrame(list(enumerate(texts)), "node long, text string"), 5), 0.8).count() == 0
+
+
+def test_many_texts_with_one_passage(spark):
+    """Distinct texts that share most of their words but are not linked, and near copies of some of them."""
+    r = random.Random(9)
+    passage = prose(51, 120)
+    rows = []
+    for i in range(400):
+        text = f"{' '.join(f'own{r.getrandbits(30)}' for _ in range(r.randint(25, 60)))} {passage}"
+        rows.append((2 * i, text))
+        if i % 10 == 0:
+            rows.append((2 * i + 1, edited(text, 1, r)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(x.doc_id for x in jaccard.one_of_each(docs).collect()) == survivors(rows)
+
+
+def test_columns_of_any_name(spark):
+    base = prose(61, 80)
+    rows = [(1, base, 5, 6, "x"), (2, base + " more", 7, 8, "y"), (3, prose(62, 80), 9, 1, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node int, _version int, row string")
+    kept = jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]

@@ -78,12 +78,6 @@ def test_near_duplicates(spark, edges, no_docs):
             least[comp[f]] = min(least.get(comp[f], i), i)
     assert all(c == least.get(comp[f]) for _, f, c in fps)
     assert simhash.near_duplicates(no_docs).collect() == []
-    kept = [r.doc_id for r in simhash.one_of_each(docs).collect()]
-    assert sorted(k for k in kept if k is not None) == sorted(set(least.values())) and kept.count(None) == 2
-
-
-def test_one_of_each_keeps_columns(edges):
-    assert simhash.one_of_each(edges).columns == edges.columns
 
 
 def test_hot_text(spark):
