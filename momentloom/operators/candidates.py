@@ -75,7 +75,7 @@ def rule_energy_rate(sig: Signals, reach: float = PEAK_SURGE_REACH, window: floa
     """
     mids = sig.kind("surge").select("video_id", F.col("pos").alias("surge_pos"), "t0", "t1", ((F.col("t0") + F.col("t1")) / 2).alias("t"))
     peaks = sig.peaks.select("video_id", "pos", F.col("t").alias("s"), "sigma")
-    near = nearest_point(mids, peaks, F.col("sigma"), width)
+    near = nearest_point(mids, peaks, F.col("sigma"))
     p = F.col("near")
     hit = near.where((p.s >= F.col("t0") - reach) & (p.s <= F.col("t1") + reach))
     raw = hit.select("video_id", "surge_pos", F.col("t0").alias("surge_t0"), p.s.alias("peak_t"), p.v.alias("sigma"),
@@ -110,7 +110,7 @@ def decile_bar(curve: DataFrame) -> DataFrame:
     counted = curve.where(F.col("v") > 0).groupBy("video_id", "v").agg(F.count("*").alias("n"))
     size = counted.groupBy("video_id").agg(F.sum("n").alias("size"), F.max("v").alias("top")).where(F.col("size") >= 2)
     scaled = settle(counted.join(size, "video_id").withColumn("x", F.col("v") / F.col("top") * 1e6), "values")
-    ranked = lookup(scaled, [Edge("upto", scaled, "x", "n", keep="sum")], t="x", width=2e3)
+    ranked = lookup(scaled, [Edge("upto", scaled, "x", "n", keep="sum")], t="x")
     n = F.col("size")
     j = F.least(F.greatest(F.floor(F.lit(9) * (n + 1) / 10), F.lit(1)), n - 1)
     ranked = ranked.withColumn("j", j)
@@ -141,14 +141,14 @@ def rule_scene_variance(sig: Signals, hop_s: float = 1.0, scene_len: float = SCE
                   F.array(claim("scene_stable", F.col("scene_t0"), F.col("mean"))))
 
 
-def dedupe_windows(cands: DataFrame, iou: float = SAME_IOU, width: float = 64.0) -> DataFrame:
+def dedupe_windows(cands: DataFrame, iou: float = SAME_IOU) -> DataFrame:
     """Greedy removal of near-identical windows in candidate order.
 
     Windows that no chain of overlaps connects cannot meet, so each such island is scanned alone.
     """
     rows = cands.select("video_id", *ORDER, "t0", "t1", "source", "notes", F.size("evidence").alias("n_evidence"),
                         F.to_json("evidence").alias("evidence_json"))
-    parts = folds.gap_islands(rows, "t0", "t1", 0.0, width=width)
+    parts = folds.gap_islands(rows, "t0", "t1", 0.0)
     kept = folds.scan_groups(
         parts, ["video_id", "island"], list(ORDER), folds.dedupe_step(iou),
         "t0 double, t1 double, source string, notes string, n_evidence int, evidence_json string, "
@@ -178,12 +178,12 @@ def rule_windows(sig: Signals, rules=(rule_energy_rate, rule_event_leadup, rule_
 def propose(sig: Signals, rules=(rule_energy_rate, rule_event_leadup, rule_scene_variance), k: int = MAX_CANDIDATES,
             iou: float = SAME_IOU, extra: DataFrame | None = None, width: float = 64.0) -> DataFrame:
     """All rules, near-duplicates removed, best ``k`` per timeline.  ``extra`` adds admitted proposals."""
-    best = top_candidates(dedupe_windows(rule_windows(sig, rules), iou, width), k)
+    best = top_candidates(dedupe_windows(rule_windows(sig, rules), iou), k)
     if extra is None:
         return best
     ruled = best.select("video_id", F.lit(0).alias("rule_rank"), F.col("pos").cast("double").alias("o1"),
                         F.lit(0).cast("bigint").alias("o2"), F.lit(0).alias("part"), "t0", "t1", "source", "notes", "evidence")
-    return top_candidates(dedupe_windows(ruled.unionByName(extra), iou, width), k)
+    return top_candidates(dedupe_windows(ruled.unionByName(extra), iou), k)
 
 
 # --- stored proposals -------------------------------------------------------------------------
@@ -248,21 +248,21 @@ def admit_proposals(first: DataFrame, sig: Signals, second: DataFrame | None = N
 # --- fallback -----------------------------------------------------------------------------------
 
 
-def fallback_windows(sig: Signals, n: int, span: float = MIN_LEN, iou: float = SAME_IOU, width: float = 64.0) -> DataFrame:
+def fallback_windows(sig: Signals, n: int, span: float = MIN_LEN, iou: float = SAME_IOU) -> DataFrame:
     """``n`` evenly spaced windows on the spoken part of each timeline, without evidence.
 
     Running speech time turns a spoken position into an as-of lookup; the greedy drop folds over the
     ``n`` windows of a timeline, an array of fixed size.
     """
     speech = sig.kind("speech").select("video_id", "pos", "t0", "t1", (F.col("t1") - F.col("t0")).alias("len"))
-    cum = lookup(speech, [Edge("upto", speech, "t0", "len", keep="sum")], t="t0", width=width)
+    cum = lookup(speech, [Edge("upto", speech, "t0", "len", keep="sum")], t="t0")
     cum = cum.select("video_id", "t0", "t1", "upto", (F.col("upto") - F.col("len")).alias("before"))
     total = speech.groupBy("video_id").agg(F.sum(F.greatest(F.lit(0.0), F.col("len"))).alias("total"), F.max_by("t1", "t0").alias("last"))
     mids = sig.media.where(F.col("duration_s") > 0).select("video_id", "duration_s", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
     mids = mids.join(total, "video_id", "left")
     spoken = F.coalesce("total", F.lit(0.0)) > 0
     mids = mids.withColumn("v", (F.col("k") + 0.5) * F.when(spoken, F.col("total")).otherwise(F.col("duration_s")) / n)
-    placed = lookup(mids, [Edge("hit", cum, "upto", F.struct("t0", "before"), "after")], t="v", width=width)
+    placed = lookup(mids, [Edge("hit", cum, "upto", F.struct("t0", "before"), "after")], t="v")
     mid = F.when(~spoken, F.col("v")).otherwise(
         F.coalesce(F.col("hit.t0") + F.col("v") - F.col("hit.before"), F.col("last")))
     half = span / 2

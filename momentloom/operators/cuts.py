@@ -27,7 +27,7 @@ ALIGN_MAX_MS = 300.0
 IDS = ("video_id", "cand_id")
 
 
-def ask(df: DataFrame, roles: dict[str, Column], edges: list[Edge], ids=IDS, width: float = 64.0) -> DataFrame:
+def ask(df: DataFrame, roles: dict[str, Column], edges: list[Edge], ids=IDS) -> DataFrame:
     """One lookup for several times of each row: adds ``<role>_<edge>`` for every pair.
 
     The row itself travels with its first role only and is put together again by key.
@@ -40,7 +40,7 @@ def ask(df: DataFrame, roles: dict[str, Column], edges: list[Edge], ids=IDS, wid
         for i, (r, t) in enumerate(roles.items())
     ]
     asked = df.select(*ids, F.explode(F.array(*points)).alias("x")).select(*ids, "x.role", "x.t", "x.row")
-    found = lookup(asked, edges, width=width)
+    found = lookup(asked, edges)
     wide = [F.max(F.when(F.col("role") == r, F.col(e.name))).alias(f"{r}_{e.name}") for r in roles for e in edges]
     out = found.groupBy(*ids).agg(F.first("row", ignorenulls=True).alias("row"), *wide)
     return out.select(*ids, "row.*", *[f"{r}_{e.name}" for r in roles for e in edges])
@@ -50,13 +50,13 @@ def sentence_ends(words: DataFrame) -> DataFrame:
     return words.where(ends_sentence("text")).select("video_id", "t1")
 
 
-def edges_of(sig: Signals, width: float = 64.0) -> dict[str, Edge]:
+def edges_of(sig: Signals) -> dict[str, Edge]:
     """Every speech edge the snapping rules look for."""
     words = sig.words.select("video_id", "pos", "t0", "t1")
     ends = sentence_ends(sig.words)
     quiet = sig.kind("silence")
     long = quiet.where(F.col("t1") - F.col("t0") >= MIN_SILENCE).select("video_id", F.col("t1").alias("t"))
-    clean = settle(inside_word(long, as_spans(words), width).where(~F.col("mid_word")), "pauses")
+    clean = settle(inside_word(long, as_spans(words)).where(~F.col("mid_word")), "pauses")
     return {
         "sentence_before": Edge("sentence_before", ends, "t1", "t1", "before"),
         "sentence_after": Edge("sentence_after", ends, "t1", "t1", "after"),
@@ -72,30 +72,30 @@ def edges_of(sig: Signals, width: float = 64.0) -> dict[str, Edge]:
 
 def sentence_start(points: DataFrame, sig: Signals, lead: float = SENTENCE_LEAD, width: float = 64.0) -> DataFrame:
     """Start of the sentence holding ``t``, at most ``lead`` back; null without an earlier sentence end."""
-    e = edges_of(sig, width)
-    out = settle(lookup(points, [e["sentence_before"]], width=width), "ends")
-    out = lookup(out, [e["start_after"]], t="sentence_before", width=width)
+    e = edges_of(sig)
+    out = settle(lookup(points, [e["sentence_before"]]), "ends")
+    out = lookup(out, [e["start_after"]], t="sentence_before")
     back = F.col("t") - F.col("start_after")
     return out.select(*points.columns, F.when((back >= 0) & (back <= lead), F.col("start_after")).alias("sentence_start"))
 
 
 def sentence_end(points: DataFrame, sig: Signals, tail: float = SENTENCE_TAIL, width: float = 64.0) -> DataFrame:
     """First sentence end at or after ``t``, at most ``tail`` ahead."""
-    out = lookup(points, [edges_of(sig, width)["sentence_after"]], width=width)
+    out = lookup(points, [edges_of(sig)["sentence_after"]])
     end = F.col("sentence_after")
     return out.select(*points.columns, F.when(end - F.col("t") <= tail, end).alias("sentence_end"))
 
 
 def silence_edge(points: DataFrame, sig: Signals, back: float = SILENCE_BACK, width: float = 64.0) -> DataFrame:
     """End of the last real pause before ``t`` that does not fall inside a word."""
-    out = lookup(points, [edges_of(sig, width)["silence_before"]], width=width)
+    out = lookup(points, [edges_of(sig)["silence_before"]])
     e = F.col("silence_before")
     return out.select(*points.columns, F.when(F.col("t") - e <= back, e).alias("silence_edge"))
 
 
 def word_start(points: DataFrame, sig: Signals, width: float = 64.0) -> DataFrame:
     """Start of the last word beginning at or before ``t``."""
-    return lookup(points, [edges_of(sig, width)["word_before"]], width=width).withColumnRenamed("word_before", "word_start")
+    return lookup(points, [edges_of(sig)["word_before"]]).withColumnRenamed("word_before", "word_start")
 
 
 def _open_choice(t: Column, start: Column, silence: Column, word: Column) -> Column:
@@ -108,10 +108,10 @@ def _open_choice(t: Column, start: Column, silence: Column, word: Column) -> Col
 
 def snap_open(rows: DataFrame, sig: Signals, t: str = "t0", name: str = "open", width: float = 64.0) -> DataFrame:
     """Opening edge: sentence start, else pause or word start, the earlier when close together, else unchanged."""
-    e = edges_of(sig, width)
+    e = edges_of(sig)
     cols = rows.columns
-    out = ask(rows, {"o": F.col(t)}, [e["sentence_before"], e["silence_before"], e["word_before"]], width=width)
-    out = ask(out, {"s": F.col("o_sentence_before")}, [e["start_after"]], width=width)
+    out = ask(rows, {"o": F.col(t)}, [e["sentence_before"], e["silence_before"], e["word_before"]])
+    out = ask(out, {"s": F.col("o_sentence_before")}, [e["start_after"]])
     choice = _open_choice(F.col(t), F.col("s_start_after"), F.col("o_silence_before"), F.col("o_word_before"))
     return out.select(*cols, choice.alias(name))
 
@@ -142,7 +142,7 @@ def strip_fillers(opens: DataFrame, sig: Signals, t: str = "open", scan: float =
     cols = opens.columns
     words = sig.words.select("video_id", "pos", F.col("t0").alias("s0"), F.col("t1").alias("s1"))
     fillers = settle(filler_words(sig, width), "fillers")
-    nexts = settle(lookup(fillers, [Edge("next", words, "s0", "s0", "after", strict=True)], t="t0", width=width), "nexts")
+    nexts = settle(lookup(fillers, [Edge("next", words, "s0", "s0", "after", strict=True)], t="t0"), "nexts")
     starts = nexts.where(F.col("next").isNotNull()).select("video_id", "next").distinct()
     heads = _first_word(starts, words, "next", scan, ["video_id"], width)
     heads = heads.select("video_id", "next", F.col("w.pos").alias("pos"), F.col("w.s0").alias("h0"))
@@ -153,7 +153,7 @@ def strip_fillers(opens: DataFrame, sig: Signals, t: str = "open", scan: float =
     first = _first_word(opens.select(*IDS, t), words, t, scan, list(IDS), width)
     first = first.select(*IDS, F.col("w.pos").alias("pos"))
     leading = settle(first.join(nexts.select("video_id", "pos", "next", "t1"), ["video_id", "pos"]), "leading")
-    jump = lookup(leading, [Edge("final", final, "next", "next", "after")], t="next", width=width)
+    jump = lookup(leading, [Edge("final", final, "next", "next", "after")], t="next")
     jump = jump.join(tail, "video_id").select(
         *IDS, F.when(F.col("next").isNull(), F.col("t1")).otherwise(F.coalesce("final", "tail")).alias("_jump"))
     out = opens.join(jump, list(IDS), "left")
@@ -171,11 +171,11 @@ def _with_room(t: Column, target: Column, following: Column) -> Column:
 
 def snap_close(rows: DataFrame, sig: Signals, t: str = "t1", name: str = "close", width: float = 64.0) -> DataFrame:
     """Closing edge: sentence end, else word end, plus room up to the next word; unchanged past the last word."""
-    e = edges_of(sig, width)
+    e = edges_of(sig)
     cols = rows.columns
-    out = ask(rows, {"c": F.col(t)}, [e["sentence_after"], e["end_after"]], width=width)
+    out = ask(rows, {"c": F.col(t)}, [e["sentence_after"], e["end_after"]])
     out = out.withColumn("_target", _close_target(F.col(t), F.col("c_sentence_after"), F.col("c_end_after")))
-    out = ask(out, {"n": F.col("_target")}, [e["start_after"]], width=width)
+    out = ask(out, {"n": F.col("_target")}, [e["start_after"]])
     return out.select(*cols, _with_room(F.col(t), F.col("_target"), F.col("n_start_after")).alias(name))
 
 
@@ -195,8 +195,8 @@ def clamp_cut(rows: DataFrame, t0: str = "t0", t1: str = "t1", min_dur: float =
 
 def reopen_on_speech(rows: DataFrame, sig: Signals, before: str, max_dur: float = MAX_DUR, width: float = 64.0) -> DataFrame:
     """Where the length floor moved ``t0`` before ``before``, go back to the last pause end or word start."""
-    e = edges_of(sig, width)
-    out = ask(rows, {"r": F.when(F.col("t0") < F.col(before), F.col("t0"))}, [e["any_silence_before"], e["word_before"]], width=width)
+    e = edges_of(sig)
+    out = ask(rows, {"r": F.when(F.col("t0") < F.col(before), F.col("t0"))}, [e["any_silence_before"], e["word_before"]])
     edge = F.greatest("r_any_silence_before", "r_word_before")
     floor = F.greatest(F.lit(0.0), F.col("t1") - max_dur)
     moved = F.when((F.col("t0") < F.col(before)) & (edge >= floor), edge)
@@ -214,24 +214,24 @@ def payoff_time(evidence: Column) -> Column:
 
 def payoff_word(cands: DataFrame, sig: Signals, width: float = 64.0) -> DataFrame:
     """Last word position at or before the payoff claim; null without claims."""
-    e = edges_of(sig, width)
+    e = edges_of(sig)
     cols = cands.columns
-    out = ask(cands, {"p": payoff_time(F.col("evidence"))}, [e["last_pos"]], width=width)
+    out = ask(cands, {"p": payoff_time(F.col("evidence"))}, [e["last_pos"]])
     return out.select(*cols, F.col("p_last_pos").alias("payoff_word_i"))
 
 
 def refine(cands: DataFrame, sig: Signals, min_dur: float = MIN_DUR, max_dur: float = MAX_DUR, width: float = 64.0) -> DataFrame:
     """Cuts for all candidates: one scan of the words answers opening, closing and payoff together."""
-    e = edges_of(sig, width)
+    e = edges_of(sig)
     rows = cands.select(*IDS, "t0", "t1", "evidence").join(sig.media.select("video_id", "duration_s"), "video_id")
     got = ask(
         rows, {"o": F.col("t0"), "c": F.col("t1"), "p": payoff_time(F.col("evidence"))},
-        [e[k] for k in ("sentence_before", "silence_before", "word_before", "sentence_after", "end_after", "last_pos")], width=width)
+        [e[k] for k in ("sentence_before", "silence_before", "word_before", "sentence_after", "end_after", "last_pos")])
     got = got.select(
         *IDS, "duration_s", "t0", "t1", F.col("p_last_pos").alias("payoff_word_i"),
         "o_sentence_before", "o_silence_before", "o_word_before",
         _close_target(F.col("t1"), F.col("c_sentence_after"), F.col("c_end_after")).alias("_target"))
-    got = ask(got, {"s": F.col("o_sentence_before"), "n": F.col("_target")}, [e["start_after"]], width=width)
+    got = ask(got, {"s": F.col("o_sentence_before"), "n": F.col("_target")}, [e["start_after"]])
     snapped = got.select(
         *IDS, "duration_s", "payoff_word_i",
         _open_choice(F.col("t0"), F.col("s_start_after"), F.col("o_silence_before"), F.col("o_word_before")).alias("open"),
@@ -247,8 +247,8 @@ def refine(cands: DataFrame, sig: Signals, min_dur: float = MIN_DUR, max_dur: fl
 
 def repair_word_clip(cuts: DataFrame, sig: Signals, width: float = 64.0) -> DataFrame:
     """Snap again only the edges that fall inside a word."""
-    e = edges_of(sig, width)
-    flagged = ask(cuts, {"a": F.col("t0"), "b": F.col("t1")}, [e["reach"]], width=width)
+    e = edges_of(sig)
+    flagged = ask(cuts, {"a": F.col("t0"), "b": F.col("t1")}, [e["reach"]])
     flagged = flagged.select(*cuts.columns, F.coalesce(F.col("a_reach") > F.col("t0"), F.lit(False)).alias("_cut0"),
                              F.coalesce(F.col("b_reach") > F.col("t1"), F.lit(False)).alias("_cut1"))
     opened = settle(snap_open(flagged, sig, "t0", "_open", width), "opened")

@@ -82,7 +82,7 @@ def validate_claims(
     val = F.struct("m_pos", "s0", "s1", "sigma")
     near = lookup(
         hit, [Edge("_l", table, "s1", val, "before", tie="m_pos"), Edge("_r", table, "s0", val, "after", tie="m_pos")],
-        keys=keys, width=width,
+        keys=keys,
     )
     l, r = F.col("_l"), F.col("_r")
     cand = lambda c, d: F.when(c.isNotNull(), F.struct(d.alias("d"), c.m_pos.alias("pos"), c.s0.alias("s0"), c.s1.alias("s1"), c.sigma.alias("sigma")))

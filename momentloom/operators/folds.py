@@ -194,7 +194,7 @@ def caption_step(min_words: int, max_words: int, gap_s: float, marks: str):
     return step
 
 
-def gap_islands(df: DataFrame, t0: str, t1: str, gap: float, name: str = "island", width: float = 64.0) -> DataFrame:
+def gap_islands(df: DataFrame, t0: str, t1: str, gap: float, name: str = "island") -> DataFrame:
     """Label rows by the last place where the timeline pauses for more than ``gap``.
 
     Rows with one start count once, and only the breaks are looked up again.
@@ -202,7 +202,7 @@ def gap_islands(df: DataFrame, t0: str, t1: str, gap: float, name: str = "island
     df = settle(df, "rows")
     heads = df.groupBy("video_id", F.col(t0).alias("_h")).agg(F.max(t1).alias("_reach"))
     heads = settle(heads, "heads")
-    heads = lookup(heads, [Edge("_seen", heads, "_h", "_reach", strict=True, keep="max")], t="_h", width=width)
+    heads = lookup(heads, [Edge("_seen", heads, "_h", "_reach", strict=True, keep="max")], t="_h")
     breaks = heads.where(F.col("_seen").isNull() | (F.col("_h") - F.col("_seen") > gap)).select("video_id", "_h")
     breaks = settle(breaks, "breaks")
-    return lookup(df, [Edge(name, breaks, "_h", "_h")], t=t0, width=width)
+    return lookup(df, [Edge(name, breaks, "_h", "_h")], t=t0)

@@ -132,7 +132,7 @@ def stage_progress(events: DataFrame) -> DataFrame:
 def eta(progress: DataFrame, status: DataFrame | None = None, keep: int = 6) -> DataFrame:
     """Seconds left per job from its last rising samples ``job_id, ts, p`` (``ts`` in seconds)."""
     once = settle(progress.groupBy("job_id", "ts").agg(F.max("p").alias("p")), "samples")
-    rising = running(once, "top", "ts", "p", keep="max", strict=True, keys=("job_id",), width=3600.0)
+    rising = running(once, "top", "ts", "p", keep="max", strict=True, keys=("job_id",))
     rising = rising.where(F.col("top").isNull() | (F.col("p") > F.col("top")))
     w = W.partitionBy("job_id").orderBy(F.desc("ts"))
     last = rising.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= keep)
@@ -186,7 +186,7 @@ def apply_ledger(requests: DataFrame, opening: DataFrame | None = None) -> DataF
     else:
         have = opening.select("user_id", F.col("balance").cast("bigint").alias("start"))
         rows = rows.join(have, "user_id", "left").withColumn("start", F.coalesce("start", F.lit(0).cast("bigint")))
-    summed = settle(running(settle(rows, "requests"), "upto", "at", F.col("want"), keys=("user_id",), width=4096.0), "running")
+    summed = settle(running(settle(rows, "requests"), "upto", "at", F.col("want"), keys=("user_id",)), "running")
     summed = summed.withColumn("after", F.col("start") + F.col("upto")).withColumn("before", F.col("after") - F.col("want"))
 
     short = summed.where(F.col("after") < 0).groupBy("user_id").agg(F.min(F.struct("at", "before")).alias("s"))

@@ -105,7 +105,7 @@ def run_rounds(cands: DataFrame, scorer: Callable[[DataFrame], DataFrame], refin
     return every.where(F.col("verdict") == "keep"), every
 
 
-def best_effort(every: DataFrame, sig: Signals, n: int = BEST_EFFORT, width: float = 64.0, span: float = 30.0) -> DataFrame:
+def best_effort(every: DataFrame, sig: Signals, n: int = BEST_EFFORT, span: float = 30.0) -> DataFrame:
     """Windows for timelines without a keeper: the best scored ones, or spaced fallbacks when none was scored.
 
     Everything is marked borderline.  Equal windows count once, the last scored one.
@@ -120,7 +120,7 @@ def best_effort(every: DataFrame, sig: Signals, n: int = BEST_EFFORT, width: flo
     ranked = last.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
     ranked = ranked.select("video_id", "t0", "t1", *[F.col(f"x.{c}").alias(c) for c in cols], (F.col("rn") - 1).alias("place"))
     bare = Signals(media=sig.media.join(scored, "video_id", "left_anti"), spans=sig.spans)
-    spare = evidence_score(fallback_windows(bare, n, span=span, width=width))
+    spare = evidence_score(fallback_windows(bare, n, span=span))
     spare = spare.where(F.col("pos") < n).select("video_id", "t0", "t1", *cols, F.col("pos").alias("place"))
     return ranked.unionByName(spare).withColumn("verdict", F.lit("borderline"))
 

@@ -142,7 +142,7 @@ def runs_where(curve: DataFrame, predicate: Column, hop_s: float = 1.0, min_dura
     keys = list(keys)
     hits = settle(curve.where(predicate).select(*keys, F.col("i").cast("bigint").alias("i"), "v"), "hits")
     starts = hits.select(*keys, "i").join(hits.select(*keys, (F.col("i") + 1).alias("i")), keys + ["i"], "left_anti")
-    runs = lookup(hits, [Edge("start", starts, "i", "i")], t="i", keys=keys, width=256)
+    runs = lookup(hits, [Edge("start", starts, "i", "i")], t="i", keys=keys)
     runs = runs.groupBy(*keys, "start").agg(F.max("i").alias("stop"), F.max("v").alias("peak"))
     return runs.select(
         *keys, (F.col("start") * hop_s).alias("t0"), ((F.col("stop") + 1) * hop_s).alias("t1"), "peak"
@@ -201,7 +201,7 @@ def segments_from_cuts(cut_points: DataFrame, media: DataFrame) -> DataFrame:
 def vector_diff_curve(frames: DataFrame, scale: float = 255.0) -> DataFrame:
     """Mean absolute difference to the last readable frame; 0 for the first and for unreadable ones."""
     readable = frames.where(F.col("vec").isNotNull())
-    prev = lookup(frames, [Edge("_prev", readable, "i", "vec", strict=True)], t="i", width=256)
+    prev = lookup(frames, [Edge("_prev", readable, "i", "vec", strict=True)], t="i")
     diffs = F.zip_with("vec", "_prev", lambda a, b: F.abs(a.cast("double") - b.cast("double")))
     mean = F.aggregate(diffs, F.lit(0.0), lambda a, x: a + x) / F.size("vec") / scale
     return prev.select(
@@ -259,7 +259,7 @@ def dominant_track(faces: DataFrame, min_conf: float = 0.5, iou: float = 0.3) ->
     flagged = faces.withColumn("_live", F.coalesce(strong, F.lit(False)))
     dead = flagged.where(~F.col("_live")).select("video_id", "t", F.lit(None).cast("int").alias("dominant"))
     live = flagged.where(F.col("_live")).select("video_id", "t", "boxes")
-    live = lookup(live, [Edge("part", dead, "t", "t")], width=600.0).fillna({"part": -1.0})
+    live = lookup(live, [Edge("part", dead, "t", "t")]).fillna({"part": -1.0})
     tracked = folds.scan_groups(live, ["video_id", "part"], ["t"], folds.track_step(min_conf, iou), "t double, dominant int")
     return tracked.select("video_id", "t", "dominant").unionByName(dead)
 

@@ -1,15 +1,17 @@
 """Temporal joins over many timelines at once.
 
-Every helper takes the timeline key as an equi key and cuts the time axis into
-buckets, so one very long or very busy timeline is spread over many tasks:
-
-* interval predicates become an equi join on ``(key, bucket)``; a pair is kept only in
-  the first bucket both sides share, so it appears once;
-* as-of lookups scan each ``(key, bucket)`` on its own.  What a bucket inherits from its
-  neighbours comes from a directory with one row per bucket in use, never from the rows.
-
-Adaptive execution splits a pair join whose bucket is overfull; a scan needs its bucket in one task, sorted on disk
-if need be, so a burst of events within one bucket is that task's work.
+Every helper takes the timeline key as an equi key and cuts the time axis, so one very long or very busy timeline is
+spread over many tasks:
+
+* interval predicates become an equi join on ``(key, level, cell)``.  A span lies at the level of its length, where
+  cells are as long as it is or longer, so it touches two of them at most; the other side looks once, in two cells at
+  most, at every level in use from its own on.  So a span of a month costs as few rows as one of a second, and a
+  pair meets at the higher of its two levels only; it is kept only in the first cell that both share.
+* as-of lookups scan each ``(key, bucket)`` on its own.  Buckets follow the data: a timeline is one bucket unless it
+  has more than ``DEPTH`` rows; then sketched quantiles of its times part it, so a burst within one second is parted
+  like any other stretch.  What a bucket inherits from its neighbours comes from a directory with one row per bucket.
+
+Adaptive execution splits a pair join whose cell is overfull. Rows of one timeline at exactly one time stay together in a scan.
 """
 
 from __future__ import annotations
@@ -27,44 +29,80 @@ from momentloom.operators.stored import settle
 KEY = ("video_id",)
 WIDTH = 64.0
 
-# A scan sorts its bucket once, so it takes buckets this many times wider than a pair join.
-SCAN = 16
+#: How many times longer the cells of a level are than those of the level below.
+STEP = 4.0
+
+#: Rows of a timeline that a scan takes in one piece; the cut points of longer ones, one per half as many rows, are broadcast.
+DEPTH = 1 << 18
+_SKETCH = 1023
+
 
+def cell(t: Column | str, level: Column, width: float) -> Column:
+    return F.floor(col(t) / (F.lit(float(width)) * F.pow(F.lit(STEP), level))).cast("bigint")
 
-def bucket(t: Column | str, width: float) -> Column:
-    return F.floor(col(t) / F.lit(float(width))).cast("bigint")
 
+def level_of(t0: str, t1: str, width: float) -> Column:
+    """The lowest level whose cells are as long as the span."""
+    ratio = F.greatest((F.col(t1) - F.col(t0)) / F.lit(float(width)), F.lit(1.0))
+    return F.least(F.ceil(F.log(STEP, ratio)), F.lit(60)).cast("int")
 
-def _buckets(t0: Column, t1: Column, width: float) -> Column:
-    lo = bucket(t0, width)
-    return F.explode(F.sequence(lo, F.greatest(lo, bucket(t1, width))))
+
+def _levels(df: DataFrame, t0: str, t1: str, width: float) -> Column:
+    """The levels in use, as one array for all rows of another table."""
+    if t0 == t1:
+        return F.array(F.lit(0))
+    found = df.select(level_of(t0, t1, width).alias("level")).where("level is not null")
+    return found.agg(F.sort_array(F.collect_set("level")).alias("levels")).scalar()
+
+
+def _cells(df: DataFrame, entries: Column, t0: str, t1: str, width: float) -> DataFrame:
+    """One row per entry (``level`` and ``side``) and cell that the span touches there, in ``_at`` and ``_b``."""
+    rows = df.withColumn("_at", F.explode(entries))
+    lo = cell(t0, F.col("_at.level"), width)
+    return rows.withColumn("_b", F.explode(F.sequence(lo, F.greatest(lo, cell(t1, F.col("_at.level"), width)))))
 
 
 def interval_pairs(
     left: DataFrame, right: DataFrame, l0: str, l1: str, r0: str, r1: str, predicate: Column,
     keys=KEY, width: float = WIDTH,
 ) -> DataFrame:
-    """Inner join of intervals under ``predicate``; columns other than ``keys`` must not clash."""
+    """Inner join of intervals under ``predicate``; columns other than ``keys`` must not clash.  ``width``: of the cells of the lowest level.
+
+    Rows with a null key or time have no partner.
+    """
     keys = list(keys)
-    lhs = left.withColumn("_b", _buckets(F.col(l0), F.col(l1), width))
-    rhs = right.withColumn("_b", _buckets(F.col(r0), F.col(r1), width))
-    home = F.greatest(bucket(l0, width), bucket(r0, width))
-    return lhs.join(rhs, keys + ["_b"]).where((F.col("_b") == home) & predicate).drop("_b")
+    mine, theirs = level_of(l0, l1, width), level_of(r0, r1, width)
+    entry = lambda level, side: F.struct(level.cast("int").alias("level"), F.lit(side).alias("side"))
+    # Side 0: spans of the right at their own level, met by the left from its own level on. Side 1: spans of the left at
+    # their own level, met by those of the right that are shorter.
+    in_use = _levels(right, r0, r1, width)
+    lhs = left.withColumn("_own", mine).withColumn("_in_use", in_use)
+    up = F.transform(F.filter("_in_use", lambda x: x >= F.col("_own")), lambda x: entry(x, 0))
+    lhs = _cells(lhs, F.when(F.array_min("_in_use") < F.col("_own"), F.concat(up, F.array(entry(F.col("_own"), 1)))).otherwise(up), l0, l1, width).drop("_own", "_in_use")
+    rhs = right.withColumn("_own", theirs).withColumn("_in_use", _levels(left, l0, l1, width))
+    higher = F.transform(F.filter("_in_use", lambda x: x > F.col("_own")), lambda x: entry(x, 1))
+    rhs = _cells(rhs, F.concat(F.array(entry(F.col("_own"), 0)), higher), r0, r1, width).drop("_own", "_in_use")
+    level = F.col("_at.level")
+    home = F.greatest(cell(l0, level, width), cell(r0, level, width))
+    return lhs.join(rhs, [*keys, "_at", "_b"]).where((F.col("_b") == home) & predicate).drop("_at", "_b")
 
 
 def stab_pairs(
     points: DataFrame, spans: DataFrame, t: str, r0: str, r1: str, predicate: Column,
     keys=KEY, width: float = WIDTH, how: str = "left",
 ) -> DataFrame:
-    """Join of points to the spans they hit; a point lives in one bucket, so outer forms are exact."""
+    """Join of points to the spans they hit.  In the outer form a point without a span comes once per level in use."""
     keys = list(keys)
-    lhs = points.withColumn("_b", bucket(t, width))
-    rhs = spans.withColumn("_b", _buckets(F.col(r0), F.col(r1), width))
+    in_use = F.array_union(F.array(F.lit(0)), _levels(spans, r0, r1, width))
+    lhs = points.withColumn("_at", F.explode(in_use)).withColumn("_b", cell(t, F.col("_at"), width))
+    rhs = spans.withColumn("_at", level_of(r0, r1, width))
+    lo = cell(r0, F.col("_at"), width)
+    rhs = rhs.withColumn("_b", F.explode(F.sequence(lo, F.greatest(lo, cell(r1, F.col("_at"), width)))))
     return lhs.alias("p").join(
         rhs.alias("s"),
-        reduce(lambda a, b: a & b, [F.col(f"p.{k}") == F.col(f"s.{k}") for k in keys + ["_b"]]) & predicate,
+        reduce(lambda a, b: a & b, [F.col(f"p.{k}") == F.col(f"s.{k}") for k in [*keys, "_at", "_b"]]) & predicate,
         how,
-    ).drop(*[F.col(f"s.{k}") for k in keys + ["_b"]] if how in ("left", "inner") else []).drop("_b")
+    ).drop(*[F.col(f"s.{k}") for k in [*keys, "_at", "_b"]] if how in ("left", "inner") else []).drop("_at", "_b")
 
 
 @dataclass(frozen=True)
@@ -96,7 +134,7 @@ def _plain(e: Edge) -> bool:
     return e.keep != "nearest" or _is_time(e)
 
 
-def _edge_rows(slots: dict[str, Edge], keys: list[str], width: float) -> DataFrame:
+def _edge_rows(slots: dict[str, Edge], keys: list[str]) -> DataFrame:
     """Rows of edges that share table, time, side and tie: one row carries all their values."""
     e = next(iter(slots.values()))
     before = e.side == "before"
@@ -113,7 +151,7 @@ def _edge_rows(slots: dict[str, Edge], keys: list[str], width: float) -> DataFra
         F.lit(0 if before != e.strict else 2).alias("_side"),
         (-tie if before else tie).alias("_tie"),
         *[value(x).alias(s) for s, x in slots.items()],
-    ).where(F.col("_t").isNotNull()).withColumn("_b", bucket("_t", width))
+    ).where(F.col("_t").isNotNull())
 
 
 def _grouped(slots: dict[str, Edge]) -> list[dict[str, Edge]]:
@@ -134,31 +172,55 @@ def _fold(e: Edge, c: Column) -> Column:
     return F.last(c, ignorenulls=True)
 
 
+def cut_points(times: DataFrame, keys: list[str], depth: int = DEPTH) -> DataFrame:
+    """``keys`` and ``_cuts``, ascending times, of the keys with more than ``depth`` rows in ``times`` (``keys``, ``_t``).
+
+    The cuts are sketched quantiles, about ``depth / 2`` rows apart, at most 1,023 of them. There are fewer than two cuts for each ``depth``
+    rows of the table, which bounds what is broadcast: 64 MB for 10**12 rows.
+    """
+    sizes = times.groupBy(*keys).agg(F.count("_t").alias("_n")).where(F.col("_n") > depth)
+    long = times.where(F.col("_t").isNotNull()).join(F.broadcast(sizes), keys)
+    fine = F.percentile_approx("_t", [(i + 1) / (_SKETCH + 1) for i in range(_SKETCH)], 20_000).alias("_fine")
+    wide = F.greatest(F.lit(1), F.floor(F.lit((_SKETCH + 1) * depth / 2) / F.col("_n")).cast("int"))
+    cuts = long.groupBy(*keys).agg(F.max("_n").alias("_n"), fine)
+    return cuts.select(*keys, F.array_distinct(F.filter("_fine", lambda x, i: (i + 1) % wide == 0)).alias("_cuts"))
+
+
+def dealt(rows: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with their bucket ``_b`` by ``_t``, and whether their key has several (``_parted``)."""
+    cuts = F.broadcast(cuts.withColumnsRenamed({k: f"_of_{k}" for k in keys}))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    placed = rows.join(cuts, same, "left").drop(*[f"_of_{k}" for k in keys])
+    at = F.size(F.filter("_cuts", lambda c: c < F.col("_t")))
+    return placed.withColumn("_parted", F.col("_cuts").isNotNull()).withColumn("_b", F.when(F.col("_parted") & F.col("_t").isNotNull(), at).otherwise(0)).drop("_cuts")
+
+
 def lookup(
-    points: DataFrame, edges: list[Edge], t: str = "t", keys=KEY, width: float = WIDTH,
+    points: DataFrame, edges: list[Edge], t: str = "t", keys=KEY, depth: int = DEPTH,
 ) -> DataFrame:
     """Add to each point the edge values found before / after it, one column per edge.
 
     All edge kinds are resolved in a single scan of ``(key, bucket)`` groups.  ``points`` is read
-    twice (its buckets, then its rows), so store it first when it is costly.
+    twice (its times, then its rows), so store it first when it is costly.  A point without a time finds nothing.
     """
     keys = list(keys)
-    width = width * SCAN
     slots = {f"_e{i}": e for i, e in enumerate(edges)}
     ahead = {s: e for s, e in slots.items() if e.side == "before"}
     behind = {s: e for s, e in slots.items() if e.side == "after"}
 
     every = reduce(
         lambda a, b: a.unionByName(b, allowMissingColumns=True),
-        [_edge_rows(g, keys, width) for g in _grouped(slots)],
+        [_edge_rows(g, keys) for g in _grouped(slots)],
     )
 
     asked = points.select(
         *keys, F.col(t).cast("double").alias("_t"), F.lit(1).alias("_side"), F.lit(0).cast("bigint").alias("_tie"),
-        bucket(F.col(t).cast("double"), width).alias("_b"), F.struct(*points.columns).alias("_p"),
+        F.struct(*points.columns).alias("_p"),
     )
+    cuts = cut_points(every.select(*keys, "_t").unionByName(asked.select(*keys, "_t")), keys, depth)
+    every, asked = dealt(every, cuts, keys), dealt(asked, cuts, keys)
 
-    # Directory: one row per bucket that holds an edge or a point, with the sum of its edges.
+    # Directory of the parted keys: one row per bucket that holds an edge or a point, with the sum of its edges.
     order = F.struct("_t", "_side", "_tie")
     aggs = []
     for s, e in slots.items():
@@ -169,8 +231,8 @@ def lookup(
             aggs.append((F.max if e.side == "before" else F.min)(c).alias(s))
         else:
             aggs.append((F.max_by if e.side == "before" else F.min_by)(c, F.when(c.isNotNull(), order)).alias(s))
-    used = asked.select(*keys, "_b").where(F.col("_b").isNotNull())
-    directory = every.unionByName(used, allowMissingColumns=True).groupBy(*keys, "_b").agg(*aggs)
+    used = asked.where("_parted").select(*keys, "_b")
+    directory = every.where("_parted").unionByName(used, allowMissingColumns=True).groupBy(*keys, "_b").agg(*aggs)
 
     # What a bucket inherits from the ones before and after it, as one row at its start and one at its end.
     fwd = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
@@ -185,11 +247,12 @@ def lookup(
 
     fills = ([at(float("-inf"), 0, ahead)] if ahead else []) + ([at(float("inf"), 2, behind)] if behind else [])
     inherited = inherited.select(*keys, "_b", F.inline(F.array(*fills)))
-    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [every, inherited, asked])
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [every.drop("_parted"), inherited, asked.drop("_parted")])
 
     up = W.partitionBy(*keys, "_b").orderBy("_t", "_side", "_tie").rowsBetween(W.unboundedPreceding, W.currentRow)
     down = W.partitionBy(*keys, "_b").orderBy(F.desc("_t"), F.desc("_side"), F.desc("_tie")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    found = rows.select("_p", *[_fold(e, F.col(s)).over(up if e.side == "before" else down).alias(s) for s, e in slots.items()])
+    timed = F.col("_t").isNotNull()
+    found = rows.select("_p", *[F.when(timed, _fold(e, F.col(s)).over(up if e.side == "before" else down)).alias(s) for s, e in slots.items()])
     outs = []
     for s, e in slots.items():
         if e.keep == "sum":
@@ -243,7 +306,6 @@ def nearest_span(points: DataFrame, spans: DataFrame, width: float = WIDTH, name
             Edge("_l", spans, "s1", val, "before", tie="pos"),
             Edge("_r", spans, "s0", val, "after", tie="pos"),
         ],
-        width=width,
     )
     cand = lambda c, d: F.when(c.isNotNull(), F.struct(d.alias("dist"), c.pos.alias("pos"), c.s0.alias("s0"), c.s1.alias("s1")))
     li, l, r = F.col("_in"), F.col("_l"), F.col("_r")
@@ -253,29 +315,28 @@ def nearest_span(points: DataFrame, spans: DataFrame, width: float = WIDTH, name
     return both.select(*points.columns, best.alias(name))
 
 
-def nearest_point(points: DataFrame, samples: DataFrame, value: Column, width: float = WIDTH, name: str = "near") -> DataFrame:
+def nearest_point(points: DataFrame, samples: DataFrame, value: Column, name: str = "near") -> DataFrame:
     """Closest sample as ``struct(dist, pos, v)``; ``samples`` has ``pos, s`` and ``value`` builds the payload."""
     val = F.struct(F.col("pos").alias("pos"), F.col("s").alias("s"), value.alias("v"))
     both = lookup(
         points, [Edge("_l", samples, "s", val, "before", tie="pos"), Edge("_r", samples, "s", val, "after", tie="pos")],
-        width=width,
     )
     cand = lambda c: F.when(c.isNotNull(), F.struct(F.abs(c.s - F.col("t")).alias("dist"), c.pos.alias("pos"), c.s.alias("s"), c.v.alias("v")))
     return both.select(*points.columns, F.array_min(F.array_compact(F.array(cand(F.col("_l")), cand(F.col("_r"))))).alias(name))
 
 
-def asof_backward(points, edges, tolerance=None, predicate=None, width: float = WIDTH, name: str = "edge") -> DataFrame:
+def asof_backward(points, edges, tolerance=None, predicate=None, name: str = "edge") -> DataFrame:
     """Greatest edge ``e <= t`` among edges passing ``predicate``, within ``tolerance``."""
     kept = edges if predicate is None else edges.where(predicate)
-    out = lookup(points, [Edge(name, kept, "e", "e", "before")], width=width)
+    out = lookup(points, [Edge(name, kept, "e", "e", "before")])
     if tolerance is None:
         return out
     return out.withColumn(name, F.when(F.col("t") - F.col(name) <= tolerance, F.col(name)))
 
 
-def asof_forward(points, edges, tolerance=None, width: float = WIDTH, name: str = "edge") -> DataFrame:
+def asof_forward(points, edges, tolerance=None, name: str = "edge") -> DataFrame:
     """Least edge ``e >= t``, within ``tolerance``."""
-    out = lookup(points, [Edge(name, edges, "e", "e", "after")], width=width)
+    out = lookup(points, [Edge(name, edges, "e", "e", "after")])
     if tolerance is None:
         return out
     return out.withColumn(name, F.when(F.col(name) - F.col("t") <= tolerance, F.col(name)))
@@ -314,9 +375,9 @@ def straddlers(points: DataFrame, words: DataFrame, width: float = WIDTH) -> Dat
     )
 
 
-def inside_word(points: DataFrame, words: DataFrame, width: float = WIDTH, name: str = "mid_word") -> DataFrame:
+def inside_word(points: DataFrame, words: DataFrame, name: str = "mid_word") -> DataFrame:
     """Flag points strictly inside some word: the latest end among words started before the point is after it."""
-    out = lookup(points, [Edge("_end", words, "s0", "s1", "before", strict=True, keep="max")], width=width)
+    out = lookup(points, [Edge("_end", words, "s0", "s1", "before", strict=True, keep="max")])
     return out.select(*points.columns, F.coalesce(F.col("_end") > F.col("t"), F.lit(False)).alias(name))
 
 
@@ -324,6 +385,6 @@ def inside_word(points: DataFrame, words: DataFrame, width: float = WIDTH, name:
 
 
 def running(df: DataFrame, name: str, at: str, value: Column | str, keep: str = "sum", strict: bool = False,
-            tie: str | None = None, keys=KEY, width: float = 1024.0) -> DataFrame:
+            tie: str | None = None, keys=KEY) -> DataFrame:
     """Running sum / max of ``value`` along ``at`` within each key."""
-    return lookup(df, [Edge(name, df, at, value, "before", strict=strict, keep=keep, tie=tie)], t=at, keys=keys, width=width)
+    return lookup(df, [Edge(name, df, at, value, "before", strict=strict, keep=keep, tie=tie)], t=at, keys=keys)

@@ -29,7 +29,7 @@ def words(spark: SparkSession, d: str) -> DataFrame:
     turns = read(spark, d, "conversations").select(
         F.col("conv_id").cast("string").alias("video_id"), "turn",
         F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("ws")).withColumn("n", F.size("ws"))
-    turns = running(turns, "upto", "turn", "n", width=4096.0)
+    turns = running(turns, "upto", "turn", "n")
     w = turns.select("video_id", "turn", (F.col("upto") - F.col("n")).alias("off"), F.posexplode("ws").alias("k", "text"))
     pos = F.col("off") + F.col("k")
     t0 = pos * 0.5 + F.col("turn") * 2.0
@@ -142,7 +142,7 @@ def ranked(df: DataFrame, order: str, at: Column, width: float) -> DataFrame:
     b = F.floor(at / width)
     rows = df.withColumn("_rb", b)
     sizes = rows.groupBy("video_id", "_rb").agg(F.count("*").alias("_size"))
-    sizes = running(sizes, "_upto", "_rb", "_size", width=4096.0).select("video_id", "_rb", (F.col("_upto") - F.col("_size")).alias("_off"))
+    sizes = running(sizes, "_upto", "_rb", "_size").select("video_id", "_rb", (F.col("_upto") - F.col("_size")).alias("_off"))
     local = F.row_number().over(W.partitionBy("video_id", "_rb").orderBy(order)) - 1
     return rows.withColumn("_local", local).join(sizes, ["video_id", "_rb"]).withColumn("n", F.col("_off") + F.col("_local")).drop("_rb", "_local", "_off")
 

@@ -66,7 +66,7 @@ def nearest_silence(spark, d):
 def nearest_sample(spark, d):
     tk = D.ticks(spark, d)
     pts = D.surges(tk).select("video_id", F.col("pos").alias("id"), F.col("t0").alias("t"))
-    out = T.nearest_point(pts, D.peaks(tk).withColumnRenamed("t", "s"), F.col("pos"), width=600.0)
+    out = T.nearest_point(pts, D.peaks(tk).withColumnRenamed("t", "s"), F.col("pos"))
     return out.select("video_id", F.col("id").alias("pos"), F.col("near.pos").alias("sample"), F.col("near.s").alias("sample_t"), F.col("near.dist").alias("dist"))
 
 

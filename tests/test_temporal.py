@@ -24,7 +24,7 @@ def test_lookup_matches_brute_force(spark):
     out = T.lookup(p, [
         T.Edge("a", e, "s0", F.struct("s0", "pos"), "before", tie="pos"), T.Edge("b", e, "s0", F.struct("s0", "pos"), "after", tie="pos"),
         T.Edge("c", e, "s0", "s0", "before", strict=True), T.Edge("d", e, "s0", "s0", "after", strict=True),
-        T.Edge("m", e, "s0", "s1", strict=True, keep="max"), T.Edge("n", e, "s0", F.lit(1), keep="sum")], width=2.0).collect()
+        T.Edge("m", e, "s0", "s1", strict=True, keep="max"), T.Edge("n", e, "s0", F.lit(1), keep="sum")]).collect()
     assert len(out) == len(points)
     for r in out:
         es = [x for x in edges if x[0] == r.video_id]
@@ -74,3 +74,73 @@ def test_hand_built_lookups(spark):
     ev = as_spans(sig.events, "label")
     assert T.events_in(win(44, 48), ev).count() == 1
     assert T.events_in(win(44, 48), ev, "applause").count() == 0
+
+
+def _pairs_of_levels(spark, wins, spans, width):
+    w = table(spark, wins, "video_id string, id int, t0 double, t1 double")
+    s = table(spark, spans, "video_id string, pos int, s0 double, s1 double")
+    got = sorted((r.id, r.pos) for r in T.overlapping(w, s, width=width).collect())
+    assert got == sorted((a[1], b[1]) for a in wins for b in spans if a[0] == b[0] and b[2] < a[3] and b[3] > a[2])
+    points = table(spark, [(v, i, t0) for v, i, t0, _ in wins], "video_id string, id int, t double")
+    held = sorted((r.id, r.pos) for r in T.straddlers(points, s, width=width).collect())
+    assert held == sorted((a[1], b[1]) for a in wins for b in spans if a[0] == b[0] and b[2] < a[2] < b[3])
+    first = {(r.video_id, r.id): r.hit and r.hit.pos for r in T.stab_first(points, s, width=width).collect()}
+    assert first == {(a[0], a[1]): min((b[1] for b in spans if a[0] == b[0] and b[2] <= a[2] <= b[3]), default=None) for a in wins}
+
+
+def test_spans_of_all_lengths_match_brute_force(spark):
+    """Lengths over eight orders of magnitude on both sides, exact cell edges, points, spans turned round, missing times."""
+    rnd = random.Random(11)
+    length = lambda: rnd.choice([0.0, 0.5, 1.0, 4.0, 16.0, 64.0, 1000.0, 4096.0, 2.6e6]) * rnd.choice([1, 1, 0.999, 1.001])
+    span = lambda t: (t, t + length())
+    wins = [(f"v{i % 3}", i, *span(rnd.choice([rnd.uniform(-3e3, 3e3), rnd.randint(-50, 50) * 64.0, rnd.uniform(0, 2e6)]))) for i in range(120)]
+    spans = [(f"v{i % 3}", i, *span(rnd.choice([rnd.uniform(-3e3, 3e3), rnd.randint(-50, 50) * 64.0, rnd.uniform(0, 2e6)]))) for i in range(120)]
+    for width in (0.5, 64.0):
+        _pairs_of_levels(spark, wins, spans, width)
+    _pairs_of_levels(spark, wins, [], 64.0)
+    short = [(v, i, t, t + 0.1) for v, i, t, _ in spans]
+    _pairs_of_levels(spark, wins, short, 1.0)
+
+
+def test_a_month_costs_as_few_rows_as_a_second(spark):
+    """Rows filed for one span: two cells at its own level, whatever its length, and two per level in use for its partners."""
+    month = 30 * 86400.0
+    spans = table(spark, [("v", i, 10.0 * i, 10.0 * i + 5.0) for i in range(2000)] + [("v", 9999, 3.0, 3.0 + month)], "video_id string, pos int, s0 double, s1 double")
+    own = spans.withColumn("_own", T.level_of("s0", "s1", 64.0))
+    filed = T._cells(own, F.array(F.struct(F.col("_own").alias("level"), F.lit(0).alias("side"))), "s0", "s1", 64.0)
+    assert filed.where("pos = 9999").count() <= 2 and filed.count() <= 2 * 2001
+    wins = table(spark, [("v", 1, 50.0, 60.0), ("v", 2, 1000.0, 1000.0 + month), ("v", 3, month - 1, month)], "video_id string, id int, t0 double, t1 double")
+    got = T.overlapping(wins, spans).groupBy("id").count().collect()
+    assert {r.id: r["count"] for r in got} == {1: 2, 2: 1901, 3: 1}
+
+
+def test_a_busy_second_is_parted(spark):
+    """One key and one second hold most rows: buckets follow the data, and what they inherit is right."""
+    rnd = random.Random(13)
+    edges = [("hot", i, 500.0 + rnd.random(), rnd.random()) for i in range(4000)] + [("hot", 5000 + i, i * 10.0, 0.5) for i in range(300)] + [(f"v{i % 40}", 9000 + i, float(i), 0.1) for i in range(400)]
+    points = [("hot", i, rnd.choice([500.0 + rnd.random(), rnd.uniform(0, 3000)])) for i in range(1500)] + [(f"v{i % 40}", 2000 + i, float(i)) for i in range(100)] + [("hot", 9999, None)]
+    e = table(spark, edges, "video_id string, pos int, s0 double, value double")
+    p = table(spark, points, "video_id string, id int, t double")
+    times = e.select("video_id", F.col("s0").alias("_t")).union(p.select("video_id", F.col("t").alias("_t")))
+    cuts = T.cut_points(times, ["video_id"], 400)
+    assert [r.video_id for r in cuts.collect()] == ["hot"]
+    sizes = [r["count"] for r in T.dealt(times.where("video_id = 'hot' and _t is not null"), cuts, ["video_id"]).groupBy("_b").count().collect()]
+    assert len(sizes) > 15 and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+    out = T.lookup(p, [T.Edge("a", e, "s0", F.struct("s0", "pos"), "before", tie="pos"), T.Edge("b", e, "s0", "s0", "after", strict=True),
+                       T.Edge("n", e, "s0", F.lit(1), keep="sum"), T.Edge("m", e, "s0", "value", strict=True, keep="max")], depth=400).collect()
+    assert len(out) == len(points)
+    for r in out:
+        es = [x for x in edges if x[0] == r.video_id and r.t is not None]
+        a = max((x for x in es if x[2] <= r.t), key=lambda x: (x[2], -x[1]), default=None)
+        assert (r.a and tuple(r.a)) == (a and (a[2], a[1])) and r.n == sum(x[2] <= r.t for x in es)
+        assert r.b == min((x[2] for x in es if x[2] > r.t), default=None)
+        assert r.m == max((x[3] for x in es if x[2] < r.t), default=None)
+
+
+def test_rows_at_one_time_and_empty_sides(spark):
+    e = table(spark, [("v", i, 5.0) for i in range(900)], "video_id string, pos int, s0 double")
+    p = table(spark, [("v", i, 4.0 + i % 3) for i in range(30)], "video_id string, id int, t double")
+    out = T.lookup(p, [T.Edge("n", e, "s0", F.lit(1), keep="sum"), T.Edge("first", e, "s0", "pos", "after", tie="pos")], depth=100).collect()
+    assert {(r.t, r.n, r.first) for r in out} == {(4.0, 0, 0), (5.0, 900, 0), (6.0, 900, None)}
+    assert T.lookup(p.limit(0), [T.Edge("n", e, "s0", "s0")], depth=1).collect() == []
+    assert {r.n for r in T.lookup(p, [T.Edge("n", e.limit(0), "s0", "s0")], depth=1).collect()} == {None}
