@@ -131,7 +131,7 @@ _SOURCES = "['rule_a_energy_rate', 'rule_b_laughter', 'rule_c_scene_pitch'][k.sr
     {_SOURCES} AS source, k.ne AS n_evidence FROM kept""")
 def dedupe_windows(spark, d):
     sig = D.tick_signals(spark, d, ("surge", "speech"), False)
-    out = C.dedupe_windows(rule_a(sig).unionByName(rule_b(sig)), width=WIDTH)
+    out = C.dedupe_windows(rule_a(sig).unionByName(rule_b(sig)))
     return out.select("video_id", "rule_rank", "o1", "o2", "part", "t0", "t1", "source", F.size("evidence").alias("n_evidence"))
 
 
@@ -174,7 +174,7 @@ def propose(spark, d):
         THEN f.kept ELSE list_append(f.kept, {'t0': w.t0, 't1': w.t1}) END FROM f JOIN w3 w ON w.video_id = f.video_id AND w.k = f.k + 1)
     SELECT video_id, unnest(kept).t0 AS t0, unnest(kept).t1 AS t1 FROM f WHERE k = 3""")
 def fallback_windows(spark, d):
-    return C.fallback_windows(D.tick_signals(spark, d, ("speech",), False), 4, span=MIN_LEN, width=WIDTH).select("video_id", "t0", "t1")
+    return C.fallback_windows(D.tick_signals(spark, d, ("speech",), False), 4, span=MIN_LEN).select("video_id", "t0", "t1")
 
 
 # --- scoring ------------------------------------------------------------------------------------------
@@ -292,38 +292,36 @@ def parse_model_replies(spark, d):
 
 
 def _proposal_replies(spark, d, tag):
-    """One reply per user with two proposals around an event: a sound one and one that does not hold."""
-    tk = D.ticks(spark, d)
-    pk = D.peaks(tk).groupBy("video_id").agg(F.min(F.struct("pos", "t", "sigma")).alias("p"))
+    """One reply per peak with two proposals around it: a sound one and one that does not hold."""
+    pk = D.peaks(D.ticks(spark, d))
     num = lambda c: c.cast("string")
-    t, s = F.col("p.t"), F.col("p.sigma")
+    t, s = F.col("t"), F.col("sigma")
     claim = lambda t_, v: F.concat(F.lit('{"kind":"energy_peak","t":'), num(t_), F.lit(',"value":'), num(v), F.lit("}"))
     good = F.concat(F.lit('{"t0":'), num(t - 900), F.lit(',"t1":'), num(t + 900), F.lit(',"reason":"spike","evidence":['), claim(t, s), F.lit("]}"))
     off = F.concat(F.lit('{"t0":'), num(t - 600), F.lit(',"t1":'), num(t + 600), F.lit(',"evidence":['), claim(t + (0 if tag == 2 else 45), s + 40), F.lit("]}"))
     bad = F.lit('{"t0":"1","t1":2,"evidence":[]}')
     odd = F.lit('{"t0":1,"t1":2,"evidence":[{"kind":1,"t":2}]}')
     text = F.concat(F.lit('{"candidates":['), F.concat_ws(",", good, off, bad, odd), F.lit("]}"))
-    return pk.select("video_id", F.lit(0).alias("chunk"), text.alias("reply"))
+    return pk.select("video_id", F.col("pos").alias("chunk"), text.alias("reply"))
 
 
-@query(with_("peaks", "media_t", p="SELECT video_id, min(pos) AS pos, arg_min(t, pos) AS t FROM peaks GROUP BY 1",
-             g="SELECT video_id, t, t - 900 AS r0, t + 900 AS r1, duration_s AS dur, unnest([1, 2]) AS round FROM p JOIN media_t USING (video_id)",
-             w=clamp_sql("g", "video_id, round")) + "SELECT video_id, round, t0, t1, 'spike' AS notes FROM w")
+@query(with_("peaks", "media_t",
+             g="SELECT video_id, pos, t - 900 AS r0, t + 900 AS r1, duration_s AS dur, unnest([1, 2]) AS round FROM peaks JOIN media_t USING (video_id)",
+             w=clamp_sql("g", "video_id, pos, round")) + "SELECT video_id, pos, round, t0, t1, 'spike' AS notes FROM w")
 def admit_proposals(spark, d):
     sig = D.tick_signals(spark, d, ("surge",), False)
     ok, _ = C.admit_proposals(_proposal_replies(spark, d, 1), sig, _proposal_replies(spark, d, 2), MIN_LEN, MAX_LEN, **GATE)
-    return ok.select("video_id", F.col("o1").cast("int").alias("round"), "t0", "t1", "notes")
+    pos = F.floor((F.col("o1") - 1) / 2)
+    return ok.select("video_id", pos.alias("pos"), (F.col("o1") - 2 * pos).cast("int").alias("round"), "t0", "t1", "notes")
 
 
-@query(with_("peaks", p="SELECT DISTINCT video_id FROM peaks") + """
-    SELECT video_id, 1 AS round, 2 AS seq, 'malformed t0/t1' AS reason FROM p UNION ALL SELECT video_id, 1, 3, 'malformed evidence entry' FROM p
-    UNION ALL SELECT video_id, 2, 2, 'malformed t0/t1' FROM p UNION ALL SELECT video_id, 2, 3, 'malformed evidence entry' FROM p
-    UNION ALL SELECT video_id, 2, 1, 'no energy peak within 30.0s' FROM p""")
+@query(with_("peaks") + """SELECT video_id, pos, x.round, x.seq, x.reason FROM peaks, (VALUES (1, 2, 'malformed t0/t1'), (1, 3, 'malformed evidence entry'),
+    (2, 2, 'malformed t0/t1'), (2, 3, 'malformed evidence entry'), (2, 1, 'no energy peak within 30.0s')) x(round, seq, reason)""")
 def rejected_proposals(spark, d):
     sig = D.tick_signals(spark, d, ("surge",), False)
     _, no = C.admit_proposals(_proposal_replies(spark, d, 1), sig, _proposal_replies(spark, d, 2), MIN_LEN, MAX_LEN, **GATE)
     short = F.when(F.col("reason").startswith("no energy"), F.substring("reason", 1, 27)).otherwise(F.col("reason"))
-    return no.select("video_id", "round", "seq", short.alias("reason"))
+    return no.select("video_id", F.col("chunk").alias("pos"), "round", "seq", short.alias("reason"))
 
 
 @query(with_("peaks") + """

@@ -281,19 +281,21 @@ def check_alignment(spark, d):
     return H.check_alignment(c, sig.words, sig.media).drop("ord")
 
 
-_TITLE = r"coalesce(string_split_regex(d.text, '[.!?\n]')[1], '')"
-_HOOKS = f"SELECT CAST(doc_id AS VARCHAR) AS video_id, '1' AS cand_id, CASE WHEN doc_id % 11 <> 0 THEN {_TITLE} END AS title, CASE WHEN doc_id % 3 = 0 THEN 540 ELSE 1080 END AS width FROM documents d"
+_HOOKS = r"""SELECT CAST(doc_id AS VARCHAR) AS video_id, CAST(i AS VARCHAR) AS cand_id, CASE WHEN (doc_id + i) % 11 <> 0 THEN ss[i + 1] END AS title,
+    CASE WHEN (doc_id + i) % 3 = 0 THEN 540 ELSE 1080 END AS width FROM (
+        SELECT doc_id, ss, unnest(range(0, len(ss))) AS i FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '[.!?\n]') AS ss FROM documents))"""
 
 
 @query(f"""WITH h AS ({_HOOKS}) SELECT video_id, cand_id, 'SAFE_AREA' AS code, CASE WHEN length(title) > 40 THEN 'hook title is ' || length(title) || ' chars, max 40'
     ELSE 'hook title estimated width ' || length(title) * 20 || 'px > ' || CAST(width * 0.9 AS INT) || 'px (90% of ' || width || 'px frame)' END AS detail, 'drop' AS route_to
     FROM h WHERE length(title) > 40 OR length(title) * 20 > width * 0.9""")
 def check_title_fit(spark, d):
-    k = F.col("doc_id")
-    docs = D.read(spark, d, "documents").select(
-        k.cast("string").alias("video_id"), F.lit("1").alias("cand_id"),
-        F.when(k % 11 != 0, F.struct(F.get(F.split("text", r"[.!?\n]"), F.lit(0)).alias("title"))).alias("hook"),
-        F.when(k % 3 == 0, 540).otherwise(1080).alias("width"))
+    """Every sentence of a document is a title."""
+    k, i = F.col("doc_id"), F.col("i")
+    titles = D.read(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"[.!?\n]")).alias("i", "title"))
+    docs = titles.select(
+        k.cast("string").alias("video_id"), i.cast("string").alias("cand_id"), F.when((k + i) % 11 != 0, F.struct("title")).alias("hook"),
+        F.when((k + i) % 3 == 0, 540).otherwise(1080).alias("width"))
     return H.check_title_fit(docs.select("video_id", "cand_id", "hook"), docs.select("video_id", "cand_id", "width")).drop("ord")
 
 

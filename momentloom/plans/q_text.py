@@ -21,23 +21,24 @@ def clip_transcript(spark, d):
 
 
 _PHRASES = ["Doctors hate it: ", "It was gone wrong. ", "You Won't  Believe ", "damn! ", "", "", ""]
-# Titles are the first sentence of a document, captions its first line.
-_SENT = r"coalesce(string_split_regex(text, '[.!?\n\t]')[1], '')"
-_LINE = r"coalesce(string_split_regex(text, '\n')[1], '')"
 
 
 def _hook_rows(spark, d):
-    k = F.col("doc_id")
-    head = F.get(F.array(*[F.lit(p) for p in _PHRASES]), (k % 7).cast("int"))
-    title = F.concat(head, F.get(F.split("text", r"[.!?\n\t]"), F.lit(0)))
-    body = F.get(F.split("text", r"\n"), F.lit(0))
-    caps = F.map_from_arrays(F.array(F.lit("tiktok"), F.lit("reels"), F.lit("shorts")), F.array(
-        body, F.when(k % 4 != 0, body), body))
-    return D.read(spark, d, "documents").select(k.cast("string").alias("video_id"), F.lit("1").alias("cand_id"), title.alias("title"), caps.alias("captions"))
-
-
-@query(rf"""WITH h AS (SELECT CAST(doc_id AS VARCHAR) AS video_id, '1' AS cand_id,
-        ['Doctors hate it: ', 'It was gone wrong. ', 'You Won''t  Believe ', 'damn! ', '', '', ''][doc_id % 7 + 1] || {_SENT} AS title, {_LINE} AS body, doc_id % 4 <> 0 AS has_reels FROM documents),
+    """Every sentence of a document is a title, every line a caption: row ``i`` of a document has its ``i``-th of both."""
+    k, i = F.col("doc_id"), F.col("i")
+    text = F.coalesce("text", F.lit(""))
+    parts = D.read(spark, d, "documents").select("doc_id", F.posexplode(F.arrays_zip(
+        F.split(text, r"[.!?\n\t]").alias("title"), F.split(text, r"\n").alias("body"))).alias("i", "x")).select("doc_id", "i", "x.title", "x.body")
+    head = F.get(F.array(*[F.lit(p) for p in _PHRASES]), ((k + i) % 7).cast("int"))
+    body = F.col("body")
+    caps = F.map_from_arrays(F.array(F.lit("tiktok"), F.lit("reels"), F.lit("shorts")), F.array(body, F.when((k + i) % 4 != 0, body), body))
+    return parts.select(k.cast("string").alias("video_id"), i.cast("string").alias("cand_id"), F.concat(head, F.coalesce("title", F.lit(""))).alias("title"), caps.alias("captions"))
+
+
+@query(r"""WITH p AS (SELECT doc_id, string_split_regex(coalesce(text, ''), '[.!?\n\t]') AS ss, string_split_regex(coalesce(text, ''), '\n') AS ls FROM documents),
+    q AS (SELECT *, unnest(range(0, greatest(len(ss), len(ls)))) AS i FROM p),
+    h AS (SELECT CAST(doc_id AS VARCHAR) AS video_id, CAST(i AS VARCHAR) AS cand_id, (doc_id + i) % 4 <> 0 AS has_reels, ls[i + 1] AS body,
+        ['Doctors hate it: ', 'It was gone wrong. ', 'You Won''t  Believe ', 'damn! ', '', '', ''][(doc_id + i) % 7 + 1] || coalesce(ss[i + 1], '') AS title FROM q),
     n AS (SELECT *, list_filter(string_split_regex(title, '\s+'), lambda w: w <> '') AS ws FROM h)
     SELECT video_id, cand_id, concat_ws('; ',
         CASE WHEN len(ws) > 8 THEN 'title has ' || len(ws) || ' words, max 8' END,
@@ -46,9 +47,9 @@ def _hook_rows(spark, d):
         CASE WHEN contains(lower(title), 'gone wrong') THEN 'title contains banned phrase ''gone wrong''' END,
         CASE WHEN title LIKE 'You Won''t  Believe%' THEN 'title contains banned phrase "you won''t believe"' END,
         CASE WHEN title LIKE 'damn!%' THEN 'title contains profanity: [''damn'']' END,
-        CASE WHEN length(body) > 150 THEN 'tiktok caption is ' || length(body) || ' chars, max 150' END,
-        CASE WHEN NOT has_reels THEN 'reels caption missing or not a string' WHEN length(body) > 125 THEN 'reels caption is ' || length(body) || ' chars, max 125' END,
-        CASE WHEN length(body) > 100 THEN 'shorts caption is ' || length(body) || ' chars, max 100' END) AS violations FROM n""")
+        CASE WHEN body IS NULL THEN 'tiktok caption missing or not a string' WHEN length(body) > 150 THEN 'tiktok caption is ' || length(body) || ' chars, max 150' END,
+        CASE WHEN NOT has_reels OR body IS NULL THEN 'reels caption missing or not a string' WHEN length(body) > 125 THEN 'reels caption is ' || length(body) || ' chars, max 125' END,
+        CASE WHEN body IS NULL THEN 'shorts caption missing or not a string' WHEN length(body) > 100 THEN 'shorts caption is ' || length(body) || ' chars, max 100' END) AS violations FROM n""")
 def hook_violations(spark, d):
     return I.hook_violations(_hook_rows(spark, d)).withColumn("violations", F.array_join("violations", "; "))
 
