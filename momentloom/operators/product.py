@@ -274,20 +274,29 @@ def ledger_audit(users: DataFrame, ledger: DataFrame) -> DataFrame:
 # --- billing, sweeps, erasure ---------------------------------------------------------------------------
 
 
-def billing_credits(events: DataFrame, users: DataFrame, payments: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New payment and ledger rows of billing events ``seq, event_id, type, user_id, amount_cents, currency, minutes``.
-
-    Each event counts once, within the batch and against history; unknown types and users are passed over.
-    """
+def billable(events: DataFrame, users: DataFrame) -> DataFrame:
+    """The events ``seq, event_id, type, user_id, amount_cents, currency, minutes`` of a sound shape, a known type and a known user, with their ``reason``."""
     reason = label(F.col("type"), BILLING_REASONS, F.lit(None).cast("string"))
     shaped = events.where(
         (F.coalesce("event_id", F.lit("")) != "") & (F.coalesce("currency", F.lit("")) != "") & (F.col("amount_cents") >= 0) & (F.col("minutes") > 0))
     known = shaped.withColumn("reason", reason).where(F.col("reason").isNotNull())
-    known = known.join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi").join(payments.select("event_id"), "event_id", "left_anti")
-    first = known.groupBy("event_id").agg(F.min_by(F.struct("user_id", "amount_cents", "currency", "minutes", "reason"), "seq").alias("x")).select("event_id", "x.*")
+    return known.join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
+
+
+def credit_rows(first: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Payment and ledger rows of billable events, each of which is there once."""
     paid = first.select("user_id", "event_id", "amount_cents", "currency")
-    credit = first.select("user_id", half_up("minutes").cast("double").alias("delta_minutes"), "reason", F.col("event_id").alias("ref"))
-    return paid, credit
+    return paid, first.select("user_id", half_up("minutes").cast("double").alias("delta_minutes"), "reason", F.col("event_id").alias("ref"))
+
+
+def billing_credits(events: DataFrame, users: DataFrame, payments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New payment and ledger rows of billing events ``seq, event_id, type, user_id, amount_cents, currency, minutes``.
+
+    Each event counts once, within the batch and against history; unknown types and users are passed over.
+    """
+    known = billable(events, users).join(payments.select("event_id"), "event_id", "left_anti")
+    first = known.groupBy("event_id").agg(F.min_by(F.struct("user_id", "amount_cents", "currency", "minutes", "reason"), "seq").alias("x"))
+    return credit_rows(first.select("event_id", "x.*"))
 
 
 def refunds_for(failed: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from momentloom.operators.product import STALE_MINUTES, billing_credits, decide, refunds_for, stage_progress
+from momentloom.operators.product import STALE_MINUTES, billable, credit_rows, decide, refunds_for, stage_progress
 from momentloom.operators.stored import scratch
 from momentloom.sources.tables import parse_agent_events
 
+#: State of a job that was reported as stale; no status of a job.
+SWEPT = "swept"
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+# A stateful operator starts workers of its own, which do not see files added to the session: processors and the
+# functions that they call go there by value.
+for _name in (__name__, decide.__module__):
+    cloudpickle.register_pickle_by_value(sys.modules[_name])
+
+
 def stream_agent_events(spark: SparkSession, path: str) -> DataFrame:
     """Tail JSONL logs below ``path``, one directory per job; unreadable lines drop out.
 
@@ -48,31 +59,68 @@ def stream_activity_windows(series: DataFrame, hop: str, frame: str, delay: str
         F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("v"), F.count("*").alias("n")).select("video_id", F.col("w.start").alias("start"), "v", "n")
 
 
-def billing_sink(users: DataFrame, payments_path: str, ledger_path: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function that credits each event once, forever.
+class FirstOfEvent(StatefulProcessor):
+    """Of all events with one id the first by ``seq``; those paid before the stream began are known from the initial state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.paid = handle.getValueState("paid", "seq long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        best = None
+        for pdf in rows:
+            first = pdf.sort_values("seq", kind="stable").iloc[:1]
+            if best is None or first["seq"].iloc[0] < best["seq"].iloc[0]:
+                best = first
+        if self.paid.exists():
+            yield pd.DataFrame()
+        else:
+            self.paid.update((int(best["seq"].iloc[0]),))
+            yield best[list(EVENT)]
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.paid.update((-1,))
 
-    Every batch owns one directory per table and sees only the batches before it, so a batch that is
-    replayed after a failure writes the same rows again in the same place.
+    def close(self) -> None:
+        pass
+
+
+EVENT = {"seq": "long", "event_id": "string", "user_id": "string", "amount_cents": "int", "currency": "string", "minutes": "double", "reason": "string"}
+
+
+def stream_billing(events: DataFrame, users: DataFrame, payments: DataFrame) -> DataFrame:
+    """The billable events that are to be credited, each ``event_id`` once for ever: those that neither ``payments`` nor an earlier row holds.
+
+    ``payments`` is read once, when the stream first starts, as the initial state; from then on a batch costs what it
+    holds, whatever came before. Events that are not billable leave no state, so one of a user who is not known yet
+    can still be credited when it comes again.
+    """
+    named = billable(events, users).select(*[F.col(c).cast(t).alias(c) for c, t in EVENT.items()])
+    before = payments.select("event_id").where("event_id is not null").distinct().groupBy("event_id")
+    return named.groupBy("event_id").transformWithStateInPandas(
+        statefulProcessor=FirstOfEvent(), outputStructType=", ".join(f"{c} {t}" for c, t in EVENT.items()), outputMode="append", timeMode="None", initialState=before)
+
+
+def billing_sink(payments_path: str, ledger_path: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function that writes the payment and ledger rows of what ``stream_billing`` gives.
+
+    Every batch owns one directory per table, so a batch that is replayed after a failure writes the same rows again
+    in the same place. No history is read.
     """
-    ddl = "user_id string, event_id string, amount_cents int, currency string"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        history = spark.createDataFrame([], ddl)
-        if batch_id > 0:
-            stored = spark.read.schema(f"{ddl}, batch long").parquet(payments_path)
-            history = stored.where(F.col("batch") < batch_id).drop("batch")
         batch.persist()
-        paid, credit = billing_credits(batch, users, history)
-        paid.write.mode("overwrite").parquet(f"{payments_path}/batch={batch_id}")
-        credit.write.mode("overwrite").parquet(f"{ledger_path}/batch={batch_id}")
+        for rows, path in zip(credit_rows(batch), (payments_path, ledger_path), strict=True):
+            rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
         batch.unpersist()
 
     return write
 
 
 class StaleJobs(StatefulProcessor):
-    """Latest state per job and one timer; the timer fires when no update came for the limit."""
+    """Latest state per job and one timer; the timer fires when no update came for the limit.
+
+    A job that was reported stays so: its state is a tombstone, and what it sends later changes nothing.
+    """
 
     def __init__(self, minutes: int = STALE_MINUTES):
         self.limit_ms = minutes * 60 * 1000
@@ -83,6 +131,9 @@ class StaleJobs(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = tuple(self.job.get()) if self.job.exists() else None
+        if last and last[1] == SWEPT:
+            yield pd.DataFrame()
+            return
         for pdf in rows:
             for r in pdf.itertuples(index=False):
                 at = int(pd.Timestamp(r.updated_at).value // 1_000_000)
@@ -96,8 +147,8 @@ class StaleJobs(StatefulProcessor):
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        user_id = self.job.get()[0]
-        self.job.clear()
+        user_id, _, at, seq = self.job.get()
+        self.job.update((user_id, SWEPT, at, seq))
         yield pd.DataFrame([[key[0], user_id, "failed", "timed out"]], columns=["job_id", "user_id", "status", "error"])
 
     def close(self) -> None:
@@ -195,12 +246,12 @@ def stream_ledger(requests: DataFrame) -> DataFrame:
     reference.  A micro-batch is ordered by ``seq, id``; batches are taken as they come.
     """
     named = requests.select("id", F.col("seq").cast("bigint").alias("seq"), "user_id", "kind", F.col("minutes").cast("bigint").alias("minutes"), "ref")
-    # Every debit is a key of its own here and passes.
-    own = F.when(F.col("kind") == "debit", F.col("id").cast("string")).otherwise(F.col("ref"))
-    firsts = named.withColumn("_own", own).groupBy("kind", "_own").transformWithStateInPandas(
+    debit = F.coalesce(F.col("kind") == "debit", F.lit(False))
+    firsts = named.where(~debit).groupBy("kind", "ref").transformWithStateInPandas(
         statefulProcessor=FirstOfRef(), outputStructType="id long, seq long, user_id string, kind string, minutes long, ref string",
         outputMode="append", timeMode="None")
-    return firsts.groupBy("user_id").transformWithStateInPandas(
+    # Debits are known by user and reference, which the ledger of the user sees to; they leave no state before it.
+    return firsts.select(*REQUEST).union(named.where(debit).select(*REQUEST)).groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=GuardedLedger(), outputStructType="id long, user_id string, verdict string, delta long, balance_after long",
         outputMode="append", timeMode="None")
 
