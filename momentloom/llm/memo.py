@@ -13,7 +13,7 @@ from array import array
 from collections.abc import Callable, Iterable
 
 #: Bytes that a worker remembers at most, of pieces and of the words that they are made of.
-MEMO_BYTES = 208 << 20
+MEMO_BYTES = 320 << 20
 
 #: What an entry takes besides its characters and ids: two objects and a place in a table.
 _ENTRY = 180
@@ -190,6 +190,9 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)}
 
 
+SPACE = _byte_letters()[0x20]
+
+
 class _Library:
     """Words and their ids by the tokenizers library.
 
@@ -220,7 +223,9 @@ class _Library:
     def learn(self, words: list[str]) -> list[bytes]:
         tokens, letters, out = self.model.tokenize, self.letters, []
         for w in words:
-            if w.isascii() or self.plain(w):
+            if w.isascii() and w[1:].isalnum():  # such letters stand for themselves
+                out.append(packed([t.id for t in tokens(SPACE + w[1:] if w[0] == " " else w)]))
+            elif self.plain(w):
                 out.append(packed([t.id for t in tokens(w.encode().decode("latin-1").translate(letters))]))
             else:
                 out.append(packed(self.whole.encode(w, add_special_tokens=False).ids))
