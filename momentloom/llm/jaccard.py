@@ -12,7 +12,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from momentloom.llm import simhash
@@ -108,7 +108,7 @@ def _reached(pairs: DataFrame, arrays: DataFrame, least: float) -> DataFrame:
 
 
 def rare_keys(arrays: DataFrame, least: float) -> DataFrame:
-    """``key`` (a shingle) and ``node``, such that any two nodes with a similarity of ``least`` or more have a key in common.
+    """``key`` (a shingle), ``node``, its ``size`` and the ``rank`` of the key in it, such that any two nodes with a similarity of ``least`` or more have a key in common.
 
     Two sets of which the larger has n shingles share at least ``least`` * n of them, so each holds a shared one among
     its n - ceil(least * n) + 1 rarest, whatever order all sets agree on. Here the order is by the number of nodes that
@@ -122,7 +122,17 @@ def rare_keys(arrays: DataFrame, least: float) -> DataFrame:
         "key", "node", "size", F.row_number().over(one).alias("rank"),
         F.count("*").over(one.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("shared"))
     prefix = F.col("size") - F.ceil(F.col("size") * F.lit(least) - F.lit(1e-6)) + 1
-    return ranked.where(F.col("rank") + F.col("size") - F.col("shared") <= prefix).select("key", "node")
+    ranked = ranked.withColumn("rank", (F.col("rank") + F.col("size") - F.col("shared")).cast("int"))
+    return ranked.where(F.col("rank") <= prefix).select("key", "node", "size", "rank")
+
+
+def _can_reach(least: float, a: str, b: str) -> Column:
+    """Whether two nodes may reach the similarity, if the rarest shingle that they share has these ranks in them.
+
+    They must share ``least / (1 + least)`` of the sum of their sizes, and all of that stands at these ranks or after.
+    """
+    share = F.ceil((F.col(f"size_{a}") + F.col(f"size_{b}")) * F.lit(least / (1 + least)) - F.lit(1e-6))
+    return (F.col(f"rank_{a}") <= F.col(f"size_{a}") - share + 1) & (F.col(f"rank_{b}") <= F.col(f"size_{b}") - share + 1)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, bands: int = 32, rows: int = 5) -> DataFrame:
@@ -135,8 +145,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, bands:
     Pairs are looked for in three rounds, and what a round has put together makes no more pairs. First each node is
     held against the least node of its SimHash component (fingerprints within 4 bits), and against the node with which
     it shares most bands. Nodes that still share a band with a
-    node elsewhere are filed under their ``rare_keys``, and held against the least node of each key. Last, nodes that are still
-    apart under a key are held against each other, where their sizes allow the similarity. Passages that many texts
+    node elsewhere are filed under their ``rare_keys``, and held against the least node of the key that they share with
+    most. Last, nodes that are still apart under a key are held against each other, where their sizes and the place of the key in them allow the similarity. Passages that many texts
     share are no keys, so texts that have only such a passage in common are not compared.
     """
     keyed = _keyed(docs)
@@ -161,20 +171,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, bands:
     links = settle(_reached(nearest, arrays, least), "links")
 
     def placed(keys: DataFrame) -> DataFrame:
-        """``key``, ``node`` and ``root`` of ``keys`` whose nodes are apart by the links so far, and the least of them as ``low`` and ``centre``."""
-        at = keys.join(components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("root"))
-        apart = at.groupBy("key").agg(F.min(F.struct("root", "node")).alias("least"), F.max("root").alias("high")).where("least.root < high")
-        return settle(at.join(apart.select("key", F.col("least.root").alias("low"), F.col("least.node").alias("centre")), "key"), "apart")
+        """``keys`` with the ``root`` of their nodes by the links so far, where a key has several; ``low`` is the least of them and ``centre`` its row."""
+        at = keys.join(components(links), "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
+        first = F.struct("root", *[c for c in keys.columns if c != "key"])
+        apart = at.groupBy("key").agg(F.min(first).alias("centre"), F.max("root").alias("high")).where("centre.root < high")
+        return settle(at.join(apart.select("key", "centre"), "key"), "apart")
 
     left = placed(met.select("key", "node")).select("node").distinct()
     rare = settle(rare_keys(arrays.join(left, "node", "left_semi"), least), "rare")
     at = placed(rare)
-    stars = at.where("root <> low").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    starred = at.where(F.col("root") != F.col("centre.root")).select(
+        F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("rank").alias("rank_a"), F.col("centre.node").alias("b"),
+        F.col("centre.size").alias("size_b"), F.col("centre.rank").alias("rank_b")).where(_can_reach(least, "a", "b"))
+    often = starred.groupBy("a", "b").agg(F.count("*").alias("n"))
+    stars = settle(often.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b")), "stars")
     links = links.union(settle(_reached(stars, arrays, least), "links"))
-    at = placed(rare).join(arrays.select("node", "size"), "node")
-    one, two = (at.select("key", F.col("node").alias(c), F.col("root").alias(f"root_{c}"), F.col("size").alias(f"size_{c}")) for c in "ab")
-    fits = (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(least) - F.lit(1e-6)) & (F.col("root_a") != F.col("root_b"))
-    rest = one.join(two, "key").where((F.col("a") > F.col("b")) & fits).select("a", "b").distinct().join(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
+    at = placed(rare)
+    one, two = (at.select("key", F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("root", "size", "rank")]) for c in "ab")
+    rest = one.join(two, "key").where((F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b")) & _can_reach(least, "a", "b")).select("a", "b").distinct()
+    rest = rest.join(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
     links = links.union(settle(_reached(settle(rest, "rest"), arrays, least), "links"))
 
     tied = nodes.drop("keys", "fp").join(components(links), "node", "left").withColumn("root", F.coalesce("component", "node"))
