@@ -67,7 +67,7 @@ def _shape(df: DataFrame, rank: int, o1: Column, o2: Column, source: str, eviden
 
 
 def rule_energy_rate(sig: Signals, reach: float = PEAK_SURGE_REACH, window: float = PEAK_SURGE_WINDOW,
-                     min_len: float = MIN_LEN, max_len: float = MAX_LEN, width: float = 64.0) -> DataFrame:
+                     min_len: float = MIN_LEN, max_len: float = MAX_LEN) -> DataFrame:
     """Windows around the peak nearest to a rate surge.
 
     The search zone is symmetric about the surge's middle, so its nearest peak is the nearest of all
@@ -176,7 +176,7 @@ def rule_windows(sig: Signals, rules=(rule_energy_rate, rule_event_leadup, rule_
 
 
 def propose(sig: Signals, rules=(rule_energy_rate, rule_event_leadup, rule_scene_variance), k: int = MAX_CANDIDATES,
-            iou: float = SAME_IOU, extra: DataFrame | None = None, width: float = 64.0) -> DataFrame:
+            iou: float = SAME_IOU, extra: DataFrame | None = None) -> DataFrame:
     """All rules, near-duplicates removed, best ``k`` per timeline.  ``extra`` adds admitted proposals."""
     best = top_candidates(dedupe_windows(rule_windows(sig, rules), iou), k)
     if extra is None:

@@ -70,7 +70,7 @@ def edges_of(sig: Signals) -> dict[str, Edge]:
     }
 
 
-def sentence_start(points: DataFrame, sig: Signals, lead: float = SENTENCE_LEAD, width: float = 64.0) -> DataFrame:
+def sentence_start(points: DataFrame, sig: Signals, lead: float = SENTENCE_LEAD) -> DataFrame:
     """Start of the sentence holding ``t``, at most ``lead`` back; null without an earlier sentence end."""
     e = edges_of(sig)
     out = settle(lookup(points, [e["sentence_before"]]), "ends")
@@ -79,21 +79,21 @@ def sentence_start(points: DataFrame, sig: Signals, lead: float = SENTENCE_LEAD,
     return out.select(*points.columns, F.when((back >= 0) & (back <= lead), F.col("start_after")).alias("sentence_start"))
 
 
-def sentence_end(points: DataFrame, sig: Signals, tail: float = SENTENCE_TAIL, width: float = 64.0) -> DataFrame:
+def sentence_end(points: DataFrame, sig: Signals, tail: float = SENTENCE_TAIL) -> DataFrame:
     """First sentence end at or after ``t``, at most ``tail`` ahead."""
     out = lookup(points, [edges_of(sig)["sentence_after"]])
     end = F.col("sentence_after")
     return out.select(*points.columns, F.when(end - F.col("t") <= tail, end).alias("sentence_end"))
 
 
-def silence_edge(points: DataFrame, sig: Signals, back: float = SILENCE_BACK, width: float = 64.0) -> DataFrame:
+def silence_edge(points: DataFrame, sig: Signals, back: float = SILENCE_BACK) -> DataFrame:
     """End of the last real pause before ``t`` that does not fall inside a word."""
     out = lookup(points, [edges_of(sig)["silence_before"]])
     e = F.col("silence_before")
     return out.select(*points.columns, F.when(F.col("t") - e <= back, e).alias("silence_edge"))
 
 
-def word_start(points: DataFrame, sig: Signals, width: float = 64.0) -> DataFrame:
+def word_start(points: DataFrame, sig: Signals) -> DataFrame:
     """Start of the last word beginning at or before ``t``."""
     return lookup(points, [edges_of(sig)["word_before"]]).withColumnRenamed("word_before", "word_start")
 
@@ -106,7 +106,7 @@ def _open_choice(t: Column, start: Column, silence: Column, word: Column) -> Col
     return F.coalesce(sentence, both, near, word, t)
 
 
-def snap_open(rows: DataFrame, sig: Signals, t: str = "t0", name: str = "open", width: float = 64.0) -> DataFrame:
+def snap_open(rows: DataFrame, sig: Signals, t: str = "t0", name: str = "open") -> DataFrame:
     """Opening edge: sentence start, else pause or word start, the earlier when close together, else unchanged."""
     e = edges_of(sig)
     cols = rows.columns
@@ -169,7 +169,7 @@ def _with_room(t: Column, target: Column, following: Column) -> Column:
     return F.when(target.isNull(), t).otherwise(target + F.least(F.lit(ROOM), F.greatest(F.lit(0.0), gap)))
 
 
-def snap_close(rows: DataFrame, sig: Signals, t: str = "t1", name: str = "close", width: float = 64.0) -> DataFrame:
+def snap_close(rows: DataFrame, sig: Signals, t: str = "t1", name: str = "close") -> DataFrame:
     """Closing edge: sentence end, else word end, plus room up to the next word; unchanged past the last word."""
     e = edges_of(sig)
     cols = rows.columns
@@ -193,7 +193,7 @@ def clamp_cut(rows: DataFrame, t0: str = "t0", t1: str = "t1", min_dur: float =
     return out.select(*[F.col("_n0").alias(c) if c == t0 else F.col("_n1").alias(c) if c == t1 else F.col(c) for c in rows.columns])
 
 
-def reopen_on_speech(rows: DataFrame, sig: Signals, before: str, max_dur: float = MAX_DUR, width: float = 64.0) -> DataFrame:
+def reopen_on_speech(rows: DataFrame, sig: Signals, before: str, max_dur: float = MAX_DUR) -> DataFrame:
     """Where the length floor moved ``t0`` before ``before``, go back to the last pause end or word start."""
     e = edges_of(sig)
     out = ask(rows, {"r": F.when(F.col("t0") < F.col(before), F.col("t0"))}, [e["any_silence_before"], e["word_before"]])
@@ -212,7 +212,7 @@ def payoff_time(evidence: Column) -> Column:
     return F.coalesce(best["t"], F.get(evidence, F.lit(0))["t"])
 
 
-def payoff_word(cands: DataFrame, sig: Signals, width: float = 64.0) -> DataFrame:
+def payoff_word(cands: DataFrame, sig: Signals) -> DataFrame:
     """Last word position at or before the payoff claim; null without claims."""
     e = edges_of(sig)
     cols = cands.columns
@@ -238,7 +238,7 @@ def refine(cands: DataFrame, sig: Signals, min_dur: float = MIN_DUR, max_dur: fl
         _with_room(F.col("t1"), F.col("_target"), F.col("n_start_after")).alias("t1"))
     stripped = strip_fillers(snapped, sig, "open", width=width)
     clamped = clamp_cut(stripped.withColumn("t0", F.col("open")), min_dur=min_dur, max_dur=max_dur)
-    out = reopen_on_speech(clamped, sig, "open", max_dur, width)
+    out = reopen_on_speech(clamped, sig, "open", max_dur)
     return out.select(*IDS, "t0", "t1", "payoff_word_i")
 
 
@@ -251,10 +251,10 @@ def repair_word_clip(cuts: DataFrame, sig: Signals, width: float = 64.0) -> Data
     flagged = ask(cuts, {"a": F.col("t0"), "b": F.col("t1")}, [e["reach"]])
     flagged = flagged.select(*cuts.columns, F.coalesce(F.col("a_reach") > F.col("t0"), F.lit(False)).alias("_cut0"),
                              F.coalesce(F.col("b_reach") > F.col("t1"), F.lit(False)).alias("_cut1"))
-    opened = settle(snap_open(flagged, sig, "t0", "_open", width), "opened")
+    opened = settle(snap_open(flagged, sig, "t0", "_open"), "opened")
     moved = strip_fillers(opened.where("_cut0"), sig, "_open", width=width).withColumn("t0", F.col("_open"))
     opened = opened.where("not _cut0").unionByName(moved)
-    closed = snap_close(opened, sig, "t1", "_close", width)
+    closed = snap_close(opened, sig, "t1", "_close")
     return closed.select(*[F.when(F.col("_cut1"), F.col("_close")).otherwise(F.col("t1")).alias("t1") if c == "t1" else F.col(c) for c in cuts.columns])
 
 
@@ -311,5 +311,5 @@ def repair(cuts: DataFrame, failures: DataFrame, sig: Signals, min_dur: float =
     fixed = fixed.withColumn("t0", F.when(take, F.col("run_t0")).otherwise(F.col("t0"))).withColumn(
         "t1", F.when(take, F.col("run_t1")).otherwise(F.col("t1")))
     fixed = fixed.select(*cols).withColumn("_before", F.col("t0")).join(sig.media.select("video_id", "duration_s"), "video_id")
-    out = reopen_on_speech(clamp_cut(fixed, min_dur=min_dur, max_dur=max_dur), sig, "_before", max_dur, width)
+    out = reopen_on_speech(clamp_cut(fixed, min_dur=min_dur, max_dur=max_dur), sig, "_before", max_dur)
     return same.unionByName(out.select(*cols))

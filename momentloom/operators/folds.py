@@ -172,26 +172,7 @@ def dedupe_step(iou: float, cell: float = 90.0):
     return step
 
 
-# --- caption lines --------------------------------------------------------------------------
-
-
-def caption_step(min_words: int, max_words: int, gap_s: float, marks: str):
-    def step():
-        state = {"line": 0, "n": 0}
-
-        def row(r):
-            state["n"] += 1
-            yield (int(r.pos), state["line"], state["n"] - 1)
-            gap = 0.0 if pd.isna(r.next_t0) else r.next_t0 - r.t1
-            full = state["n"] >= max_words
-            pause = state["n"] >= min_words and (r.text.rstrip()[-1:] in marks or gap > gap_s)
-            if full or pause:
-                state["line"] += 1
-                state["n"] = 0
-
-        return row, lambda: ()
-
-    return step
+# --- stretches without a pause ------------------------------------------------------------------
 
 
 def gap_islands(df: DataFrame, t0: str, t1: str, gap: float, name: str = "island") -> DataFrame:

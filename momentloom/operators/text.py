@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from momentloom.functions.expr import (
     ASCII_PUNCT, capitalise, clock, half_even, held, rstrip, strip, subtitle_time, title_case, truncate_words,
 )
-from momentloom.operators import folds
 from momentloom.operators.cuts import IDS
+from momentloom.operators.stored import settle
 from momentloom.operators.timeline import interval_pairs, stab_pairs
 from momentloom.sources.replies import claims_at, has_type, is_valid
 
@@ -191,33 +191,55 @@ def publish_metadata(clips: DataFrame, words: DataFrame, replies: DataFrame | No
 # --- captions -------------------------------------------------------------------------------------
 
 
+#: Words of a cut that are folded together.
+CAPTION_BLOCK = 64
+
+
 def caption_lines(cuts: DataFrame, words: DataFrame, min_words: int = MIN_GROUP, max_words: int = MAX_GROUP,
-                  gap_s: float = GAP_S, width: float = 64.0) -> DataFrame:
-    """Words starting inside each cut, on the cut's own clock, grouped into lines of 3 to 5."""
+                  gap_s: float = GAP_S, width: float = 64.0, block: int = CAPTION_BLOCK) -> DataFrame:
+    """Words starting inside each cut, on the cut's own clock, grouped into lines of 3 to 5.
+
+    Where a line ends depends only on how many words it has so far, of which there are ``max_words`` cases. So a block
+    of words is a table from each case to the case and the number of lines after it; the tables of a cut, one after another,
+    give every block its start, and within it the words are counted off. No word waits for more than its block.
+    """
     spans = words.select("video_id", "pos", "text", F.col("t0").alias("s0"), F.col("t1").alias("s1"))
     inside = stab_pairs(spans, cuts.select(*IDS, "t0", "t1"), "s0", "t0", "t1",
                         (F.col("s0") >= F.col("t0")) & (F.col("s0") < F.col("t1")), width=width, how="inner")
     rel = inside.select(*IDS, "pos", "text", (F.col("s0") - F.col("t0")).alias("t0"), (F.col("s1") - F.col("t0")).alias("t1"))
-    after = W.partitionBy(*IDS).orderBy("pos")
-    rel = rel.withColumn("next_t0", F.lead("t0").over(after))
-    lines = folds.scan_groups(rel.select(*IDS, "pos", "text", "t0", "t1", "next_t0"), list(IDS), ["pos"],
-                              _caption_step(min_words, max_words, gap_s), "pos int, text string, t0 double, t1 double, line_no int, word_no int")
-    return lines
-
-
-def _caption_step(min_words: int, max_words: int, gap_s: float):
-    inner = folds.caption_step(min_words, max_words, gap_s, MARKS)
-
-    def step():
-        row, end = inner()
-
-        def with_text(r):
-            for pos, line, word in row(r):
-                yield (pos, r.text, r.t0, r.t1, line, word)
-
-        return with_text, end
-
-    return step
+    order = W.partitionBy(*IDS).orderBy("pos")
+    gap = F.coalesce(F.lead("t0").over(order) - F.col("t1"), F.lit(0.0))
+    pause = F.substring(rstrip(F.col("text")), -1, 1).isin(*MARKS) | (gap > gap_s)
+    blocks = rel.select(*IDS, F.floor((F.row_number().over(order) - 1) / block).cast("int").alias("block"),
+                        F.struct("pos", F.coalesce(pause, F.lit(False)).alias("pause"), "text", "t0", "t1").alias("word"))
+    blocks = settle(blocks.groupBy(*IDS, "block").agg(F.array_sort(F.collect_list("word")).alias("words")), "blocks")
+
+    at = lambda n, line: F.struct(n.cast("int").alias("n"), line.cast("int").alias("line"))
+
+    def step(s: Column, pause: Column) -> Column:
+        n = s.n + 1
+        ends = (n >= max_words) | ((n >= min_words) & pause)
+        return at(F.when(ends, 0).otherwise(n), s.line + F.when(ends, 1).otherwise(0))
+
+    pauses = F.transform("words", lambda w: w.pause)
+    table = F.array(*[F.aggregate(pauses, at(F.lit(n), F.lit(0)), step) for n in range(max_words)])
+    tables = blocks.select(*IDS, F.struct("block", table.alias("to")).alias("x")).groupBy(*IDS).agg(F.array_sort(F.collect_list("x")).alias("xs"))
+
+    def follow(held: Column, x: Column) -> Column:
+        to = F.element_at(x.to, held.now.n + 1)
+        return F.struct(at(to.n, held.now.line + to.line).alias("now"), F.concat(held.starts, F.array(F.struct(x.block.alias("block"), held.now.alias("now")))).alias("starts"))
+
+    start = at(F.lit(0), F.lit(0))
+    none = F.array().cast("array<struct<block:int,now:struct<n:int,line:int>>>")
+    starts = tables.select(*IDS, F.inline(F.aggregate("xs", F.struct(start.alias("now"), none.alias("starts")), follow, lambda s: s.starts)))
+
+    def count(held: Column, pause: Column) -> Column:
+        return F.struct(step(held.now, pause).alias("now"), F.concat(held.places, F.array(held.now)).alias("places"))
+
+    no_place = F.array().cast("array<struct<n:int,line:int>>")
+    placed = blocks.join(starts, [*IDS, "block"]).select(*IDS, "words", F.aggregate(pauses, F.struct(F.col("now"), no_place.alias("places")), count, lambda s: s.places).alias("places"))
+    each = placed.select(*IDS, F.inline(F.arrays_zip("words", "places")))
+    return each.select(*IDS, F.col("words.pos").cast("int").alias("pos"), "words.text", "words.t0", "words.t1", F.col("places.line").alias("line_no"), F.col("places.n").alias("word_no"))
 
 
 def karaoke_timing(lines: DataFrame) -> DataFrame:

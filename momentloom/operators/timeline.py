@@ -172,13 +172,18 @@ def _fold(e: Edge, c: Column) -> Column:
     return F.last(c, ignorenulls=True)
 
 
+def long_keys(times: DataFrame, keys: list[str], depth: int = DEPTH) -> DataFrame:
+    """The keys with more than ``depth`` rows in ``times``, and how many."""
+    return times.groupBy(*keys).agg(F.count("_t").alias("_n")).where(F.col("_n") > depth)
+
+
 def cut_points(times: DataFrame, keys: list[str], depth: int = DEPTH) -> DataFrame:
     """``keys`` and ``_cuts``, ascending times, of the keys with more than ``depth`` rows in ``times`` (``keys``, ``_t``).
 
     The cuts are sketched quantiles, about ``depth / 2`` rows apart, at most 1,023 of them. There are fewer than two cuts for each ``depth``
     rows of the table, which bounds what is broadcast: 64 MB for 10**12 rows.
     """
-    sizes = times.groupBy(*keys).agg(F.count("_t").alias("_n")).where(F.col("_n") > depth)
+    sizes = long_keys(times, keys, depth)
     long = times.where(F.col("_t").isNotNull()).join(F.broadcast(sizes), keys)
     fine = F.percentile_approx("_t", [(i + 1) / (_SKETCH + 1) for i in range(_SKETCH)], 20_000).alias("_fine")
     wide = F.greatest(F.lit(1), F.floor(F.lit((_SKETCH + 1) * depth / 2) / F.col("_n")).cast("int"))
@@ -195,31 +200,8 @@ def dealt(rows: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
     return placed.withColumn("_parted", F.col("_cuts").isNotNull()).withColumn("_b", F.when(F.col("_parted") & F.col("_t").isNotNull(), at).otherwise(0)).drop("_cuts")
 
 
-def lookup(
-    points: DataFrame, edges: list[Edge], t: str = "t", keys=KEY, depth: int = DEPTH,
-) -> DataFrame:
-    """Add to each point the edge values found before / after it, one column per edge.
-
-    All edge kinds are resolved in a single scan of ``(key, bucket)`` groups.  ``points`` is read
-    twice (its times, then its rows), so store it first when it is costly.  A point without a time finds nothing.
-    """
-    keys = list(keys)
-    slots = {f"_e{i}": e for i, e in enumerate(edges)}
-    ahead = {s: e for s, e in slots.items() if e.side == "before"}
-    behind = {s: e for s, e in slots.items() if e.side == "after"}
-
-    every = reduce(
-        lambda a, b: a.unionByName(b, allowMissingColumns=True),
-        [_edge_rows(g, keys) for g in _grouped(slots)],
-    )
-
-    asked = points.select(
-        *keys, F.col(t).cast("double").alias("_t"), F.lit(1).alias("_side"), F.lit(0).cast("bigint").alias("_tie"),
-        F.struct(*points.columns).alias("_p"),
-    )
-    cuts = cut_points(every.select(*keys, "_t").unionByName(asked.select(*keys, "_t")), keys, depth)
-    every, asked = dealt(every, cuts, keys), dealt(asked, cuts, keys)
-
+def _inherited(every: DataFrame, asked: DataFrame, slots: dict, ahead: dict, behind: dict, keys: list[str]) -> DataFrame:
+    """What the buckets of parted keys inherit from their neighbours, as rows before and after all of theirs."""
     # Directory of the parted keys: one row per bucket that holds an edge or a point, with the sum of its edges.
     order = F.struct("_t", "_side", "_tie")
     aggs = []
@@ -246,8 +228,44 @@ def lookup(
         return F.struct(F.lit(time).alias("_t"), F.lit(side).alias("_side"), F.lit(0).cast("bigint").alias("_tie"), *kept)
 
     fills = ([at(float("-inf"), 0, ahead)] if ahead else []) + ([at(float("inf"), 2, behind)] if behind else [])
-    inherited = inherited.select(*keys, "_b", F.inline(F.array(*fills)))
-    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [every.drop("_parted"), inherited, asked.drop("_parted")])
+    return inherited.select(*keys, "_b", F.inline(F.array(*fills)))
+
+
+def lookup(
+    points: DataFrame, edges: list[Edge], t: str = "t", keys=KEY, depth: int = DEPTH,
+) -> DataFrame:
+    """Add to each point the edge values found before / after it, one column per edge.
+
+    All edge kinds are resolved in a single scan of ``(key, bucket)`` groups.  Whether any key is so long that it must be
+    parted is counted at once, so ``points`` and edges are read twice: store them first when they are costly.
+    A point without a time finds nothing.
+    """
+    keys = list(keys)
+    slots = {f"_e{i}": e for i, e in enumerate(edges)}
+    ahead = {s: e for s, e in slots.items() if e.side == "before"}
+    behind = {s: e for s, e in slots.items() if e.side == "after"}
+
+    every = reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True),
+        [_edge_rows(g, keys) for g in _grouped(slots)],
+    )
+
+    asked = points.select(
+        *keys, F.col(t).cast("double").alias("_t"), F.lit(1).alias("_side"), F.lit(0).cast("bigint").alias("_tie"),
+        F.struct(*points.columns).alias("_p"),
+    )
+    times = every.select(*keys, "_t").unionByName(asked.select(*keys, "_t"))
+    parted = not long_keys(times, keys, depth).isEmpty()
+    if parted:
+        cuts = cut_points(times, keys, depth)
+        every, asked = dealt(every, cuts, keys), dealt(asked, cuts, keys)
+    else:
+        every, asked = every.withColumn("_b", F.lit(0)), asked.withColumn("_b", F.lit(0))
+
+    rows = [every, asked]
+    if parted:
+        rows = [every.drop("_parted"), _inherited(every, asked, slots, ahead, behind, keys), asked.drop("_parted")]
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), rows)
 
     up = W.partitionBy(*keys, "_b").orderBy("_t", "_side", "_tie").rowsBetween(W.unboundedPreceding, W.currentRow)
     down = W.partitionBy(*keys, "_b").orderBy(F.desc("_t"), F.desc("_side"), F.desc("_tie")).rowsBetween(W.unboundedPreceding, W.currentRow)

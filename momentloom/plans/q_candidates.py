@@ -17,7 +17,7 @@ REACH, WINDOW, MIN_LEN, MAX_LEN = 300.0, 1200.0, 1800.0, 5400.0
 LEAD, LEAD_WINDOW, TAIL, SCENE, HOP, WIDTH = 480.0, 1200.0, 180.0, 1200.0, 3600.0, 600.0
 GATE = dict(slack=120.0, peak_time=30.0, peak_sigma=0.5, event_time=60.0, silence_time=30.0, scene_len=900.0, width=WIDTH)
 
-rule_a = partial(C.rule_energy_rate, reach=REACH, window=WINDOW, min_len=MIN_LEN, max_len=MAX_LEN, width=WIDTH)
+rule_a = partial(C.rule_energy_rate, reach=REACH, window=WINDOW, min_len=MIN_LEN, max_len=MAX_LEN)
 rule_b = partial(C.rule_event_leadup, lead=LEAD, window=LEAD_WINDOW, tail=TAIL, min_len=MIN_LEN, max_len=MAX_LEN, width=WIDTH)
 rule_c = partial(C.rule_scene_variance, hop_s=HOP, scene_len=SCENE, min_len=MIN_LEN, max_len=MAX_LEN, width=WIDTH)
 RULES = (rule_a, rule_b, rule_c)
@@ -146,7 +146,7 @@ def top_candidates(spark, d):
 
 def _proposed(spark, d):
     sig = D.tick_signals(spark, d)
-    return sig, D.settle(C.propose(sig, RULES, width=WIDTH))
+    return sig, D.settle(C.propose(sig, RULES))
 
 
 _UNION3 = dict(u=_UNION["u"] + " UNION ALL SELECT video_id, 2, pos::DOUBLE, 0::BIGINT, part, t0, t1, 1 FROM rc")

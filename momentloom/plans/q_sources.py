@@ -136,6 +136,14 @@ def stage_timings(spark, d):
     return timings(A.parse_run_results(run_docs(spark, d))[0])[0]
 
 
+@query(f"""WITH o AS ({_RUNS}) SELECT CAST(k AS VARCHAR) AS job_id, round((0.25::DOUBLE + k % 40 * 0.5 + k % 60 * 0.25) / (k % 900 + 1), 6) AS realtime_factor
+    FROM o WHERE k % 10 > 3 AND k % 7 <> 0""")
+def realtime_factors(spark, d):
+    from momentloom.operators.product import stage_timings as timings
+
+    return timings(A.parse_run_results(run_docs(spark, d))[0])[1].withColumn("realtime_factor", F.round("realtime_factor", 6))
+
+
 def _readable(spark, d):
     """Run clips with claims read from JSON text, as the report wants them."""
     ok, _ = A.parse_run_results(run_docs(spark, d))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from momentloom.functions.expr import half_up
@@ -35,6 +37,32 @@ def stream_first_agents(spark, d):
     return K.run_available(K.stream_first_agents(_log(spark, d))).drop("batch")
 
 
+@query("""SELECT CAST(user_id AS VARCHAR) AS job_id, CASE event_type WHEN 'click' THEN 'scout' WHEN 'view' THEN 'critic' WHEN 'purchase' THEN 'surgeon'
+    WHEN 'signup' THEN 'qa' ELSE 'orchestrator' END AS agent, event_type AS action, event_id AS n FROM events""")
+def stream_log_tail(spark, d):
+    """A log per user; the stream runs when three fifths of its bytes are there, which ends within a line, and again when all are."""
+    base = scratch(spark, "logs")
+    e = D.read(spark, d, "events").where(F.col("user_id").isNotNull())
+    line = F.to_json(F.struct(D.agent_of(F.col("event_type")).alias("agent"), F.col("event_type").alias("action"), F.struct(F.col("event_id").alias("n")).alias("payload")))
+    log = e.select(F.col("user_id").cast("string").alias("job_id"), "event_id", line.alias("line"))
+
+    def written(share):
+        def put(job, rows):
+            text = "".join(x + "\n" for x in rows.sort_values("event_id")["line"]).encode()
+            os.makedirs(f"{base}/{job[0]}", exist_ok=True)
+            with open(f"{base}/{job[0]}/agent_events.jsonl", "wb") as f:
+                f.write(text[: int(len(text) * share)])
+            return rows[["job_id"]].head(1)
+
+        return log.groupBy("job_id").applyInPandas(put, "job_id string")
+
+    out = None
+    for share in (0.6, 1.0):
+        written(share).write.format("noop").mode("overwrite").save()
+        out = K.run_available(K.tail_agent_events(spark, base), path=f"{base}-run")
+    return out.select("job_id", "agent", "action", F.get_json_object("payload", "$.n").cast("bigint").alias("n"))
+
+
 @query("""SELECT CAST(user_id AS VARCHAR) AS video_id, date_trunc('hour', ts) AS start, count(*) AS n FROM events GROUP BY 1, 2""")
 def stream_rates(spark, d):
     e = _stream(spark, d).select(F.col("user_id").cast("string").alias("video_id"), F.col("ts").cast("timestamp").alias("ts"))

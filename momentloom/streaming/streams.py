@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from momentloom.operators.product import STALE_MINUTES, billable, credit_rows, decide, refunds_for, stage_progress
 from momentloom.operators.stored import scratch
 from momentloom.sources.tables import parse_agent_events
+from momentloom.streaming.tail import tail_lines
 
 #: State of a job that was reported as stale; no status of a job.
 SWEPT = "swept"
@@ -37,6 +38,11 @@ def stream_agent_events(spark: SparkSession, path: str) -> DataFrame:
     return parse_agent_events(lines.select(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]*$", 1).alias("job_id"), "value"))
 
 
+def tail_agent_events(spark: SparkSession, path: str) -> DataFrame:
+    """The same of logs that grow: what is appended to a file is read on, a last line without its line feed waits."""
+    return parse_agent_events(tail_lines(spark, path))
+
+
 def stream_progress(events: DataFrame) -> DataFrame:
     """Furthest stage per job; a maximum never moves back (update or complete mode)."""
     return stage_progress(events)

@@ -1,6 +1,9 @@
 import json
+import random
+import statistics
 from datetime import datetime
 
+import pytest
 from make import table
 from pyspark.sql import functions as F
 
@@ -89,3 +92,47 @@ def test_replies(spark):
     rows = [("a", 1, "no"), ("a", 2, '```json\n{"t": "x"}\n```'), ("b", 1, 'sure: {"t": {"y": 1}} ok'), ("b", 2, '{"t": "z"}'), ("c", 1, "[1]")]
     out = parse_model_replies(table(spark, rows, "k string, attempt int, raw string"), ["t"], {"t": "string"}, ["k"]).collect()
     assert {r.k: r.attempt for r in out} == {"a": 2, "b": 2, "c": None}
+
+
+def plain_lines(rows, least=3, most=5, gap=1.2):
+    """Line and place of each word, one after another."""
+    line, n, out = 0, 0, []
+    for k, (text, t0, t1) in enumerate(rows):
+        out.append((line, n))
+        n += 1
+        after = rows[k + 1][1] - t1 if k + 1 < len(rows) else 0.0
+        if n >= most or n >= least and (text.rstrip()[-1:] in tuple(".,!?;:") or after > gap):
+            line, n = line + 1, 0
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 7, 64])
+def test_caption_blocks_are_the_fold(spark, block):
+    r = random.Random(block)
+    words, cuts = [], []
+    for v in range(6):
+        t = 0.0
+        for pos in range([0, 1, 5, 63, 200, 400][v]):
+            words.append((f"v{v}", pos, r.choice(["one", "two.", "three,", "four ", "five! "]), t, t + 0.3))
+            t += r.choice([0.3, 0.4, 1.4, 1.6])
+        cuts.append((f"v{v}", "c", 0.0, t + 1))
+    w = table(spark, words, "video_id string, pos int, text string, t0 double, t1 double")
+    df = I.caption_lines(table(spark, cuts, "video_id string, cand_id string, t0 double, t1 double"), w, block=block)
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString() and "MapInPandas" not in df._jdf.queryExecution().toString()
+    got = {(x.video_id, x.pos): (x.line_no, x.word_no) for x in df.collect()}
+    want = {}
+    for v in range(6):
+        rows = [x for x in words if x[0] == f"v{v}"]
+        want |= {(f"v{v}", x[1]): p for x, p in zip(rows, plain_lines([x[2:] for x in rows]), strict=True)}
+    assert got == want
+
+
+def test_median_of_stage_times_is_exact(spark):
+    r = random.Random(3)
+    runs = [(f"j{i}", {"a": float(r.randint(0, 9)), "b": r.random(), **({"c": 1.0} if i == 0 else {})}) for i in range(201)]
+    df = table(spark, runs, "job_id string, t map<string,double>").selectExpr("job_id", "named_struct('timings_s', t, 'duration_processed_s', 10.0D) as run")
+    per, factor = J.stage_timings(df)
+    for x in per.collect():
+        values = [t[x.stage] for _, t in runs if x.stage in t]
+        assert (x.n_runs, x.p50_s, x.max_s) == (len(values), statistics.median(values), max(values)) and abs(x.total_s - sum(values)) < 1e-9
+    assert factor.count() == 201
