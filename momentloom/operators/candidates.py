@@ -204,7 +204,8 @@ def parse_proposals(replies: DataFrame, media: DataFrame, min_len: float = MIN_L
     why = F.when(F.col("r0").isNull() | F.col("r1").isNull(), "malformed t0/t1").when(F.col("evidence").isNull(), "malformed evidence entry")
     typed = typed.withColumn("reason", why)
     bad = typed.where(F.col("reason").isNotNull()).select("video_id", "chunk", "seq", "reason")
-    good = typed.where(F.col("reason").isNull()).drop("reason").join(media.select("video_id", "duration_s"), "video_id")
+    # texts and their entries look small to the planner, which would send all of them through the driver
+    good = typed.where(F.col("reason").isNull()).drop("reason").join(media.select("video_id", "duration_s").hint("merge"), "video_id")
     return clamp_windows(good, min_len=min_len, max_len=max_len), bad
 
 

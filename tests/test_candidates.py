@@ -5,6 +5,7 @@ from make import candidates, signals, table
 from momentloom.operators import candidates as C
 from momentloom.operators import scoring as S
 from momentloom.operators.evidence import validate_claims
+from momentloom.operators.stored import settle
 
 
 def windows(df):
@@ -69,6 +70,13 @@ def test_dedupe_brute_force(spark):
     assert got == sorted((k[5], k[6], len(k[9])) for k in kept)
 
 
+def test_proposals_do_not_pass_through_the_driver(spark):
+    replies = settle(table(spark, [("v1", 1, '{"candidates":[{"t0":1,"t1":40,"evidence":[]}]}')], "video_id string, chunk long, reply string"))
+    good, _ = C.parse_proposals(replies, table(spark, [("v1", 60.0)], "video_id string, duration_s double"))
+    assert "BroadcastHashJoin" not in good._jdf.queryExecution().executedPlan().toString()
+    assert windows(good) == [(1.0, 40.0)]
+
+
 def test_fallback(spark):
     two = windows(C.fallback_windows(signals(spark, 200, speech=[(10, 20), (150, 160)]), 2))
     assert len(two) == 2 and all(any(a < s1 and b > s0 for s0, s1 in [(10, 20), (150, 160)]) for a, b in two)
