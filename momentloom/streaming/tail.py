@@ -1,7 +1,8 @@
 """Growing line logs as a stream: one byte offset per file.
 
 A batch is a range of bytes of every file that grew. A line belongs to the range that holds its line feed, and a task
-looks back for its start; so a last line that is not finished waits, and long ranges can be cut anywhere.
+looks back for its start; so a last line that is not finished waits, and long ranges can be cut anywhere. Short ranges
+share a task, so the tasks of a batch grow with its bytes, not with its files.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 #: Bytes that one task reads, and that it looks back at a time for the start of its first line.
 RANGE, BACK = 64 << 20, 1 << 16
 
+#: What opening a file counts for, in bytes, when ranges are put together.
+OPEN = 1 << 16
+
 # The source runs in workers of its own, which do not see the library's folder.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -27,10 +31,10 @@ def _open(path: str):
 
 
 class Bytes(InputPartition):
-    """A range of one file."""
+    """Ranges ``path, start, end`` of files that one task reads."""
 
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
 
 
 def lines(file, start: int, end: int) -> Iterator[bytes]:
@@ -72,20 +76,24 @@ class Tail(DataSourceStreamReader):
         return {f.path: f.size for f in sorted(found, key=lambda f: f.path) if f.is_file and not f.base_name.startswith((".", "_"))}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        out = []
+        out, full = [Bytes([])], 0
         for path, size in end.items():
             for a in range(start.get(path, 0), size, RANGE):
-                out.append(Bytes(path, a, min(a + RANGE, size)))
-        return out or [Bytes("", 0, 0)]
+                b = min(a + RANGE, size)
+                if full and full + b - a + OPEN > RANGE:
+                    out.append(Bytes([]))
+                    full = 0
+                out[-1].ranges.append((path, a, b))
+                full += b - a + OPEN
+        return out
 
     def read(self, partition: Bytes) -> Iterator[tuple[str, str]]:
-        if not partition.path:
-            return
         place, _ = _open(self.path)
-        job = partition.path.rsplit("/", 2)[-2]
-        with place.open_input_file(partition.path) as file:
-            for line in lines(file, partition.start, partition.end):
-                yield job, line.decode("utf-8", "replace")
+        for path, start, end in partition.ranges:
+            job = path.rsplit("/", 2)[-2]
+            with place.open_input_file(path) as file:
+                for line in lines(file, start, end):
+                    yield job, line.decode("utf-8", "replace")
 
     def commit(self, end: dict) -> None:
         pass

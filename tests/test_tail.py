@@ -40,6 +40,18 @@ def test_appended_lines_are_read_on(spark, tmp_path):
     assert _values(go()) == want and _values(go()) == want
 
 
+def test_short_ranges_share_a_task(monkeypatch):
+    monkeypatch.setattr(tail, "RANGE", 100)
+    monkeypatch.setattr(tail, "OPEN", 10)
+    end = {**{f"/j{i}/a": 20 for i in range(9)}, "/k/a": 250, "/l/a": 5, "/m/a": 7}
+    start = {"/j0/a": 20, "/k/a": 30, "/m/a": 7}
+    tasks = [p.ranges for p in tail.Tail("/").partitions(start, end)]
+    assert len(tasks) == 6 and max(sum(b - a for _, a, b in t) for t in tasks) <= 100
+    got = [x for t in tasks for x in t]
+    assert got == [(f"/j{i}/a", 0, 20) for i in range(1, 9)] + [("/k/a", 30, 130), ("/k/a", 130, 230), ("/k/a", 230, 250), ("/l/a", 0, 5)]
+    assert [p.ranges for p in tail.Tail("/").partitions(end, end)] == [[]]
+
+
 def test_events_of_growing_logs(spark, tmp_path):
     (tmp_path / "j").mkdir()
     log, run = tmp_path / "j" / "agent_events.jsonl", scratch(spark, "tail")
