@@ -37,6 +37,18 @@ def test_agent_logs(spark, tmp_path):
     assert sorted((r.job_id, r.ok) for r in strict) == [("j1", False), ("j1", True), ("j2", True)]
 
 
+def test_run_results_are_read_once_and_lines_stay_narrow(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    runs = plan(Q.read_run_results(spark, D))
+    assert runs.count("FileScan parquet") == 2 and "ObjectHashAggregate" not in runs
+    for r in Q.run_docs(spark, D).where("job_id % 10 > 3").collect():
+        assert [c["index"] for c in json.loads(r.raw)["clips"]] == list(range(1, len(json.loads(r.raw)["clips"]) + 1))
+
+
+def test_signal_documents_are_judged_once(spark):
+    assert Q.read_signal_index(spark, D)._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+
+
 def test_run_results_and_import(spark, tmp_path):
     docs = {r.job_id: r.raw for r in Q.run_docs(spark, D).orderBy("job_id").limit(20).collect()}
     for key, raw in docs.items():
