@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -174,17 +174,11 @@ class FirstOfRef(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.landed = handle.getValueState("landed", "id long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best = None
-        for pdf in rows:
-            first = pdf.sort_values(["seq", "id"], kind="stable").iloc[:1]
-            if best is None or tuple(first[["seq", "id"]].iloc[0]) < tuple(best[["seq", "id"]].iloc[0]):
-                best = first
-        if self.landed.exists():
-            yield pd.DataFrame()
-        else:
-            self.landed.update((int(best["id"].iloc[0]),))
-            yield best[REQUEST]
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        best = min(rows, key=lambda r: (r.seq, r.id))
+        if not self.landed.exists():
+            self.landed.update((best.id,))
+            yield Row(**{c: best[c] for c in REQUEST})
 
     def close(self) -> None:
         pass
@@ -201,23 +195,23 @@ class GuardedLedger(StatefulProcessor):
         self.balance = handle.getValueState("balance", "minutes long")
         self.landed = handle.getMapState("landed", "kind string, ref string", "at long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         bal = self.balance.get()[0] if self.balance.exists() else 0
+        seen: dict[tuple[str, str], bool] = {}
         # one micro-batch of one user; its order is the request order
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["seq", "id"], kind="stable")
-        out = []
-        for r in batch.itertuples(index=False):
+        for r in sorted(rows, key=lambda r: (r.seq, r.id)):
             slot = (r.kind, r.ref)
-            seen = self.landed.containsKey(slot)
-            if r.kind != "debit" and seen:
+            if slot not in seen:
+                seen[slot] = self.landed.containsKey(slot)
+            if r.kind != "debit" and seen[slot]:
                 continue
-            verdict, delta = decide(bal, r.kind, int(r.minutes), seen)
+            verdict, delta = decide(bal, r.kind, r.minutes, seen[slot])
             if verdict == "accepted":
-                self.landed.updateValue(slot, (int(r.id),))
+                seen[slot] = True
+                self.landed.updateValue(slot, (r.id,))
             bal += delta
-            out.append((int(r.id), key[0], verdict, delta, bal))
+            yield Row(id=r.id, user_id=key[0], verdict=verdict, delta=delta, balance_after=bal)
         self.balance.update((bal,))
-        yield pd.DataFrame(out, columns=["id", "user_id", "verdict", "delta", "balance_after"])
 
     def close(self) -> None:
         pass
@@ -253,11 +247,11 @@ def stream_ledger(requests: DataFrame) -> DataFrame:
     """
     named = requests.select("id", F.col("seq").cast("bigint").alias("seq"), "user_id", "kind", F.col("minutes").cast("bigint").alias("minutes"), "ref")
     debit = F.coalesce(F.col("kind") == "debit", F.lit(False))
-    firsts = named.where(~debit).groupBy("kind", "ref").transformWithStateInPandas(
+    firsts = named.where(~debit).groupBy("kind", "ref").transformWithState(
         statefulProcessor=FirstOfRef(), outputStructType="id long, seq long, user_id string, kind string, minutes long, ref string",
         outputMode="append", timeMode="None")
     # Debits are known by user and reference, which the ledger of the user sees to; they leave no state before it.
-    return firsts.select(*REQUEST).union(named.where(debit).select(*REQUEST)).groupBy("user_id").transformWithStateInPandas(
+    return firsts.select(*REQUEST).union(named.where(debit).select(*REQUEST)).groupBy("user_id").transformWithState(
         statefulProcessor=GuardedLedger(), outputStructType="id long, user_id string, verdict string, delta long, balance_after long",
         outputMode="append", timeMode="None")
 

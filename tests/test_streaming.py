@@ -5,6 +5,7 @@ import subprocess
 import sys
 
 from make import table
+from pyspark.sql import Row
 
 from momentloom.operators.stored import scratch
 from momentloom.streaming import streams as K
@@ -71,6 +72,40 @@ def test_debits_leave_no_state_before_the_ledger(spark):
     assert sorted(held) == [("purchase", "p"), ("signup_grant", "g")] or all("debit" not in k for k in held)
 
 
+class _Store:
+    """Stands in for a value or map state and counts what is asked of it."""
+
+    def __init__(self):
+        self.held, self.asked = {}, 0
+
+    def exists(self):
+        return None in self.held
+
+    def get(self):
+        return self.held[None]
+
+    def update(self, value):
+        self.held[None] = value
+
+    def containsKey(self, key):
+        self.asked += 1
+        return key in self.held
+
+    def updateValue(self, key, value):
+        self.held[key] = value
+
+
+def test_ledger_asks_its_state_once_per_reference():
+    p = K.GuardedLedger()
+    p.balance, p.landed = _Store(), _Store()
+    rows = [Row(id=i, seq=s, user_id="u", kind=k, minutes=m, ref=f) for i, s, k, m, f in (
+        (5, 5, "debit", 3, "a"), (1, 1, "purchase", 4, "p"), (2, 2, "debit", 3, "a"), (3, 3, "debit", 3, "a"), (4, 4, "debit", 9, "b"), (6, 6, "debit", 1, "b"))]
+    got = [tuple(r) for r in p.handleInputRows(("u",), iter(rows), None)]
+    assert got == [(1, "u", "accepted", 4, 4), (2, "u", "accepted", -3, 1), (3, "u", "duplicate", 0, 1), (4, "u", "rejected", 0, 1),
+                   (5, "u", "duplicate", 0, 1), (6, "u", "accepted", -1, 0)]
+    assert p.landed.asked == 3 and set(p.landed.held) == {("purchase", "p"), ("debit", "a"), ("debit", "b")} and p.balance.get() == (0,)
+
+
 def test_processors_run_from_another_folder(tmp_path):
     """Workers of stateful operators do not see the folder of the library; only the driver does."""
     code = f"""
