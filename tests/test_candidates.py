@@ -36,6 +36,13 @@ def test_scene_rule(spark):
     assert len(long) >= 2 and abs(sum(b - a for a, b in long) - 200) < 1e-6
 
 
+def test_scene_at_the_bar(spark):
+    """The top of nine values is the bar; a scene that has it reaches it, though ten times it, divided by ten, is a digit more."""
+    top = next(x for x in (1.6 + k / 1000 for k in range(300)) if x * 10 / 10 > x)
+    sig = signals(spark, 200, pitch=[top] + [0.1] * 8, scene=[(0, 20), (20, 40)])
+    assert [(r.t0, r.t1) for r in C.rule_scene_variance(sig, hop_s=20.0, min_len=1.0).collect()] == [(0.0, 20.0)]
+
+
 def test_decile_is_exclusive(spark):
     c = table(spark, [("v", i, float(i), float(x)) for i, x in enumerate([*range(1, 12), 13, 0, 0])], "video_id string, i bigint, t double, v double")
     assert abs(C.decile_bar(c).first().bar - 12.4) < 1e-9
