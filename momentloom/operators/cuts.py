@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -258,38 +261,75 @@ def repair_word_clip(cuts: DataFrame, sig: Signals, width: float = 64.0) -> Data
     return closed.select(*[F.when(F.col("_cut1"), F.col("_close")).otherwise(F.col("t1")).alias("t1") if c == "t1" else F.col(c) for c in cuts.columns])
 
 
-def _best_run(bar: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["s0", "pos"], kind="stable")
-        a, b = pdf["s0"].to_numpy(), pdf["s1"].to_numpy()
-        bad = (pdf["err"].to_numpy() > bar).cumsum()
-        best, span = None, 0.0
-        n = len(a)
-        for i in range(n):
-            base = bad[i - 1] if i else 0
-            for j in range(i, n):
-                size = j - i + 1
-                # the order statistic is within the bar when enough values are
-                if size - (bad[j] - base) > int(0.95 * (size - 1)) and b[j] - a[i] > span:
-                    best, span = (a[i], b[j]), b[j] - a[i]
-        if best is None:
-            return pd.DataFrame(columns=["video_id", "cand_id", "run_t0", "run_t1"])
-        return pd.DataFrame([[pdf["video_id"].iloc[0], pdf["cand_id"].iloc[0], *best]], columns=["video_id", "cand_id", "run_t0", "run_t1"])
+def best_run(t0: np.ndarray, t1: np.ndarray, bad: np.ndarray) -> tuple[float, float] | None:
+    """Longest span of consecutive words with an acceptable p95, by their times in order of start; the earliest on a tie.
 
-    return run
+    ``bad`` marks words over the bar. The p95 of words i to j is within it if at most (j - i) / 20, rounded up, are bad:
+    j - 20 * (bad up to j) + 20 > i - 20 * (bad before i). A start is worth a look only if that right side is less than
+    at all starts before, an end only if the left side is more than at all ends after; each start takes the last end it may.
+    """
+    i, upto = np.arange(len(t0)), np.cumsum(bad)
+    tail, head = i - 20 * upto + 20, i - 20 * (upto - bad)
+    starts = np.flatnonzero(np.diff(np.minimum.accumulate(head), prepend=head[0] + 1) < 0)
+    if (t1[1:] < t1[:-1]).any():  # a word ends before an earlier one: look at all ends of each start
+        ends = np.array([k + np.argmax(np.where(tail[k:] > head[k], t1[k:], -np.inf)) for k in starts])
+        sure = tail[ends] > head[starts]
+    else:
+        after = np.maximum.accumulate(tail[::-1])[::-1]
+        ends = np.flatnonzero(np.diff(after, append=after[-1] - 1) < 0)
+        at = np.searchsorted(-tail[ends], -head[starts]) - 1
+        ends = ends[at]
+        sure = (at >= 0) & (ends >= starts)
+    span = np.where(sure, t1[ends] - t0[starts], 0.0)
+    best = int(np.argmax(span))  # the first of equal spans
+    return (float(t0[starts[best]]), float(t1[ends[best]])) if span[best] > 0 else None
+
+
+def _best_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``best_run`` of each cut; rows come cut by cut and in order of start, and words of one cut are held at a time."""
+    out, held = pa.schema([("video_id", pa.string()), ("cand_id", pa.string()), ("run_t0", pa.float64()), ("run_t1", pa.float64())]), []
+
+    def runs(table: pa.Table, edges: list[int]) -> pa.RecordBatch:
+        a, b, bad = (table.column(c).to_numpy() for c in ("s0", "s1", "bad"))
+        names = table.select(list(IDS)).take(edges[:-1]).to_pylist()
+        found = [(n["video_id"], n["cand_id"], best_run(a[i:j], b[i:j], bad[i:j])) for n, i, j in zip(names, edges, edges[1:], strict=False)]
+        return pa.RecordBatch.from_pylist([dict(zip(out.names, (v, c, *r), strict=True)) for v, c, r in found if r], out)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.table(batch)
+        new = np.zeros(len(table), bool)
+        for c in IDS:
+            x = batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        if held:
+            new[0] = any(held[-1].column(c)[0] != table.column(c)[0] for c in IDS)
+        marks = np.flatnonzero(new)
+        if not len(marks):  # all of the cut that is held
+            held.append(table)
+            continue
+        whole = pa.concat_tables([*held, table.slice(0, int(marks[-1]))])
+        lead = len(whole) - int(marks[-1])
+        if len(whole):
+            yield runs(whole, sorted({0, *(marks + lead).tolist()}))
+        held = [table.slice(int(marks[-1]))]
+    if held:
+        whole = pa.concat_tables(held)
+        yield runs(whole, [0, len(whole)])
 
 
 def best_aligned_run(cuts: DataFrame, words: DataFrame, max_ms: float = ALIGN_MAX_MS, width: float = 64.0) -> DataFrame:
     """Longest stretch of words in each cut whose p95 error is acceptable; the earliest on a tie.
 
-    A group is the words of one cut, at most the cut's length of speech.
+    Work grows with the words of the cuts; a task holds the words of one cut, at most the cut's length of speech, and a batch.
     """
     timed = words.where(F.col("align_err_ms").isNotNull()).select(
-        "video_id", "pos", F.col("t0").alias("s0"), F.col("t1").alias("s1"), F.col("align_err_ms").alias("err"))
+        "video_id", "pos", F.col("t0").alias("s0"), F.col("t1").alias("s1"), (F.col("align_err_ms") > max_ms).cast("int").alias("bad"))
     pairs = interval_pairs(cuts.select(*IDS, "t0", "t1"), timed, "t0", "t1", "s0", "s1",
                            (F.col("s0") < F.col("t1")) & (F.col("s1") > F.col("t0")), width=width)
-    return pairs.select(*IDS, "pos", "s0", "s1", "err").groupBy(*IDS).applyInPandas(
-        _best_run(max_ms), "video_id string, cand_id string, run_t0 double, run_t1 double")
+    ordered = pairs.select(*IDS, "pos", "s0", "s1", "bad").repartition(*IDS).sortWithinPartitions(*IDS, "s0", "pos")
+    return ordered.select(*IDS, "s0", "s1", "bad").mapInArrow(_best_runs, "video_id string, cand_id string, run_t0 double, run_t1 double")
 
 
 def repair(cuts: DataFrame, failures: DataFrame, sig: Signals, min_dur: float = MIN_DUR, max_dur: float = MAX_DUR, width: float = 64.0) -> DataFrame:

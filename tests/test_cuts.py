@@ -1,6 +1,11 @@
+import random
+
+import numpy as np
 import pytest
 from make import candidates, signals, table
 
+from pyspark.sql import functions as F
+
 from momentloom.operators import cuts as G
 from momentloom.operators import qa as H
 
@@ -63,6 +68,31 @@ def test_align_repair(spark):
     assert (bad.t0, bad.t1) == (0.0, 45.0)
 
 
+def test_best_run_is_the_double_loop():
+    r = random.Random(5)
+    for k in range(600):
+        n, p, long = r.randint(1, 70), r.choice([0.02, 0.05, 0.08, 0.4, 1.0]), r.choice([0, 1, 20])
+        a = np.sort(np.array([r.randint(0, n) for _ in range(n)], float))
+        b = a + np.array([r.uniform(0, long) if long else 0.375 for _ in range(n)])
+        bad = np.array([int(r.random() < p) for _ in range(n)])
+        best, span = None, 0.0
+        for i in range(n):
+            for j in range(i, n):
+                if j - i + 1 - bad[i : j + 1].sum() > int(0.95 * (j - i)) and b[j] - a[i] > span:
+                    best, span = (a[i], b[j]), b[j] - a[i]
+        assert G.best_run(a, b, bad) == best
+
+
+def test_best_run_of_a_long_cut(spark):
+    """Twenty thousand words in one cut, every fifth over the bar, next to a cut without one that passes; both cuts of one timeline and another's."""
+    n = 20_000
+    words = spark.range(n).select(F.explode(F.array(F.lit("v"), F.lit("w"))).alias("video_id"), F.col("id").alias("pos"), (F.col("id") * 0.5).alias("t0"),
+                                  (F.col("id") * 0.5 + 0.375).alias("t1"), F.when(F.col("id") % 5 == 0, 500.0).otherwise(10.0).alias("align_err_ms"))
+    cuts = table(spark, [("v", "c0", 0.0, 1e6), ("v", "c1", 2.5, 2.8), ("w", "c0", 0.0, 30.0), ("w", None, 0.0, 30.0)], "video_id string, cand_id string, t0 double, t1 double")
+    got = sorted((r.video_id, r.cand_id or "", r.run_t0, r.run_t1) for r in G.best_aligned_run(cuts, words).collect())
+    assert got == [("v", "c0", 0.5, 4.875), ("w", "", 0.5, 4.875), ("w", "c0", 0.5, 4.875)]
+
+
 def test_routes(spark):
     rows = [("v", c, r) for c, r in H.ROUTES.items()]
     out = {r.cand_id: r.route for r in H.repair_route(table(spark, rows, "video_id string, cand_id string, route_to string")).collect()}
