@@ -22,6 +22,9 @@ from momentloom.operators.stored import settle
 
 _CHUNK = 2048
 
+#: 64-bit words of the parity marks of a set of shingles.
+_MARKS = 32
+
 
 def shingles(text: str, words: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the runs of ``words`` words; a shorter text is one shingle, an empty one has none."""
@@ -59,6 +62,15 @@ def sketch(found: np.ndarray, bands: int, rows: int) -> list[int]:
     return [xxhash.xxh64_intdigest(own[k].tobytes(), k) - (1 << 63) for k in range(bands)]
 
 
+def marks(found: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each of ``64 * _MARKS`` bins, as signed 64-bit words.
+
+    A shingle that only one of two sets holds turns one bit, so the sets differ in at least as many shingles as their marks in bits.
+    """
+    odd = np.bincount((found >> np.uint64(17)) % np.uint64(64 * _MARKS), minlength=64 * _MARKS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     """``doc_id``, ``version`` (hash of the text), ``node`` (hash of its set of shingles), its SimHash ``fp`` and its band ``keys`` of every row."""
 
@@ -79,19 +91,21 @@ def _sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 
 
 def _arrays(texts: DataFrame, words: int) -> DataFrame:
-    """``node``, ``size`` and ``found`` (its ``shingles``, as signed integers) of rows with ``node`` and ``text``."""
+    """``node``, ``size``, ``found`` (its ``shingles``, as signed integers) and their ``marks`` of rows with ``node`` and ``text``."""
 
     def run(batches):
         for batch in batches:
             at = 0
             for part in slices(batch.column("text")):
-                found = [shingles(t, words).view(np.int64) for t in part]
+                sets = [shingles(t, words) for t in part]
+                found = [f.view(np.int64) for f in sets]
                 ends = np.cumsum([0] + [len(f) for f in found]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_pydict({"node": batch.column("node")[at : at + len(part)], "size": pa.array(np.diff(ends), pa.int32()), "found": lists})
+                yield pa.RecordBatch.from_pydict({"node": batch.column("node")[at : at + len(part)], "size": pa.array(np.diff(ends), pa.int32()), "found": lists,
+                                                      "marks": pa.array([marks(f).tolist() for f in sets], pa.list_(pa.int64()))})
                 at += len(part)
 
-    return texts.select("node", "text").mapInArrow(run, "node long, size int, found array<long>")
+    return texts.select("node", "text").mapInArrow(run, "node long, size int, found array<long>, marks array<long>")
 
 
 def _reached(pairs: DataFrame, arrays: DataFrame, least: float) -> DataFrame:
@@ -135,6 +149,20 @@ def _can_reach(least: float, a: str, b: str) -> Column:
     return (F.col(f"rank_{a}") <= F.col(f"size_{a}") - share + 1) & (F.col(f"rank_{b}") <= F.col(f"size_{b}") - share + 1)
 
 
+def _apart_at_most(least: float, a: str, b: str) -> Column:
+    """Whether the marks of two nodes allow the similarity: sets that reach it differ in (1 - least) / (1 + least) of the sum of their sizes at most."""
+    bits = sum(F.bit_count(F.col(f"marks_{a}")[i].bitwiseXOR(F.col(f"marks_{b}")[i])) for i in range(_MARKS))
+    return bits <= F.floor((F.col(f"size_{a}") + F.col(f"size_{b}")) * F.lit((1 - least) / (1 + least)) + F.lit(1e-6))
+
+
+def candidates(at: DataFrame, arrays: DataFrame, least: float) -> DataFrame:
+    """Distinct pairs (``a`` > ``b``: nodes) of different ``root`` under one key of ``at`` (``rare_keys`` with a root) that may reach the similarity."""
+    marked = at.select("key", "node", "root", "size", "rank").join(arrays.select("node", "marks").hint("merge"), "node")
+    one, two = (marked.select("key", F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("root", "size", "rank", "marks")]) for c in "ab")
+    met = (F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b")) & _can_reach(least, "a", "b") & _apart_at_most(least, "a", "b")
+    return one.join(two, "key").where(met).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, bands: int = 32, rows: int = 5) -> DataFrame:
     """``doc_id``, ``version`` (hash of the text) and ``stays`` of every row of ``docs``.
 
@@ -146,7 +174,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, bands:
     held against the least node of its SimHash component (fingerprints within 4 bits), and against the node with which
     it shares most bands. Nodes that still share a band with a
     node elsewhere are filed under their ``rare_keys``, and held against the least node of the key that they share with
-    most. Last, nodes that are still apart under a key are held against each other, where their sizes and the place of the key in them allow the similarity. Passages that many texts
+    most. Last, nodes that are still apart under a key are held against each other, where their sizes, the place of the key in them and their ``marks`` allow the similarity. Passages that many texts
     share are no keys, so texts that have only such a passage in common are not compared.
     """
     keyed = _keyed(docs)
@@ -187,9 +215,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, bands:
     stars = settle(often.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b")), "stars")
     links = links.union(settle(_reached(stars, arrays, least), "links"))
     at = placed(rare)
-    one, two = (at.select("key", F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("root", "size", "rank")]) for c in "ab")
-    rest = one.join(two, "key").where((F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b")) & _can_reach(least, "a", "b")).select("a", "b").distinct()
-    rest = rest.join(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
+    rest = candidates(at, arrays, least).join(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
     links = links.union(settle(_reached(settle(rest, "rest"), arrays, least), "links"))
 
     tied = nodes.drop("keys", "fp").join(components(links), "node", "left").withColumn("root", F.coalesce("component", "node"))

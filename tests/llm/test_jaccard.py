@@ -113,6 +113,20 @@ def test_many_texts_with_one_passage(spark):
     assert sorted(x.doc_id for x in jaccard.one_of_each(docs).collect()) == survivors(rows)
 
 
+def test_candidates_are_close(spark):
+    """Texts of one template, all just below the similarity, are no candidates; marks never rule out a pair that reaches it."""
+    r = random.Random(13)
+    template = prose(71, 200)
+    texts = [f"{template} {' '.join(f'own{i}x{j}' for j in range(36))}" for i in range(40)] + [edited(template, 2, r) for _ in range(10)]
+    sets = [plain(t) for t in texts]
+    near = {(a, b) for a in range(len(sets)) for b in range(a) if alike(sets[a], sets[b])}
+    assert not any(a < 40 for a, b in near) and near
+    arrays = jaccard._arrays(spark.createDataFrame(list(enumerate(texts)), "node long, text string"), 5)
+    at = arrays.select(F.lit(1).alias("key"), "node", F.col("node").alias("root"), "size", F.lit(1).alias("rank"))
+    got = {(x.a, x.b) for x in jaccard.candidates(at, arrays, 0.8).collect()}
+    assert near <= got and not any(a < 40 for a, b in got)
+
+
 def test_columns_of_any_name(spark):
     base = prose(61, 80)
     rows = [(1, base, 5, 6, "x"), (2, base + " more", 7, 8, "y"), (3, prose(62, 80), 9, 1, "z")]
