@@ -27,6 +27,9 @@ SENTENCE_LEAD = 10.0
 SENTENCE_TAIL = 12.0
 ALIGN_MAX_MS = 300.0
 
+#: Cells of joins of words with spans of their own length, in seconds: a cell holds a few words.
+FINE = 2.0
+
 IDS = ("video_id", "cand_id")
 
 
@@ -53,14 +56,17 @@ def sentence_ends(words: DataFrame) -> DataFrame:
     return words.where(ends_sentence("text")).select("video_id", "t1")
 
 
-def edges_of(sig: Signals) -> dict[str, Edge]:
-    """Every speech edge the snapping rules look for."""
+def edges_of(sig: Signals, *names: str) -> list[Edge]:
+    """The speech edges of these names. Ends of sentences, and pauses outside of words, are looked for once and stored, if they are among them."""
     words = sig.words.select("video_id", "pos", "t0", "t1")
-    ends = sentence_ends(sig.words)
     quiet = sig.kind("silence")
-    long = quiet.where(F.col("t1") - F.col("t0") >= MIN_SILENCE).select("video_id", F.col("t1").alias("t"))
-    clean = settle(inside_word(long, as_spans(words)).where(~F.col("mid_word")), "pauses")
-    return {
+    ends = clean = None
+    if "sentence_before" in names or "sentence_after" in names:
+        ends = settle(sentence_ends(sig.words), "sentences")
+    if "silence_before" in names:
+        long = quiet.where(F.col("t1") - F.col("t0") >= MIN_SILENCE).select("video_id", F.col("t1").alias("t"))
+        clean = settle(inside_word(long, as_spans(words)).where(~F.col("mid_word")), "pauses")
+    every = {
         "sentence_before": Edge("sentence_before", ends, "t1", "t1", "before"),
         "sentence_after": Edge("sentence_after", ends, "t1", "t1", "after"),
         "silence_before": Edge("silence_before", clean, "t", "t", "before"),
@@ -71,34 +77,34 @@ def edges_of(sig: Signals) -> dict[str, Edge]:
         "last_pos": Edge("last_pos", words, "t0", "pos", "before", keep="max"),
         "reach": Edge("reach", words, "t0", "t1", "before", strict=True, keep="max"),
     }
+    return [every[n] for n in names]
 
 
 def sentence_start(points: DataFrame, sig: Signals, lead: float = SENTENCE_LEAD) -> DataFrame:
     """Start of the sentence holding ``t``, at most ``lead`` back; null without an earlier sentence end."""
-    e = edges_of(sig)
-    out = settle(lookup(points, [e["sentence_before"]]), "ends")
-    out = lookup(out, [e["start_after"]], t="sentence_before")
+    out = settle(lookup(points, edges_of(sig, "sentence_before")), "ends")
+    out = lookup(out, edges_of(sig, "start_after"), t="sentence_before")
     back = F.col("t") - F.col("start_after")
     return out.select(*points.columns, F.when((back >= 0) & (back <= lead), F.col("start_after")).alias("sentence_start"))
 
 
 def sentence_end(points: DataFrame, sig: Signals, tail: float = SENTENCE_TAIL) -> DataFrame:
     """First sentence end at or after ``t``, at most ``tail`` ahead."""
-    out = lookup(points, [edges_of(sig)["sentence_after"]])
+    out = lookup(points, edges_of(sig, "sentence_after"))
     end = F.col("sentence_after")
     return out.select(*points.columns, F.when(end - F.col("t") <= tail, end).alias("sentence_end"))
 
 
 def silence_edge(points: DataFrame, sig: Signals, back: float = SILENCE_BACK) -> DataFrame:
     """End of the last real pause before ``t`` that does not fall inside a word."""
-    out = lookup(points, [edges_of(sig)["silence_before"]])
+    out = lookup(points, edges_of(sig, "silence_before"))
     e = F.col("silence_before")
     return out.select(*points.columns, F.when(F.col("t") - e <= back, e).alias("silence_edge"))
 
 
 def word_start(points: DataFrame, sig: Signals) -> DataFrame:
     """Start of the last word beginning at or before ``t``."""
-    return lookup(points, [edges_of(sig)["word_before"]]).withColumnRenamed("word_before", "word_start")
+    return lookup(points, edges_of(sig, "word_before")).withColumnRenamed("word_before", "word_start")
 
 
 def _open_choice(t: Column, start: Column, silence: Column, word: Column) -> Column:
@@ -111,15 +117,14 @@ def _open_choice(t: Column, start: Column, silence: Column, word: Column) -> Col
 
 def snap_open(rows: DataFrame, sig: Signals, t: str = "t0", name: str = "open") -> DataFrame:
     """Opening edge: sentence start, else pause or word start, the earlier when close together, else unchanged."""
-    e = edges_of(sig)
     cols = rows.columns
-    out = ask(rows, {"o": F.col(t)}, [e["sentence_before"], e["silence_before"], e["word_before"]])
-    out = ask(out, {"s": F.col("o_sentence_before")}, [e["start_after"]])
+    out = ask(rows, {"o": F.col(t)}, edges_of(sig, "sentence_before", "silence_before", "word_before"))
+    out = ask(out, {"s": F.col("o_sentence_before")}, edges_of(sig, "start_after"))
     choice = _open_choice(F.col(t), F.col("s_start_after"), F.col("o_silence_before"), F.col("o_word_before"))
     return out.select(*cols, choice.alias(name))
 
 
-def filler_words(sig: Signals, width: float = 64.0) -> DataFrame:
+def filler_words(sig: Signals, width: float = FINE) -> DataFrame:
     """Words lying inside a filler span."""
     words = sig.words.select("video_id", "pos", F.col("t0").alias("s0"), F.col("t1").alias("s1"))
     spans = sig.kind("filler").select("video_id", "t0", "t1")
@@ -134,7 +139,7 @@ def _first_word(points: DataFrame, words: DataFrame, t: str, scan: float, ids: l
     return pairs.groupBy(*ids, F.col("_f0").alias(t)).agg(F.min(F.struct("s0", "pos", "s1")).alias("w"))
 
 
-def strip_fillers(opens: DataFrame, sig: Signals, t: str = "open", scan: float = FILLER_SCAN, width: float = 64.0) -> DataFrame:
+def strip_fillers(opens: DataFrame, sig: Signals, t: str = "open", scan: float = FILLER_SCAN, width: float = FINE) -> DataFrame:
     """Move opening edges past leading filler words.
 
     Each filler word leads to the next word start.  Such a start is final unless its own first word
@@ -174,11 +179,10 @@ def _with_room(t: Column, target: Column, following: Column) -> Column:
 
 def snap_close(rows: DataFrame, sig: Signals, t: str = "t1", name: str = "close") -> DataFrame:
     """Closing edge: sentence end, else word end, plus room up to the next word; unchanged past the last word."""
-    e = edges_of(sig)
     cols = rows.columns
-    out = ask(rows, {"c": F.col(t)}, [e["sentence_after"], e["end_after"]])
+    out = ask(rows, {"c": F.col(t)}, edges_of(sig, "sentence_after", "end_after"))
     out = out.withColumn("_target", _close_target(F.col(t), F.col("c_sentence_after"), F.col("c_end_after")))
-    out = ask(out, {"n": F.col("_target")}, [e["start_after"]])
+    out = ask(out, {"n": F.col("_target")}, edges_of(sig, "start_after"))
     return out.select(*cols, _with_room(F.col(t), F.col("_target"), F.col("n_start_after")).alias(name))
 
 
@@ -198,8 +202,7 @@ def clamp_cut(rows: DataFrame, t0: str = "t0", t1: str = "t1", min_dur: float =
 
 def reopen_on_speech(rows: DataFrame, sig: Signals, before: str, max_dur: float = MAX_DUR) -> DataFrame:
     """Where the length floor moved ``t0`` before ``before``, go back to the last pause end or word start."""
-    e = edges_of(sig)
-    out = ask(rows, {"r": F.when(F.col("t0") < F.col(before), F.col("t0"))}, [e["any_silence_before"], e["word_before"]])
+    out = ask(rows, {"r": F.when(F.col("t0") < F.col(before), F.col("t0"))}, edges_of(sig, "any_silence_before", "word_before"))
     edge = F.greatest("r_any_silence_before", "r_word_before")
     floor = F.greatest(F.lit(0.0), F.col("t1") - max_dur)
     moved = F.when((F.col("t0") < F.col(before)) & (edge >= floor), edge)
@@ -217,24 +220,22 @@ def payoff_time(evidence: Column) -> Column:
 
 def payoff_word(cands: DataFrame, sig: Signals) -> DataFrame:
     """Last word position at or before the payoff claim; null without claims."""
-    e = edges_of(sig)
     cols = cands.columns
-    out = ask(cands, {"p": payoff_time(F.col("evidence"))}, [e["last_pos"]])
+    out = ask(cands, {"p": payoff_time(F.col("evidence"))}, edges_of(sig, "last_pos"))
     return out.select(*cols, F.col("p_last_pos").alias("payoff_word_i"))
 
 
-def refine(cands: DataFrame, sig: Signals, min_dur: float = MIN_DUR, max_dur: float = MAX_DUR, width: float = 64.0) -> DataFrame:
+def refine(cands: DataFrame, sig: Signals, min_dur: float = MIN_DUR, max_dur: float = MAX_DUR, width: float = FINE) -> DataFrame:
     """Cuts for all candidates: one scan of the words answers opening, closing and payoff together."""
-    e = edges_of(sig)
     rows = cands.select(*IDS, "t0", "t1", "evidence").join(sig.media.select("video_id", "duration_s"), "video_id")
     got = ask(
         rows, {"o": F.col("t0"), "c": F.col("t1"), "p": payoff_time(F.col("evidence"))},
-        [e[k] for k in ("sentence_before", "silence_before", "word_before", "sentence_after", "end_after", "last_pos")])
+        edges_of(sig, "sentence_before", "silence_before", "word_before", "sentence_after", "end_after", "last_pos"))
     got = got.select(
         *IDS, "duration_s", "t0", "t1", F.col("p_last_pos").alias("payoff_word_i"),
         "o_sentence_before", "o_silence_before", "o_word_before",
         _close_target(F.col("t1"), F.col("c_sentence_after"), F.col("c_end_after")).alias("_target"))
-    got = ask(got, {"s": F.col("o_sentence_before"), "n": F.col("_target")}, [e["start_after"]])
+    got = ask(got, {"s": F.col("o_sentence_before"), "n": F.col("_target")}, edges_of(sig, "start_after"))
     snapped = got.select(
         *IDS, "duration_s", "payoff_word_i",
         _open_choice(F.col("t0"), F.col("s_start_after"), F.col("o_silence_before"), F.col("o_word_before")).alias("open"),
@@ -248,17 +249,20 @@ def refine(cands: DataFrame, sig: Signals, min_dur: float = MIN_DUR, max_dur: fl
 # --- repair ---------------------------------------------------------------------------------------
 
 
-def repair_word_clip(cuts: DataFrame, sig: Signals, width: float = 64.0) -> DataFrame:
-    """Snap again only the edges that fall inside a word."""
-    e = edges_of(sig)
-    flagged = ask(cuts, {"a": F.col("t0"), "b": F.col("t1")}, [e["reach"]])
-    flagged = flagged.select(*cuts.columns, F.coalesce(F.col("a_reach") > F.col("t0"), F.lit(False)).alias("_cut0"),
-                             F.coalesce(F.col("b_reach") > F.col("t1"), F.lit(False)).alias("_cut1"))
-    opened = settle(snap_open(flagged, sig, "t0", "_open"), "opened")
-    moved = strip_fillers(opened.where("_cut0"), sig, "_open", width=width).withColumn("t0", F.col("_open"))
-    opened = opened.where("not _cut0").unionByName(moved)
-    closed = snap_close(opened, sig, "t1", "_close")
-    return closed.select(*[F.when(F.col("_cut1"), F.col("_close")).otherwise(F.col("t1")).alias("t1") if c == "t1" else F.col(c) for c in cuts.columns])
+def repair_word_clip(cuts: DataFrame, sig: Signals, width: float = FINE) -> DataFrame:
+    """Snap again only the edges that fall inside a word: one scan of the words tells which they are and what lies around both edges."""
+    got = ask(cuts, {"a": F.col("t0"), "b": F.col("t1")},
+              edges_of(sig, "reach", "sentence_before", "silence_before", "word_before", "sentence_after", "end_after"))
+    got = got.select(
+        *cuts.columns, F.coalesce(F.col("a_reach") > F.col("t0"), F.lit(False)).alias("_cut0"), F.coalesce(F.col("b_reach") > F.col("t1"), F.lit(False)).alias("_cut1"),
+        "a_sentence_before", "a_silence_before", "a_word_before", _close_target(F.col("t1"), F.col("b_sentence_after"), F.col("b_end_after")).alias("_target"))
+    got = ask(got, {"s": F.when(F.col("_cut0"), F.col("a_sentence_before")), "n": F.when(F.col("_cut1"), F.col("_target"))}, edges_of(sig, "start_after"))
+    opened = _open_choice(F.col("t0"), F.col("s_start_after"), F.col("a_silence_before"), F.col("a_word_before"))
+    closed = _with_room(F.col("t1"), F.col("_target"), F.col("n_start_after"))
+    new = {"t0": F.when(F.col("_cut0"), opened).otherwise(F.col("t0")), "t1": F.when(F.col("_cut1"), closed).otherwise(F.col("t1"))}
+    snapped = settle(got.select(*[new[c].alias(c) if c in new else F.col(c) for c in cuts.columns], "_cut0"), "snapped")
+    moved = strip_fillers(snapped.where("_cut0"), sig, "t0", width=width)
+    return snapped.where("not _cut0").unionByName(moved).select(*cuts.columns)
 
 
 def best_run(t0: np.ndarray, t1: np.ndarray, bad: np.ndarray) -> tuple[float, float] | None:
@@ -344,7 +348,7 @@ def repair(cuts: DataFrame, failures: DataFrame, sig: Signals, min_dur: float =
     due = F.coalesce(F.col("_wc") | F.col("_al"), F.lit(False))
     same = marked.where(~due).select(*cols)
     work = marked.where(due)
-    fixed = settle(repair_word_clip(work.where("_wc"), sig, width).unionByName(work.where("not _wc")), "fixed")
+    fixed = settle(repair_word_clip(work.where("_wc"), sig).unionByName(work.where("not _wc")), "fixed")
     runs = best_aligned_run(fixed.where("_al"), sig.words, width=width)
     fixed = fixed.join(runs, list(IDS), "left")
     take = F.col("_al") & (F.col("run_t1") - F.col("run_t0") >= min_dur)

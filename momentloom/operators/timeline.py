@@ -172,6 +172,18 @@ def _fold(e: Edge, c: Column) -> Column:
     return F.last(c, ignorenulls=True)
 
 
+def _any_long(points: DataFrame, groups: list[dict[str, Edge]], keys: list[str], depth: int) -> bool:
+    """Whether a scan has more than ``depth`` rows of any key; a table that gives several groups of edges is read once."""
+    tables: dict = {}
+    for g in groups:
+        e = next(iter(g.values()))
+        tables.setdefault(id(e.df), (e.df, []))[1].append(F.when(col(e.t).isNotNull(), 1).otherwise(0))
+    counts = [df.groupBy(*keys).agg(F.sum(reduce(lambda a, b: a + b, rows)).alias("_n")) for df, rows in tables.values()]
+    counts.append(points.groupBy(*keys).agg(F.count("*").alias("_n")))
+    total = reduce(lambda a, b: a.unionByName(b), counts).groupBy(*keys).agg(F.sum("_n").alias("_n"))
+    return not total.where(F.col("_n") > depth).isEmpty()
+
+
 def long_keys(times: DataFrame, keys: list[str], depth: int = DEPTH) -> DataFrame:
     """The keys with more than ``depth`` rows in ``times``, and how many."""
     return times.groupBy(*keys).agg(F.count("_t").alias("_n")).where(F.col("_n") > depth)
@@ -244,19 +256,20 @@ def lookup(
     slots = {f"_e{i}": e for i, e in enumerate(edges)}
     ahead = {s: e for s, e in slots.items() if e.side == "before"}
     behind = {s: e for s, e in slots.items() if e.side == "after"}
+    groups = _grouped(slots)
 
     every = reduce(
         lambda a, b: a.unionByName(b, allowMissingColumns=True),
-        [_edge_rows(g, keys) for g in _grouped(slots)],
+        [_edge_rows(g, keys) for g in groups],
     )
 
     asked = points.select(
         *keys, F.col(t).cast("double").alias("_t"), F.lit(1).alias("_side"), F.lit(0).cast("bigint").alias("_tie"),
         F.struct(*points.columns).alias("_p"),
     )
-    times = every.select(*keys, "_t").unionByName(asked.select(*keys, "_t"))
-    parted = not long_keys(times, keys, depth).isEmpty()
+    parted = _any_long(points, groups, keys, depth)
     if parted:
+        times = every.select(*keys, "_t").unionByName(asked.select(*keys, "_t"))
         cuts = cut_points(times, keys, depth)
         every, asked = dealt(every, cuts, keys), dealt(asked, cuts, keys)
     else:
@@ -270,7 +283,14 @@ def lookup(
     up = W.partitionBy(*keys, "_b").orderBy("_t", "_side", "_tie").rowsBetween(W.unboundedPreceding, W.currentRow)
     down = W.partitionBy(*keys, "_b").orderBy(F.desc("_t"), F.desc("_side"), F.desc("_tie")).rowsBetween(W.unboundedPreceding, W.currentRow)
     timed = F.col("_t").isNotNull()
-    found = rows.select("_p", *[F.when(timed, _fold(e, F.col(s)).over(up if e.side == "before" else down)).alias(s) for s, e in slots.items()])
+
+    def seen(found: DataFrame, mine: dict[str, Edge], window) -> DataFrame:
+        return found.select(*[c for c in found.columns if c not in mine], *[F.when(timed, _fold(e, F.col(s)).over(window)).alias(s) for s, e in mine.items()])
+
+    found = seen(rows, ahead, up) if ahead else rows
+    if ahead and behind:  # edges before a point are done with: only points and edges after them are sorted back
+        found = found.where(reduce(lambda x, y: x | y, [F.col(c).isNotNull() for c in ["_p", *behind]]))
+    found = seen(found, behind, down) if behind else found
     outs = []
     for s, e in slots.items():
         if e.keep == "sum":

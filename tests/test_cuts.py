@@ -57,6 +57,31 @@ def test_repair_word_clip(spark):
     assert b.t0 == 5.0 and abs(b.t1 - 36.3) < 1e-9
 
 
+def test_repair_looks_at_the_words_twice(spark, monkeypatch):
+    """Edges of both sides are asked for together, and pauses are looked through for words once."""
+    stored, scans, settle, lookup = [], [], G.settle, G.lookup
+    monkeypatch.setattr(G, "settle", lambda df, name="table": (stored.append(name), settle(df, name))[1])
+    monkeypatch.setattr(G, "lookup", lambda *a, **k: (scans.append(a), lookup(*a, **k))[1])
+    sig = signals(spark, 60, words=[("x", 4.5, 5.5), ("y", 34.5, 35.5)], silence=[(5.5, 34.5)])
+    got = G.repair_word_clip(cut(spark, 5, 35), sig).first()
+    assert got.t0 == 4.5 and abs(got.t1 - 36.3) < 1e-9
+    assert stored.count("pauses") == 1 and stored.count("asked") == 2 and len(scans) == 4
+
+
+def test_alignment_is_counted(spark):
+    """The bar is met by counts: errors are gathered only where their p95 is shown, and both agree."""
+    r = random.Random(3)
+    words = [(f"w{i}", i * 0.5, i * 0.5 + 0.4) for i in range(600)]
+    sig = signals(spark, 400, words=words, errs=[r.choice([10.0, 299.9, 300.0, 300.1, 900.0, float("nan")]) if r.random() < 0.08 else 20.0 for _ in words])
+    cuts = table(spark, [("v", f"c{i}", float(i), float(i + r.randint(1, 40))) for i in range(200)], "video_id string, cand_id string, t0 double, t1 double")
+    rows = H.cut_alignment(cuts, sig.words, sig.media).collect()
+    assert len(rows) == 200 and {x.over for x in rows} == {True, False}
+    assert all(x.over == (not x.p95_ms <= 300.0) for x in rows)
+    codes = H.check_alignment(cuts, sig.words, sig.media).select("video_id", "cand_id", "code")
+    assert "collect_list" not in codes._jdf.queryExecution().optimizedPlan().toString()
+    assert codes.count() == sum(x.over for x in rows)
+
+
 def test_align_repair(spark):
     words = [(f"w{i}", i, i + 0.9) for i in range(45)]
     fails = table(spark, [("v", "c0", "ALIGN")], "video_id string, cand_id string, code string")

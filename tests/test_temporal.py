@@ -144,3 +144,12 @@ def test_rows_at_one_time_and_empty_sides(spark):
     assert {(r.t, r.n, r.first) for r in out} == {(4.0, 0, 0), (5.0, 900, 0), (6.0, 900, None)}
     assert T.lookup(p.limit(0), [T.Edge("n", e, "s0", "s0")], depth=1).collect() == []
     assert {r.n for r in T.lookup(p, [T.Edge("n", e.limit(0), "s0", "s0")], depth=1).collect()} == {None}
+
+
+def test_edges_before_are_not_sorted_back(spark):
+    """Of edges on both sides, only points and edges after them take part in the scan from the end."""
+    e = table(spark, [("v", i, float(i)) for i in range(50)], "video_id string, pos int, s0 double")
+    p = table(spark, [("v", i, i + 0.5) for i in range(-1, 50)], "video_id string, id int, t double")
+    out = T.lookup(p, [T.Edge("a", e, "s0", "s0"), T.Edge("b", e, "s0", "s0", "after"), T.Edge("c", e, "s0", "pos", "after")])
+    assert "Filter (isnotnull(_p" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.id, r.a, r.b, r.c) for r in out.collect()} == {(i, float(i) if i >= 0 else None, i + 1.0 if i < 49 else None, i + 1 if i < 49 else None) for i in range(-1, 50)}
