@@ -25,6 +25,9 @@ _CHUNK = 2048
 #: 64-bit words of the parity marks of a set of shingles.
 _MARKS = 32
 
+#: Turns of ``neighbours`` at most, rows of a key that are put in one order, and partners that a node keeps of a turn.
+_TURNS, _SLOT, _PARTNERS = 4, 256, 4
+
 
 def shingles(text: str, words: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the runs of ``words`` words; a shorter text is one shingle, an empty one has none."""
@@ -155,6 +158,22 @@ def _apart_at_most(least: float, a: str, b: str) -> Column:
     return bits <= F.floor((F.col(f"size_{a}") + F.col(f"size_{b}")) * F.lit((1 - least) / (1 + least)) + F.lit(1e-6))
 
 
+def neighbours(at: DataFrame, least: float, turn: int) -> DataFrame:
+    """Pairs (``a`` > ``b``: nodes) of different ``root`` that stand side by side under a key of ``at`` and whose sizes allow the similarity, of each ``a`` the few that it meets most.
+
+    The rows of a key (``held`` of them) are dealt to slots of ``_SLOT`` rows or so, ordered by size in the first turn and
+    at random in others. A row meets one other, so pairs are no more than rows, however many rows a key has.
+    """
+    chance = F.xxhash64(F.lit(turn), "key", "node")
+    slot = F.pmod(F.xxhash64(F.lit(-1 - turn), "node"), F.ceil(F.col("held") / _SLOT))
+    line = Window.partitionBy("key", "slot").orderBy(*([F.col("size")] if turn == 0 else []), chance)
+    met = at.withColumn("slot", slot).select("node", "root", "size", F.lead(F.struct("node", "root", "size")).over(line).alias("next"))
+    met = met.where((F.col("root") != F.col("next.root")) & (F.least("size", "next.size") >= F.greatest("size", "next.size") * F.lit(least) - F.lit(1e-6)))
+    often = met.groupBy(F.greatest("node", "next.node").alias("a"), F.least("node", "next.node").alias("b")).agg(F.count("*").alias("n"))
+    most = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))
+    return often.withColumn("place", most).where(F.col("place") <= _PARTNERS).select("a", "b")
+
+
 def candidates(at: DataFrame, arrays: DataFrame, least: float) -> DataFrame:
     """Distinct pairs (``a`` > ``b``: nodes) of different ``root`` under one key of ``at`` (``rare_keys`` with a root) that may reach the similarity."""
     marked = at.select("key", "node", "root", "size", "rank").join(arrays.select("node", "marks").hint("merge"), "node")
@@ -170,11 +189,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, bands:
     ``doc_id`` and then ``version``; null ids come last. Texts with equal shingles are one node and make no pairs.
     Null and empty texts are copies of each other; so are an empty table's.
 
-    Pairs are looked for in three rounds, and what a round has put together makes no more pairs. First each node is
+    Pairs are looked for in rounds, and what a round has put together makes no more pairs. First each node is
     held against the least node of its SimHash component (fingerprints within 4 bits), and against the node with which
     it shares most bands. Nodes that still share a band with a
     node elsewhere are filed under their ``rare_keys``, and held against the least node of the key that they share with
-    most. Last, nodes that are still apart under a key are held against each other, where their sizes, the place of the key in them and their ``marks`` allow the similarity. Passages that many texts
+    most; then, for a few turns or until one finds nothing, against nodes that they stand beside under a key, so that most of a group is put together by as many pairs
+    as it has rows. Last, nodes that are still apart under a key are held against each other, where their sizes, the place of the key in them and their ``marks`` allow the similarity. Passages that many texts
     share are no keys, so texts that have only such a passage in common are not compared.
     """
     keyed = _keyed(docs)
@@ -202,8 +222,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, bands:
         """``keys`` with the ``root`` of their nodes by the links so far, where a key has several; ``low`` is the least of them and ``centre`` its row."""
         at = keys.join(components(links), "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
         first = F.struct("root", *[c for c in keys.columns if c != "key"])
-        apart = at.groupBy("key").agg(F.min(first).alias("centre"), F.max("root").alias("high")).where("centre.root < high")
-        return settle(at.join(apart.select("key", "centre"), "key"), "apart")
+        apart = at.groupBy("key").agg(F.min(first).alias("centre"), F.max("root").alias("high"), F.count("*").alias("held")).where("centre.root < high")
+        return settle(at.join(apart.select("key", "centre", "held"), "key"), "apart")
 
     left = placed(met.select("key", "node")).select("node").distinct()
     rare = settle(rare_keys(arrays.join(left, "node", "left_semi"), least), "rare")
@@ -215,6 +235,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, bands:
     stars = settle(often.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b")), "stars")
     links = links.union(settle(_reached(stars, arrays, least), "links"))
     at = placed(rare)
+    for turn in range(_TURNS):
+        found = settle(_reached(settle(neighbours(at, least, turn), "beside"), arrays, least), "links")
+        if found.isEmpty():
+            break
+        links = links.union(found)
+        at = placed(rare)
     rest = candidates(at, arrays, least).join(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
     links = links.union(settle(_reached(settle(rest, "rest"), arrays, least), "links"))
 

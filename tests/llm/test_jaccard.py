@@ -133,3 +133,33 @@ def test_columns_of_any_name(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, node int, _version int, row string")
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
+
+
+def test_neighbours_are_no_more_than_rows(spark):
+    """One key with three thousand nodes of two thousand roots, half of them twice as large: a partner each at most, of another root and a like size."""
+    rows = [(7, i, i % 2000, 100 + 100 * (i % 2)) for i in range(3000)] + [(8, i, i, 100) for i in range(0, 10, 2)]
+    held = {7: 3000, 8: 5}
+    at = spark.createDataFrame([(*r, held[r[0]]) for r in rows], "key long, node long, root long, size int, held long")
+    for turn in range(3):
+        got = [tuple(r) for r in jaccard.neighbours(at, 0.8, turn).collect()]
+        assert 500 < len(got) < 3000 and all(a > b and (a - b) % 2 == 0 and a - b != 2000 for a, b in got)
+
+
+def test_groups_are_put_together_by_neighbours(spark, monkeypatch):
+    """Near copies of one text that are not all near each other: few pairs are left to compare, and the result is that of all pairs."""
+    r = random.Random(17)
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(f"x{r.randrange(10**6)}" if k in edits else w for k, w in enumerate(base)) for edits in ({r.randrange(300) for _ in range(r.randint(3, 6))} for _ in range(70))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept, left, all_pairs = [], [], jaccard.candidates
+    monkeypatch.setattr(jaccard, "candidates", lambda *a: (left.append(all_pairs(*a).count()), all_pairs(*a))[1])
+    for turns in (0, jaccard._TURNS):
+        monkeypatch.setattr(jaccard, "_TURNS", turns)
+        kept.append(sorted(x.doc_id for x in jaccard.near_duplicates(docs).where("stays").collect()))
+    sets, root = [jaccard.shingles(t) for t in texts], list(range(70))
+    for a in range(70):
+        for b in range(a):
+            if jaccard.similarity(sets[a], sets[b]) >= 0.8:
+                root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
+    assert kept[0] == kept[1] == sorted(set(root))
+    assert left[0] > 20 and left[1] * 4 < left[0]
