@@ -216,11 +216,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, bands:
     firsts = nodes.join(asked, "node", "left_semi").select("node", F.col("place.doc_id").alias("d"), F.col("place.version").alias("v"))
     texts = keyed.join(firsts.hint("merge"), (keyed["version"] == firsts["v"]) & keyed["doc_id"].eqNullSafe(firsts["d"])).select("node", "text").dropDuplicates(["node"])
     arrays = settle(_arrays(texts, words), "arrays")
-    links = settle(_reached(nearest, arrays, least), "links")
+    tied = components(settle(_reached(nearest, arrays, least), "links"))
+
+    def joined(found: DataFrame) -> DataFrame:
+        """The components so far with those links ``found`` since; what hangs together is handed on as one link per node."""
+        return components(tied.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
 
     def placed(keys: DataFrame) -> DataFrame:
-        """``keys`` with the ``root`` of their nodes by the links so far, where a key has several; ``low`` is the least of them and ``centre`` its row."""
-        at = keys.join(components(links), "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
+        """``keys`` with the ``root`` of their nodes by the components so far, where a key has several; ``low`` is the least of them and ``centre`` its row."""
+        at = keys.join(tied, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
         first = F.struct("root", *[c for c in keys.columns if c != "key"])
         apart = at.groupBy("key").agg(F.min(first).alias("centre"), F.max("root").alias("high"), F.count("*").alias("held")).where("centre.root < high")
         return settle(at.join(apart.select("key", "centre", "held"), "key"), "apart")
@@ -233,20 +237,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, bands:
         F.col("centre.size").alias("size_b"), F.col("centre.rank").alias("rank_b")).where(_can_reach(least, "a", "b"))
     often = starred.groupBy("a", "b").agg(F.count("*").alias("n"))
     stars = settle(often.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b")), "stars")
-    links = links.union(settle(_reached(stars, arrays, least), "links"))
+    tied = joined(_reached(stars, arrays, least))
     at = placed(rare)
     for turn in range(_TURNS):
         found = settle(_reached(settle(neighbours(at, least, turn), "beside"), arrays, least), "links")
         if found.isEmpty():
             break
-        links = links.union(found)
+        tied = joined(found)
         at = placed(rare)
     rest = candidates(at, arrays, least).join(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    links = links.union(settle(_reached(settle(rest, "rest"), arrays, least), "links"))
+    tied = joined(_reached(settle(rest, "rest"), arrays, least))
 
-    tied = nodes.drop("keys", "fp").join(components(links), "node", "left").withColumn("root", F.coalesce("component", "node"))
-    first = tied.groupBy("root").agg(F.min("place").alias("first"))
-    by_node = tied.join(first, "root").select("node", F.col("first.doc_id").alias("fd"), F.col("first.version").alias("fv"))
+    rooted = nodes.drop("keys", "fp").join(tied, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    first = rooted.groupBy("root").agg(F.min("place").alias("first"))
+    by_node = rooted.join(first, "root").select("node", F.col("first.doc_id").alias("fd"), F.col("first.version").alias("fv"))
     stays = F.col("doc_id").eqNullSafe(F.col("fd")) & (F.col("version") == F.col("fv"))
     return own.drop("keys", "fp").join(by_node, "node").select("doc_id", "version", stays.alias("stays"))
 

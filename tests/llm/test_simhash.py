@@ -5,6 +5,7 @@ import re
 
 import xxhash
 from llm.conftest import EDGES, prose
+from momentloom.llm import components as module
 from momentloom.llm import simhash
 from momentloom.llm.components import components
 from pyspark.sql import functions as F
@@ -84,3 +85,17 @@ def test_hot_text(spark):
     docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.lit("one text that most documents have")).otherwise(F.concat(F.lit("own text number "), F.col("id").cast("string"))).alias("text"))
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
     assert all(got[i] == 1 for i in range(2000) if i % 3)
+
+
+def test_components_take_few_tables(spark, monkeypatch):
+    """Links that fit one task are put together as they are written; others, cut small, need rounds and give the same."""
+    written, settle = [], module.settle
+    monkeypatch.setattr(module, "settle", lambda *a: (written.append(1), settle(*a))[1])
+    r = random.Random(8)
+    pairs = [(r.randint(0, 900), r.randint(0, 900)) for _ in range(700)] + [(2000 + i, 2001 + i) for i in range(300)]
+    links = spark.createDataFrame(pairs, "a long, b long").coalesce(1)
+    want = roots(pairs, {n for p in pairs if p[0] != p[1] for n in p})
+    assert {x.node: x.component for x in components(links).collect()} == want and len(written) == 1
+    cut = module.contracted
+    monkeypatch.setattr(module, "contracted", lambda links: cut(links.repartition(5), 100))
+    assert {x.node: x.component for x in components(links).collect()} == want and len(written) > 2
