@@ -87,6 +87,32 @@ def interval_pairs(
     return lhs.join(rhs, [*keys, "_at", "_b"]).where((F.col("_b") == home) & predicate).drop("_at", "_b")
 
 
+def all_short(spans: DataFrame, r0: str, r1: str, width: float = WIDTH) -> bool:
+    """Whether no span with both ends is longer than a cell of the lowest level; a span with an infinite end or no number is not short."""
+    return spans.where(F.col(r0).isNotNull() & F.col(r1).isNotNull() & ~((F.col(r1) - F.col(r0)) <= float(width))).isEmpty()
+
+
+def met_in_one_cell(
+    left: DataFrame, right: DataFrame, l0: str, l1: str, r0: str, r1: str, predicate: Column,
+    keys=KEY, width: float = WIDTH,
+) -> DataFrame:
+    """Left join of intervals to short spans (``all_short``) that overlap them and pass ``predicate``: each row of ``left`` stands in one cell, ``_at`` and ``_b``.
+
+    The cell is that of its start at its own level, and a span of the right comes to every cell in which an interval that
+    overlaps it may start: three at most of each level in use. So partners grouped by ``keys``, ``_at``, ``_b`` and more of ``left``
+    are not shuffled again; in return adaptive execution does not split an overfull cell.
+    """
+    keys, at = list(keys), F.col("_at")
+    lhs = left.withColumn("_at", level_of(l0, l1, width)).withColumn("_b", cell(l0, at, width))
+    rhs = right.where(F.col(r0).isNotNull() & F.col(r1).isNotNull()).withColumn("_at", F.explode(_levels(left, l0, l1, width)))
+    reach = F.lit(1.001 * width) * F.pow(F.lit(STEP), at)  # what an interval of the level is long, and a little
+    lo = cell(F.col(r0) - reach, at, width)
+    rhs = rhs.withColumn("_b", F.explode(F.sequence(lo, F.greatest(lo, cell(r1, at, width)))))
+    theirs = [c for c in rhs.columns if c not in [*keys, "_at", "_b"]]
+    met = lhs.alias("l").join(rhs.alias("r"), reduce(lambda x, y: x & y, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*keys, "_at", "_b"]]) & predicate, "left")
+    return met.select("l.*", *[F.col(f"r.{c}") for c in theirs])
+
+
 def stab_pairs(
     points: DataFrame, spans: DataFrame, t: str, r0: str, r1: str, predicate: Column,
     keys=KEY, width: float = WIDTH, how: str = "left",

@@ -1,12 +1,15 @@
 """Evidence gate and ledger on nulls, ties and shared references."""
 
+import random
+
 import pytest
 from momentloom.operators import evidence as E
 from momentloom.operators import product as J
-from momentloom.operators.timeline import overlap_seconds
 from momentloom.operators.text import karaoke_timing
+from momentloom.operators.timeline import met_in_one_cell, overlap_seconds
 from momentloom.schemas import Signals
 from momentloom.streaming import streams as K
+from pyspark.sql import functions as F
 
 CLAIM = "video_id string, kind string, t double, value_num double, value_str string, w0 double, w1 double"
 
@@ -95,3 +98,36 @@ def test_first_agents_never_come_again(spark, tmp_path):
         spark.createDataFrame([("j", "scout", datetime.datetime(2024, 1, 1) + datetime.timedelta(days=day))], ddl).write.mode("append").parquet(src)
     stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(src)
     assert K.run_available(K.stream_first_agents(stream)).count() == 1
+
+
+@pytest.mark.parametrize("long", [False, True])
+def test_quotes_of_any_length_meet_all_their_words(spark, long):
+    """Quotes across cells and longer than a cell, against all words of the timeline; one word may be longer than a cell."""
+    r = random.Random(5)
+    words = [("v", i, r.choice("abcd"), t, t + r.choice([0.0, 0.3, 5.0])) for i, t in enumerate(sorted(round(r.uniform(0, 400), 1) for _ in range(300)))]
+    words += [("v", 900, "x", 10.0, 300.0)] if long else []
+    words += [("v", 901, "n", None, 3.0), ("w", 0, "a", 5.0, 5.5)]
+    claims = [("v", "quote", float(r.choice([r.randint(0, 400), 63, 64, 65, 127.5])), None, " ".join(r.choice("abcdx") for _ in range(r.choice([1, 2, 3]))) + " " * r.choice([0, 0, 30, 300, 1200]), 0.0, 500.0) for _ in range(150)]
+    claims += [("v", "quote", None, None, "a", 0.0, 500.0), ("v", "quote", 5.0, None, None, 0.0, 500.0)]
+
+    def resolves(c):
+        if c[2] is None or c[4] is None:
+            return False
+        hay = " ".join(w[2] for w in words if w[0] == c[0] and w[3] is not None and w[3] < c[2] + len(c[4]) / 4 and w[4] > c[2] - 1)
+        return c[4].strip() in hay
+
+    table = spark.createDataFrame(words, "video_id string, pos int, text string, t0 double, t1 double")
+    out = E.validate_claims(spark.createDataFrame(claims, CLAIM), signals(spark, table)).collect()
+    key = lambda c: (c[0], c[1], c[2] or -1.0, c[4] or "")
+    want = sorted((*key(c), resolves(c)) for c in claims)
+    assert sorted((*key((x.video_id, x.kind, x.t, None, x.value_str)), x.resolved) for x in out) == want
+    assert 20 < sum(w[-1] for w in want) < 140
+
+
+def test_partners_in_one_cell_are_grouped_without_a_shuffle(spark):
+    words = spark.createDataFrame([("v", float(i), i + 0.5) for i in range(300)], "video_id string, s0 double, s1 double").hint("merge")
+    claims = spark.createDataFrame([("v", float(i), i + 3.0) for i in range(0, 300, 7)] + [("v", None, 3.0)], "video_id string, q0 double, q1 double")
+    met = met_in_one_cell(claims, words, "q0", "q1", "s0", "s1", (F.col("s0") < F.col("q1")) & (F.col("s1") > F.col("q0")))
+    got = met.groupBy("video_id", "q0", "q1", "_at", "_b").agg(F.count("s0").alias("n"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    assert sorted((x.q0 is None, x.q0, x.n) for x in got.collect()) == [(False, float(i), min(3, 300 - i)) for i in range(0, 300, 7)] + [(True, None, 0)]
