@@ -53,13 +53,17 @@ def clip_transcript(cuts: DataFrame, words: DataFrame, width: float = 64.0) -> D
 
 
 def hook_messages(title: Column, captions: Column) -> Column:
-    """Every limit a hook breaks, as messages in a fixed order."""
+    """Every limit a hook breaks, as messages in a fixed order. What they ask of the title is computed once per row."""
     words = F.filter(F.split(title, r"\s+"), lambda w: w != "")
-    n, chars = F.size(words), F.length(title)
     flat = F.trim(F.regexp_replace(F.regexp_replace(F.lower(title), "['\"]", ""), r"\s+", " "))
     edge = rf"^{ASCII_PUNCT}+|{ASCII_PUNCT}+$"
     tokens = F.transform(words, lambda w: F.regexp_replace(F.lower(w), edge, ""))
-    rude = F.filter(F.array(*[F.lit(w) for w in PROFANE]), lambda p: F.array_contains(tokens, p))
+    rude = F.array_intersect(F.array(*[F.lit(w) for w in PROFANE]), tokens)
+    facts = F.struct(F.size(words).alias("n"), F.length(title).alias("chars"), flat.alias("flat"), rude.alias("rude"))
+    return F.transform(F.array(facts), lambda x: _messages(x["n"], x["chars"], x["flat"], x["rude"], captions))[0]
+
+
+def _messages(n: Column, chars: Column, flat: Column, rude: Column, captions: Column) -> Column:
     out = [
         F.when(n > MAX_TITLE_WORDS, F.format_string(f"title has %d words, max {MAX_TITLE_WORDS}", n)),
         F.when(chars > MAX_TITLE_CHARS, F.format_string(f"title is %d chars, max {MAX_TITLE_CHARS}", chars)),

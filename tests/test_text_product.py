@@ -136,3 +136,16 @@ def test_median_of_stage_times_is_exact(spark):
         values = [t[x.stage] for _, t in runs if x.stage in t]
         assert (x.n_runs, x.p50_s, x.max_s) == (len(values), statistics.median(values), max(values)) and abs(x.total_s - sum(values)) < 1e-9
     assert factor.count() == 201
+
+
+def test_hook_limits_look_at_the_title_once(spark):
+    """Messages in order for null, empty, long and rude titles; the plan splits the title once for its words and once for their lower-cased forms."""
+    rows = [("v", "a", None), ("v", "b", ""), ("v", "c", "Shit! (damn) SHIT  happens"), ("v", "d", "You Won't  Believe one two three four five six"), ("v", "e", "crappy 'gone' wrong")]
+    caps = F.create_map(F.lit("tiktok"), F.lit("x"), F.lit("reels"), F.lit("x"), F.lit("shorts"), F.lit("x" * 101))
+    out = I.hook_violations(spark.createDataFrame(rows, "video_id string, cand_id string, title string").withColumn("captions", caps))
+    short = "shorts caption is 101 chars, max 100"
+    assert {x.cand_id: x.violations for x in out.collect()} == {
+        "a": [short], "b": [short], "c": ["title contains profanity: ['damn', 'shit']", short],
+        "d": ["title has 9 words, max 8", "title is 46 chars, max 40", 'title contains banned phrase "you won\'t believe"', short],
+        "e": ["title contains banned phrase 'gone wrong'", short]}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2
