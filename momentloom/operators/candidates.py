@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from momentloom.functions.expr import interval_iou
 from momentloom.operators import folds
 from momentloom.operators.evidence import validate_claims
-from momentloom.operators.series import as_spans
+from momentloom.operators.series import NOISE, as_spans
 from momentloom.operators.stored import settle
 from momentloom.operators.timeline import Edge, lookup, nearest_point, overlap_seconds, stab_pairs
 from momentloom.schemas import CLAIMS, Signals
@@ -27,9 +27,6 @@ EVENT_TAIL = 3.0
 SCENE_LEN = 20.0
 SAME_IOU = 0.5
 
-#: Relative error of sums and variances that decides nothing: their last digits depend on the order in which parts are merged.
-NOISE = 1e-12
-
 ORDER = ("rule_rank", "o1", "o2", "part")
 
 

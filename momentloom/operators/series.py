@@ -17,6 +17,9 @@ FILLER_PAIR = (r"(?i)^you$", r"(?i)^know[,.]?$")
 # Lowest probability that counts as an event, per class.
 EVENT_THRESHOLDS = {"laughter": 0.05, "applause": 0.5}
 
+#: Relative error of sums and variances that decides nothing: their last digits depend on the order in which parts are merged.
+NOISE = 1e-12
+
 
 def as_spans(df: DataFrame, *keep: str) -> DataFrame:
     """``t0, t1`` renamed to ``s0, s1`` for the right side of a temporal join."""
@@ -154,14 +157,20 @@ def _with_spread(curve: DataFrame) -> DataFrame:
     return curve.join(stats, "video_id")
 
 
+def _beyond(sign: int, k: float) -> Column:
+    """Values more than ``k`` deviations above (1) or below (-1) the mean; one that lies exactly there does not, whatever the last digits."""
+    mean, reach = F.col("_mean"), k * F.col("_std")
+    return sign * (F.col("v") - mean) > reach + NOISE * (F.abs(mean) + reach)
+
+
 def surges(curve: DataFrame, hop_s: float = 1.0, k: float = 1.0, min_duration_s: float = 3.0) -> DataFrame:
     """Stretches well above the timeline's own mean."""
-    return runs_where(_with_spread(curve), F.col("v") > F.col("_mean") + k * F.col("_std"), hop_s, min_duration_s)
+    return runs_where(_with_spread(curve), _beyond(1, k), hop_s, min_duration_s)
 
 
 def monotone(curve: DataFrame, hop_s: float = 1.0, k: float = 1.0, min_duration_s: float = 10.0) -> DataFrame:
     """Stretches well below the timeline's own mean."""
-    return runs_where(_with_spread(curve), F.col("v") < F.col("_mean") - k * F.col("_std"), hop_s, min_duration_s)
+    return runs_where(_with_spread(curve), _beyond(-1, k), hop_s, min_duration_s)
 
 
 def threshold_events(probs: DataFrame, hop_s: float, thresholds: dict[str, float] = EVENT_THRESHOLDS) -> DataFrame:

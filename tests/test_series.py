@@ -83,3 +83,29 @@ def test_dominant_track_resets(spark):
     rows = [("v", 0.0, [a], None), ("v", 1.0, [b, a], None), ("v", 2.0, [], None), ("v", 3.0, [b, a], None)]
     got = {r.t: r.dominant for r in series.dominant_track(spark.createDataFrame(rows, FACES)).collect()}
     assert got == {0.0: 0, 1.0: 1, 2.0: None, 3.0: 0}
+
+
+def test_one_deviation_from_the_mean_is_not_beyond_it(spark):
+    """Buckets exactly one deviation below the mean, whose last digits depend on the order of the others, and a constant curve."""
+    rnd = random.Random(5)
+    n, curves = 18, {}
+    for j in range(60):
+        values = [0.0] * 2 + [1.0] * 2 + [2.0] * 14
+        rnd.shuffle(values)
+        curves[f"t{j}"] = values
+    s, q = sum(values), sum(x * x for x in values)
+    assert (s - n) ** 2 == n * q - s * s  # one is the mean less the deviation
+    rows = [(v, i, x) for v, xs in curves.items() for i, x in enumerate(xs)] + [("c", i, 0.1) for i in range(10)]
+    c = table(spark, rows, "video_id string, i bigint, v double").coalesce(1)
+    low = series.monotone(c, min_duration_s=0.0).collect()
+    zeros = {(v, i) for v, xs in curves.items() for i, x in enumerate(xs) if x == 0}
+    assert {(r.video_id, i) for r in low for i in range(int(r.t0), int(r.t1))} == zeros and all(r.peak == 0 for r in low)
+    assert series.surges(c, min_duration_s=0.0).where("video_id = 'c'").count() == 0
+
+
+def test_words_part_at_the_white_space_of_sql(spark, tmp_path):
+    from momentloom.plans import derive
+
+    rows = [(1, 0, "a\x0bb c\fd"), (1, 1, "\x0b")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert sorted((r.pos, r.text) for r in derive.words(spark, str(tmp_path)).collect()) == [(0, "a\x0bb"), (1, "c"), (2, "d"), (3, "\x0b")]
