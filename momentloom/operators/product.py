@@ -348,6 +348,10 @@ def stage_timings(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     low, high = F.floor((F.col("n_runs") + 1) / 2), F.floor(F.col("n_runs") / 2) + 1
     middle = ranked.groupBy("stage").agg(((F.max(F.when(holds(low), F.col("seconds"))) + F.max(F.when(holds(high), F.col("seconds")))) / 2).alias("p50_s"))
     per = sums.join(middle, "stage").select("stage", "n_runs", "total_s", "p50_s", "max_s")
+    return per, realtime_factors(runs)
+
+
+def realtime_factors(runs: DataFrame) -> DataFrame:
+    """Seconds spent on each run ``job_id, run`` per second processed."""
     spent = F.aggregate(F.map_values("run.timings_s"), F.lit(0.0), lambda a, x: a + x)
-    factor = runs.where(F.col("run.duration_processed_s") > 0).select("job_id", (spent / F.col("run.duration_processed_s")).alias("realtime_factor"))
-    return per, factor
+    return runs.where(F.col("run.duration_processed_s") > 0).select("job_id", (spent / F.col("run.duration_processed_s")).alias("realtime_factor"))

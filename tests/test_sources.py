@@ -71,3 +71,29 @@ def test_run_results_and_import(spark, tmp_path):
     assert sorted((r.job_id, r.agent) for r in new["events"].collect()) == sorted([(good, "qa"), (failed, "old")])
     assert [(r.ref, r.delta_minutes) for r in new["refunds"].collect()] == [(failed, 4.0)]
     assert [r.ref for r in new["corrections"].collect()] in ([good], [])
+
+
+def test_factors_of_runs_store_nothing_and_read_clips_no_further_than_needed(spark, monkeypatch):
+    from momentloom.operators import product
+
+    monkeypatch.setattr(product, "settle", None)  # not called: the times of stages are not counted for the factors
+    plan = Q.realtime_factors(spark, D)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2 and plan.count("Generate") == 2
+
+
+def test_verdicts_on_odd_documents(spark):
+    """What is no JSON, another shape, an error or another version, whatever part of the clips is read."""
+    good = json.dumps({"version": 1, "pipeline_version": "x", "source": {}, "agent_totals": {}, "timings_s": {"a": 1.5}, "clips": [
+        {"index": 1, "candidate": {"t0": 1, "evidence": [{"kind": "quote", "t": 1, "value": "\"error\""}]}, "cut": {"t0": 1.0}}]})
+    no_json, shape = "run.json is not valid JSON", "run.json failed schema validation"
+    version = "run.json version mismatch: expected 1, got "
+    cases = [
+        (good, None), (" \n" + good, None), (good.replace('"t0": 1,', '"t0": "odd",'), None), (good[:-1], no_json), (None, no_json), ("", no_json), (good.replace('"', "'"), no_json),
+        (good.replace("1.5", "NaN"), no_json), (f"[{good}]", version + "undefined"), (good.replace('"version": 1', '"version": 1.0'), version + "1.0"),
+        (good.replace('"version": 1', '"version": "1"'), None), (good[:-1] + ',"error":null}', "run.json error-shape failed validation"),
+        (good[:-1] + ',"\\u0065rror":{"message":"m"}}', "m"), (good[:-1] + ',"error":{"message":"m"}}', "m"),
+        (good[:-1] + ',"x":{"error":1}}', None), (good.replace('"index": 1', '"index": "a"'), shape), (good.replace('{"t0": 1.0}', "5"), shape), (good.replace('{"a": 1.5}', "[]"), shape)]
+    docs = spark.createDataFrame([(str(i), raw) for i, (raw, _) in enumerate(cases)], "job_id string, raw string")
+    for schema in (A.RUN_RESULT, Q.RUN_FACTS):
+        got = {int(r.job_id): r.error for r in A.judge_run_results(docs, schema).select("job_id", "error").collect()}
+        assert [got[i] for i in range(len(cases))] == [e for _, e in cases]
