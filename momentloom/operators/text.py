@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
 from momentloom.functions.expr import (
     ASCII_PUNCT, capitalise, clock, half_even, held, rstrip, strip, subtitle_time, title_case, truncate_words,
@@ -322,31 +323,38 @@ def repair_line(v: Column) -> Column:
 def evidence_report(clips: DataFrame) -> DataFrame:
     """Readable lines ``job_id, clip_index, section, ord, line`` from clip rows with parsed ``candidate, score, repairs, qa``.
 
-    ``candidate`` and ``score`` carry claims as JSON text, which is read here.
+    ``candidate`` and ``score`` carry parsed claims (``tables.with_claims``), ``repairs`` JSON text or variants. All lines of a clip come from its one row.
     """
-    keys = ["job_id", "clip_index"]
-    line = lambda s: F.struct(s.alias("line"))
     c = F.col
+    none = F.array().cast("array<struct<section:string,ord:int,line:string>>")
+
+    def at(section, ord_, text):
+        return F.struct(F.lit(section).alias("section"), ord_.cast("int").alias("ord"), text.alias("line"))
+
+    def each(section, items, text):
+        return F.coalesce(F.transform(items, lambda x, i: at(section, i, text(x))), none)
+
+    def component(p):
+        rank = F.array_position(F.array(*[F.lit(n) for n in PART_ORDER]), p.key)
+        name = label(p.key, PART_LABELS, capitalise(F.replace(p.key, F.lit("_"), F.lit(" "))))
+        head = at("component", rank * 1000, F.concat(name, F.lit(": "), plain_number(p.value.score), F.lit("/25")))
+        cited = F.transform(p.value.evidence, lambda x, i: at("component", rank * 1000 + 1 + i, claim_line(x)))
+        return F.when(rank > 0, F.concat(F.array(head), F.coalesce(cited, none))).otherwise(none)
+
+    source = F.array(at("source", F.lit(0), label(c("candidate.source"), SOURCE_LABELS, F.concat(F.lit("Found by: "), c("candidate.source")))))
+    lines = F.concat(
+        F.when(c("candidate").isNotNull(), source).otherwise(none),
+        each("claim", c("candidate.evidence"), claim_line),
+        F.coalesce(F.flatten(F.transform(F.map_entries("score.components"), component)), none),
+        each("repair", F.transform("repairs", _as_variant(clips, "repairs")), repair_line),
+        each("qa", c("qa.failures"), lambda f: label(f.code, QA_LABELS, f.code)),
+    )
+    return clips.select("job_id", "clip_index", F.inline(lines))
+
 
-    def section(df, name, base=0):
-        return df.select(*keys, F.lit(name).alias("section"), (c("ord") + base).cast("int").alias("ord"), "line")
-
-    source = clips.where(c("candidate").isNotNull()).select(
-        *keys, F.lit(0).alias("ord"), label(c("candidate.source"), SOURCE_LABELS, F.concat(F.lit("Found by: "), c("candidate.source"))).alias("line"))
-    cites = clips.select(*keys, F.posexplode("candidate.evidence").alias("ord", "claim")).select(*keys, "ord", claim_line(c("claim")).alias("line"))
-    comps = clips.select(*keys, F.posexplode(F.map_entries("score.components")).alias("i", "p"))
-    rank = F.array_position(F.array(*[F.lit(p) for p in PART_ORDER]), c("p.key"))
-    comps = comps.where(rank > 0).withColumn("rank", rank)
-    name = label(c("p.key"), PART_LABELS, capitalise(F.replace(c("p.key"), F.lit("_"), F.lit(" "))))
-    heads = comps.select(*keys, (c("rank") * 1000).alias("ord"), F.concat(name, F.lit(": "), plain_number(c("p.value.score")), F.lit("/25")).alias("line"))
-    cited = comps.select(*keys, "rank", F.posexplode("p.value.evidence").alias("i", "claim")).select(
-        *keys, (c("rank") * 1000 + 1 + c("i")).alias("ord"), claim_line(c("claim")).alias("line"))
-    fixes = clips.select(*keys, F.posexplode(F.transform("repairs", F.try_parse_json)).alias("ord", "r")).select(*keys, "ord", repair_line(c("r")).alias("line"))
-    fails = clips.select(*keys, F.posexplode("qa.failures").alias("ord", "f")).select(*keys, "ord", label(c("f.code"), QA_LABELS, c("f.code")).alias("line"))
-    out = section(source, "source")
-    for df, name in ((cites, "claim"), (heads, "component"), (cited, "component"), (fixes, "repair"), (fails, "qa")):
-        out = out.unionByName(section(df, name))
-    return out
+def _as_variant(df: DataFrame, name: str):
+    """What reads an entry of the array ``name``: texts are parsed, variants are."""
+    return (lambda x: x) if isinstance(df.schema[name].dataType.elementType, VariantType) else F.try_parse_json
 
 
 # Activity lines per agent.

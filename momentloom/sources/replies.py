@@ -91,7 +91,12 @@ def claims_at(v: Column, path: str) -> Column:
 
 def read_claims(texts: Column) -> Column:
     """Claims from an array of JSON texts; each text is parsed once."""
-    return F.transform(F.transform(texts, F.try_parse_json), _claim)
+    return typed_claims(F.transform(texts, F.try_parse_json))
+
+
+def typed_claims(entries: Column) -> Column:
+    """Claims from an array of variants."""
+    return F.transform(entries, _claim)
 
 
 def _claim(v: Column) -> Column:

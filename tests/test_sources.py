@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from momentloom.operators.imports import run_import
 from momentloom.plans import q_sources as Q
 from momentloom.sources import tables as A
@@ -97,3 +99,29 @@ def test_verdicts_on_odd_documents(spark):
     for schema in (A.RUN_RESULT, Q.RUN_FACTS):
         got = {int(r.job_id): r.error for r in A.judge_run_results(docs, schema).select("job_id", "error").collect()}
         assert [got[i] for i in range(len(cases))] == [e for _, e in cases]
+
+
+def test_report_lines_come_from_one_read_of_each_clip(spark, monkeypatch):
+    from momentloom.operators import text
+    from momentloom.plans import derive
+
+    monkeypatch.setattr(derive, "settle", None)  # not called
+    assert Q.evidence_report(spark, D)._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 2
+
+    odd = [
+        '{"clips":[{"index":1,"candidate":{"source":"llm","evidence":[{"kind":"quote","t":61,"value":"hi"},{"kind":"energy_peak","t":1,"value":2.0},{"kind":"laughter"}]},'
+        '"score":{"components":{"payoff":{"score":3},"other":{"score":1},"emotion":{"score":4,"evidence":[{"kind":"new","t":2}]}}},"qa":{"failures":[{"code":"RES"},{"code":"X"}]},'
+        '"repairs":[{"attempt":2,"codes":["RES"],"route":"surgeon","outcome":"fixed"},7]}]}',
+        '{"clips":[{"index":2},{"index":3,"candidate":{"source":"z"},"repairs":[]}]}']
+    docs = spark.createDataFrame([("j", raw) for raw in odd], "job_id string, raw string")
+    want = [
+        (1, "claim", 0, 'Quotable: "hi"'), (1, "claim", 1, "Energy spike +2σ at 0:01"), (1, "claim", 2, "Laughter at 0:00"),
+        (1, "component", 2000, "Payoff: 3/25"), (1, "component", 3000, "Emotion: 4/25"), (1, "component", 3001, "new at 0:02"),
+        (1, "qa", 0, "Wrong resolution"), (1, "qa", 1, "X"),
+        (1, "repair", 0, "Attempt 2: fixed RES via re-cut"), (1, "repair", 1, "Attempt ?: attempted to fix an issue via unknown step"),
+        (1, "source", 0, "Found by: AI semantic pass"), (3, "source", 0, "Found by: z")]
+    for schema, read in ((A.RUN_RESULT, A.read_claims), (Q.RUN_REPORT, Q.typed_claims)):
+        c = docs.select("job_id", F.explode(F.from_json("raw", schema)["clips"]).alias("c"))
+        clips = c.select("job_id", F.col("c.index").alias("clip_index"), A.with_claims(F.col("c.candidate"), read).alias("candidate"),
+                         A.scored_claims(F.col("c.score"), read).alias("score"), F.col("c.repairs").alias("repairs"), F.col("c.qa").alias("qa"))
+        assert sorted((r.clip_index, r.section, r.ord, r.line) for r in text.evidence_report(clips).collect()) == want
