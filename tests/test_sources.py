@@ -125,3 +125,23 @@ def test_report_lines_come_from_one_read_of_each_clip(spark, monkeypatch):
         clips = c.select("job_id", F.col("c.index").alias("clip_index"), A.with_claims(F.col("c.candidate"), read).alias("candidate"),
                          A.scored_claims(F.col("c.score"), read).alias("score"), F.col("c.repairs").alias("repairs"), F.col("c.qa").alias("qa"))
         assert sorted((r.clip_index, r.section, r.ord, r.line) for r in text.evidence_report(clips).collect()) == want
+
+
+def test_import_reads_documents_once_and_keeps_whole_rows_where_asked(spark, tmp_path):
+    """No table but the stored runs reads the documents; rows of clips have their evidence and QA record if the old ones have."""
+    docs = Q.run_docs(spark, D).where("job_id in ('4', '5', '6', '10', '11')")
+    docs.write.parquet(f"{tmp_path}/documents")
+    raw = spark.read.parquet(f"{tmp_path}/documents")
+    jobs = spark.createDataFrame([(int(k), k, "u") for k in ("4", "5", "6", "10", "11")], "seq bigint, job_id string, user_id string")
+    events = spark.createDataFrame([], "job_id string, agent string")
+    entries = spark.createDataFrame([], "user_id string, delta_minutes double, reason string, ref string, created_at timestamp")
+    opening = spark.createDataFrame([("u", 100)], "user_id string, balance bigint")
+    lines = spark.createDataFrame([], "job_id string, value string")
+    whole = A.clip_rows(A.parse_run_results(docs)[0])
+    for columns in (["job_id", "clip_index", "media_key"], whole.columns):
+        old = whole.select(*columns).limit(0)
+        new = run_import(raw, lines, jobs, old, events, entries, opening)
+        assert not any("documents" in f for df in new.values() for f in df.inputFiles())
+        shown = lambda df: sorted((str(r.asDict()) for r in df.select(*columns).collect()))
+        assert shown(new["clips"]) == shown(whole) != []
+        assert {r.job_id: r.status for r in new["jobs"].collect()} == {"4": "done", "5": "done", "6": "done", "10": "failed", "11": "failed"}
